@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import line_frequency, packing, quality_model, secrets
+from quillstone.llm import line_frequency, mixing, packing, quality_model, secrets
 from quillstone.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judge(table(spark, sf_dir, "documents"))
 
@@ -41,5 +46,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("findings")
 
 
-QUERIES = {f.__name__: f for f in (op4_line_frequency, op5_packing, op6_quality_classifier, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_line_frequency, op5_packing, op6_quality_classifier, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
