@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import line_frequency, mixing, packing, quality_model, secrets
+from quillstone.llm import context_tree, line_frequency, mixing, packing, quality_model, secrets, warc
 from quillstone.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def remainder(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -42,9 +46,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("findings")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_line_frequency, op5_packing, op6_quality_classifier, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op3_mixing, op4_line_frequency, op5_packing, op6_quality_classifier, op7_warc_reassembly, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
