@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import Out, materialise, rows_of
 
+#: Words numbered at once; a number takes 21 bits at most.
+KNOWN = 1 << 18
 SYMBOLS = b"#*$%&|<>"
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
@@ -31,7 +33,7 @@ def repeated_words(words: list[bytes], ids: dict[bytes, int]) -> int:
     """Words that lie in a three-word window found twice or more. ids: numbers given so far, for reuse between texts."""
     if len(words) < 4:
         return 0
-    if len(ids) + len(words) >= 1 << 21:
+    if len(ids) + len(words) >= KNOWN:
         ids.clear()
     if len(words) >= 1 << 21:  # their numbers might not fit in 21 bits
         return _repeated_words_long(words)
