@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import context_tree, line_frequency, mixing, packing, quality_model, secrets, warc
+from quillstone.llm import context_tree, jaccard_join, line_frequency, mixing, packing, quality_model, secrets, warc
 from quillstone.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,5 +54,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("findings")
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op3_mixing, op4_line_frequency, op5_packing, op6_quality_classifier, op7_warc_reassembly, op9_secret_scan)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100).drop("class_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_context_tree, op3_mixing, op4_line_frequency, op5_packing, op6_quality_classifier, op7_warc_reassembly, op9_secret_scan, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
