@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import context_tree, jaccard_join, line_frequency, mixing, packing, quality_model, secrets, warc
+from quillstone.llm import context_tree, embedding_dedup, jaccard_join, line_dedup, line_frequency, mixing, packing, quality_model, secrets, warc
 from quillstone.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,11 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_removed_").alias("n_removed"), "text")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -50,6 +55,10 @@ def op7_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("findings")
 
@@ -58,5 +67,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100).drop("class_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op3_mixing, op4_line_frequency, op5_packing, op6_quality_classifier, op7_warc_reassembly, op9_secret_scan, op10_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_context_tree,
+        op2_line_dedup,
+        op3_mixing,
+        op4_line_frequency,
+        op5_packing,
+        op6_quality_classifier,
+        op7_warc_reassembly,
+        op8_embedding_dedup,
+        op9_secret_scan,
+        op10_jaccard_join,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
