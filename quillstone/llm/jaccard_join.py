@@ -241,7 +241,7 @@ def _spare(sig: Column, num: int, den: int) -> Column:
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row: id, n_shingles, class_key, component_id (smallest id reachable by links, its own included).
+    """Per row: id, n_shingles, text_key, component_id (smallest id reachable by links, its own included), kept (whether the row stands for its component).
 
     Two documents link if ``den * |intersection| >= num * |union|`` of their sets
     of distinct ``words``-word shingles; a shorter text is one shingle. Null texts
@@ -286,9 +286,19 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     more = _verified(pairs, texts, words, num, den)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    named = classes.select("key", F.col("first.id").alias("first")).join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = classes.select("key", "first").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialise(named, "join-named")
-    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(lowest, "component").select("key", "component_id")
-    result = sets.select("id", "n", "key").join(named, "key", "left")
-    return result.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.coalesce("component_id", "id").alias("component_id"))
+    leads = named.groupBy("component").agg(F.min("first").alias("lead"))
+    named = named.join(leads, "component").select("key", "lead")
+    result = sets.select("id", "n", "key", "text_key").join(named, "key", "left")
+    leads_own = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("text_key") == F.col("lead.text_key"))
+    return result.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "text_key", F.coalesce("lead.id", "id").alias("component_id"), (F.col("lead").isNull() | leads_own).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their components, one of repeated rows; those with empty sets stay."""
+    kept = join(docs, id_column, text_column, **options).filter("kept").select(F.col(id_column).alias("id_"), F.col("text_key").alias("text_key_")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_key"))
+    found = keyed.join(kept, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_")), "left_semi")
+    same = Window.partitionBy("id", "text_key").orderBy("text_key")
+    return found.withColumn("row", F.row_number().over(same)).filter("row = 1").select("doc.*")

@@ -99,11 +99,14 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     Runs repeated within a text go too. An empty table gives no rows.
     """
     spans = materialise(repeated(docs, id_column, text_column), "dedup-spans").withColumnsRenamed({"id": "id_", "text_key": "text_key_"})
-    on = F.col(id_column).eqNullSafe(F.col("id_")) & (F.xxhash64(text_column) == F.col("text_key_"))
-    lines = F.split(text_column, "\n")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_key"))
+    on = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_"))
+    text = F.col("doc").getField(text_column)
+    lines = F.split(text, "\n")
     starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["last"] + 1))
     ends = F.concat(F.transform("spans", lambda s: s["first"]), F.array(F.size(lines)))
     kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda k: F.slice(lines, k["a"] + 1, k["b"] - k["a"]))
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
-    found = docs.join(spans, on, "left").withColumns({"n_lines_": F.coalesce(F.size(lines), F.lit(0)), "n_removed_": F.coalesce(removed, F.lit(0)), "kept_": F.when(F.col("spans").isNull(), F.col(text_column)).otherwise(F.array_join(F.flatten(kept), "\n"))})
-    return found.select(*(F.col("kept_").alias(c) if c == text_column else F.col(c) for c in docs.columns), "n_lines_", "n_removed_")
+    left = F.when(F.col("spans").isNull(), text).otherwise(F.array_join(F.flatten(kept), "\n"))
+    names = [left.alias(c) if c == text_column else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return keyed.join(spans, on, "left").select(*names, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines_"), F.coalesce(removed, F.lit(0)).alias("n_removed_"))

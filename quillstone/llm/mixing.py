@@ -174,9 +174,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
 
 def apply(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    taken = mix(docs, id_column, source_column, text_column, **options).select(F.col(id_column).alias("id_"), F.col(source_column).alias("source_"), F.col("size").alias("size_"), F.col("copy").alias("copy_"), "copies").filter("copies > 0")
-    same = Window.partitionBy(id_column, source_column, "size_").orderBy(F.xxhash64(text_column))
-    numbered = docs.withColumn("size_", words(text_column)).withColumn("copy_", F.row_number().over(same).cast("bigint"))
-    on = F.col(id_column).eqNullSafe(F.col("id_")) & F.col(source_column).eqNullSafe(F.col("source_")) & (numbered["size_"] == taken["size_"]) & (numbered["copy_"] == taken["copy_"])
+    taken = mix(docs, id_column, source_column, text_column, **options).filter("copies > 0").select(F.col(id_column).alias("id_"), F.col(source_column).alias("source_"), F.col("size").alias("size_"), F.col("copy").alias("copy_"), "copies")
+    named = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), words(text_column).alias("size"), F.xxhash64(text_column).alias("text_key"))
+    numbered = named.withColumn("copy", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("text_key")).cast("bigint")).drop("text_key")
+    on = F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")) & (F.col("copy") == F.col("copy_"))
     joined = numbered.join(taken, on)
-    return joined.withColumn("time_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(c) for c in docs.columns))
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -181,15 +181,14 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return fit(sample_features(texts, most_rows))
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: id (or the columns in ``keep``) and ``score``, the probability of label 1.
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None, score_column: str = "score") -> DataFrame:
+    """Per row: id (or the columns in ``keep``) and the score, the probability of label 1.
 
     Null and empty texts get the score of the labels' prior; very long texts are
     read whole; repeated rows are scored alike; an empty table gives no rows.
     """
     names = keep or [id_column]
     shared = docs.sparkSession.sparkContext.broadcast((model.worth, model.bias))
-    schema = docs.select(*names).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worth, bias = shared.value
@@ -203,7 +202,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                     total = known.total[at].sum() + worth[pair_features(known.hashes[at])].sum(dtype=np.float64)
                     odds += total / (known.features[at].sum() + len(at) - 1)
                 scores[i] = 1 / (1 + np.exp(-odds))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(names))), pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["kept", "score"])
 
-    picked = docs.select(*names, F.col(text_column).alias("body"))
-    return picked.mapInArrow(run, schema)
+    picked = docs.select(F.struct(*names).alias("kept"), F.col(text_column).alias("body"))
+    scored = picked.mapInArrow(run, picked.select("kept").schema.add("score", "double"))
+    return scored.select("kept.*", F.col("score").alias(score_column))
