@@ -1,11 +1,67 @@
-"""A training-corpus pipeline of five stages over documents."""
+"""A training corpus from ``documents``: five stages, each an operator of ``quillstone.llm``.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.llm import jaccard_join, line_dedup, mixing, packing, quality_model
+from quillstone.llm.common import materialise, table
+from quillstone.llm.queries import tokenizer_path
+
+#: Documents that score less are rejected.
+LEAST_QUALITY = 0.3
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from all labels."""
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_model.score(docs, model, keep=docs.columns, score_column="quality_score_")
+    return scored.filter(F.col("quality_score_") >= LEAST_QUALITY).drop("quality_score_")
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less their repeated runs of lines; those of which no word is left go. ``n_chars`` follows the text."""
+    found = line_dedup.dedup(docs)
+    found = found.filter((F.col("n_removed_") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return found.withColumn("n_chars", F.when(F.col("n_removed_") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8."""
+    return jaccard_join.distinct_documents(docs, words=5, num=80, den=100)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.apply(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup_stage),
+    ("jaccard_join", jaccard_join_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier, the random rounding and the tokenizer have no form in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{name}")
     return docs
