@@ -109,4 +109,4 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
     left = F.when(F.col("spans").isNull(), text).otherwise(F.array_join(F.flatten(kept), "\n"))
     names = [left.alias(c) if c == text_column else F.col("doc").getField(c).alias(c) for c in docs.columns]
-    return keyed.join(spans, on, "left").select(*names, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines_"), F.coalesce(removed, F.lit(0)).alias("n_removed_"))
+    return keyed.join(spans.hint("merge"), on, "left").select(*names, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines_"), F.coalesce(removed, F.lit(0)).alias("n_removed_"))
