@@ -1,0 +1,152 @@
+"""Batches of lexical queries over documents: BM25 or coverage, phrases, prefixes, boosts.
+
+All queries run in one job. Statistics are those of each query's candidates, as
+scoring defines them: documents that match any term (or all), within the scan
+limit. Scores are divided by the query's best, boosted and cut at one.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+# The words that a query drops.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with")
+TOKEN = r"[\p{L}\p{N}]+"
+
+
+@dataclass(frozen=True)
+class Options:
+    scoring: str = "bm25"
+    match: str = "any"
+    k1: float = 1.2
+    b: float = 0.75
+    phrase_boost: float = 0.15
+    exact_boost: float = 0.25
+    metadata_boost: float = 0.10
+    prefix_from: int | None = None
+    scan_limit: int = 5000
+    top: int = 50
+    min_score: float | None = None
+    boosts: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.k1 <= 0 or not 0 <= self.b <= 1 or self.scoring not in ("bm25", "coverage") or self.match not in ("any", "all"):
+            raise ValueError(f"not valid: {self}")
+        if self.prefix_from is not None and self.prefix_from <= 0 or any(v < 0 for v in self.boosts.values()):
+            raise ValueError(f"not valid: {self}")
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def normal(text: Column) -> Column:
+    """Lower case, without blanks at the ends, white space as one blank."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def query_terms(text: Column) -> Column:
+    """Distinct tokens in order, without stop words and single characters unless nothing else is left."""
+    every = F.array_distinct(tokens(text))
+    kept = F.filter(every, lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+    return F.when(F.size(kept) > 0, kept).otherwise(every)
+
+
+def quoted(text: str) -> list[str]:
+    """Phrases between pairs of quotes, normalised; an unpaired quote opens none."""
+    found = [" ".join(p.lower().split()) for p in re.findall(r'"([^"]*)"', text)]
+    return [p for p in dict.fromkeys(found) if p]
+
+
+def postings(documents: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
+    """(keys, field, term, tf): one scan, tokens counted per document and field."""
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields))
+    each = documents.select(*keys, F.explode(parts).alias("f")).select(*keys, "f.field", F.explode("f.terms").alias("term"))
+    return each.groupBy(*keys, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def lengths(documents: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
+    return documents.select(*keys, sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0)).alias("length"))
+
+
+def search(documents: DataFrame, queries: DataFrame, fields: list[str], options: Options = Options(), keys: tuple[str, ...] = ("partition_key", "id"), metadata: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, keys, score and rank of the best documents of each query (query_id, query).
+
+    Postings of the queries' terms alone are joined, so cost follows matches
+    and not queries times documents.
+    """
+    keys = list(keys)
+    parts = queries.select("query_id", normal(F.col("query")).alias("query"), query_terms(F.col("query")).alias("terms"))
+    wanted = parts.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    posted = postings(documents, fields, keys)
+    if options.prefix_from is None:
+        hits = posted.join(wanted, "term")
+        hits = hits.withColumn("prefix", F.lit(False))
+    else:
+        # a prefix counts in a field only where the term itself does not occur; heads of equal length are joined
+        long_enough = wanted.filter(F.length("term") >= options.prefix_from).withColumn("head", F.substring("term", 1, options.prefix_from))
+        exact = posted.join(wanted, "term").withColumn("prefix", F.lit(False))
+        heads = posted.filter(F.length("term") > options.prefix_from).withColumn("head", F.substring("term", 1, options.prefix_from)).withColumnRenamed("term", "longer")
+        more = heads.join(long_enough, "head").filter(F.col("longer").startswith(F.col("term")) & (F.col("longer") != F.col("term")))
+        more = more.groupBy(*keys, "field", "query_id", "n_terms", "term").agg(F.sum("tf").alias("tf"))
+        more = more.join(exact.select(*keys, "field", "query_id", "term"), [*keys, "field", "query_id", "term"], "left_anti").withColumn("prefix", F.lit(True))
+        hits = exact.unionByName(more.select(exact.columns))
+    weight = F.lit(1.0)
+    for name, boost in options.boosts.items():
+        weight = F.when(F.col("field") == name, F.lit(float(boost))).otherwise(weight)
+    hits = hits.withColumn("weight", weight)
+    terms = hits.groupBy("query_id", *keys, "n_terms", "term").agg(F.sum(F.col("tf") * F.col("weight")).alias("wtf"), F.sum("tf").alias("tf"), F.max(F.col("field").isin(*metadata) if metadata else F.lit(False)).alias("in_metadata"))
+
+    per_query = Window.partitionBy("query_id")
+    docs = terms.groupBy("query_id", *keys, "n_terms").agg(F.count(F.lit(1)).alias("matched"))
+    if options.match == "all":
+        docs = docs.filter(F.col("matched") == F.col("n_terms"))
+    order = Window.partitionBy("query_id").orderBy(F.col("matched").desc(), *keys)
+    docs = docs.withColumn("seen", F.row_number().over(order)).filter(F.col("seen") <= options.scan_limit).drop("seen", "n_terms")
+    docs = docs.join(lengths(documents, fields, keys), keys)
+    docs = docs.withColumns({"n": F.count(F.lit(1)).over(per_query), "average": F.avg("length").over(per_query)})
+    scored = terms.join(docs, ["query_id", *keys])
+    df = F.count(F.lit(1)).over(Window.partitionBy("query_id", "term"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    ratio = F.greatest(F.col("length"), F.lit(1)) / F.greatest(F.col("average"), F.lit(1.0))
+    part = idf * (F.col("wtf") * (options.k1 + 1)) / (F.col("wtf") + options.k1 * (1 - options.b + options.b * ratio))
+    scored = scored.withColumn("df", df).withColumn("part", part)
+    totals = scored.groupBy("query_id", *keys, "n_terms", "matched").agg(F.sum("part").alias("bm25"), F.sum("tf").alias("all_tf"), F.max("in_metadata").alias("in_metadata"))
+    coverage = 0.8 * F.col("matched") / F.col("n_terms") + 0.2 * F.least(F.lit(1.0), F.col("all_tf") / F.col("n_terms"))
+    totals = totals.withColumn("raw", F.col("bm25") if options.scoring == "bm25" else coverage)
+    base = F.col("raw") / F.max("raw").over(per_query) if options.scoring == "bm25" else F.least(F.lit(1.0), F.col("raw"))
+    found = totals.withColumn("base", base)
+
+    # boosts need the texts of matches only
+    texts = documents.select(*keys, *(normal(F.col(f)).alias(f"n_{f}") for f in fields))
+    found = found.join(texts, keys).join(parts.select("query_id", "query"), "query_id")
+    phrase = exact_match = F.lit(False)
+    for name in fields:
+        inside = F.coalesce(F.col(f"n_{name}").contains(F.col("query")), F.lit(False)) & (F.col("query") != "")
+        phrase, exact_match = phrase | inside, exact_match | F.coalesce(F.col(f"n_{name}") == F.col("query"), F.lit(False))
+    boost = F.when(phrase, options.phrase_boost).otherwise(0.0) + F.when(exact_match, options.exact_boost).otherwise(0.0) + F.when(F.col("in_metadata"), options.metadata_boost).otherwise(0.0)
+    found = found.withColumn("score", F.least(F.lit(1.0), F.col("base") + boost)).filter(F.col("score") > 0)
+    if options.min_score is not None:
+        found = found.filter(F.col("score") >= options.min_score)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), *keys))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= options.top).select("query_id", *keys, "matched", "score", "rank")
+
+
+def has_phrases(text: Column, groups: list[list[str]]) -> Column:
+    """AND over groups, OR within: the text's tokens hold the phrase's tokens in a row."""
+    if len(groups) > 16 or any(len(g) > 16 or any(len(p) > 256 for p in g) for g in groups):
+        raise ValueError("too many or too long phrases")
+    joined = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+    test = F.lit(True)
+    for group in groups:
+        any_of = F.lit(False)
+        for phrase in group:
+            words = " ".join(re.findall(r"[^\W_]+", phrase.lower()))
+            any_of = any_of | joined.contains(f" {words} ")
+        test = test & any_of
+    return test

@@ -1,5 +1,10 @@
 """The library's registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from quillstone.catalog import operations, records, retrieval
+
+_PARTS = (records.R, retrieval.R, operations.R)
+QUERIES = {name: f for part in _PARTS for name, f in part.queries.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.sql.items()}
+FLAGSHIP = "lexical_bm25"
