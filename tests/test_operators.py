@@ -1,0 +1,135 @@
+import random
+import struct
+from collections import defaultdict, deque
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.operators import context, graph, ingest, lexical, retrieval, runs, vector
+from quillstone.sources import records
+
+
+def walk(nodes, edges, starts, depth, direction, node_limit, edge_limit):
+    """A sequential breadth-first walk with limits."""
+    near = defaultdict(list)
+    for e in sorted(edges):
+        if direction in ("outgoing", "both"):
+            near[e[1]].append((0, e[0], e[2]))
+        if direction in ("incoming", "both"):
+            near[e[2]].append((1, e[0], e[1]))
+    seen = [s for s in sorted(set(starts)) if s in nodes][:node_limit]
+    included, taken, todo = dict.fromkeys(seen), [], deque((s, 0) for s in seen)
+    visited = set(seen)
+    while todo:
+        node, d = todo.popleft()
+        if d >= depth:
+            continue
+        for _, edge, other in sorted(near[node]):
+            if edge in taken:
+                continue
+            if len(taken) >= edge_limit:
+                return list(included), taken
+            if other not in nodes or other not in included and len(included) >= node_limit:
+                continue
+            taken.append(edge)
+            included[other] = None
+            if other not in visited:
+                visited.add(other)
+                todo.append((other, d + 1))
+    return list(included), taken
+
+
+@pytest.mark.parametrize(("seed", "direction", "node_limit", "edge_limit"), [(1, "outgoing", 99, 99), (2, "both", 99, 99), (3, "incoming", 99, 6), (4, "both", 99, 7), (5, "both", 5, 99)])
+def test_traverse_like_a_sequential_walk(spark, seed, direction, node_limit, edge_limit):
+    rng = random.Random(seed)
+    nodes = [f"n{k:02d}" for k in range(12)]
+    edges = [(f"e{k:02d}", rng.choice(nodes), rng.choice(nodes + ["gone"])) for k in range(24)]
+    n = spark.createDataFrame([(x, "t", x, None) for x in nodes], "id string, type string, label string, score double")
+    e = spark.createDataFrame([(*x, "p", None) for x in edges], "id string, source_id string, target_id string, predicate string, score double")
+    starts = spark.createDataFrame([("n00",), ("n05",), ("missing",)], "id string")
+    found_nodes, found_edges = graph.traverse(n, e, starts, 3, direction, node_limit=node_limit, edge_limit=edge_limit)
+    want_nodes, want_edges = walk(nodes, edges, ["n00", "n05", "missing"], 3, direction, node_limit, edge_limit)
+    assert [r.edge_id for r in found_edges.orderBy("position").collect()] == want_edges
+    assert [r.id for r in found_nodes.orderBy("position").collect()] == want_nodes
+
+
+def test_chunks_cover_the_text():
+    rng = random.Random(0)
+    text = "".join(rng.choice("ab.! \n") for _ in range(5000)) + "\n\n" + "x" * 700
+    spans = ingest.split(text, 300, 40)
+    assert all(a < b <= a + 300 for a, b in spans) and all(x[0] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+    covered = set()
+    for a, b in spans:
+        covered |= set(range(a, b))
+    assert all(text[k].isspace() for k in set(range(len(text))) - covered)
+    assert ingest.split("  \n ") == [] and ingest.split("one two", 50) == [(0, 7)]
+
+
+def test_hash_vectors():
+    v = ingest.hash_vector("hello", 16)
+    assert v.dtype == np.float32 and abs(float((v.astype(float) ** 2).sum()) - 1) < 1e-5
+    assert np.array_equal(v[:8], v[8:])  # a digest has eight words
+    first = struct.unpack("<i", bytes.fromhex("2cf24dba"))[0]
+    assert np.sign(v[0]) == np.sign(first)
+    assert ingest.token_vector("").nonzero()[0].size == 1
+    assert not np.array_equal(ingest.token_vector("red fox"), ingest.token_vector("fox red"))
+
+
+def test_context_budget_like_a_greedy_walk(spark):
+    rng = random.Random(1)
+    rows = [(q, k, "x" * rng.randint(0, 40)) for q in range(20) for k in range(1, 9)]
+    packed = context.pack(spark.createDataFrame(rows, "query_id int, rank int, text string"), 60, 15)
+    found = defaultdict(list)
+    for r in packed.orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r["rank"], r.take))
+    for q in range(20):
+        left, want = 60, []
+        for _, k, t in (r for r in rows if r[0] == q):
+            take = min(len(t), 15, left)
+            if take > 0:
+                want.append((k, take))
+                left -= take
+        assert found[q] == want
+
+
+def test_lexical_prefix_and_options(spark):
+    docs = spark.createDataFrame([("p", "1", "streaming data"), ("p", "2", "stream of data"), ("p", "3", "nothing")], "partition_key string, id string, text string")
+    asked = spark.createDataFrame([(1, "stream")], "query_id int, query string")
+    plain = lexical.search(docs, asked, ["text"])
+    assert [r.id for r in plain.collect()] == ["2"]
+    assert {r.id for r in lexical.search(docs, asked, ["text"], lexical.Options(prefix_from=3)).collect()} == {"1", "2"}
+    assert lexical.quoted('say "Two  Words" and "x') == ["two words"]
+    with pytest.raises(ValueError, match="not valid"):
+        lexical.Options(b=2)
+
+
+def test_vector_rows_that_are_not_valid_are_left_out(spark):
+    data = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, None), (4, [1.0]), (5, [0.0, 0.0]), (6, [2.0, 0.0])], "id int, vector array<double>")
+    asked = spark.createDataFrame([(9, [3.0, 0.0])], "query_id int, vector array<double>")
+    assert [(r.id, r["rank"]) for r in vector.top_k(data, asked, 5, dims=2).orderBy("rank").collect()] == [(1, 1), (6, 2), (5, 3)]
+    assert vector.top_k(data, asked.limit(0), 5, dims=2).count() == 0
+
+
+def test_profiles():
+    assert retrieval.apply_profile({"profile": "evidence"})["limit"] == 8
+    assert retrieval.apply_profile({"profile": "evidence", "limit": 3})["limit"] == 3
+    assert retrieval.apply_profile({"vector_fields": ["v"]})["mode"] == "vector"
+    assert retrieval.candidate_limit(10) == 50 and retrieval.candidate_limit(10, 5) == 10
+
+
+def test_claims(spark):
+    rows = [(1, "queued", "a", 1, 9, 0), (2, "queued", "a", 0, 9, 0), (3, "running", "b", 0, 99, 1), (4, "queued", "b", 0, 9, 0), (5, "running", "c", 0, 5, 1)]
+    data = spark.createDataFrame(rows, "run_id int, status string, concurrency_key string, created_at int, lease_until int, attempt int")
+    assert [(r.run_id, r.attempt) for r in runs.claims(data, F.lit(10)).orderBy("run_id").collect()] == [(2, 1), (5, 2)]
+
+
+def test_trace_prune_needs_a_constraint():
+    with pytest.raises(ValueError, match="constraint"):
+        runs.trace_prune(None)
+
+
+def test_upsert_of_nothing(spark):
+    state = spark.createDataFrame([("p", "1", 5, 2, "rev:2", 0, 1)], "partition_key string, id string, v int, revision int, etag string, created_at int, updated_at int")
+    changes = spark.createDataFrame([], "partition_key string, id string, v int, seq int, at int")
+    assert [tuple(r) for r in records.upsert(state, changes, ["v"]).collect()] == [("p", "1", 5, 2, "rev:2", 0, 1)]
