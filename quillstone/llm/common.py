@@ -6,8 +6,10 @@ import atexit
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` cuts UTF-8 text in just these words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,6 +60,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove a table made by ``materialise`` that no later step reads, and let go of shuffle files that none can read any more."""
+    spark = df.sparkSession
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        drop_path(spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Python rows of Arrow batches; the text in ``body`` comes as UTF-8 bytes, a null one as empty."""
     for batch in batches:
@@ -72,6 +82,33 @@ def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]
         yield from zip(*values, strict=True)
 
 
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal values in the first column, which may cross batches; runs of one row are left out."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        first = rows.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(first[1:] != first[:-1]) + 1])
+        sizes = np.diff(cuts)
+        for k in np.flatnonzero(sizes > 1):
+            yield rows.slice(cuts[k], sizes[k])
+        held = rows.slice(cuts[-1])
+    if held is not None and held.num_rows > 1:
+        yield held
+
+
+def in_blocks(members: DataFrame, group: str, member: str, block: int) -> DataFrame:
+    """``members`` with ``meeting``, ``low``, ``high`` and ``block``: groups of up to two blocks of rows meet as they are, larger ones in pairs of blocks, each pair a meeting of its own."""
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("n_")).filter("n_ > 1")
+    sizes = sizes.select(F.col(group), F.when(F.col("n_") > 2 * block, F.ceil(F.col("n_") / block)).otherwise(F.lit(1)).cast("int").alias("blocks_"))
+    placed = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64(member), "blocks_").cast("int"))
+    placed = placed.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)))
+    placed = placed.withColumns({"low": F.least("block", "other_"), "high": F.greatest("block", "other_")}).drop("other_", "blocks_")
+    return placed.withColumn("meeting", F.xxhash64(group, "low", "high"))
+
+
 class Out:
     """Collects rows and gives them as Arrow batches of bounded size."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise
+from quillstone.llm.common import materialise, runs_of
 from quillstone.llm.components import components
 
 #: Chance that a pair at the threshold shares no bucket; deviations within which an estimate is trusted; rows of a block.
@@ -49,23 +49,6 @@ def _bits(unit: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return (signs.reshape(len(unit), tables, bits) * (1 << np.arange(bits))).sum(axis=2)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of each run of equal buckets; a run may cross batches. Runs of one row are left out."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-        bucket = table.column(0).to_numpy()
-        cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-        last = int(cuts[-1]) if len(cuts) else 0
-        starts = np.concatenate([[0], cuts])
-        sizes = np.diff(np.append(starts, len(bucket)))
-        for at, size in zip(starts[:-1][sizes[:-1] > 1], sizes[:-1][sizes[:-1] > 1], strict=True):
-            yield _columns(table.slice(at, size))
-        held = table.slice(last)
-    if held is not None and held.num_rows > 1:
-        yield _columns(held)
-
-
 def _columns(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     vectors = np.stack([np.frombuffer(x, "<f8") for x in rows.column("vec").to_pylist()])
     buckets = np.stack([np.frombuffer(x, "<i4") for x in rows.column("buckets").to_pylist()])
@@ -162,8 +145,8 @@ def dedup(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     placed = placed.withColumn("meeting", F.xxhash64("space", "table", "bucket", "low", "high"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            found = _meet(group, threshold)
+        for rows in runs_of(batches):
+            found = _meet(_columns(rows), threshold)
             if found is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["cls", "met", "least"])
 

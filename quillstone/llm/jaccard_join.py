@@ -4,12 +4,17 @@ A document is the set of its hashed word shingles. For each band of sizes the
 universe is split by hash into segments; two sets that differ in H tokens at most
 must agree on one of H + 1 segments, or, where a segment counts for two, differ
 in one token there at most, which the neighbourhood of one deletion shows. A cost
-model allots one or two to the segments of each band and adds spare ones: a set
-then may leave out as many of its most frequent signatures and still shares
-another with every partner. Candidates are verified exactly.
+model allots one or two to the segments of each band and adds spare ones. Of any
+order that two sets see alike, each may leave out as many signatures at the same
+end as it has more than needed, and the two still share another: a set first
+leaves out its emptiest segments, as far as it is smaller than its band's largest,
+and later its most frequent signatures, as many as are spare. Candidates are
+verified exactly.
 
 Equal sets are one class. Within a signature's group each class is first checked
-against one leader; only classes in different components are checked in pairs.
+against one leader. Classes that share a leader and are still in different
+components are compared by sketches, in blocks of bounded size, and what the
+sketches leave is checked in pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.llm.common import Out, materialise, rows_of
+from quillstone.llm.common import Out, in_blocks, materialise, release, rows_of, runs_of
 from quillstone.llm.components import components
 
 _U = np.uint64
@@ -47,8 +52,8 @@ class Scheme:
 def edges() -> list[int]:
     """Smallest sizes of the bands."""
     found = [1]
-    while len(found) < 1 << BAND_BITS:
-        found.append(max(found[-1] + 1, found[-1] * 3 // 2))
+    while found[-1] < 1 << 40:
+        found.append(found[-1] * 2)
     return found
 
 
@@ -57,6 +62,9 @@ EDGES = np.array(edges())
 
 def _excess(mean: float, spare: int) -> float:
     """Expected excess of a Poisson number over ``spare``."""
+    spread = 10 * math.sqrt(mean) + 20
+    if abs(spare - mean) > spread or mean > 500:
+        return max(mean - spare, 0.0)
     p, below = math.exp(-mean), 0.0
     for k in range(spare + 1):
         below += (spare - k) * p
@@ -65,19 +73,19 @@ def _excess(mean: float, spare: int) -> float:
 
 
 @lru_cache
-def scheme(band: int, num: int, den: int, common: float = 1 / 3, weight: float = 100.0) -> Scheme | None:
+def scheme(band: int, num: int, den: int, common: float = 0.5, weight: float = 100.0) -> Scheme | None:
     """The cheapest split of a band, or None if only equal sets are as similar there.
 
-    The cost is the number of signatures and, with a weight, the expected number
+    The cost, for the band's largest sets, is the number of signatures and, with a weight, the expected number
     of signatures without a rare token that are not left out; ``common`` is the
     share of tokens taken to be frequent.
     """
-    differ = (int(EDGES[band + 1]) - 1) * (den - num) // num
+    differ = most_differ(int(EDGES[band + 1]) - 1, num, den)
     if differ == 0:
         return None
-    size = (int(EDGES[band]) + int(EDGES[band + 1]) - 1) / 2
+    size = int(EDGES[band + 1]) - 1
     best = (math.inf, None)
-    for spare in range(0, 13):
+    for spare in range(65):
         need = differ + 1 + spare
         for double in sorted({0, *np.linspace(0, need // 2, 24).astype(int).tolist()}):
             single = need - 2 * double
@@ -91,6 +99,11 @@ def scheme(band: int, num: int, den: int, common: float = 1 / 3, weight: float =
     return best[1]
 
 
+def most_differ(size: int, num: int, den: int) -> int:
+    """Tokens in which a set of this size and a similar one of the same size or more differ at most."""
+    return size * (den - num) // num
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> _U(29)) * _MIX
     return x ^ x >> _U(32)
@@ -137,17 +150,92 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         at = (tokens >> _U(33)).astype(np.int64) % segments
         sums = np.zeros(segments, _U)
         np.add.at(sums, at, tokens)
-        salt = np.arange(segments, dtype=_U) * _U(2 * (1 << BAND_BITS)) + _U(band * 2 + 1)
-        tail = np.where(np.arange(segments) >= split.double, _U(1), _U(0)) + _U(2 * band)
-        keep = ~_U(2 * (1 << BAND_BITS) - 1)
-        found.append(mixed(sums + salt * _MIX) & keep | tail)
+        salt = (np.arange(segments, dtype=_U) * _U(2 * (1 << BAND_BITS)) + _U(band * 2 + 1)) * _MIX
+        keep, tail = ~_U(2 * (1 << BAND_BITS) - 1), _U(2 * band)
+        single = mixed(sums[split.double :] + salt[split.double :]) & keep | tail | _U(1)
+        largest = int(EDGES[band + 1]) - 1
+        surplus = most_differ(largest, num, den) - most_differ(min(size, largest), num, den)
+        emptiest = np.lexsort((single, np.bincount(at, minlength=segments)[split.double :]))
+        found.append(single[emptiest[min(surplus, split.single - split.spare) :]])
         if split.double:
             inner = at < split.double
             place = at[inner]
-            found.append(mixed(sums[place] - tokens[inner] + salt[place] * _MIX) & keep | tail[place])
+            found += [mixed(sums[: split.double] + salt[: split.double]) & keep | tail, mixed(sums[place] - tokens[inner] + salt[place]) & keep | tail]
     return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
 
 
+#: Buckets of a sketch, as a power of two: at least, and at most.
+SKETCH_BITS = 6, 12
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each bucket of the universe, 255 at most; about sixteen a bucket in large sets."""
+    low, high = SKETCH_BITS
+    bits = min(max(low, (len(tokens) // 16).bit_length()), high)
+    return np.minimum(np.bincount((tokens >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def differ_at_least(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of tokens in one of two sets alone, from their sketches."""
+    a, b = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y))
+    buckets = min(len(a), len(b))
+    a, b = (np.where((part := z.reshape(buckets, -1)).max(axis=1) == 255, -1, part.sum(axis=1)) for z in (a, b))
+    return int(np.abs(a - b)[(a >= 0) & (b >= 0)].sum())
+
+
+#: Rows of a block in which sketches are compared.
+BLOCK = 512
+
+
+def _folded(sketches: list[bytes], buckets: int) -> np.ndarray:
+    """Sketches cut to so many buckets; a bucket that may hold more than known is -1."""
+    found = np.empty((len(sketches), buckets), np.int16)
+    for k, x in enumerate(sketches):
+        part = np.frombuffer(x, np.uint8).reshape(buckets, -1)
+        found[k] = np.where(part.max(axis=1) == 255, -1, part.sum(axis=1, dtype=np.int16))
+    return found
+
+
+def _meet(rows: pa.RecordBatch, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs in different components that sizes and sketches leave possible."""
+    low, high, block, key, n, component = (rows.column(c).to_numpy() for c in ("low", "high", "block", "key", "n", "component"))
+    if (component == component[0]).all():
+        return key[:0], key[:0]
+    sketches = rows.column("sketch").to_pylist()
+    sizes = np.array([len(x) for x in sketches])
+    found_a, found_b = [], []
+    for x in np.unique(sizes):
+        own = np.flatnonzero(sizes == x)
+        others = np.flatnonzero(sizes >= x)
+        a, b = (_folded([sketches[k] for k in at], int(x)) for at in (own, others))
+        for k, i in enumerate(own):
+            differ = np.abs(b - a[k])
+            differ[(b < 0) | (a[k] < 0)] = 0
+            good = (differ.sum(axis=1) * (den + num) <= (n[others] + n[i]) * (den - num)) & (component[others] != component[i])
+            good &= (n[others] * den >= n[i] * num) & (n[i] * den >= n[others] * num)
+            good &= (sizes[others] > x) | (others > i)
+            if low[0] != high[0]:
+                good &= block[others] != block[i]
+            j = others[good]
+            found_a.append(np.minimum(key[i], key[j]))
+            found_b.append(np.maximum(key[i], key[j]))
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _left_over(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Possible pairs (a, b) among the rows (lead, key, n, component, sketch) of each leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(batches):
+            a, b = _meet(rows, num, den)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    columns = ["meeting", "low", "high", "block", "key", "n", "component", "sketch"]
+    met = in_blocks(members, "lead", "key", BLOCK).select(*columns).repartition("meeting").sortWithinPartitions("meeting")
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -159,18 +247,18 @@ def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, met = Shingles(words), set()
         for batch in batches:
-            out = Out(pa.schema([("id", batch.schema.field("id").type), ("n", pa.int64()), ("key", pa.int64()), ("text_key", pa.int64()), ("sigs", pa.list_(pa.int64()))]), 2048)
+            out = Out(pa.schema([("id", batch.schema.field("id").type), ("n", pa.int64()), ("key", pa.int64()), ("text_key", pa.int64()), ("sigs", pa.list_(pa.int64())), ("sketch", pa.binary())]), 2048)
             for i, text_key, text in rows_of(iter([batch]), "id", "text_key", "body"):
                 tokens = shingles(text)
                 key = xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63 if len(tokens) else None
-                sigs = None
+                sigs = drawn = None
                 if len(tokens) and key not in met:
                     met.add(key)
-                    sigs = _signed(signatures(tokens, num, den))
-                yield from out.add(i, len(tokens), key, text_key, sigs)
+                    sigs, drawn = _signed(signatures(tokens, num, den)), sketch(tokens)
+                yield from out.add(i, len(tokens), key, text_key, sigs, drawn)
             yield out.flush()
 
-    return docs.mapInArrow(run, f"id {kind}, n bigint, key bigint, text_key bigint, sigs array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, n bigint, key bigint, text_key bigint, sigs array<bigint>, sketch binary")
 
 
 def _shared(sigs: DataFrame) -> DataFrame:
@@ -205,6 +293,20 @@ def _shared(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(run, "sig bigint, key bigint")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches do not rule out that they are as similar. No such pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b, x, y = (batch.column(c).to_pylist() for c in range(6))
+            good = [k for k in range(batch.num_rows) if differ_at_least(x[k], y[k]) * (den + num) <= (n_a[k] + n_b[k]) * (den - num)]
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], names=["a", "b"])
+
+    first = sketches.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    second = sketches.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are as similar."""
 
@@ -234,6 +336,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int
     return wide.mapInArrow(run, "a bigint, b bigint")
 
 
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key and body, once for each of the wanted classes."""
+    wanted = wanted.withColumnsRenamed({"id": "id_", "text_key": "text_key_"})
+    texts = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_"))).select("key", F.col("body").cast("binary").alias("body"))
+    return texts.dropDuplicates(["key"])
+
+
 def _spare(sig: Column, num: int, den: int) -> Column:
     """How many single signatures may be left out in the band of ``sig``."""
     spare = [s.spare if (s := scheme(b, num, den)) else 0 for b in range(len(EDGES) - 1)]
@@ -251,39 +360,41 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     body = F.col(text_column).cast("string")
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("text_key"), body.alias("body"))
-    sets = materialise(_sets(rows, words, num, den), "join-sets")
+    signed = materialise(_sets(rows, words, num, den), "join-signed")
+    sets = materialise(signed.drop("sigs"), "join-sets")
     classes = sets.filter("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("first"), F.first("n").alias("n"))
 
-    shared = materialise(_shared(sets.filter(F.col("sigs").isNotNull()).select(F.explode("sigs").alias("sig"), "key")), "join-shared")
+    shared = materialise(_shared(signed.filter(F.col("sigs").isNotNull()).select(F.explode("sigs").alias("sig"), "key")), "join-shared")
+    release(signed)
     often = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
     ranked = shared.join(often, "sig").withColumns({"band": F.shiftright("sig", 1).bitwiseAND((1 << BAND_BITS) - 1), "single": F.col("sig").bitwiseAND(1)})
     order = Window.partitionBy("key", "band", "single").orderBy(F.col("often").desc(), "sig")
     kept = ranked.withColumn("rank", F.row_number().over(order)).filter((F.col("single") == 0) | (F.col("rank") > _spare(F.col("sig"), num, den)))
-    sizes = classes.select("key", "n")
-    kept = materialise(kept.select("sig", "key").join(sizes, "key"), "join-kept")
+    # the class whose signatures most others have is near the middle of its group, and leads
+    middle = ranked.groupBy("key").agg(F.sum("often").alias("weight"))
+    kept = materialise(kept.select("sig", "key").join(classes.select("key", "n"), "key").join(middle, "key"), "join-kept")
 
     similar_size = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-    leaders = kept.groupBy("sig").agg(F.min(F.struct("key", "n")).alias("lead")).select("sig", F.col("lead.key").alias("a"), F.col("lead.n").alias("n_a"))
-    stars = kept.join(leaders, "sig").filter(F.col("a") != F.col("key")).filter(similar_size("n_a", "n"))
-    stars = materialise(stars.select("a", F.col("key").alias("b")).distinct(), "join-stars")
-
-    wanted = kept.select("key").distinct().join(classes, "key").select("key", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
-    wanted = wanted.withColumnsRenamed({"id": "id_", "text_key": "text_key_"})
-    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_"))).select("key", F.col("body").cast("binary").alias("body"))
-    texts = materialise(texts.dropDuplicates(["key"]), "join-texts")
-
-    links = materialise(_verified(stars, texts, words, num, den), "join-links")
+    leaders = kept.groupBy("sig").agg(F.max(F.struct("weight", "key", "n")).alias("lead")).select("sig", F.col("lead.key").alias("lead"), F.col("lead.n").alias("n_lead"))
+    members = materialise(kept.join(leaders, "sig").select("lead", "n_lead", "key", "n").distinct(), "join-members")
+    stars = members.filter((F.col("lead") != F.col("key")) & similar_size("n_lead", "n")).select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    sketches = sets.filter(F.col("sketch").isNotNull()).select("key", "n", "sketch").join(kept.select("key").distinct(), "key", "left_semi")
+    sketches = materialise(sketches.dropDuplicates(["key"]), "join-sketches")
+    likely = materialise(_possible(stars, sketches, num, den), "join-likely")
+
+    # texts move only for classes that a likely pair holds
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("key", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
+    texts = materialise(_texts(rows, wanted), "join-texts")
+    links = materialise(_verified(likely, texts, words, num, den), "join-links")
     found = materialise(components(links), "join-components")
 
-    # what the leaders have not joined is checked in pairs of different components
-    placed = kept.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-    placed = materialise(placed.join(split, "sig"), "join-split")
-    left = placed.select("sig", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = placed.select("sig", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    pairs = left.join(right, "sig").filter((F.col("c_a") < F.col("c_b")) & similar_size("n_a", "n_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-pairs")
-    more = _verified(pairs, texts, words, num, den)
+    # what the leaders have not joined is compared in different components
+    placed = members.select("lead", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    split = placed.groupBy("lead").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("lead")
+    placed = placed.join(split, "lead").join(sketches.select("key", "sketch"), "key")
+    likely = materialise(_left_over(placed, num, den), "join-likely")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("key", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
+    more = _verified(likely, _texts(rows, wanted), words, num, den)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = classes.select("key", "first").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -299,6 +410,6 @@ def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column:
     """The rows of ``docs`` that stand for their components, one of repeated rows; those with empty sets stay."""
     kept = join(docs, id_column, text_column, **options).filter("kept").select(F.col(id_column).alias("id_"), F.col("text_key").alias("text_key_")).distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_key"))
-    found = keyed.join(kept, F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_")), "left_semi")
+    found = keyed.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_")), "left_semi")
     same = Window.partitionBy("id", "text_key").orderBy("text_key")
     return found.withColumn("row", F.row_number().over(same)).filter("row = 1").select("doc.*")
