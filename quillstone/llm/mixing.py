@@ -178,5 +178,5 @@ def apply(docs: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     named = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), words(text_column).alias("size"), F.xxhash64(text_column).alias("text_key"))
     numbered = named.withColumn("copy", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("text_key")).cast("bigint")).drop("text_key")
     on = F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")) & (F.col("copy") == F.col("copy_"))
-    joined = numbered.join(taken, on)
+    joined = numbered.join(taken.hint("merge"), on)
     return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
