@@ -9,6 +9,7 @@ framing of the HTTP block.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import Out, materialise, staged_path
 
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
+#: Bytes of compressed records from which on they make a file.
+FILE_BYTES = 1 << 22
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -87,8 +90,11 @@ def page_records(key: str, serial: str, url: str | None, payload: bytes, refers_
         yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:x-page:{key}:{serial}:{number}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(number)), *last], block[at : at + segment])
 
 
-def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", segment: int = 1 << 16, chunk: int = 1 << 13, file_records: int = 1000, compression: str = "gzip") -> None:
-    """Write a response or revisit record for each row to WARC files under ``path``.
+def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", segment: int = 1 << 16, chunk: int = 1 << 13, file_bytes: int = FILE_BYTES) -> None:
+    """Write a response or revisit record for each row to WARC files under ``path``, each record a gzip member.
+
+    A worker holds the members of one file. Files are written by Spark's text
+    sink, which puts a zero byte at their end; readers take it as padding.
 
     Of rows with equal payloads that with the smallest id gets the response, its
     repetitions with the same id too; the others refer to it. A null payload is
@@ -103,27 +109,49 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: s
     paired = rows.join(again, F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, part, n = Out(pa.schema([("record", pa.binary())]), 256), TaskContext.get().partitionId(), 0
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def file() -> pa.RecordBatch:
+            content = b"".join(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["content"])
+
         for batch in batches:
             for i, url, payload, to in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 n += 1
                 for record in page_records("" if i is None else quote(str(i), safe=""), f"{part}.{n}", url, payload, None if to is None else quote(str(to), safe=""), segment, chunk):
-                    yield from out.add(record)
-        yield out.flush()
+                    held.append(gzip.compress(record + END, 6, mtime=0))
+                    size += len(held[-1])
+                    if size >= file_bytes:
+                        yield file()
+                        size = 0
+        if held:
+            yield file()
 
-    records = paired.select("id", "url", "body", F.col("first").alias("to")).mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", file_records).text(path)
+    files = paired.select("id", "url", "body", F.col("first").alias("to")).mapInArrow(run, "content binary")
+    files.select(F.col("content").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields, names in lower case, and block of each record; data may be gzip, in one member or several."""
+    """Header fields, names in lower case, and block of each record; data may be gzip, in one member or several, with zeros behind."""
     if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
+        at = 0
+        while at < len(data) and data[at]:
             member = zlib.decompressobj(31)
-            parts.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(parts)
+            # members are cut out step by step, so that what is behind them is not copied for each
+            step, parts = 1 << 16, []
+            while not member.eof:
+                if at >= len(data):
+                    raise ValueError("a gzip member ends early")
+                parts.append(member.decompress(data[at : at + step]))
+                at += min(step, len(data) - at)
+            at -= len(member.unused_data)
+            yield from _plain(b"".join(parts))
+    else:
+        yield from _plain(data)
+
+
+def _plain(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -178,7 +206,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                     if "warc-segment-number" in fields:
                         number, total = int(fields["warc-segment-number"]), fields.get("warc-segment-total-length")
                         origin = fields["warc-record-id"] if number == 1 else fields["warc-segment-origin-id"]
-                        yield from out.add(None, None, fields.get("warc-payload-digest", ""), None, None, None, origin, number, int(total) if total else None, block)
+                        yield from out.add(None, None, fields.get("warc-payload-digest", "").removeprefix("sha1:"), None, None, None, origin, number, int(total) if total else None, block)
                     elif fields["warc-type"] in ("response", "revisit"):
                         row = _page_row(fields, block)
                         yield from out.add(*row[:5], row[5] if with_payload else None, None, None, None, None)

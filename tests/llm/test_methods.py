@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import json
 import math
@@ -315,12 +316,14 @@ def test_warc_round_trip_with_segments_and_revisits(spark, tmp_path):
     rows = [(k, f"http://a/{k} b\r\n", payloads[k % len(payloads)]) for k in range(1, 25)] + [(None, None, "dup"), (30, "u", "dup"), (30, "u", "dup")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     path = f"file://{tmp_path}/archive"
-    warc.write(pages, path, segment=1000, chunk=300, file_records=5)
+    warc.write(pages, path, segment=1000, chunk=300, file_bytes=2000)
     found = warc.read(spark, path).collect()
     first = {}
     for i, _, p in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         first.setdefault(p or "", i)
     assert len(found) == len(rows)
+    files = [x for x in tmp_path.glob("archive/part-*")]
+    assert len(files) > 3 and sum(gzip.open(x).read().count(b"WARC/1.1\r\nWARC-Type") for x in files) > len(rows)
     for r in found:
         key = int(r.page_id) if r.page_id else None
         body = next((p or "").encode() for i, _, p in rows if i == key)
