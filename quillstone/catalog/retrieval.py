@@ -325,3 +325,32 @@ def context_quotas(spark, sf_dir):
 @R.query()
 def context_groups(spark, sf_dir):
     return context.group_satisfaction(_grouped(spark, sf_dir), RULES)
+
+
+PROMPT = PACKED + ", r2 AS (SELECT query_id, string_agg('[c' || context_rank || '] ' || role || chr(10) || excerpt, chr(10) || chr(10) ORDER BY context_rank) AS context FROM p GROUP BY query_id), q AS (SELECT query_id, '## Instructions' || chr(10) || 'Answer from the context and cite it.' || chr(10) || chr(10) || '## Context' || chr(10) || context || chr(10) || chr(10) || '## Question' || chr(10) || 'What of ' || query_id || '?' AS prompt FROM r2) SELECT query_id, length(prompt)::INTEGER AS prompt_chars, sha256(prompt) AS prompt_hash, length(prompt) <= 700 AS fits FROM q"
+
+
+@R.query(PROMPT)
+def context_prompt(spark, sf_dir):
+    rendered = context.render(context.pack(_turns(spark, sf_dir), 800, 300), "role")
+    asked = rendered.withColumn("question", F.concat(F.lit("What of "), F.col("query_id").cast("string"), F.lit("?")))
+    return context.prompt(asked, max_chars=700).select("query_id", "prompt_chars", "prompt_hash", "fits")
+
+
+@R.query(PACKED + ", e AS (SELECT query_id, rank AS ref FROM r WHERE rank % 2 = 1), f AS (SELECT e.query_id, count(*) AS n_expected, count(p.rank) AS n_found FROM e LEFT JOIN p ON p.query_id = e.query_id AND p.rank = e.ref GROUP BY 1) SELECT count(*) AS n_cases, sum((n_found = n_expected)::INT)::BIGINT AS n_passed, round(sum(n_found) / sum(n_expected), 6) AS hit_rate FROM f")
+def context_evaluation(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    packed = context.pack(turns, 800, 300).withColumn("ref", F.col("rank"))
+    return context.evaluate_all(context.evaluate(packed, turns.filter("rank % 2 = 1").withColumn("ref", F.col("rank"))))
+
+
+@R.query("SELECT doc_id, source, lang || ':' || CAST(n_chars AS VARCHAR) AS summary FROM documents WHERE doc_id % 3 = 0 AND doc_id % 6 <> 0 OR doc_id % 3 = 1")
+def search_projection(spark, sf_dir):
+    from quillstone.sources import collections
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat_ws(":", "lang", F.col("n_chars").cast("string")).alias("summary"))
+    index = docs.filter("doc_id % 3 = 0").withColumn("summary", F.lit("old"))
+    first = docs.filter("doc_id % 3 <> 2").select("doc_id", "source", F.lit("between").alias("summary"), F.lit(1).alias("seq"), F.lit("upsert").alias("kind"))
+    last = docs.filter("doc_id % 3 <> 2").select("doc_id", "source", "summary", F.lit(2).alias("seq"), F.when((F.col("doc_id") % 6 == 0) & (F.col("doc_id") % 3 == 0), "delete").otherwise("upsert").alias("kind"))
+    keys = collections.project(index, first.unionByName(last), ["doc_id"], ["source", "summary"]).select("doc_id")
+    return collections.hydrate(keys, docs, ["doc_id"])

@@ -93,3 +93,27 @@ def render(packed: DataFrame, label: str = "id") -> DataFrame:
     listed = F.sort_array(F.collect_list(F.struct("context_rank", line.alias("line"))))
     text = F.concat_ws("\n\n", F.transform(listed, lambda x: x["line"]))
     return packed.groupBy("query_id").agg(text.alias("context")).withColumn("n_chars", F.length("context")).withColumn("context_hash", F.sha2("context", 256))
+
+
+def prompt(rendered: DataFrame, question: str = "question", instructions: str = "Answer from the context and cite it.", max_chars: int = 20_000) -> DataFrame:
+    """prompt, prompt_chars, prompt_hash and whether it fits, of rows with ``context`` and the question's column."""
+    text = F.concat(F.lit("## Instructions\n"), F.lit(instructions), F.lit("\n\n## Context\n"), F.col("context"), F.lit("\n\n## Question\n"), F.col(question))
+    found = rendered.withColumn("prompt", text)
+    return found.withColumns({"prompt_chars": F.length("prompt"), "prompt_hash": F.sha2("prompt", 256), "fits": F.length("prompt") <= max_chars})
+
+
+def evaluate(packed: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per query: expected references, those in the context, the missing ones in order, and whether all are there. No expectation passes."""
+    have = packed.groupBy("query_id").agg(F.collect_set("ref").alias("have"))
+    want = expected.groupBy("query_id").agg(F.sort_array(F.collect_set("ref")).alias("want"))
+    both = have.join(want, "query_id", "full_outer")
+    empty = F.array().cast(packed.select(F.array("ref").alias("r")).schema[0].dataType)
+    missing = F.array_except(F.coalesce("want", empty), F.coalesce("have", empty))
+    n = F.coalesce(F.size("want"), F.lit(0))
+    return both.select("query_id", n.alias("n_expected"), (n - F.size(missing)).alias("n_found"), missing.alias("missing"), (F.size(missing) == 0).alias("passed"))
+
+
+def evaluate_all(found: DataFrame) -> DataFrame:
+    """One row: cases, passed, and the share of all expected references found, one if none is expected."""
+    total = F.sum("n_expected")
+    return found.agg(F.count(F.lit(1)).alias("n_cases"), F.count(F.when(F.col("passed"), 1)).alias("n_passed"), F.round(F.when(total > 0, F.sum("n_found") / total).otherwise(1.0), 6).alias("hit_rate"))

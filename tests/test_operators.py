@@ -133,3 +133,24 @@ def test_upsert_of_nothing(spark):
     state = spark.createDataFrame([("p", "1", 5, 2, "rev:2", 0, 1)], "partition_key string, id string, v int, revision int, etag string, created_at int, updated_at int")
     changes = spark.createDataFrame([], "partition_key string, id string, v int, seq int, at int")
     assert [tuple(r) for r in records.upsert(state, changes, ["v"]).collect()] == [("p", "1", 5, 2, "rev:2", 0, 1)]
+
+
+def test_catalog(spark, tmp_path):
+    from quillstone.sources.collections import Catalog, Conflict, Policy, VectorPolicy
+
+    root = f"file://{tmp_path}"
+    catalog = Catalog(spark, root).load()
+    policy = Policy("notes", vectors=(VectorPolicy("a", 3), VectorPolicy("b", 2)), indexed=("/metadata/x", "/metadata/y"))
+    assert catalog.create(policy) and not catalog.create(Policy("notes", vectors=policy.vectors[::-1], indexed=policy.indexed[::-1]))
+    with pytest.raises(Conflict):
+        catalog.create(Policy("notes"))
+    with pytest.raises(ValueError, match="not valid"):
+        VectorPolicy("v", 0)
+    data = spark.createDataFrame([("p", "1", 5), ("q", "2", 6)], "partition_key string, id string, v int")
+    again = Catalog(spark, root).load()
+    again.write("notes", data)
+    assert again.names() == ["notes"] and again.read("notes", ["q"]).first().id == "2" and again.read("notes").columns == data.columns
+    plan = again.read("notes", ["q"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(partition_" in plan or "partition_" in plan.split("PartitionFilters")[1]
+    again.drop("notes")
+    assert Catalog(spark, root).load().names() == []
