@@ -165,3 +165,17 @@ SELECT path, line::INTEGER AS line, instr(lower(content), 'license')::INTEGER AS
 def text_search(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return objects.grep(docs, "License", F.col("id"), case_sensitive=False)
+
+
+@R.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.expr("try_variant_get(parse_json(props), '$.k', 'bigint')").alias("k"))
+
+
+@R.query("SELECT 'documents' AS collection, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE n_chars > 5000 UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR) FROM pages WHERE length(html) > 5000 UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR) FROM benchmark WHERE length(text) > 5000")
+def cross_collection_union(spark, sf_dir):
+    def of(name, key, test):
+        return table(spark, sf_dir, name).filter(test).select(F.lit(name).alias("collection"), F.col(key).cast("string").alias("id"))
+
+    found = of("documents", "doc_id", "n_chars > 5000").unionByName(of("pages", "page_id", "length(html) > 5000"))
+    return found.unionByName(of("benchmark", "item_id", "length(text) > 5000"))

@@ -354,3 +354,43 @@ def search_projection(spark, sf_dir):
     last = docs.filter("doc_id % 3 <> 2").select("doc_id", "source", "summary", F.lit(2).alias("seq"), F.when((F.col("doc_id") % 6 == 0) & (F.col("doc_id") % 3 == 0), "delete").otherwise("upsert").alias("kind"))
     keys = collections.project(index, first.unionByName(last), ["doc_id"], ["source", "summary"]).select("doc_id")
     return collections.hydrate(keys, docs, ["doc_id"])
+
+
+@R.query(f"SELECT term, count(*) AS n, count(DISTINCT id) AS documents FROM (SELECT id, unnest({TOKENS.format('text')}) AS term FROM ({RECORDS})) GROUP BY term HAVING count(*) >= 20")
+def token_frequency(spark, sf_dir):
+    posted = lexical.postings(_docs(spark, sf_dir), ["text"], KEYS)
+    return posted.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("documents")).filter("n >= 20")
+
+
+@R.query(_vector_sql(f"list_cosine_similarity({A}, {B})", 50).replace("rank <= 50", "rank <= 50 AND score >= 0.25"))
+def vector_min_score(spark, sf_dir):
+    return _rounded(vector.top_k(_vectors(spark, sf_dir), _asked(spark, sf_dir), 50, min_score=0.25))
+
+
+@R.query(f"""WITH pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label AS collection, list_cosine_similarity({A}, {B}) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(score, 9) DESC, id) AS r FROM pairs), u AS (SELECT * FROM c WHERE r <= 3)
+SELECT * FROM (SELECT query_id, collection, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, collection, id)::INTEGER AS rank FROM u) WHERE rank <= 10""")
+def collections_top_k(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir), _asked(spark, sf_dir)
+    union = None
+    for label in range(10):
+        part = vector.top_k(v.filter(F.col("label") == label), q, 3).withColumn("collection", F.lit(label))
+        union = part if union is None else union.unionByName(part)
+    return _rounded(retrieval.ranked(union, ["collection", "id"], 10)).select("query_id", "collection", "id", "score", "rank")
+
+
+SPANS = "SELECT conv_id AS source, turn AS span, turn * 40 AS char_start, turn * 40 + length(text) AS char_end FROM conversations"
+
+
+@R.query(f"WITH s AS ({SPANS}) SELECT a.source, a.span AS found_span, b.span AS wanted_span FROM s a JOIN s b ON a.source = b.source AND a.char_start < b.char_end AND b.char_start < a.char_end WHERE a.span % 2 = 0 AND b.span % 2 = 1")
+def span_overlap(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    spans = turns.select(F.col("conv_id").alias("source"), F.col("turn").alias("span"), (F.col("turn") * 40).alias("char_start"), (F.col("turn") * 40 + F.length("text")).alias("char_end"))
+    return evaluation.overlapping(spans.filter("span % 2 = 0"), spans.filter("span % 2 = 1"), width=256).select("source", "found_span", "wanted_span")
+
+
+@R.query(f"WITH s AS ({SPANS}) SELECT a.source, a.span AS found_span, b.span AS wanted_span FROM s a JOIN s b ON a.source = b.source AND a.char_start <= b.char_start AND b.char_end <= a.char_end WHERE a.span % 2 = 0 AND b.span % 2 = 1 AND b.char_end > b.char_start")
+def span_containment(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").filter(F.length("text") > 0)
+    spans = turns.select(F.col("conv_id").alias("source"), F.col("turn").alias("span"), (F.col("turn") * 40).alias("char_start"), (F.col("turn") * 40 + F.length("text")).alias("char_end"))
+    return evaluation.overlapping(spans.filter("span % 2 = 0"), spans.filter("span % 2 = 1"), contained=True, width=256).select("source", "found_span", "wanted_span")

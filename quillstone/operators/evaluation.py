@@ -57,3 +57,22 @@ def deltas(summaries: DataFrame, baseline: str, metrics: list[str], variant: str
     """Each variant's metrics less the baseline's; the baseline is one row."""
     base = summaries.filter(F.col(variant) == baseline).select(*(F.col(m).alias(f"base_{m}") for m in metrics))
     return summaries.join(F.broadcast(base), how="cross").select(variant, *(F.round(F.col(m) - F.col(f"base_{m}"), 6).alias(f"delta_{m}") for m in metrics))
+
+
+def overlapping(found: DataFrame, wanted: DataFrame, source: str = "source", contained: bool = False, width: int = 4096) -> DataFrame:
+    """Pairs of spans (char_start, char_end) of one source that overlap, or of which the wanted one lies within the found one.
+
+    Spans are dealt into cells of ``width`` characters and joined on source and
+    cell, so that the range condition is tested near by only; a pair counts in
+    the first cell that both touch.
+    """
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        cells = F.sequence(F.floor(F.col("char_start") / width), F.floor((F.greatest(F.col("char_end"), F.col("char_start") + 1) - 1) / width))
+        named = df.select(F.col(source).alias("source"), *(F.col(c).alias(f"{side}_{c}") for c in df.columns if c != source), F.explode(cells).alias("cell"))
+        return named
+
+    both = dealt(found, "found").join(dealt(wanted, "wanted"), ["source", "cell"])
+    a, b, c, d = (F.col(x) for x in ("found_char_start", "found_char_end", "wanted_char_start", "wanted_char_end"))
+    test = (a <= c) & (d <= b) if contained else (a < d) & (c < b)
+    return both.filter(test & (F.col("cell") == F.floor(F.greatest(a, c) / width))).drop("cell")
