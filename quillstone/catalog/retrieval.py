@@ -209,10 +209,15 @@ def evaluation_summary(spark, sf_dir):
     return evaluation.summary(_cases(spark, sf_dir))
 
 
-@R.query()
+SUMMARY = "SELECT round(avg(hit::INT), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM cases"
+NEAR = EVAL.replace(f"list_cosine_similarity({A}, {B})", f"1 / (1 + list_distance({A}, {B}))")
+METRICS = ("hit_rate", "mrr", "precision", "recall", "ndcg")
+
+
+@R.query(f"WITH c AS ({EVAL} {SUMMARY}), e AS ({NEAR} {SUMMARY}) SELECT 'cosine' AS variant, " + ", ".join(f"0.0 AS delta_{m}" for m in METRICS) + " UNION ALL SELECT 'euclidean', " + ", ".join(f"round(e.{m} - c.{m}, 6)" for m in METRICS) + " FROM c, e")
 def evaluation_deltas(spark, sf_dir):
     both = _cases(spark, sf_dir).withColumn("variant", F.lit("cosine")).unionByName(_cases(spark, sf_dir, "euclidean").withColumn("variant", F.lit("euclidean")))
-    return evaluation.deltas(evaluation.summary(both, "variant"), "cosine", ["hit_rate", "mrr", "precision", "recall", "ndcg"])
+    return evaluation.deltas(evaluation.summary(both, "variant"), "cosine", list(METRICS))
 
 
 @R.query()
