@@ -66,7 +66,29 @@ def lexical_coverage(spark, sf_dir):
     return _search(spark, sf_dir, top=10, scoring="coverage")
 
 
-@R.query()
+NORMAL = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
+PREFIX = rf"""
+WITH records AS ({RECORDS}),
+posts AS (SELECT partition_key, id, field, term, count(*) AS tf FROM (SELECT partition_key, id, 'text' AS field, unnest({TOKENS.format("text")}) AS term FROM records UNION ALL SELECT partition_key, id, 'lang', unnest({TOKENS.format("lang")}) FROM records) GROUP BY ALL),
+lens AS (SELECT partition_key, id, len({TOKENS.format("text")}) + len({TOKENS.format("lang")}) AS length FROM records),
+q0 AS (SELECT item_id AS query_id, substring(text, 1, 40) AS head FROM benchmark), q1 AS (SELECT query_id, {NORMAL.format("head")} AS query, {TOKENS.format("head")} AS every FROM q0),
+q2 AS (SELECT *, list_filter(every, lambda t: length(t) > 1 AND t NOT IN ({STOP})) AS kept FROM q1),
+q3 AS (SELECT DISTINCT query_id, query, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE every END) AS term FROM q2), q AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM q3),
+exact AS (SELECT query_id, partition_key, id, field, q.term, n_terms, tf FROM q JOIN posts USING (term)),
+longer AS (SELECT query_id, partition_key, id, field, q.term, n_terms, sum(tf) AS tf FROM q JOIN posts p ON length(q.term) >= 5 AND starts_with(p.term, q.term) AND p.term <> q.term GROUP BY ALL),
+hits AS (SELECT * FROM exact UNION ALL SELECT l.* FROM longer l ANTI JOIN exact e ON l.query_id = e.query_id AND l.partition_key = e.partition_key AND l.id = e.id AND l.field = e.field AND l.term = e.term),
+terms AS (SELECT query_id, partition_key, id, n_terms, term, sum(tf * CASE field WHEN 'lang' THEN 2.0 ELSE 1.0 END) AS wtf, bool_or(field = 'lang') AS meta FROM hits GROUP BY ALL),
+seen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, partition_key, id) AS r FROM (SELECT query_id, partition_key, id, count(*) AS matched FROM terms GROUP BY ALL)),
+cand AS (SELECT query_id, partition_key, id, matched, length, count(*) OVER (PARTITION BY query_id) AS n, avg(length) OVER (PARTITION BY query_id) AS average FROM seen JOIN lens USING (partition_key, id) WHERE r <= 5000),
+parts AS (SELECT t.*, matched, length, n, average, count(*) OVER (PARTITION BY t.query_id, term) AS df FROM terms t JOIN cand c USING (query_id, partition_key, id)),
+raws AS (SELECT query_id, partition_key, id, any_value(matched) AS matched, bool_or(meta) AS meta, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (wtf * 2.2) / (wtf + 1.2 * (0.25 + 0.75 * greatest(length, 1) / greatest(average, 1.0)))) AS raw FROM parts GROUP BY query_id, partition_key, id),
+based AS (SELECT *, raw / max(raw) OVER (PARTITION BY query_id) AS base FROM raws),
+boosted AS (SELECT b.query_id, b.partition_key, b.id, matched, least(1.0, base + CASE WHEN contains({NORMAL.format("text")}, query) OR contains({NORMAL.format("lang")}, query) THEN 0.15 ELSE 0 END + CASE WHEN {NORMAL.format("text")} = query OR {NORMAL.format("lang")} = query THEN 0.25 ELSE 0 END + CASE WHEN meta THEN 0.1 ELSE 0 END) AS score FROM based b JOIN records r ON r.partition_key = b.partition_key AND r.id = b.id JOIN q1 ON q1.query_id = b.query_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id) AS rank FROM boosted)
+SELECT query_id, partition_key, id, matched, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10"""
+
+
+@R.query(PREFIX)
 def lexical_prefix(spark, sf_dir):
     queries = _queries(spark, sf_dir).select("query_id", F.substring("query", 1, 40).alias("query"))
     found = lexical.search(_docs(spark, sf_dir), queries, ["text", "lang"], lexical.Options(prefix_from=5, top=10, boosts={"lang": 2.0}), metadata=("lang",))
@@ -271,9 +293,16 @@ def ingest_drift(spark, sf_dir):
     return ingest.drift(ingest.manifest(lines, "doc_id").filter("doc_id % 5 <> 0"), ingest.manifest(changed, "doc_id").filter("doc_id % 7 <> 0"), "doc_id")
 
 
-@R.query()
+HASHED = """
+WITH h AS (SELECT item_id, sha256(text) AS h FROM benchmark), w AS (SELECT item_id, k, CAST('0x' || substring(h, 8 * k + 7, 2) || substring(h, 8 * k + 5, 2) || substring(h, 8 * k + 3, 2) || substring(h, 8 * k + 1, 2) AS BIGINT) AS u FROM h, range(0, 8) AS g(k)),
+v AS (SELECT item_id, k, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END / 2147483647.0 AS x FROM w), n AS (SELECT item_id, sqrt(8 * sum(x * x)) AS size FROM v GROUP BY item_id),
+r AS (SELECT item_id, i, k, round(x / size, 4) AS x FROM v JOIN n USING (item_id), range(0, 8) AS g(i))
+SELECT item_id, list(x ORDER BY i, k) AS embedding FROM r GROUP BY item_id"""
+
+
+@R.query(HASHED)
 def embed_hash(spark, sf_dir):
-    return ingest.embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    return ingest.embed(table(spark, sf_dir, "benchmark"), "text").select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
 
 
 @R.query()
