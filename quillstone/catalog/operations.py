@@ -176,7 +176,10 @@ def outbox_answers(spark, sf_dir):
     return canonical.acknowledge(o, answers, F.expr(NOW)).select("event_id", "delivered_at", "dead", "delivery_count")
 
 
-@R.query()
+LINE_HASH = "CAST('0x' || substring(sha256({0}), 1, 15) AS BIGINT)"
+
+
+@R.query(f"WITH {CURRENT}, a AS (SELECT 'mutations' AS t, {LINE_HASH.format("COALESCE(data, '-') || '|' || document_type || '|' || id || '|' || operation || '|' || seq || '|' || tenant")} AS h FROM m WHERE tenant = '2' UNION ALL SELECT 'documents', {LINE_HASH.format("CASE WHEN deleted THEN '-' ELSE data END || '|' || deleted || '|' || document_type || '|' || id || '|' || revision || '|' || tenant")} FROM cur WHERE tenant = '2') SELECT t AS \"table\", count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS content_hash FROM a GROUP BY t")
 def canonical_archive(spark, sf_dir):
     m = _mutations(spark, sf_dir).drop("indexes")
     return canonical.archive({"mutations": m, "documents": canonical.current(_mutations(spark, sf_dir)).drop("indexes")}, "2")
