@@ -63,10 +63,12 @@ def quoted(text: str) -> list[str]:
     return [p for p in dict.fromkeys(found) if p]
 
 
-def postings(documents: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
-    """(keys, field, term, tf): one scan, tokens counted per document and field."""
+def postings(documents: DataFrame, fields: list[str], keys: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """(keys, field, term, tf): one scan, tokens counted per document and field; of ``terms`` alone, if given, before anything is shuffled by document."""
     parts = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields))
     each = documents.select(*keys, F.explode(parts).alias("f")).select(*keys, "f.field", F.explode("f.terms").alias("term"))
+    if terms is not None:
+        each = each.join(terms, "term", "left_semi")
     return each.groupBy(*keys, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -83,7 +85,7 @@ def search(documents: DataFrame, queries: DataFrame, fields: list[str], options:
     keys = list(keys)
     parts = queries.select("query_id", normal(F.col("query")).alias("query"), query_terms(F.col("query")).alias("terms"))
     wanted = parts.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    posted = postings(documents, fields, keys)
+    posted = postings(documents, fields, keys, wanted.select("term").distinct() if options.prefix_from is None else None)
     if options.prefix_from is None:
         hits = posted.join(wanted, "term")
         hits = hits.withColumn("prefix", F.lit(False))
