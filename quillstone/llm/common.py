@@ -60,10 +60,10 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Remove a table made by ``materialise`` that no later step reads, and let go of shuffle files that none can read any more."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by ``materialise`` that no later step reads, and let go of shuffle files that none can read any more."""
+    spark = tables[0].sparkSession
+    for path in {p.rsplit("/", 1)[0] for df in tables for p in df.inputFiles()}:
         drop_path(spark, path)
     spark.sparkContext._jvm.System.gc()
 

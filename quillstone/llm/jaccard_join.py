@@ -73,7 +73,7 @@ def _excess(mean: float, spare: int) -> float:
 
 
 @lru_cache
-def scheme(band: int, num: int, den: int, common: float = 0.5, weight: float = 100.0) -> Scheme | None:
+def scheme(band: int, num: int, den: int, common: float = 0.35, weight: float = 60.0) -> Scheme | None:
     """The cheapest split of a band, or None if only equal sets are as similar there.
 
     The cost, for the band's largest sets, is the number of signatures and, with a weight, the expected number
@@ -374,6 +374,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     middle = ranked.groupBy("key").agg(F.sum("often").alias("weight"))
     kept = materialise(kept.select("sig", "key").join(classes.select("key", "n"), "key").join(middle, "key"), "join-kept")
 
+    release(shared)
     similar_size = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
     leaders = kept.groupBy("sig").agg(F.max(F.struct("weight", "key", "n")).alias("lead")).select("sig", F.col("lead.key").alias("lead"), F.col("lead.n").alias("n_lead"))
     members = materialise(kept.join(leaders, "sig").select("lead", "n_lead", "key", "n").distinct(), "join-members")
@@ -382,9 +383,10 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     sketches = materialise(sketches.dropDuplicates(["key"]), "join-sketches")
     likely = materialise(_possible(stars, sketches, num, den), "join-likely")
 
-    # texts move only for classes that a likely pair holds
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("key", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
+    # texts move once, for classes that share a signature with others
+    wanted = sketches.select("key").join(classes, "key").select("key", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
     texts = materialise(_texts(rows, wanted), "join-texts")
+    release(kept)
     links = materialise(_verified(likely, texts, words, num, den), "join-links")
     found = materialise(components(links), "join-components")
 
@@ -393,12 +395,12 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     split = placed.groupBy("lead").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last").select("lead")
     placed = placed.join(split, "lead").join(sketches.select("key", "sketch"), "key")
     likely = materialise(_left_over(placed, num, den), "join-likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("key", F.col("first.id").alias("id"), F.col("first.text_key").alias("text_key"))
-    more = _verified(likely, _texts(rows, wanted), words, num, den)
+    more = _verified(likely, texts, words, num, den)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = classes.select("key", "first").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialise(named, "join-named")
+    release(texts, members, sketches)
     leads = named.groupBy("component").agg(F.min("first").alias("lead"))
     named = named.join(leads, "component").select("key", "lead")
     result = sets.select("id", "n", "key", "text_key").join(named, "key", "left")
@@ -408,8 +410,8 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def distinct_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stand for their components, one of repeated rows; those with empty sets stay."""
-    kept = join(docs, id_column, text_column, **options).filter("kept").select(F.col(id_column).alias("id_"), F.col("text_key").alias("text_key_")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_key"))
-    found = keyed.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_")), "left_semi")
-    same = Window.partitionBy("id", "text_key").orderBy("text_key")
+    kept = join(docs, id_column, text_column, **options).filter("kept").select(F.xxhash64(id_column, "text_key").alias("row_key")).distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col(id_column), F.xxhash64(F.col(text_column).cast("string"))).alias("row_key"))
+    found = keyed.join(kept.hint("merge"), "row_key", "left_semi")
+    same = Window.partitionBy("row_key").orderBy("row_key")
     return found.withColumn("row", F.row_number().over(same)).filter("row = 1").select("doc.*")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.llm.common import WORD, materialise
+from quillstone.llm.common import WORD, materialise, release
 
 #: Words of a seed window, words within which one seed is selected, and words from which on a run counts.
 SEED, SPAN, RUN = 25, 26, 50
@@ -86,7 +86,9 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     begin = F.min(F.when(F.col("later_back"), F.col("back_start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
     gone = marked.withColumns({"reach": reach, "begin": begin}).filter((F.col("reach") >= F.col("end")) | (F.col("begin") <= F.col("start"))).select(*DOC, "at")
     islands = gone.withColumn("island", F.col("at") - F.row_number().over(order)).groupBy(*DOC, "island").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    return islands.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    spans = materialise(islands.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "dedup-spans")
+    release(lines, seeds, hits, windows)
+    return spans
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -98,7 +100,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     after all others; texts with equal ids follow in the order of their hashes.
     Runs repeated within a text go too. An empty table gives no rows.
     """
-    spans = materialise(repeated(docs, id_column, text_column), "dedup-spans").withColumnsRenamed({"id": "id_", "text_key": "text_key_"})
+    spans = repeated(docs, id_column, text_column).withColumnsRenamed({"id": "id_", "text_key": "text_key_"})
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_key"))
     on = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("text_key_"))
     text = F.col("doc").getField(text_column)
