@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Out, rows_of
+from quillstone.llm.common import rows_of
 
 #: Features fixed by the model; the table has ``1 << BITS`` rows.
 BITS, GRAMS = 17, (3, 4, 5)
@@ -149,23 +149,24 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], dims: int = 10, epoch
     return Model((table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(offset[1] - offset[0]))
 
 
-def sample_features(labelled: DataFrame, most_rows: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of at most ``most_rows`` labelled rows, those of the smallest hash of id and text, made on the executors.
+def fit_rows(labelled: DataFrame, most_rows: int) -> Model:
+    """Fit on at most ``most_rows`` labelled rows, those of the smallest hash of id and text, in one task.
 
-    ``labelled`` has id, body and label. What reaches the driver is bounded by
-    the rows and by the table's size.
+    ``labelled`` has id, body and label. The task holds the features of so many
+    rows at most; the driver receives the folded table alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(pa.schema([("rows", pa.binary()), ("counts", pa.binary()), ("label", pa.int64())]), 256)
+        samples = []
         for text, label in rows_of(batches, "body", "label"):
             rows, counts = document_features(text)
-            yield from out.add(rows.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), label)
-        yield out.flush()
+            samples.append((rows.astype(np.int32), counts.astype(np.int32), label))
+        model = fit(samples)
+        yield pa.RecordBatch.from_arrays([pa.array([model.worth.tobytes()], pa.binary()), pa.array([model.bias])], names=["worth", "bias"])
 
-    picked = labelled.orderBy(F.xxhash64("id", "body"), "id").limit(most_rows).select("body", "label")
-    found = picked.mapInArrow(run, "rows binary, counts binary, label bigint").toArrow().to_pylist()
-    return [(np.frombuffer(x["rows"], np.int32).astype(np.int64), np.frombuffer(x["counts"], np.int32), x["label"]) for x in found]
+    picked = labelled.orderBy(F.xxhash64("id", "body"), "id").limit(most_rows).select("body", "label").coalesce(1)
+    found = picked.mapInArrow(run, "worth binary, bias double").collect()
+    return Model(np.frombuffer(found[0].worth, np.float32), found[0].bias) if found else fit([])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", most_rows: int = 2500) -> Model:
@@ -178,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     chosen = docs.select(F.col(id_column).alias("id")).join(known, "id").distinct()
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(most_rows)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("body")).join(F.broadcast(chosen), "id")
-    return fit(sample_features(texts, most_rows))
+    return fit_rows(texts, most_rows)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None, score_column: str = "score") -> DataFrame:
