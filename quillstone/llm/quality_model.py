@@ -49,7 +49,7 @@ def word_features(word: bytes) -> np.ndarray:
 class Words:
     """What each word met so far is worth, its number of features and its hash; starts anew beyond ``most`` words."""
 
-    def __init__(self, worth: np.ndarray, most: int = 1 << 19):
+    def __init__(self, worth: np.ndarray, most: int = 1 << 18):
         self.worth, self.most = worth, most
         self.clear()
 
@@ -196,7 +196,9 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
         known = Words(worth)
         for batch in batches:
             scores = np.empty(batch.num_rows)
-            for i, (text,) in enumerate(rows_of(iter([batch]), "body")):
+            texts = batch.column(0).field(text_column) if has_text else batch.column(1)
+            bodies = pa.RecordBatch.from_arrays([texts], names=["body"])
+            for i, (text,) in enumerate(rows_of(iter([bodies]), "body")):
                 at = known.of(text.split())
                 odds = bias
                 if len(at):
@@ -205,6 +207,8 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 scores[i] = 1 / (1 + np.exp(-odds))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["kept", "score"])
 
-    picked = docs.select(F.struct(*names).alias("kept"), F.col(text_column).alias("body"))
+    # the text goes to Python once
+    has_text = text_column in names
+    picked = docs.select(F.struct(*names).alias("kept"), *([] if has_text else [F.col(text_column).alias("body")]))
     scored = picked.mapInArrow(run, picked.select("kept").schema.add("score", "double"))
     return scored.select("kept.*", F.col("score").alias(score_column))
