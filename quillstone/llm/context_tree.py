@@ -27,11 +27,10 @@ from quillstone.llm.common import Out, materialise, rows_of
 #: Context bytes. An n-gram key holds them, the nearest in the highest bits, and in the lowest the byte to code,
 #: so that keys cut to fewer context bytes stay in order.
 DEPTH = 5
-#: A context's node is shared with the executors if it took part in one of so many training decisions at least,
-#: so that each depth has 8 * NODES nodes at most; where a node is missing, the deepest one that is there decides.
-NODES = 1 << 19
-#: Words whose counts are shared with the executors, at most; the others' counts meet them in a join.
+#: Words whose counts, and byte n-grams whose values, are shared with the executors, at most; the others' meet them in a join.
 FREQUENT = 1 << 20
+#: N-grams whose subtrees are held at once, unless one two-byte context has more.
+GROUP = 1 << 18
 #: Bytes coded at once.
 CHUNK = 1 << 19
 
@@ -150,15 +149,47 @@ class Tree:
         return total
 
 
+@dataclass(frozen=True)
+class Frequent:
+    """Sorted n-grams and their values."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def log10(self, grams: np.ndarray) -> np.ndarray:
+        """The n-grams' values, NaN for those not among the frequent ones."""
+        if not len(self.keys):
+            return np.full(len(grams), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        return np.where(self.keys[at] == grams, self.values[at], np.nan)
+
+
 class Coder:
     """Codes texts, remembering n-grams already met in a table of fixed size."""
 
-    def __init__(self, tree: Tree, bits: int = 20):
+    def __init__(self, tree: Tree | Frequent, bits: int = 20):
         self.tree, self.shift = tree, _U(64 - bits)
         self.keys, self.values = np.full(1 << bits, ~_U(0)), np.zeros(1 << bits)
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
         grams, starts = gram_keys(texts)
+        return np.add.reduceat(self.values_of(grams), starts)
+
+    def known(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Per text: the sum over the n-grams that have a value, the distinct others and how often each occurs."""
+        grams, starts = gram_keys(texts)
+        values = self.values_of(grams)
+        rare = np.flatnonzero(np.isnan(values))
+        values[rare] = 0
+        owner, key = np.searchsorted(starts, rare, "right") - 1, grams[rare].astype(np.int64)
+        order = np.lexsort((key, owner))
+        owner, key = owner[order], key[order]
+        first = np.flatnonzero(np.diff(owner, prepend=-1).astype(bool) | np.diff(key, prepend=-1).astype(bool))
+        times = np.diff(first, append=len(key))
+        cuts = np.searchsorted(owner[first], np.arange(1, len(texts)))
+        return np.add.reduceat(values, starts), np.split(key[first], cuts), np.split(times, cuts)
+
+    def values_of(self, grams: np.ndarray) -> np.ndarray:
         slots = (grams * _U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
         values = self.values[slots]
         missed = np.flatnonzero(self.keys[slots] != grams)
@@ -169,15 +200,15 @@ class Coder:
             place = (new * _U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
             self.keys[place], self.values[place] = new, found
             # of two n-grams with one slot the last stays, in both tables
-        return np.add.reduceat(values, starts)
+        return values
 
 
 def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
-def gather(training: DataFrame, text_column: str = "text") -> DataFrame:
-    """kind (0: word, 1: byte n-gram, 2: text), key and count over all texts; words go by a 64-bit hash."""
+def gather(training: DataFrame, text_column: str = "text", with_words: bool = True) -> DataFrame:
+    """kind (0: word, 1: byte n-gram, 2: text), key and count over all texts; words, left out on demand, go by a 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
@@ -197,7 +228,7 @@ def gather(training: DataFrame, text_column: str = "text") -> DataFrame:
         for part in chunks(rows_of(batches, "body")):
             lowered = [t.lower() for (t,) in part]
             texts += len(lowered)
-            for t in lowered:
+            for t in lowered if with_words else ():
                 words.update(t.split())
             if len(words) > 1 << 18:
                 yield from word_rows()
@@ -216,41 +247,63 @@ def gather(training: DataFrame, text_column: str = "text") -> DataFrame:
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def plant(grams: DataFrame) -> Tree:
-    """The tree of the n-grams (key, n). Subtrees below two bytes of context are weighted apart, on the executors."""
-    schema = "depth int, key bigint, zeros double, ones double, weight double, weighted double"
+def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]]:
+    """Keys, occurrences and nodes of depths DEPTH to 2 of n-grams (key, n, met), some whole two-byte contexts at a time."""
+    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return
+    keys, counts, met = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys, counts, met = keys[order].astype(_U), counts[order], met[order]
+    context = keys >> _U(8 * (DEPTH - 1))
+    begins = np.append(np.flatnonzero(np.append(True, context[1:] != context[:-1])), len(keys))
+    at = 0
+    while at < len(keys):
+        # the last begin within GROUP, or the next one
+        near = np.searchsorted(begins, at + GROUP, "right") - 1
+        end = begins[near] if begins[near] > at else begins[near + 1]
+        seen = counts[at:end] > 0
+        yield keys[at:end], met[at:end], subtree(keys[at:end][seen], counts[at:end][seen], 2)
+        at = end
+
+
+def valued(grams: DataFrame) -> DataFrame:
+    """key, met and value: log10 of the probability of each n-gram (key, n times in training, met in all texts) by the whole tree.
+
+    All nodes below two bytes of context lie in the task of that context; those
+    of depths 0 and 1, at most 257 * 255, are shared.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not parts:
-            return
-        keys, counts = np.concatenate([k for k, _ in parts]).astype(_U), np.concatenate([n for _, n in parts])
-        for depth, (node, *values) in zip(range(DEPTH, 1, -1), subtree(keys, counts, 2), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), depth, np.int32)), pa.array(node.astype(np.int64)), *map(pa.array, values)], names=["depth", "key", "zeros", "ones", "weight", "weighted"])
-
-    decisions = grams.agg(F.sum("n")).first()[0] or 0
-    apart = grams.select("key", "n").repartition(F.shiftright("key", 8 * (DEPTH - 1)))
-    nodes = materialise(apart.mapInArrow(run, schema), "ctw-nodes")
-    upper = nodes.filter("depth = 2").groupBy(F.col("key").bitwiseAND(int(context_mask(1)) | 255).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, levels in subtrees(batches):
+            node, zeros, ones, _, inside = levels[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *map(pa.array, (zeros, ones, inside))], names=["key", "zeros", "ones", "weighted"])
+
+    apart = grams.select("key", "n", "met").repartition(F.shiftright("key", 8 * (DEPTH - 1)))
+    nodes = apart.mapInArrow(below, "key bigint, zeros double, ones double, weighted double")
+    upper = nodes.groupBy(F.col("key").bitwiseAND(int(context_mask(1)) | 255).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
     first = upper.toPandas().sort_values("key")
     inner = first["key"].to_numpy().astype(_U), first["below"].to_numpy()
-    levels = {1: weighted(inner[0], first["zeros"].to_numpy(), first["ones"].to_numpy(), inner)}
+    one = weighted(inner[0], first["zeros"].to_numpy(), first["ones"].to_numpy(), inner)
     root, at = np.unique(inner[0] & _U(255), return_inverse=True)
-    levels[0] = weighted(root, np.bincount(at, first["zeros"], len(root)), np.bincount(at, first["ones"], len(root)), (inner[0] & _U(255), levels[1][4]))
-    least = decisions / NODES
-    for depth in range(2, DEPTH + 1):
-        kept = nodes.filter((F.col("depth") == depth) & (F.col("zeros") + F.col("ones") >= least)).select("key", "zeros", "ones", "weight").toArrow()
-        columns = [kept.column(c).to_numpy() for c in range(4)]
-        order = np.argsort(columns[0])
-        levels[depth] = (columns[0][order].astype(_U), *(c[order] for c in columns[1:]))
-    ordered = [levels[d] for d in range(DEPTH + 1)]
-    return Tree([x[0] for x in ordered], [kt_one(x[1], x[2]).astype(np.float32) for x in ordered], [np.asarray(x[3], np.float32) for x in ordered])
-
-
-def frequent_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent words: all above a count that leaves ``FREQUENT`` of them at most."""
-    step = F.floor(8 * F.log2(F.col("n").cast("double"))).cast("int")
-    histogram = sorted(((r[0], r[1]) for r in words.groupBy(step.alias("step")).count().collect()), reverse=True)
+    none = weighted(root, np.bincount(at, first["zeros"], len(root)), np.bincount(at, first["ones"], len(root)), (inner[0] & _U(255), one[4]))
+    shared = grams.sparkSession.sparkContext.broadcast((none, one))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, met, levels in subtrees(batches):
+            every = [*shared.value, *levels[::-1]]
+            tree = Tree([x[0] for x in every], [kt_one(x[1], x[2]) for x in every], [x[3] for x in every])
+            for at in range(0, len(keys), 1 << 16):
+                part = keys[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(met[at : at + (1 << 16)]), pa.array(tree.log10(part))], names=["key", "met", "value"])
+
+    return apart.mapInArrow(run, "key bigint, met bigint, value double")
+
+
+def most_frequent(counted: DataFrame, by: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of the most frequent words or n-grams: all above a count that leaves ``FREQUENT`` of them at most."""
+    step = F.floor(8 * F.log2(F.col(by).cast("double"))).cast("int")
+    histogram = sorted(((r[0], r[1]) for r in counted.groupBy(step.alias("step")).count().collect()), reverse=True)
     held, least = 0, None
     for at, n in histogram:
         held += n
@@ -259,10 +312,10 @@ def frequent_words(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         least = at
     if least is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = words.filter(step >= least).select("key", "n").toArrow()
-    keys, counts = found.column(0).to_numpy(), found.column(1).to_numpy()
+    found = counted.filter(step >= least).select("key", value).toArrow()
+    keys, values = found.column(0).to_numpy(), found.column(1).to_numpy()
     order = np.argsort(keys)
-    return keys[order], counts[order]
+    return keys[order], values[order]
 
 
 def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -279,34 +332,41 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     texts = counts.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tokens, kinds = total + texts, distinct + (texts > 0)
-    shared = docs.sparkSession.sparkContext.broadcast((plant(counts.filter("kind = 1")), *frequent_words(words)))
+    met = gather(picked.filter("held_out"), "body", with_words=False).filter("kind = 1").select("key", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("met"))
+    grams = counts.filter("kind = 1").select("key", "n", F.col("n").alias("met")).unionByName(met).groupBy("key").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
+    values = materialise(valued(materialise(grams, "lm-grams")), "lm-values")
+    shared = docs.sparkSession.sparkContext.broadcast((most_frequent(values, "met", "value"), *most_frequent(words, "n", "n")))
     floor = float(tokens + 0.1 * (kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, frequent, times = shared.value
-        coder = Coder(tree)
+        (grams, logs), frequent, times = shared.value
+        coder = Coder(Frequent(grams.astype(_U), logs))
         known = _Known(frequent, times)
         longs, lists = pa.int64(), pa.list_(pa.int64())
         kind = None
         for batch in batches:
             kind = kind or batch.schema.field("id").type
-            out = Out(pa.schema([("id", kind), ("held_out", pa.bool_()), ("n_tokens", longs), ("known_", longs), ("base_", pa.float64()), ("score", pa.float64()), ("bytes", longs), ("rare", lists), ("rare_n", lists)]), 1 << 30)
+            out = Out(pa.schema([("id", kind), ("held_out", pa.bool_()), ("n_tokens", longs), ("known_", longs), ("base_", pa.float64()), ("score", pa.float64()), ("bytes", longs), ("rare", lists), ("rare_n", lists), ("grams", lists), ("grams_n", lists)]), 1 << 30)
             for part in chunks(rows_of(iter([batch]), "id", "held_out", "body")):
                 lowered = [t.lower() for *_, t in part]
-                for (i, held, _), text, value in zip(part, lowered, coder.log10(lowered).tolist(), strict=True):
+                sums, others, often = coder.known(lowered)
+                for (i, held, _), text, value, other, many in zip(part, lowered, sums.tolist(), others, often, strict=True):
                     at, rare = known.of(text.split())
                     found = at[at >= 0]
                     base = np.log10((known.times[found] + 0.1) / floor).sum() + np.log10((texts + 0.1) / floor)
-                    for _ in out.add(i, held, len(at) + 1, len(found) + (texts > 0), float(base), value, len(text), list(rare), list(rare.values())):
+                    for _ in out.add(i, held, len(at) + 1, len(found) + (texts > 0), float(base), value, len(text), list(rare), list(rare.values()), other, many):
                         pass
             yield out.flush()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    scored = picked.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, known_ bigint, base_ double, score double, bytes bigint, rare array<bigint>, rare_n array<bigint>")
+    scored = picked.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens bigint, known_ bigint, base_ double, score double, bytes bigint, rare array<bigint>, rare_n array<bigint>, grams array<bigint>, grams_n array<bigint>")
     scored = materialise(scored.withColumn("uid", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("uid", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("uid", F.col("x.rare").alias("key"), F.col("x.rare_n").alias("times"))
-    met = rare.join(words, "key", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(floor))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
-    result = scored.drop("rare", "rare_n").join(met, "uid", "left")
+    found = rare.join(words, "key", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(floor))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
+    others = scored.select("uid", F.explode(F.arrays_zip("grams", "grams_n")).alias("x")).select("uid", F.col("x.grams").alias("key"), F.col("x.grams_n").alias("times"))
+    coded = others.join(values, "key").groupBy("uid").agg(F.sum(F.col("times") * F.col("value")).alias("rest"))
+    result = scored.drop("rare", "rare_n", "grams", "grams_n").join(found, "uid", "left").join(coded, "uid", "left")
+    result = result.withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0)))
     bits = -F.col("score") * float(np.log2(10)) / (F.col("bytes") + 1)
     return result.select(F.col("id").alias(id_column), "held_out", "n_tokens", (F.col("known_") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("bigint").alias("train_tokens"), (F.col("base_") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", bits.alias("bits_per_byte"))
 

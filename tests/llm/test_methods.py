@@ -136,6 +136,25 @@ def test_scores_and_base(spark, texts):
     assert bits < 3.2  # far below the eight bits of an unread byte
 
 
+@pytest.mark.parametrize(("frequent", "group"), [(1 << 20, 1 << 18), (300, 40), (0, 1)])
+def test_rare_contexts_are_scored_by_the_whole_tree(spark, monkeypatch, frequent, group):
+    """A text whose contexts occur once in over 2^19 coded bytes, and one not seen in training."""
+    monkeypatch.setattr(context_tree, "FREQUENT", frequent)
+    monkeypatch.setattr(context_tree, "GROUP", group)
+    rows = [(i, "the same few words come again and again " * 500, False) for i in range(30)]
+    rows += [(100, "Zxqj vwkp!", False), (101, "zxqj vwkp? grzzt Zxqj zxqj", True), (102, "", True)]
+    training = [t.lower().encode() for _, t, held in rows if not held]
+    keys, counts = np.unique(np.concatenate([context_tree.gram_keys([t])[0] for t in training]), return_counts=True)
+    assert counts.sum() > 1 << 19
+    levels = context_tree.subtree(keys, counts, 0)[::-1]
+    tree = context_tree.Tree([x[0] for x in levels], [context_tree.kt_one(x[1], x[2]) for x in levels], [x[3] for x in levels])
+    docs = spark.createDataFrame(rows, "doc_id int, text string, held boolean")
+    found = {r.doc_id: r.score for r in context_tree.score(docs, F.col("held")).collect()}
+    assert len(found) == len(rows)
+    for i, t, _ in rows:
+        assert math.isclose(found[i], tree.log10(context_tree.gram_keys([t.lower().encode()])[0]).sum(), rel_tol=1e-9)
+
+
 # 2: line dedup
 
 
