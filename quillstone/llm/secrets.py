@@ -29,7 +29,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_BLOB = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+#: A header that begins with "{" and then a quote, a blank or a line break, or a byte 0 in UTF-16, begins with ey or ew.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 SSH_NAMES = (b"ssh-", b"ecdsa-", b"sk-ssh-", b"sk-ecdsa-")
 
 
@@ -121,10 +122,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 spans.append((m.start(), 3, m.end()))
                 taken.append(m.span())
     free = lambda a, b: all(b <= x or y <= a for x, y in taken)
-    for m in TOKEN.finditer(text) if "eyJ" in text or "." in text and "ew" in text else ():
-        if is_token(m[1]) and free(*m.span()):
-            spans.append((m.start(), 5, m.end()))
-            taken.append(m.span())
+    at = 0
+    while m := TOKEN.search(text, at):
+        at = m.end(1)  # a token may begin behind a header that is none
+        if is_token(m[1]):
+            at = m.end()
+            if free(*m.span()):
+                spans.append((m.start(), 5, m.end()))
+                taken.append(m.span())
     for m in BLOB.finditer(text):
         if free(*m.span()):
             data = decode64(m[0])

@@ -421,6 +421,14 @@ def test_secrets(spark, texts):
     assert not secrets.is_der(der(b"\x02\x05\x00")) and not secrets.is_token(b64(b"{}"))
 
 
+@pytest.mark.parametrize("header", ['{"alg":"HS256"}', '{ "alg": "HS256"}', '{\n"alg": "none"}', '{\t"typ": "JWT", "alg": "RS256"}', '{\r\n "alg": "ES256"}'])
+def test_tokens_are_found_whatever_stands_around(header):
+    b64 = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    token = f"{b64(header)}.{b64(' {1}')}.c2ln"
+    for before, after in (("", ""), ("a ", " b"), ("a new eyJ ", " b"), ("abcdefgh.", ""), ("eyebrows.", " b"), ("ewabcdefgh.eyabcdefgh.", " b")):
+        assert [s for s in secrets.confirmed_spans(before + token + after) if s[1] == 5] == [(len(before), 5, len(before) + len(token))]
+
+
 def test_secret_base(spark, texts):
     assign = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     for r in QUERIES["op9_secret_scan"](spark, SF).collect():
