@@ -138,8 +138,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 spans.append((m.start(), kind, m.end()))
                 taken.append(m.span())
     for m in HEX_BLOB.finditer(text):
-        if m[0][:2] == "30" and free(*m.span()) and is_der(bytes.fromhex(m[0])):
-            spans.append((m.start(), 6, m.end()))
+        if free(*m.span()):
+            data = bytes.fromhex(m[0])
+            kind = 4 if is_ssh(data) else 6 if is_der(data) else 0
+            if kind:
+                spans.append((m.start(), kind, m.end()))
     return sorted(spans)
 
 

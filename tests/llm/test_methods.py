@@ -429,6 +429,13 @@ def test_tokens_are_found_whatever_stands_around(header):
         assert [s for s in secrets.confirmed_spans(before + token + after) if s[1] == 5] == [(len(before), 5, len(before) + len(token))]
 
 
+@pytest.mark.parametrize("known", [b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(range(32)), b"openssh-key-v1\0\0\0\0\4none\0\0\0\4none\0\0\0\0"])
+def test_hex_of_ssh_keys(known):
+    for digits in (known.hex(), known.hex().upper()):
+        assert [s for s in secrets.confirmed_spans(f"a {digits} b") if s[1] != 2] == [(2, 4, 2 + len(digits))]
+    assert secrets.confirmed_spans(f"a {bytes(40).hex()} {'0af1' * 20}") == []
+
+
 def test_secret_base(spark, texts):
     assign = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     for r in QUERIES["op9_secret_scan"](spark, SF).collect():
