@@ -30,20 +30,33 @@ SAME = SIZE - 1
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_features(word: bytes) -> np.ndarray:
-    """Table rows of a word and of its character n-grams. Characters are code points; the word has a mark at either end."""
-    text = f"<{word.decode()}>"
-    if len(text) > 256:  # each n-gram of a huge word counts, in one pass over its bytes
-        data = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
-        keys = [xxhash.xxh3_64_intdigest(word)]
-        for n in GRAMS:
-            key = np.zeros(len(data) - n + 1, np.uint64)
+#: Windows of characters hashed at once.
+WINDOWS = 1 << 18
+
+
+def grams_of(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Table rows of the words' character n-grams, each with its word's place. Characters are code points; a word has a mark at either end."""
+    texts = [f"<{w.decode()}>" for w in words]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    for n in GRAMS:
+        for at in range(0, len(points) - n + 1, WINDOWS):
+            end = min(at + WINDOWS, len(points) - n + 1)
+            inside = np.flatnonzero(owner[at:end] == owner[at + n - 1 : end + n - 1]) + at
+            key = np.zeros(len(inside), np.uint64)
             for i in range(n):
-                key = (key + data[i : len(data) - n + 1 + i] + np.uint64(1)) * _PAIR
-            keys.append(key)
-        return (np.concatenate([np.atleast_1d(np.asarray(k, np.uint64)) for k in keys]) % np.uint64(SIZE - 1)).astype(np.int64)
-    parts = [text] + [text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1)]
-    return np.fromiter((xxhash.xxh3_64_intdigest(p) % (SIZE - 1) for p in parts), np.int64, len(parts))
+                key = (key + points[inside + i] + np.uint64(1)) * _PAIR
+            key ^= key >> np.uint64(32)
+            yield (key * _PAIR % np.uint64(SIZE - 1)).astype(np.int64), owner[inside]
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def word_rows(hashes: np.ndarray) -> np.ndarray:
+    """Table rows of whole words, given their hashes."""
+    return (hashes % np.uint64(SIZE - 1)).astype(np.int64)
 
 
 class Words:
@@ -58,18 +71,23 @@ class Words:
         self.total, self.features, self.hashes = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.uint64)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.number)
+        new = list(set(words).difference(self.number))
         if len(self.number) + len(new) > self.most and self.number:
             self.clear()
-            new = set(words)
+            new = list(set(words))
         size = len(self.number) + len(new)
         if size > len(self.total):
             for name in ("total", "features", "hashes"):
                 setattr(self, name, np.resize(getattr(self, name), 2 * size))
-        for w in new:
-            at, rows = len(self.number), word_features(w)
-            self.number[w] = at
-            self.total[at], self.features[at], self.hashes[at] = self.worth[rows].sum(dtype=np.float64), len(rows), xxhash.xxh3_64_intdigest(w)
+        if new:
+            hashes = hashes_of(new)
+            total, features = self.worth[word_rows(hashes)].astype(np.float64), np.ones(len(new), np.int64)
+            for rows, owner in grams_of(new):
+                total += np.bincount(owner, self.worth[rows], len(new))
+                features += np.bincount(owner, minlength=len(new))
+            at = len(self.number)
+            self.number.update(zip(new, range(at, size), strict=True))
+            self.total[at:size], self.features[at:size], self.hashes[at:size] = total, features, hashes
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
@@ -90,13 +108,14 @@ def document_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    parts, weights = [], []
-    for w, n in counts.items():
-        rows = word_features(w)
+    distinct, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+    hashes = hashes_of(distinct)
+    parts, weights = [word_rows(hashes)], [times]
+    for rows, owner in grams_of(distinct):
         parts.append(rows)
-        weights.append(np.full(len(rows), n, np.int64))
-    known = {w: xxhash.xxh3_64_intdigest(w) for w in counts}
-    pairs = pair_features(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        weights.append(times[owner])
+    place = dict(zip(distinct, range(len(distinct)), strict=True))
+    pairs = pair_features(hashes[np.fromiter(map(place.__getitem__, words), np.int64, len(words))])
     parts.append(pairs)
     weights.append(np.ones(len(pairs), np.int64))
     rows, at = np.unique(np.concatenate(parts), return_inverse=True)

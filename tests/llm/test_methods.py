@@ -326,6 +326,25 @@ def test_folded_score_is_the_mean_of_vectors(spark):
     assert math.isclose(quality_model.score(data, model).first().score, 1 / (1 + math.exp(-odds)), rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("letter", ["ab", "漢字かな", "é😀x"])
+def test_huge_words_share_the_features_of_shorter_ones(monkeypatch, letter):
+    """A line without blanks has the same n-grams below and above 256 characters, however many are hashed at once."""
+    short, long = ((letter * 400)[:n].encode() for n in (200, 260))
+    rows = {t: set(quality_model.document_features(t)[0].tolist()) for t in (short, long)}
+    # all but the whole word's row and the n-grams at the last mark, where the words end apart
+    assert len(rows[short] - rows[long]) <= 1 + len(quality_model.GRAMS)
+    whole = quality_model.document_features(long)
+    worth = np.random.default_rng(5).normal(size=quality_model.SIZE).astype(np.float32)
+    totals = [quality_model.Words(worth).of([long, short, long]).tolist()]
+    monkeypatch.setattr(quality_model, "WINDOWS", 7)
+    assert all((a == b).all() for a, b in zip(quality_model.document_features(long), whole, strict=True))
+    known = quality_model.Words(worth)
+    totals.append(known.of([long, short, long]).tolist())
+    assert totals[0][0] == totals[0][2] != totals[0][1] and totals[1][0] == totals[1][2]
+    at = totals[1][0]
+    assert known.features[at] == whole[1].sum() and math.isclose(known.total[at], (worth[whole[0]].astype(float) * whole[1]).sum(), rel_tol=1e-6)
+
+
 # 7: WARC
 
 
