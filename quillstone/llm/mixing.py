@@ -1,11 +1,16 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each document of a source is to be taken ``target / source size`` times. The
-whole part is taken by all; the fractional parts are rounded in pairs: mass moves
-at random from one of a pair to the other until one of them is integral, and the
-other goes on. Blocks of documents of like size are rounded first; what each
-block has left over goes up a tree of blocks, a few levels for any input. All of
-it is DataFrame operations.
+whole part is taken by all; the fractional parts are rounded in pairs: words of
+one of a pair are moved to the other, up or down at random with the chances that
+leave both expectations as they are, until one of the two is integral; the other
+goes on. A pair's expected words never change, so a source ends off its target by
+the last open document alone.
+
+Documents that are large in their source are rounded first, so that what the last
+of them leaves over is spread over all others, whose chances it shifts evenly.
+Those are rounded in blocks, and what each block has left over goes up a tree of
+blocks, a few levels for any input. All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -18,10 +23,8 @@ from quillstone.llm.common import WORD, materialise
 
 #: Documents of a block, about; also how many blocks share one of the next level.
 FAN = 64
-#: Draws at the tree's root, of which the one that ends nearest to the target in words is taken.
-DRAWS = 32
-#: Open rows up to which a source is rounded at the root alone.
-SMALL = 512
+#: A document is large if it has more than one in so many of its source's words; a source has fewer large ones than that.
+LARGE = 256
 
 
 def words(text: str | Column) -> Column:
@@ -54,103 +57,96 @@ def _chance(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
 
 
-def _round(items: Column) -> Column:
-    """Pivotal rounding along an array of items with mass ``p``: those decided, and what is carried at the end."""
-    state = "struct<held:struct<nsize:bigint,id:{id},copy:bigint,p:double,u:double>,done:array<struct<id:{id},copy:bigint,size:bigint,take:int>>>"
-
-    def decided(item: Column, take: int) -> Column:
-        return F.struct(item["id"].alias("id"), item["copy"].alias("copy"), (-item["nsize"]).alias("size"), F.lit(take).alias("take"))
-
-    def with_mass(item: Column, p: Column) -> Column:
-        return item.withField("p", p)
+def _round(items: Column, id_type: str) -> Column:
+    """Pivotal rounding along an array of items with chance ``p``: those decided, and the one held at the end."""
+    state = f"struct<held:struct<nsize:bigint,id:{id_type},copy:bigint,p:double,u:double>,done:array<struct<id:{id_type},copy:bigint,size:bigint,take:int>>>"
 
     def step(a: Column, x: Column) -> Column:
-        held, both = a["held"], a["held"]["p"] + x["p"]
-        low = both < 1
-        # below one in all, the winner takes it all; else the winner becomes one and the other keeps the rest
-        held_wins = F.when(low, x["u"] * both < held["p"]).otherwise(x["u"] * (2 - both) < 1 - x["p"])
-        winner, loser = F.when(held_wins, held).otherwise(x), F.when(held_wins, x).otherwise(held)
-        carried = F.when(low, with_mass(winner, both)).otherwise(with_mass(loser, both - 1))
-        out = F.when(low, decided(loser, 0)).otherwise(decided(winner, 1))
-        return F.when(held.isNull(), F.struct(x.alias("held"), a["done"].alias("done"))).otherwise(F.struct(carried.alias("held"), F.concat(a["done"], F.array(out)).alias("done")))
-
-    def fold(id_type: str) -> Column:
-        return F.aggregate(items, F.from_json(F.lit('{"done":[]}'), state.format(id=id_type)), step)
-
-    return fold
-
+        held = a["held"]
+        own, other = -held["nsize"], -x["nsize"]
+        # words that either can gain or lose
+        room, has, room_x, has_x = own * (1 - held["p"]), own * held["p"], other * (1 - x["p"]), other * x["p"]
+        up, down = F.least(room, has_x), F.least(has, room_x)
+        rises = x["u"] * (up + down) < down
+        held_ends = F.when(rises, room <= has_x).otherwise(has <= room_x)
+        moved = F.when(rises, up).otherwise(-down)
+        open_x = x.withField("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["p"] - moved / other)))
+        open_held = held.withField("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), held["p"] + moved / own)))
+        ended = F.when(held_ends, held).otherwise(x)
+        # what ends by a rise of the one held is that one, full, or the other, empty
+        out = F.struct(ended["id"].alias("id"), ended["copy"].alias("copy"), (-ended["nsize"]).alias("size"), (rises == held_ends).cast("int").alias("take"))
+        on = F.struct(F.when(held_ends, open_x).otherwise(open_held).alias("held"), F.concat(a["done"], F.array(out)).alias("done"))
+        return F.when(held.isNull(), F.struct(x.alias("held"), a["done"].alias("done"))).otherwise(on)
 
-def _nearest_draw(items: Column, off: Column, id_type: str, seed: int, mass, words_of) -> Column:
-    """The items decided at the root. Several draws are made, by falling size and in random order in turn; the one that ends nearest to the target in words counts."""
+    return F.aggregate(items, F.from_json(F.lit('{"done":[]}'), state), step)
 
-    def draw(k: Column) -> Column:
-        drawn = F.transform(items, lambda x: x.withField("u", _chance_of(x, k, seed)))
-        shuffled = F.transform(F.sort_array(F.transform(drawn, lambda x: F.struct(_chance_of(x, k, seed + 1).alias("at"), x.alias("x")))), lambda y: y["x"])
-        end = _round(F.when(k % 2 == 0, drawn).otherwise(shuffled))(id_type)
-        held = end["held"]
-        last = F.struct(held["id"].alias("id"), held["copy"].alias("copy"), (-held["nsize"]).alias("size"), (_chance_of(held, k, seed + 99) < held["p"]).cast("int").alias("take"))
-        return F.when(held.isNull(), end["done"]).otherwise(F.concat(end["done"], F.array(last)))
 
-    draws = F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), draw)
-    missed = F.transform(draws, lambda done, k: F.struct(F.abs(off + words_of(done) - mass(items)).alias("miss"), k.alias("k")))
-    return F.element_at(draws, F.array_min(missed)["k"] + 1)
+def _last(folded: DataFrame, seed: int) -> Column:
+    """Whether the item held at the end is taken, by its own chance."""
+    return (_chance(seed, "x.held.id", "x.held.copy", "x.held.nsize") < F.col("x.held.p")).cast("int")
 
 
-def _chance_of(item: Column, k: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(item["id"], item["copy"], item["nsize"], k, F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
+def _decided(folded: DataFrame) -> DataFrame:
+    """Items of ``done`` and the last one, of rows with source, whole, x and last, as id, source, size, copy, copies."""
+    end = F.struct(F.col("x.held.id").alias("id"), F.col("x.held.copy").alias("copy"), (-F.col("x.held.nsize")).alias("size"), F.col("last").alias("take"))
+    every = F.when(F.col("last").isNull(), F.col("x.done")).otherwise(F.concat("x.done", F.array(end)))
+    return folded.select("source", "whole", F.explode(every).alias("d")).select("d.id", "source", "d.size", "d.copy", (F.col("whole") + F.col("d.take")).alias("copies"))
 
 
 def copies(docs: DataFrame, target: DataFrame, seed: int = 11) -> DataFrame:
     """id, source, size, copy, copies for every row of ``docs`` (id, source, size); repeated rows differ in ``copy``.
 
-    ``target`` comes from ``targets``. The result depends on the rows and the
-    seed alone, not on their order or partitions.
+    ``target`` comes from ``targets``. Every row is taken ``target / source_size``
+    times in expectation. The result depends on the rows and the seed alone, not
+    on their order or partitions.
     """
     id_type = docs.schema["id"].dataType.simpleString()
     numbered = docs.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")).select("id", "source", "size", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("copy"))
     target = target.withColumn("source_", F.col("source")).drop("source", "weight")
     rows = numbered.join(target, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(times).cast("int")).withColumn("p", times - F.floor(times)).drop("source_size", "target")
-    rows = materialise(rows.withColumn("band", F.when((F.col("size") > 0) & (F.col("p") > 0), F.floor(4 * F.log2(F.col("size").cast("double"))).cast("int"))), "mix-rows")
-    settled = rows.filter(F.col("band").isNull()).select("id", "source", "size", "copy", F.col("whole").alias("copies"))
-    open_rows = rows.filter(F.col("band").isNotNull())
-
-    blocks = open_rows.groupBy("source", "band").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / FAN))
-    per_source = Window.partitionBy("source")
-    blocks = blocks.withColumn("first_level", F.sum("blocks").over(per_source)).withColumn("small", F.sum("n").over(per_source) <= SMALL)
-    blocks = materialise(blocks.withColumnsRenamed({"source": "source_", "band": "band_"}), "mix-blocks")
-    most = blocks.agg(F.max(F.when(F.col("small"), 1).otherwise(F.col("first_level")))).first()[0]
-    if most is None:
-        return settled
-    levels, reach = 1, 1
-    while reach < most:
-        levels, reach = levels + 1, reach * FAN
-
-    key = ["source", "block"]
+    rows = rows.withColumn("whole", F.floor(times).cast("int")).withColumn("p", times - F.floor(times))
+    kind = F.when((F.col("size") == 0) | (F.col("p") == 0), 0).when(F.col("size") * LARGE > F.col("source_size"), 1).otherwise(2)
+    rows = materialise(rows.withColumn("kind", kind).drop("source_size", "target"), "mix-rows")
+    settled = rows.filter("kind = 0").select("id", "source", "size", "copy", F.col("whole").alias("copies"))
+
     item = F.struct((-F.col("size")).alias("nsize"), "id", "copy", "p", "u")
-    mass = lambda items: F.aggregate(items, F.lit(0.0), lambda a, x: a - x["nsize"] * x["p"])
-    words_of = lambda done: F.aggregate(done, F.lit(0.0), lambda a, x: a + x["size"] * x["take"])
-    placed = open_rows.join(blocks, F.col("source").eqNullSafe(F.col("source_")) & (F.col("band") == F.col("band_"))).withColumn("block", F.concat_ws("/", "band", F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.col("blocks")))).withColumn("off", F.lit(0.0))
-    current, straight = placed.filter(~F.col("small")), placed.filter("small").withColumn("block", F.lit("0")).withColumn("first_level", F.lit(1).cast("bigint"))
-    results = [settled]
-    for level in range(levels + 1):
-        if level == levels:
-            columns = [*key, "first_level", "whole", "off", "id", "copy", "size", "p"]
-            current = current.withColumn("first_level", F.lit(1).cast("bigint")).select(columns).unionByName(straight.select(columns))
-        # off: words taken so far, less those expected; a block that has nothing left still passes it on
-        grouped = current.withColumn("u", _chance(seed + level, "id", "copy", "size")).groupBy(*key, "first_level", "whole").agg(F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), item))).alias("items"), F.sum("off").alias("off"))
-        if level == levels:
-            folded = grouped.select("source", "whole", _nearest_draw(F.col("items"), F.col("off"), id_type, seed, mass, words_of).alias("done"))
-        else:
-            folded = grouped.select(*key, "first_level", "whole", "off", "items", _round(F.col("items"))(id_type).alias("x"))
-            after = words_of(F.col("x.done")) - F.coalesce(F.col("x.held.nsize") * F.col("x.held.p"), F.lit(0.0))
-            folded = folded.select(*key, "first_level", "whole", "x.held", "x.done", (F.col("off") + after - mass(F.col("items"))).alias("off"))
-        folded = materialise(folded, f"mix-level{level}")
-        results.append(folded.select("source", "whole", F.explode("done").alias("d")).select("d.id", "source", "d.size", "d.copy", (F.col("whole") + F.col("d.take")).alias("copies")))
-        if level < levels:
-            width = F.greatest(F.ceil(F.col("first_level") / F.lit(FAN ** (level + 1))), F.lit(1))
-            current = folded.select("source", F.pmod(F.xxhash64("block", F.lit(seed)), width).cast("string").alias("block"), "first_level", "whole", "off", F.col("held.id").alias("id"), F.col("held.copy").alias("copy"), (-F.col("held.nsize")).alias("size"), F.col("held.p").alias("p"))
+
+    def rounded(items: DataFrame, key: list[str], level: int) -> DataFrame:
+        """One row of each group, with x: its items from the largest on, rounded."""
+        grouped = items.withColumn("u", _chance(seed + level, "id", "copy", "size")).groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("items"))
+        return grouped.select(*key, _round(F.col("items"), id_type).alias("x"))
+
+    large = rounded(rows.filter("kind = 1"), ["source", "whole"], 0)
+    large = materialise(large.withColumn("last", _last(large, seed + 1000)), "mix-large")
+    small = rows.filter("kind = 2")
+    off = F.when(F.col("x.held").isNull(), 0.0).otherwise((F.col("x.held.p") - F.col("last")) * -F.col("x.held.nsize"))
+    most_off = -F.col("x.held.nsize") * F.greatest(F.col("x.held.p"), 1 - F.col("x.held.p"))
+    left_over = large.select(F.col("source").alias("large_source"), off.alias("off"), F.coalesce(most_off, F.lit(0.0)).alias("most_off"))
+    # one row a source: how many blocks, and by how much the large ones shift the chance of the others
+    stats = small.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("blocks"), F.sum("size").alias("words"), F.first("p").alias("p"))
+    stats = stats.join(left_over, F.col("source").eqNullSafe(F.col("large_source")), "left")
+    room = F.col("words") * F.least(F.col("p"), 1 - F.col("p"))
+    share = F.when(F.col("most_off") > room, room / F.col("most_off")).otherwise(1.0)
+    shift = F.coalesce(share * F.col("off") / F.col("words"), F.lit(0.0))
+    stats = materialise(stats.select(F.col("source").alias("source_"), "blocks", shift.alias("shift")), "mix-blocks")
+
+    results = [settled, _decided(large)]
+    most = stats.agg(F.max("blocks")).first()[0]
+    if most is not None:
+        moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.col("shift")))
+        placed = small.join(stats, F.col("source").eqNullSafe(F.col("source_"))).withColumn("p", moved).withColumn("block", F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.col("blocks")))
+        current, width, level = placed, most, 1
+        key = ["source", "whole", "blocks", "block"]
+        while True:
+            folded = rounded(current, key, level)
+            folded = materialise(folded.withColumn("last", _last(folded, seed + 2000) if width == 1 else F.lit(None).cast("int")), f"mix-level{level}")
+            results.append(_decided(folded))
+            if width == 1:
+                break
+            width, level = -(-width // FAN), level + 1
+            fewer = F.ceil(F.col("blocks") / FAN)
+            current = folded.filter("x.held IS NOT NULL").select("source", "whole", F.col("x.held.id").alias("id"), F.col("x.held.copy").alias("copy"), (-F.col("x.held.nsize")).alias("size"), F.col("x.held.p").alias("p"), fewer.alias("blocks"), F.pmod(F.xxhash64("block", F.lit(seed)), fewer).alias("block"))
     union = results[0]
     for more in results[1:]:
         union = union.unionByName(more)
@@ -161,9 +157,12 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     """Per row: id, source, size, copy, copies, source_size, target.
 
     A null or empty text has size 0 and costs nothing; null sources are one
-    source, the last; repeated rows are rounded each; an empty table gives no
-    rows. At most ``ceil(most)`` copies are taken, and the copies taken of a
-    source differ in words from its target by about the size of one document.
+    source, the last; repeated rows are rounded each; documents of equal size go
+    by id; texts of any length are counted whole; further columns are ignored; an
+    empty table gives no rows. At most ``ceil(most)`` copies are taken. The words
+    taken of a source differ from its target by less than one of its documents,
+    and by less than one in ``LARGE`` of its words where the others can take up
+    what the large ones leave.
     """
     sizes = materialise(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words(text_column).alias("size")), "mix-sizes")
     target = materialise(targets(sizes, weights, most), "mix-targets")
@@ -173,10 +172,16 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
 
 
 def apply(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    taken = mix(docs, id_column, source_column, text_column, **options).filter("copies > 0").select(F.col(id_column).alias("id_"), F.col(source_column).alias("source_"), F.col("size").alias("size_"), F.col("copy").alias("copy_"), "copies")
-    named = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_column).alias("id"), F.col(source_column).alias("source"), words(text_column).alias("size"), F.xxhash64(text_column).alias("text_key"))
-    numbered = named.withColumn("copy", F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("text_key")).cast("bigint")).drop("text_key")
-    on = F.col("id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_")) & (F.col("copy") == F.col("copy_"))
-    joined = numbered.join(taken.hint("merge"), on)
-    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
+
+    Rows move once, by a hash of id, source and size; of rows with one hash the
+    n-th in the order of their texts is taken as the n-th copy was decided.
+    """
+    taken = mix(docs, id_column, source_column, text_column, **options)
+    key = F.xxhash64(F.col(id_column), F.col(source_column), F.col("size"))
+    lists = taken.groupBy(key.alias("key_")).agg(F.sort_array(F.collect_list(F.struct("copy", "copies"))).alias("taken_")).filter(F.exists("taken_", lambda x: x["copies"] > 0))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col(id_column), F.col(source_column), words(text_column)).alias("key"), F.xxhash64(text_column).alias("text_key"))
+    numbered = keyed.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("text_key")))
+    joined = numbered.join(lists.hint("merge"), F.col("key") == F.col("key_"))
+    times = F.get(F.col("taken_"), F.col("turn") - 1)["copies"]
+    return joined.filter(times > 0).select("doc", F.explode(F.sequence(F.lit(1), times))).select("doc.*")

@@ -226,6 +226,24 @@ def test_mix_is_near_its_targets_and_repeats(spark):
     assert applied.columns == data.columns and applied.count() == sum(c for _, c in again)
 
 
+def test_mix_takes_each_row_as_often_as_stated(spark):
+    """Over many sources alike, the mean of a row's copies is its stated chance, and no source misses its target by a document."""
+    rows = [(s * 100 + k, f"a{s:04d}", z) for s in range(1500) for k, z in enumerate([97, 10, 10, 10, 10])]
+    rng = random.Random(4)
+    rows += [(10**6 + s * 1000 + k, f"b{s:04d}", rng.randint(1, 60)) for s in range(40) for k in range(700)]
+    data = spark.createDataFrame(rows, "id long, source string, size long").repartition(5)
+    sizes = data.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", F.lit(1.0))
+    target = sizes.withColumn("target", F.col("source_size") * F.when(F.col("source") < "b", 0.911).otherwise(1.37))
+    found = mixing.copies(data, target).cache()
+    small = {r.k: r.m for r in found.filter("source < 'b'").groupBy((F.col("id") % 100).alias("k")).agg(F.avg("copies").alias("m")).collect()}
+    assert all(abs(m - 0.911) < 4 * math.sqrt(0.911 * 0.089 / 1500) for m in small.values()) and len(small) == 5
+    by_size = found.filter("source >= 'b'").groupBy((F.col("size") > 30).alias("k")).agg(F.avg("copies").alias("m"), F.count("*").alias("n")).collect()
+    assert all(abs(r.m - 1.37) < 4 * math.sqrt(0.37 * 0.63 / r.n) for r in by_size)
+    totals = found.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("size").alias("most")).join(target, "source").collect()
+    assert len(totals) == 1540 and all(abs(r.taken - r.target) < r.most for r in totals)
+    assert all(abs(r.taken - r.target) < r.source_size / mixing.LARGE for r in totals if r.source >= "b")
+
+
 # 4: line frequency
 
 
