@@ -1,15 +1,17 @@
 """Secret scan with structural confirmation.
 
 Base kinds are plain patterns. The method adds kinds that are reported only
-after a decoded candidate parses: PEM blocks and bare base64 or hex blobs whose
-DER lengths nest exactly, SSH key encodings of length-prefixed fields, and
-signed tokens whose header is a JSON object that names an algorithm.
+after a decoded candidate parses: PEM blocks, structures that begin at any digit
+of a run of base64 or hex digits, be it DER whose lengths nest exactly or SSH
+keys of length-prefixed fields, and signed tokens whose header is a JSON object
+that names an algorithm.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -26,9 +28,16 @@ KINDS = ("assign", "access", "hex", "pem", "ssh", "jwt", "der")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----")
+PEM_FIELD = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]{16,}")
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_BLOB = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
+HEX_BLOB = re.compile(r"[0-9A-Fa-f]{48,}")
+#: Where in a run a structure may begin: a SEQUENCE of short or long form, an SSH field's length, the name of an OpenSSH key.
+BLOB_STARTS = re.compile(r"(?=M[A-H]|MI[E-T]|AAAA|b3BlbnNzaC1rZXktdjEA)")
+HEX_STARTS = re.compile(r"(?=30|000000|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100)")
+#: Least bytes of a structure within a run.
+LEAST = 24
 #: A header that begins with "{" and then a quote, a blank or a line break, or a byte 0 in UTF-16, begins with ey or ew.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 SSH_NAMES = (b"ssh-", b"ecdsa-", b"sk-ssh-", b"sk-ecdsa-")
@@ -80,19 +89,36 @@ def is_der(data: bytes) -> bool:
     return found >= 2
 
 
+def der_size(head: bytes) -> int:
+    """Bytes of the SEQUENCE that begins with ``head``, by its own length; 0 if it is none."""
+    if len(head) < 2 or head[0] != 0x30:
+        return 0
+    if head[1] < 0x80:
+        return 2 + head[1]
+    width = head[1] & 0x7F
+    return 2 + width + int.from_bytes(head[2 : 2 + width], "big") if 1 <= width <= 4 and len(head) >= 2 + width else 0
+
+
+def begins_as_key(data: bytes) -> bool:
+    """Whether the first element of the SEQUENCE is a version or a SEQUENCE, as in every key and certificate."""
+    top = _tlv(data, 0, len(data))
+    return top is not None and data[top[1] : top[1] + 1] in (b"\x02", b"\x30")
+
+
 def is_ssh(data: bytes) -> bool:
-    """An OpenSSH private key, or a public key: length-prefixed fields that fill the data after a known name."""
+    """An OpenSSH private key, or a public key: length-prefixed fields after a known name, two at least."""
     if data.startswith(b"openssh-key-v1\0"):
-        data, known = data[15:], True
+        at = 15
+    elif data[4:].startswith(SSH_NAMES):
+        at = 0
     else:
-        known = data[4:].startswith(SSH_NAMES)
-    at, fields = 0, 0
-    while known and at + 4 <= len(data) and fields < 3:
+        return False
+    for _ in range(2):
         size = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + size > len(data):
+        if at + 4 + size > len(data) or len(data) < at + 4:
             return False
-        at, fields = at + 4 + size, fields + 1
-    return known and fields >= 2
+        at += 4 + size
+    return True
 
 
 def is_token(header: str) -> bool:
@@ -112,37 +138,100 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+class _Taken:
+    """Spans that do not overlap."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def take(self, start: int, end: int) -> bool:
+        """Keep the span if it touches no other."""
+        at = bisect.bisect_left(self.starts, end)
+        if at and self.ends[at - 1] > start:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
+def _pem_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Blocks from BEGIN to END of one label, with none begun between, whose body decodes and parses.
+
+    Header lines may stand before the body, with a blank line behind them; the
+    body of an encrypted key is blocks of its cipher.
+    """
+    begins = list(PEM.finditer(text))
+    for m, following in zip(begins, [*begins[1:], None], strict=True):
+        limit = following.start() if following else len(text)
+        mark = f"-----END {m[1]}-----"
+        end = text.find(mark, m.end(), limit)
+        if end < 0:
+            continue
+        body, encrypted = text[m.end() : end].strip(), False
+        if PEM_FIELD.match(body):
+            head, body = (re.split(r"\n[\x20\t\r]*\n", body, maxsplit=1) + [""])[:2]
+            encrypted = "ENCRYPTED" in head and "DEK-Info:" in head
+        data = decode64(body) if PEM_BODY.fullmatch(body) else None
+        if data is not None and (is_der(data) or is_ssh(data) or encrypted and len(data) % 8 == 0):
+            yield m.start(), end + len(mark)
+
+
+def _decoded64(run: str, at: int, size: int) -> bytes:
+    part = run[at : at + -(-4 * size // 3)]
+    part = part[: len(part) - (len(part) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(part + "=" * (-len(part) % 4))
+
+
+def _decoded_hex(run: str, at: int, size: int) -> bytes:
+    part = run[at : at + 2 * size]
+    return bytes.fromhex(part[: len(part) // 2 * 2])
+
+
+def _structures(run: str, starts: re.Pattern, decoded, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(start, kind, end) of structures in a run of digits worth ``bits`` each: a few bytes of each candidate are decoded, all of it once its length fits."""
+    digits = len(run.rstrip("="))
+    at = 0
+    for m in starts.finditer(run):
+        k = m.start()
+        if k < at:
+            continue
+        left = (digits - k) * bits // 8
+        head = decoded(run, k, 24)
+        if head.startswith(b"openssh-key-v1\0") or head[4:].startswith(SSH_NAMES):
+            if is_ssh(decoded(run, k, left)):
+                yield k, 4, len(run)
+                return
+        size = der_size(head)
+        if LEAST <= size <= left:
+            data = decoded(run, k, size)[:size]
+            if is_der(data) and (k == 0 and size == left or begins_as_key(data)):
+                at = k + -(-8 * size // bits)
+                at = len(run) if at >= digits else at
+                yield k, 6, at
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what decodes and parses."""
-    spans, taken = [], []
+    spans, taken = [], _Taken()
+
+    def add(start: int, kind: int, end: int) -> None:
+        if taken.take(start, end):
+            spans.append((start, kind, end))
+
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = decode64(m[2])
-            if data is not None and (is_der(data) or is_ssh(data)):
-                spans.append((m.start(), 3, m.end()))
-                taken.append(m.span())
-    free = lambda a, b: all(b <= x or y <= a for x, y in taken)
+        for start, end in _pem_spans(text):
+            add(start, 3, end)
     at = 0
     while m := TOKEN.search(text, at):
         at = m.end(1)  # a token may begin behind a header that is none
         if is_token(m[1]):
             at = m.end()
-            if free(*m.span()):
-                spans.append((m.start(), 5, m.end()))
-                taken.append(m.span())
-    for m in BLOB.finditer(text):
-        if free(*m.span()):
-            data = decode64(m[0])
-            kind = 4 if data and is_ssh(data) else 6 if data and data[0] == 0x30 and is_der(data) else 0
-            if kind:
-                spans.append((m.start(), kind, m.end()))
-                taken.append(m.span())
-    for m in HEX_BLOB.finditer(text):
-        if free(*m.span()):
-            data = bytes.fromhex(m[0])
-            kind = 4 if is_ssh(data) else 6 if is_der(data) else 0
-            if kind:
-                spans.append((m.start(), kind, m.end()))
+            add(m.start(), 5, m.end())
+    for pattern, starts, decoded, bits in ((BLOB, BLOB_STARTS, _decoded64, 6), (HEX_BLOB, HEX_STARTS, _decoded_hex, 4)):
+        for m in pattern.finditer(text):
+            for start, kind, end in _structures(m[0], starts, decoded, bits):
+                add(m.start() + start, kind, m.start() + end)
     return sorted(spans)
 
 
@@ -153,8 +242,10 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, and findings with each span's kind and text.
 
-    Null and empty texts give no spans. Repeated rows give a row each, an empty
-    table none; columns besides the two named are ignored.
+    Null and empty texts give no spans, texts of any length are read whole.
+    Confirmed spans do not overlap: blocks go before tokens, those before base64
+    and that before hex, and of one kind the first. Repeated rows give a row each,
+    an empty table none; columns besides the two named are ignored.
     """
     id_field = docs.select(id_column).schema[0]
     schema = f"`{id_column}` {id_field.dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, findings array<struct<kind:string,start:bigint,end:bigint,found:string>>"

@@ -473,6 +473,39 @@ def test_hex_of_ssh_keys(known):
     assert secrets.confirmed_spans(f"a {bytes(40).hex()} {'0af1' * 20}") == []
 
 
+def test_structures_at_any_digit_of_a_run():
+    """Every start of a key in a run is found, by both alphabets, whatever digits stand before and behind it."""
+    keys = [der(b"\x02\x01\x00", b"\x30\x82\x01\x04" + b"\x04\x82\x01\x00" + bytes(range(256))), b"\x30\x2e\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x22\x04\x20" + bytes(range(32))]
+    rng = random.Random(2)
+    for key in keys:
+        for before in range(5):
+            for behind in (0, 3, 8):
+                for kind, digits in ((6, key.hex()), (6, key.hex().upper()), (6, base64.b64encode(key).decode().rstrip("=")), (6, base64.urlsafe_b64encode(key).decode().rstrip("="))):
+                    pad = "".join(rng.choice("ab56") for _ in range(before))
+                    text = f"see {pad}{digits}{'b' * behind} end"
+                    found = [s for s in secrets.confirmed_spans(text) if s[1] == kind]
+                    assert found and found[0][0] == 4 + len(pad) and 0 <= found[0][2] - found[0][0] - len(digits) <= behind, (before, behind, digits[:8])
+    name = b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(range(32))
+    for text in (f"x {'a' * 3}{name.hex()} y", f"x {'ab'}{base64.b64encode(name).decode()} y"):
+        assert [s[1] for s in secrets.confirmed_spans(text)] == [4]
+
+
+def test_blocks_with_header_lines():
+    key = der(b"\x02\x01\x00", b"\x04\x82\x01\x00" + bytes(range(256)))
+    block = lambda head, data: "-----BEGIN RSA PRIVATE KEY-----\n" + head + base64.encodebytes(data).decode() + "-----END RSA PRIVATE KEY-----"
+    plain, named = block("", key), block("Comment: mine\n and yours\n\n", key)
+    sealed = block("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n", bytes(range(64)))
+    open_end = "-----BEGIN RSA PRIVATE KEY-----\n"
+    text = f"a {plain} b {open_end} {named} c {sealed} d {block('', bytes(64))} {open_end}"
+    assert [text[a:b] for a, k, b in secrets.confirmed_spans(text) if k == 3] == [plain, named, sealed]
+
+
+def test_clean_runs_confirm_nothing():
+    rng = random.Random(9)
+    text = " ".join(["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(3000)] + [base64.b64encode(rng.randbytes(60)).decode() for _ in range(3000)] + ["30" * 200, "AAAA" * 500, "MIIB" * 500, "a/path-of_words" * 9])
+    assert len(secrets.confirmed_spans(text)) <= 1
+
+
 def test_secret_base(spark, texts):
     assign = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     for r in QUERIES["op9_secret_scan"](spark, SF).collect():
