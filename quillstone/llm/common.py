@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file:///tmp/checkpoints/quillstone-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -61,11 +63,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Remove tables made by ``materialise`` that no later step reads, and let go of shuffle files that none can read any more."""
-    spark = tables[0].sparkSession
-    for path in {p.rsplit("/", 1)[0] for df in tables for p in df.inputFiles()}:
-        drop_path(spark, path)
-    spark.sparkContext._jvm.System.gc()
+    """Remove tables made by ``materialise`` that no later step reads."""
+    for df in tables:
+        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            drop_path(df.sparkSession, path)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until no column is called so, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:

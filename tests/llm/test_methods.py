@@ -435,6 +435,21 @@ def test_estimates_are_unbiased_and_bounds_hold():
     assert abs(error[off].mean()) < 0.002 and (np.abs(error) <= bound[:, None])[off].mean() > 0.999
 
 
+@pytest.mark.parametrize("rows", [10, 10**4, 10**6, 10**8])
+def test_pairs_at_the_threshold_share_a_bucket(rows):
+    """Of pairs just above the threshold, next to none is in different buckets of all tables, however many bits these take; and the bounds rule out none."""
+    bits, tables = embedding_dedup.tables_for(rows, 0.98)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    y = 0.9801 * x + math.sqrt(1 - 0.9801**2) * y
+    same = (embedding_dedup._bits(x, tables, bits) == embedding_dedup._bits(y, tables, bits)).any(axis=1)
+    assert same.mean() >= 0.999
+
+
 # 9: secrets
 
 

@@ -1,4 +1,5 @@
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import table
@@ -21,3 +22,62 @@ def test_stages(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, seen, sf)
     assert pieces.select("doc_id").distinct().count() == seen.select("doc_id").distinct().count()
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").count() == 0
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split()
+LONG = "\n".join(" ".join(f"{WORDS[(k * j) % 15]}{k % 89}" for j in range(9)) for k in range(2500))
+TEXTS = [(1, "one two three four five six"), (1, "one two three four five six"), (2, None), (3, ""), (4, "  \n\t"), (None, "no id here at all"), (5, LONG), (6, LONG), (7, "x y z"), (8, "x y z")]
+CLASHES = [c for name in ("n_lines", "n_removed", "quality_score") for c in (name, name + "_")] + "id id_ text_key doc key spans copies size taken_ turn row row_key score kept body block".split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """A folder with documents of odd rows and columns, and labels."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    rows = [(i, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else f"s{k % 2}", None if t is None else len(t), *range(len(CLASHES))) for k, (i, t) in enumerate(TEXTS)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHES)
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, 1, 0), (5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, odd, name):
+    docs = table(spark, odd, "documents")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    found = stage(spark, docs, odd)
+    rows = found.collect()
+    if name == "packing":
+        ends = [r for r in rows if r.doc_id in (2, 3)]
+        assert {r.doc_id for r in rows} == {i for i, _ in TEXTS} and all(r.doc_tokens == r.length == 1 for r in ends) and len(ends) == 2
+        assert sum(r.length for r in rows if r.doc_id == 5) == next(r.doc_tokens for r in rows if r.doc_id == 5)
+    else:
+        assert found.columns == docs.columns
+        texts = sorted(((r.doc_id, r.text) for r in rows), key=str)
+        given = sorted(TEXTS, key=str)
+        if name == "quality_classifier":
+            assert texts == given  # every label known is one
+        elif name == "line_dedup":
+            # the copy of the long text goes, with its last line; nothing else is a run of fifty words
+            assert [i for i, _ in texts if i != 6] == [i for i, _ in given if i != 6] and 6 not in dict(texts)
+            assert all(t == dict(TEXTS)[i] for i, t in texts if i != 5) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        elif name == "jaccard_join":
+            assert texts == sorted([(1, TEXTS[0][1]), (2, None), (3, ""), (4, "  \n\t"), (None, "no id here at all"), (5, LONG), (7, "x y z")], key=str)
+        else:
+            assert set(texts) <= set(given)
+            held = {tuple(r) for r in docs.collect()}
+            assert all(tuple(r) in held for r in rows)
+            for source in {r.source for r in docs.collect()}:
+                most = max((len((t or "").split()) for i, t in TEXTS), default=0)
+                assert sum(len((r.text or "").split()) for r in rows if r.source == source) <= 3 * most * 3
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_no_rows(spark, odd, name):
+    docs = table(spark, odd, "documents").limit(0)
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, odd).collect() == []
+
+
+def test_run_on_odd_rows(spark, odd):
+    found = corpus_pipeline.run(spark, odd).collect()
+    assert {r.doc_id for r in found} <= {i for i, _ in TEXTS} and any(r.doc_id == 5 for r in found)
