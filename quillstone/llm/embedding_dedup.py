@@ -101,7 +101,12 @@ def dedup(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     vectors and those with null or non-finite components link with nothing.
     Repeated rows are vectors of their own and link. The component is named by its
     smallest id, a null id being larger than any other; kept tells whether that is
-    the row's own. An empty table gives no rows.
+    the row's own. Vectors are of any length, further columns are ignored. An
+    empty table gives no rows.
+
+    A pair just at the threshold shares no bucket with a chance of ``MISS``, and
+    its estimate is off by more than ``DEVIATIONS`` with one of 1 in 16,000; pairs
+    of a higher cosine are missed less. Every pair found is computed exactly.
     """
     label = F.lit("") if label_column is None else F.col(label_column).cast("string")
     picked = vectors.select(F.col(id_column).alias("id"), label.alias("label"), F.col(vector_column).cast("array<double>").alias("v"))

@@ -98,7 +98,9 @@ def judge(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source
     host)`` documents of its host hold it; exact copies within a host count as
     one document. A document is rejected if it fails the base rules or if less
     than ``min_left`` of its words remain. Null and empty texts have no words and
-    fail; a null host is a host of its own. Repeated rows are judged alike.
+    fail; a null host is a host of its own. Repeated rows are judged alike. Texts
+    of any length are read whole, lines that tie with the limit stay, and further
+    columns are ignored. An empty table gives no rows.
     """
     rows = materialise(features(docs, id_column, host_column, text_column, with_text).withColumn("uid", F.monotonically_increasing_id()), "line-features")
     known = rows.withColumn("host", F.coalesce(F.concat(F.lit("h"), "host"), F.lit("-")))

@@ -89,8 +89,9 @@ def pack(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text_c
     fill is topped up with the head of a waiting piece, which is cut; the ids
     that a partition has left at its end go to one window or to windows of powers
     of two, which need no padding. Null and empty texts are the end id alone;
-    texts of any length are cut; repeated rows are packed each; an empty table
-    gives no pieces.
+    texts of any length are cut; repeated rows are packed each; of pieces of one
+    length the last to wait goes first; further columns are ignored; an empty
+    table gives no pieces.
     """
     kind = docs.select(id_column).schema[0].dataType.simpleString()
     schema = f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids

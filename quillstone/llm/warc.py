@@ -24,7 +24,9 @@ from quillstone.llm.common import Out, materialise, staged_path
 
 END = b"\r\n\r\n"
 #: Bytes of compressed records from which on they make a file.
-FILE_BYTES = 1 << 22
+FILE_BYTES = 1 << 24
+#: A gzip member without content, which ends each file.
+LAST = gzip.compress(b"", 6, mtime=0)
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -90,15 +92,18 @@ def page_records(key: str, serial: str, url: str | None, payload: bytes, refers_
         yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:x-page:{key}:{serial}:{number}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(number)), *last], block[at : at + segment])
 
 
-def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", segment: int = 1 << 16, chunk: int = 1 << 13, file_bytes: int = FILE_BYTES) -> None:
+def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", segment: int = 1 << 16, chunk: int = 1 << 13, file_bytes: int = FILE_BYTES, names: bool = True) -> None:
     """Write a response or revisit record for each row to WARC files under ``path``, each record a gzip member.
 
     A worker holds the members of one file. Files are written by Spark's text
-    sink, which puts a zero byte at their end; readers take it as padding.
+    sink, whose line separator is a gzip member without content. With ``names``
+    the driver then names them ``.warc.gz``, one by one.
 
     Of rows with equal payloads that with the smallest id gets the response, its
     repetitions with the same id too; the others refer to it. A null payload is
-    empty, a null url an empty one, a null id is larger than any other.
+    empty, a null url an empty one, a null id is larger than any other; payloads
+    of any length are cut into segments; further columns are ignored; an empty
+    table gives a folder without records.
     """
     body = F.coalesce(F.col(payload_column), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("digest"))
@@ -129,7 +134,23 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: s
             yield file()
 
     files = paired.select("id", "url", "body", F.col("first").alias("to")).mapInArrow(run, "content binary")
-    files.select(F.col("content").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    sink = files.select(F.col("content").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", LAST.decode("latin-1"))
+    sink.option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    if names:
+        _name(pages.sparkSession, path)
+
+
+def _name(spark: SparkSession, path: str) -> None:
+    """Name the archives under ``path`` as readers expect, and remove the sink's mark and files without records."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        file = status.getPath()
+        if status.getLen() == 0:
+            system.delete(file, False)
+        elif file.getName().endswith(".txt"):
+            system.rename(file, jvm.org.apache.hadoop.fs.Path(folder, file.getName().removesuffix(".txt") + ".warc.gz"))
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -189,8 +210,8 @@ def _page_row(fields: dict[str, str], block: bytes, number: int | None = None, t
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """page_id as text, payload_bytes, payload_digest, record_type, refers_to as text, and payload, of each page in the archives.
 
-    A file is read by one task, and its records are bounded by the segments'
-    size. Segments of one record meet in one task, those of other records do not.
+    A file is read whole by one task, so its size, 2 GB at most, is bounded by what
+    a worker holds; its records are bounded by the segments' size. Segments of one record meet in one task, those of other records do not.
     Missing segments, a wrong total length and a wrong digest are errors; a
     folder without records gives no rows.
     """
@@ -236,9 +257,14 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
 
 def round_trip(pages: DataFrame, id_column: str = "page_id", **options) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back, without the payloads."""
+    """Write ``pages`` to archives in the shared folder and read them back, without the payloads: a row for each of ``pages``.
+
+    Null, empty and long payloads, equal ones, repeated rows and further columns
+    are treated as ``write`` says; ids come back in their own type. An empty table
+    gives no rows.
+    """
     path = staged_path(pages.sparkSession, "warc")
-    write(pages, path, id_column, **options)
+    write(pages, path, id_column, names=False, **options)
     back = read(pages.sparkSession, path, with_payload=False)
     kind = pages.schema[id_column].dataType
     number = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)

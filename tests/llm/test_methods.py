@@ -378,8 +378,10 @@ def test_warc_round_trip_with_segments_and_revisits(spark, tmp_path):
     for i, _, p in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         first.setdefault(p or "", i)
     assert len(found) == len(rows)
-    files = [x for x in tmp_path.glob("archive/part-*")]
-    assert len(files) > 3 and sum(gzip.open(x).read().count(b"WARC/1.1\r\nWARC-Type") for x in files) > len(rows)
+    files = [x for x in tmp_path.glob("archive/*") if x.is_file()]
+    assert len(files) > 3 and all(x.name.endswith(".warc.gz") for x in files)
+    contents = [gzip.decompress(x.read_bytes()) for x in files]
+    assert sum(c.count(b"WARC/1.1\r\nWARC-Type") for c in contents) > len(rows) and all(c.endswith(b"\r\n\r\n") for c in contents)
     for r in found:
         key = int(r.page_id) if r.page_id else None
         body = next((p or "").encode() for i, _, p in rows if i == key)
