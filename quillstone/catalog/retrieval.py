@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillstone.catalog.base import Registry, table
 from quillstone.catalog.records import RECORDS, _docs
 from quillstone.operators import context, evaluation, ingest, lexical, retrieval, vector
+from quillstone.sources.tables import shared_folder
 
 R = Registry()
 KEYS = ["partition_key", "id"]
@@ -18,36 +21,83 @@ def _queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _search_sql(match: str = "any", scoring: str = "bm25", top: int = 10) -> str:
-    raw = "sum(idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * greatest(length, 1) / greatest(average, 1.0))))"
-    base = "raw / max(raw) OVER (PARTITION BY query_id)"
+NORMAL = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
+
+
+def _queries_sql(text: str) -> str:
+    """q (query_id, query, term, n_terms, word), spans (query_id, span, n) and asks (query_id, n_words, n_spans) of queries from ``text``, which gives query_id and raw."""
+    return rf"""
+raws0 AS ({text}),
+raws1 AS (SELECT *, contains(raw, '"') AND (length(raw) - length(replace(raw, '"', ''))) % 2 = 0 AS paired FROM raws0),
+raws2 AS (SELECT query_id, {NORMAL.format("replace(raw, '\"', ' ')")} AS query, {TOKENS.format("raw")} AS every, {TOKENS.format("CASE WHEN paired THEN regexp_replace(raw, '\"[^\"]*\"', ' ', 'g') ELSE raw END")} AS outside,
+ regexp_extract_all(raw, '"([^"]+)"', 1) AS quotes, paired FROM raws1),
+raws3 AS (SELECT query_id, query, list_filter(list_distinct(list_transform(quotes, lambda p: {NORMAL.format("p")})), lambda p: p <> '') AS phrases, CASE WHEN paired THEN list_filter(list_distinct(list_transform(quotes, lambda p: array_to_string({TOKENS.format("p")}, ' '))), lambda p: p <> '') ELSE [] END AS spans,
+ list_filter(every, lambda t: length(t) > 1 AND t NOT IN ({STOP})) AS kept, every, list_filter(outside, lambda t: length(t) > 1 AND t NOT IN ({STOP})) AS kept_outside, outside FROM raws2),
+raws4 AS (SELECT query_id, query, phrases, spans, list_distinct(CASE WHEN len(kept) > 0 THEN kept ELSE every END) AS terms, CASE WHEN len(outside) = 0 AND len(spans) > 0 THEN [] ELSE list_distinct(CASE WHEN len(kept_outside) > 0 THEN kept_outside ELSE outside END) END AS words FROM raws3),
+q AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n_terms, words FROM raws4)"""
+
+
+PLAIN = "SELECT item_id AS query_id, text AS raw FROM benchmark"
+#: The third to fifth word quoted, the first few words outside, of every benchmark text.
+QUOTING = "SELECT item_id AS query_id, w[1] || ' \"' || w[3] || ' ' || w[4] || '  ' || upper(w[5]) || '\" ' || w[7] AS raw FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)"
+LEAVES = {"text": "SELECT partition_key, id, 'text' AS field, text FROM records", "both": "SELECT partition_key, id, 'text' AS field, text FROM records UNION ALL SELECT partition_key, id, 'lang', lang FROM records"}
+
+
+def _search_sql(match: str = "any", scoring: str = "bm25", top: int = 10, queries: str = PLAIN, leaves: str = "text", prefix: int | None = None, boost: str = "1.0", meta: str = "false", required: str = "true", scan: int = 5000, more: str = "") -> str:
+    raw = "sum(idf * (wtf * 2.2) / (wtf + 1.2 * (0.25 + 0.75 * greatest(length, 1) / greatest(average, 1.0))))"
+    base = "CASE WHEN max(raw) OVER (PARTITION BY query_id) > 0 THEN raw / max(raw) OVER (PARTITION BY query_id) ELSE 0 END"
     if scoring == "coverage":
         raw, base = "0.8 * any_value(matched) / any_value(n_terms) + 0.2 * least(1.0, sum(tf) / any_value(n_terms))", "least(1.0, raw)"
-    only = "WHERE matched = n_terms" if match == "all" else ""
+    only = "n_words = asked AND n_spans = quoted" if match == "all" else "n_words + n_spans > 0"
+    longer = rf"""longer AS (SELECT query_id, partition_key, id, field, q.term, n_terms, words, sum(tf) AS tf FROM q JOIN posts p ON length(q.term) >= {prefix} AND starts_with(p.term, q.term) AND p.term <> q.term GROUP BY ALL),
+hits AS (SELECT * FROM exact UNION ALL SELECT l.* FROM longer l ANTI JOIN exact e ON l.query_id = e.query_id AND l.partition_key = e.partition_key AND l.id = e.id AND l.field = e.field AND l.term = e.term),""" if prefix else "hits AS (SELECT * FROM exact),"
     return rf"""
-WITH records AS ({RECORDS}),
-toks AS (SELECT partition_key, id, unnest({TOKENS.format("text")}) AS term FROM records),
-posts AS (SELECT partition_key, id, term, count(*) AS tf FROM toks GROUP BY ALL),
-lens AS (SELECT partition_key, id, len({TOKENS.format("text")}) AS length FROM records),
-q0 AS (SELECT item_id AS query_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS query, {TOKENS.format("text")} AS every FROM benchmark),
-q1 AS (SELECT query_id, query, every, list_filter(every, lambda t: length(t) > 1 AND t NOT IN ({STOP})) AS kept FROM q0),
-q2 AS (SELECT DISTINCT query_id, query, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE every END) AS term FROM q1),
-q AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM q2),
-hits AS (SELECT query_id, query, n_terms, partition_key, id, term, tf FROM q JOIN posts USING (term)),
-docs AS (SELECT query_id, partition_key, id, any_value(n_terms) AS n_terms, count(*) AS matched FROM hits GROUP BY query_id, partition_key, id),
-seen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, partition_key, id) AS r FROM docs {only}),
-cand AS (SELECT query_id, partition_key, id, matched, length, count(*) OVER (PARTITION BY query_id) AS n, avg(length) OVER (PARTITION BY query_id) AS average FROM seen JOIN lens USING (partition_key, id) WHERE r <= 5000),
-parts AS (SELECT h.*, c.matched, c.length, c.n, c.average, count(*) OVER (PARTITION BY h.query_id, term) AS df FROM hits h JOIN cand c USING (query_id, partition_key, id)),
-scored AS (SELECT *, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM parts),
-raws AS (SELECT query_id, any_value(query) AS query, partition_key, id, any_value(matched) AS matched, {raw} AS raw FROM scored GROUP BY query_id, partition_key, id),
+WITH records AS ({RECORDS}), leaves AS ({LEAVES[leaves]}),
+posts AS (SELECT partition_key, id, field, term, count(*) AS tf FROM (SELECT partition_key, id, field, unnest({TOKENS.format("text")}) AS term FROM leaves) GROUP BY ALL),
+lens AS (SELECT partition_key, id, sum(len({TOKENS.format("text")})) AS length FROM leaves GROUP BY ALL), whole AS (SELECT count(*) FILTER (WHERE length > 0) AS documents, avg(length) FILTER (WHERE length > 0) AS mean FROM lens),
+{_queries_sql(queries)},
+exact AS (SELECT query_id, partition_key, id, field, q.term, n_terms, words, tf FROM q JOIN posts USING (term)),
+{longer}
+terms AS (SELECT query_id, partition_key, id, n_terms, term, list_contains(any_value(words), term) AS word, sum(tf * {boost}) AS wtf, sum(tf) AS tf, bool_or({meta}) AS meta FROM hits GROUP BY query_id, partition_key, id, n_terms, term),
+often AS (SELECT query_id, term, count(*) AS often FROM terms GROUP BY ALL),
+spans AS (SELECT query_id, unnest(spans) AS span FROM raws4),
+joined AS (SELECT partition_key, id, ' ' || array_to_string({TOKENS.format("text")}, '  ') || ' ' AS joined FROM leaves),
+held AS (SELECT query_id, span, partition_key, id, sum((length(joined) - length(replace(joined, ' ' || replace(span, ' ', '  ') || ' ', ''))) / (length(replace(span, ' ', '  ')) + 2)) AS tf FROM spans JOIN joined ON contains(joined, ' ' || replace(span, ' ', '  ') || ' ') GROUP BY ALL),
+units AS (SELECT query_id, partition_key, id, 1 AS w, 0 AS s, tf, often FROM terms JOIN often USING (query_id, term) WHERE word UNION ALL SELECT query_id, partition_key, id, 0, 1, tf, count(*) OVER (PARTITION BY query_id, span) FROM held),
+docs AS (SELECT query_id, partition_key, id, sum(w) AS n_words, sum(s) AS n_spans, sum(greatest(ln((documents - often + 0.5) / (often + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / greatest(mean, 1.0)))) AS sorting, any_value(length) AS length FROM units JOIN lens USING (partition_key, id), whole GROUP BY query_id, partition_key, id),
+seen AS (SELECT d.*, row_number() OVER (PARTITION BY query_id ORDER BY round(sorting, 9) DESC, partition_key, id) AS r FROM docs d JOIN (SELECT query_id, len(words) AS asked, len(spans) AS quoted FROM raws4) a USING (query_id) JOIN records USING (partition_key, id) WHERE {only} AND {required}),
+cand AS (SELECT query_id, partition_key, id, length, count(*) OVER (PARTITION BY query_id) AS n, avg(length) OVER (PARTITION BY query_id) AS average FROM seen WHERE r <= {scan}),
+parts AS (SELECT t.*, count(*) OVER (PARTITION BY t.query_id, term) AS df, count(*) OVER (PARTITION BY t.query_id, t.partition_key, t.id) AS matched FROM terms t JOIN cand c USING (query_id, partition_key, id)),
+scored AS (SELECT c.*, n_terms, wtf, tf, meta, COALESCE(matched, 0) AS matched, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM cand c LEFT JOIN parts p USING (query_id, partition_key, id)),
+raws AS (SELECT query_id, partition_key, id, any_value(matched) AS matched, any_value(n_terms) AS n_terms, COALESCE(bool_or(meta), false) AS meta, COALESCE({raw}, 0) AS raw FROM scored GROUP BY query_id, partition_key, id),
 based AS (SELECT *, {base} AS base FROM raws),
-boosted AS (SELECT b.query_id, partition_key, id, matched, least(1.0, base + CASE WHEN contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), query) THEN 0.15 ELSE 0 END + CASE WHEN lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) = query THEN 0.25 ELSE 0 END) AS score FROM based b JOIN records USING (partition_key, id)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id) AS rank FROM boosted)
-SELECT query_id, partition_key, id, matched, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= {top}"""
+near AS (SELECT b.query_id, b.partition_key, b.id, bool_or(query <> '' AND contains({NORMAL.format("text")}, query) OR len(list_filter(phrases, lambda p: contains({NORMAL.format("text")}, p))) > 0) AS phrase, bool_or(query <> '' AND {NORMAL.format("text")} = query OR list_contains(phrases, {NORMAL.format("text")})) AS exact,
+ bool_or(({meta}) AND (query <> '' AND contains({NORMAL.format("text")}, query) OR len(list_filter(phrases, lambda p: contains({NORMAL.format("text")}, p))) > 0)) AS meta_text FROM based b JOIN leaves USING (partition_key, id) JOIN raws4 USING (query_id) GROUP BY ALL),
+boosted AS (SELECT query_id, partition_key, id, matched, base, least(1.0, base + CASE WHEN phrase THEN 0.15 ELSE 0 END + CASE WHEN exact THEN 0.25 ELSE 0 END + CASE WHEN meta OR meta_text THEN 0.1 ELSE 0 END) AS score, phrase, raw FROM based b JOIN near USING (query_id, partition_key, id) {"WHERE matched >= n_terms" if match == "all" else ""}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id) AS rank FROM boosted WHERE score > 0)
+SELECT query_id, partition_key, id, matched::INTEGER AS matched, round(score, 6) AS score, rank::INTEGER AS rank{more} FROM ranked WHERE rank <= {top}"""
+
+
+#: The indexes that queries of a session share, by application and tables.
+_INDEXES: dict[tuple, lexical.Index] = {}
+
 
+def _texts(spark, sf_dir, fields=("text",)):
+    return lexical.wide(_docs(spark, sf_dir), list(fields), KEYS)
 
-def _search(spark, sf_dir, **options):
-    found = lexical.search(_docs(spark, sf_dir), _queries(spark, sf_dir), ["text"], lexical.Options(**options))
+
+def _index(spark, sf_dir, fields=("text",)) -> lexical.Index:
+    """The stored index of the documents' fields, built when it is first asked for."""
+    name = (spark.sparkContext.applicationId, sf_dir, fields)
+    if name not in _INDEXES:
+        folder = f"{shared_folder(spark)}/lexical/{uuid.uuid4().hex}"
+        _INDEXES[name] = lexical.Index.build(_texts(spark, sf_dir, fields), folder, KEYS)
+    return _INDEXES[name]
+
+
+def _search(spark, sf_dir, queries=None, fields=("text",), metadata=(), explain=False, **options):
+    asked = _queries(spark, sf_dir) if queries is None else queries
+    found = lexical.search(_index(spark, sf_dir, fields), _texts(spark, sf_dir, fields), asked, lexical.Options(**options), metadata, explain)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -66,33 +116,44 @@ def lexical_coverage(spark, sf_dir):
     return _search(spark, sf_dir, top=10, scoring="coverage")
 
 
-NORMAL = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
-PREFIX = rf"""
-WITH records AS ({RECORDS}),
-posts AS (SELECT partition_key, id, field, term, count(*) AS tf FROM (SELECT partition_key, id, 'text' AS field, unnest({TOKENS.format("text")}) AS term FROM records UNION ALL SELECT partition_key, id, 'lang', unnest({TOKENS.format("lang")}) FROM records) GROUP BY ALL),
-lens AS (SELECT partition_key, id, len({TOKENS.format("text")}) + len({TOKENS.format("lang")}) AS length FROM records),
-q0 AS (SELECT item_id AS query_id, substring(text, 1, 40) AS head FROM benchmark), q1 AS (SELECT query_id, {NORMAL.format("head")} AS query, {TOKENS.format("head")} AS every FROM q0),
-q2 AS (SELECT *, list_filter(every, lambda t: length(t) > 1 AND t NOT IN ({STOP})) AS kept FROM q1),
-q3 AS (SELECT DISTINCT query_id, query, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE every END) AS term FROM q2), q AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM q3),
-exact AS (SELECT query_id, partition_key, id, field, q.term, n_terms, tf FROM q JOIN posts USING (term)),
-longer AS (SELECT query_id, partition_key, id, field, q.term, n_terms, sum(tf) AS tf FROM q JOIN posts p ON length(q.term) >= 5 AND starts_with(p.term, q.term) AND p.term <> q.term GROUP BY ALL),
-hits AS (SELECT * FROM exact UNION ALL SELECT l.* FROM longer l ANTI JOIN exact e ON l.query_id = e.query_id AND l.partition_key = e.partition_key AND l.id = e.id AND l.field = e.field AND l.term = e.term),
-terms AS (SELECT query_id, partition_key, id, n_terms, term, sum(tf * CASE field WHEN 'lang' THEN 2.0 ELSE 1.0 END) AS wtf, bool_or(field = 'lang') AS meta FROM hits GROUP BY ALL),
-seen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, partition_key, id) AS r FROM (SELECT query_id, partition_key, id, count(*) AS matched FROM terms GROUP BY ALL)),
-cand AS (SELECT query_id, partition_key, id, matched, length, count(*) OVER (PARTITION BY query_id) AS n, avg(length) OVER (PARTITION BY query_id) AS average FROM seen JOIN lens USING (partition_key, id) WHERE r <= 5000),
-parts AS (SELECT t.*, matched, length, n, average, count(*) OVER (PARTITION BY t.query_id, term) AS df FROM terms t JOIN cand c USING (query_id, partition_key, id)),
-raws AS (SELECT query_id, partition_key, id, any_value(matched) AS matched, bool_or(meta) AS meta, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (wtf * 2.2) / (wtf + 1.2 * (0.25 + 0.75 * greatest(length, 1) / greatest(average, 1.0)))) AS raw FROM parts GROUP BY query_id, partition_key, id),
-based AS (SELECT *, raw / max(raw) OVER (PARTITION BY query_id) AS base FROM raws),
-boosted AS (SELECT b.query_id, b.partition_key, b.id, matched, least(1.0, base + CASE WHEN contains({NORMAL.format("text")}, query) OR contains({NORMAL.format("lang")}, query) THEN 0.15 ELSE 0 END + CASE WHEN {NORMAL.format("text")} = query OR {NORMAL.format("lang")} = query THEN 0.25 ELSE 0 END + CASE WHEN meta THEN 0.1 ELSE 0 END) AS score FROM based b JOIN records r ON r.partition_key = b.partition_key AND r.id = b.id JOIN q1 ON q1.query_id = b.query_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id) AS rank FROM boosted)
-SELECT query_id, partition_key, id, matched, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10"""
-
-
-@R.query(PREFIX)
+@R.query(_search_sql(scan=20))
+def lexical_scan_limit(spark, sf_dir):
+    return _search(spark, sf_dir, top=10, scan_limit=20)
+
+
+def _quoting(spark, sf_dir):
+    w = F.split("text", " ")
+    raw = F.concat(F.get(w, 0), F.lit(' "'), F.get(w, 2), F.lit(" "), F.get(w, 3), F.lit("  "), F.upper(F.get(w, 4)), F.lit('" '), F.get(w, 6))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), raw.alias("query"))
+
+
+@R.query(_search_sql(queries=QUOTING))
+def lexical_phrases(spark, sf_dir):
+    return _search(spark, sf_dir, _quoting(spark, sf_dir), top=10)
+
+
+@R.query(_search_sql(queries=QUOTING, match="all"))
+def lexical_phrases_all(spark, sf_dir):
+    return _search(spark, sf_dir, _quoting(spark, sf_dir), top=10, match="all")
+
+
+REQUIRED = " AND ".join(f"(contains(' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ', ' {a} ') OR contains(' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ', ' {b} '))" for a, b in (("of the", "von der"), ("and the", "in the")))
+
+
+@R.query(_search_sql(required=REQUIRED))
+def lexical_required(spark, sf_dir):
+    return _search(spark, sf_dir, top=10, required=(("of the", "von der"), ("And the", "in the")))
+
+
+@R.query(_search_sql(leaves="both", prefix=5, boost="CASE field WHEN 'lang' THEN 2.0 ELSE 1.0 END", meta="field = 'lang'"))
 def lexical_prefix(spark, sf_dir):
-    queries = _queries(spark, sf_dir).select("query_id", F.substring("query", 1, 40).alias("query"))
-    found = lexical.search(_docs(spark, sf_dir), queries, ["text", "lang"], lexical.Options(prefix_from=5, top=10, boosts={"lang": 2.0}), metadata=("lang",))
-    return found.withColumn("score", F.round("score", 6))
+    return _search(spark, sf_dir, fields=("text", "lang"), metadata=("lang",), prefix_from=5, top=10, boosts={"lang": 2.0})
+
+
+@R.query(_search_sql(top=5, more=", round(base, 6) AS base, round(raw, 5) AS raw, CASE WHEN phrase THEN 0.15 ELSE 0.0 END AS phrase_boost"))
+def lexical_explain(spark, sf_dir):
+    found = _search(spark, sf_dir, top=5, explain=True)
+    return found.select("query_id", *KEYS, "matched", "score", "rank", F.round("base", 6).alias("base"), F.round("raw", 5).alias("raw"), "phrase_boost")
 
 
 @R.query(f"SELECT id FROM ({RECORDS}) WHERE contains(' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ', ' of the ') AND (contains(' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ', ' and the ') OR contains(' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ', ' in the '))")
@@ -390,10 +451,20 @@ def search_projection(spark, sf_dir):
     return collections.hydrate(keys, docs, ["doc_id"])
 
 
-@R.query(f"SELECT term, count(*) AS n, count(DISTINCT id) AS documents FROM (SELECT id, unnest({TOKENS.format('text')}) AS term FROM ({RECORDS})) GROUP BY term HAVING count(*) >= 20")
+@R.query(f"SELECT term, count(*) AS n, count(DISTINCT id) AS documents FROM (SELECT id, unnest({TOKENS.format('text')}) AS term FROM ({RECORDS})) GROUP BY term")
 def token_frequency(spark, sf_dir):
-    posted = lexical.postings(_docs(spark, sf_dir), ["text"], KEYS)
-    return posted.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("documents")).filter("n >= 20")
+    posted = _index(spark, sf_dir).postings()
+    return posted.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("documents"))
+
+
+@R.query(f"WITH p AS (SELECT 'doc-' || doc_id AS id, unnest({TOKENS.format('CASE WHEN doc_id % 4 = 0 THEN lang || chr(32) || lang ELSE text END')}) AS term FROM documents WHERE doc_id % 9 <> 4 OR doc_id % 4 = 0) SELECT term, count(*) AS n, count(DISTINCT id) AS documents FROM p GROUP BY term")
+def lexical_index_update(spark, sf_dir):
+    """The postings of an index after changes and removals, in segments, then as one."""
+    docs, folder = _docs(spark, sf_dir), f"{shared_folder(spark)}/lexical/{uuid.uuid4().hex}"
+    index = lexical.Index.build(lexical.wide(docs.filter("doc_id % 3 <> 1"), ["text"], KEYS), folder, KEYS)
+    index = index.update(lexical.wide(docs.filter("doc_id % 3 = 1"), ["text"], KEYS))
+    index = index.update(lexical.wide(docs.filter("doc_id % 4 = 0").withColumn("text", F.concat_ws(" ", "lang", "lang")), ["text"], KEYS), docs.filter("doc_id % 9 = 4"))
+    return index.compacted(f"{folder}-one").postings().groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("documents"))
 
 
 @R.query(_vector_sql(f"list_cosine_similarity({A}, {B})", 50).replace("rank <= 50", "rank <= 50 AND score >= 0.25"))

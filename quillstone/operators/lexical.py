@@ -1,22 +1,39 @@
-"""Batches of lexical queries over documents: BM25 or coverage, phrases, prefixes, boosts.
+"""Lexical search: a stored inverted index, and batches of queries over it.
 
-All queries run in one job. Statistics are those of each query's candidates, as
-scoring defines them: documents that match any term (or all), within the scan
-limit. Scores are divided by the query's best, boosted and cut at one.
+An index holds postings (keys, field, term, tf and the document's length) sorted
+by term, so that a query's terms select row groups, and the keys that each
+segment of it wrote. All queries of a batch run in one job. Candidates come from
+postings alone: documents that hold any (or all) of a query's words and quoted
+phrases, the best ``scan_limit`` of them by BM25 over the whole index. Statistics
+for scoring are those of a query's candidates; scores are divided by the query's
+best, boosted and cut at one. Texts are read for those documents alone that a
+boost can still bring among the best.
+
+Texts come as leaves: keys, field and text, one row a field.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# The words that a query drops.
+# The words that a query drops, the fields searched unless others are named, and the scale of BM25 in the candidates' order.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with")
+DEFAULT_FIELDS = ("/content", "/metadata", "/id", "/type", "/sources")
+ORDER_K1, ORDER_B, LEAST_IDF = 1.2, 0.75, 1e-6
+MOST_GROUPS, MOST_PHRASE = 16, 256
 TOKEN = r"[\p{L}\p{N}]+"
+#: Words that are handed to the scan as literals; beyond that they are joined.
+LITERALS = 4096
+#: Rows of an index that one of its files holds, about.
+FILE_ROWS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -33,12 +50,24 @@ class Options:
     top: int = 50
     min_score: float | None = None
     boosts: dict[str, float] = field(default_factory=dict)
+    required: tuple[tuple[str, ...], ...] = ()
 
     def __post_init__(self):
         if self.k1 <= 0 or not 0 <= self.b <= 1 or self.scoring not in ("bm25", "coverage") or self.match not in ("any", "all"):
             raise ValueError(f"not valid: {self}")
         if self.prefix_from is not None and self.prefix_from <= 0 or any(v < 0 for v in self.boosts.values()):
             raise ValueError(f"not valid: {self}")
+        if self.scan_limit <= 0 or self.top <= 0:
+            raise ValueError(f"not valid: {self}")
+        normal_groups(self.required)
+
+
+def normal_groups(groups: tuple[tuple[str, ...], ...]) -> list[list[str]]:
+    """Required phrases as tokens joined by blanks, within the limits."""
+    found = [list(dict.fromkeys(" ".join(re.findall(r"[^\W_]+", p.lower())) for p in g)) for g in groups]
+    if len(found) > MOST_GROUPS or any(not 0 < len(g) <= MOST_GROUPS or not all(0 < len(p) <= MOST_PHRASE for p in g) for g in found):
+        raise ValueError("required phrases: 16 groups of 1 to 16 phrases of 1 to 256 characters at most")
+    return found
 
 
 def tokens(text: Column) -> Column:
@@ -57,98 +86,331 @@ def query_terms(text: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(every)
 
 
-def quoted(text: str) -> list[str]:
-    """Phrases between pairs of quotes, normalised; an unpaired quote opens none."""
-    found = [" ".join(p.lower().split()) for p in re.findall(r'"([^"]*)"', text)]
-    return [p for p in dict.fromkeys(found) if p]
+def quoted(text: Column) -> Column:
+    """What stands between pairs of quotes; an unpaired quote opens nothing."""
+    return F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
+
+
+def parse(queries: DataFrame) -> DataFrame:
+    """query_id, query (normalised, without quotes), terms, phrases (normalised, to boost), and what makes a candidate: words and spans.
+
+    Spans are the quoted phrases as tokens joined by blanks; they and the words
+    outside of them select documents if all quotes are paired, else all words do.
+    """
+    text = F.col("query")
+    paired = (F.regexp_count(text, F.lit('"')) % 2 == 0) & text.contains('"')
+    spans = F.filter(F.array_distinct(F.transform(quoted(text), lambda p: F.array_join(tokens(p), " "))), lambda p: p != "")
+    spans = F.when(paired, spans).otherwise(F.array().cast("array<string>"))
+    outside = tokens(F.when(paired, F.regexp_replace(text, '"[^"]*"', " ")).otherwise(text))
+    words = F.when((F.size(outside) == 0) & (F.size(spans) > 0), F.array().cast("array<string>")).otherwise(query_terms(F.array_join(outside, " ")))
+    phrases = F.filter(F.array_distinct(F.transform(quoted(text), normal)), lambda p: p != "")
+    return queries.select("query_id", normal(F.translate(text, '"', " ")).alias("query"), query_terms(text).alias("terms"), phrases.alias("phrases"), words.alias("words"), spans.alias("spans"))
+
+
+def wide(documents: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
+    """Leaves of plain columns, each a field by its name."""
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))
+    return documents.select(*keys, F.explode(parts).alias("f")).select(*keys, "f.field", "f.text").filter("text IS NOT NULL")
+
+
+def leaves(records: DataFrame, keys: list[str], body: str = "body", fields: tuple[str, ...] = DEFAULT_FIELDS) -> DataFrame:
+    """Leaves of JSON bodies: every scalar below one of the fields' pointers, by its own pointer; nulls are left out, truth values are True and False."""
+    kinds = [records.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, paths, texts = [], [], []
+            for n, text in enumerate(batch.column(len(keys)).to_pylist()):
+                try:
+                    root = json.loads(text or "null")
+                except ValueError:
+                    continue
+                for pointer in fields:
+                    for path, value in _scalars(root, pointer):
+                        rows.append(n)
+                        paths.append(path)
+                        texts.append(value)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=[*keys, "field", "text"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+    return records.select(*keys, body).mapInArrow(run, f"{schema}, field string, text string")
+
+
+def _scalars(root: object, pointer: str) -> Iterator[tuple[str, str]]:
+    value = root
+    for part in pointer.strip("/").split("/"):
+        part = part.replace("~1", "/").replace("~0", "~")
+        if isinstance(value, dict) and part in value:
+            value = value[part]
+        elif isinstance(value, list) and part.isdigit() and int(part) < len(value):
+            value = value[int(part)]
+        else:
+            return
+    todo = [(pointer, value)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{path}/{k}", v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            todo += [(f"{path}/{k}", v) for k, v in reversed(list(enumerate(value)))]
+        elif value is not None:
+            yield path, value if isinstance(value, str) else str(value) if isinstance(value, bool) else json.dumps(value)
+
+
+def postings(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, term, tf, length): one scan, one shuffle by document. The length is that of all of a document's fields."""
+    listed = texts.groupBy(*keys).agg(F.collect_list(F.struct("field", tokens(F.col("text")).alias("terms"))).alias("fields"))
+    length = F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["terms"]))
+    each = listed.select(*keys, length.alias("length"), F.explode("fields").alias("f")).select(*keys, "length", "f.field", F.explode("f.terms").alias("term"))
+    return each.groupBy(*keys, "length", "field", "term").agg(F.count(F.lit(1)).alias("tf")).select(*keys, "field", "term", "tf", "length")
+
+
+@dataclass(frozen=True)
+class Index:
+    """An index's folder. Segments are never changed: a later one replaces the documents that it names."""
 
+    spark: SparkSession
+    path: str
+    keys: tuple[str, ...]
+    segments: int
 
-def postings(documents: DataFrame, fields: list[str], keys: list[str], terms: DataFrame | None = None) -> DataFrame:
-    """(keys, field, term, tf): one scan, tokens counted per document and field; of ``terms`` alone, if given, before anything is shuffled by document."""
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields))
-    each = documents.select(*keys, F.explode(parts).alias("f")).select(*keys, "f.field", F.explode("f.terms").alias("term"))
-    if terms is not None:
-        each = each.join(terms, "term", "left_semi")
-    return each.groupBy(*keys, "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    @classmethod
+    def build(cls, texts: DataFrame, path: str, keys: list[str]) -> Index:
+        found = cls(texts.sparkSession, path, tuple(keys), 0)
+        return found._write(texts, texts.select(*keys).distinct())
 
+    def _write(self, texts: DataFrame, named: DataFrame) -> Index:
+        folder = f"{self.path}/{self.segments}"
+        named.write.mode("overwrite").parquet(f"{folder}/named")
+        rows = postings(texts, list(self.keys)).repartitionByRange("term", *self.keys).sortWithinPartitions("term", *self.keys)
+        rows.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/postings")
+        back = self.spark.read.parquet(f"{folder}/postings")
+        totals = back.select(*self.keys, "length").distinct().agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+        self._count(back).write.mode("overwrite").parquet(f"{folder}/words")
+        return Index(self.spark, self.path, self.keys, self.segments + 1)
 
-def lengths(documents: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
-    return documents.select(*keys, sum((F.size(tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0)).alias("length"))
+    def _count(self, posted: DataFrame) -> DataFrame:
+        """term and often: in how many documents."""
+        return posted.select("term", *self.keys).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("often"))
 
+    def update(self, changed: DataFrame, removed: DataFrame | None = None) -> Index:
+        """The index with ``changed`` documents' leaves in place of what it has of them, and without ``removed`` keys: one segment more."""
+        named = changed.select(*self.keys)
+        return self._write(changed, (named if removed is None else named.unionByName(removed.select(*self.keys))).distinct())
 
-def search(documents: DataFrame, queries: DataFrame, fields: list[str], options: Options = Options(), keys: tuple[str, ...] = ("partition_key", "id"), metadata: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, keys, score and rank of the best documents of each query (query_id, query).
+    def compacted(self, path: str) -> Index:
+        """The same index as one segment."""
+        rows = self.postings()
+        rows.select(*self.keys).distinct().write.mode("overwrite").parquet(f"{path}/0/named")
+        rows.repartitionByRange("term", *self.keys).sortWithinPartitions("term", *self.keys).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/0/postings")
+        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{path}/0/totals")
+        self._count(rows).write.mode("overwrite").parquet(f"{path}/0/words")
+        return Index(self.spark, path, self.keys, 1)
 
-    Postings of the queries' terms alone are joined, so cost follows matches
-    and not queries times documents.
+    def postings(self, words: DataFrame | None = None) -> DataFrame:
+        """Postings that no later segment replaces, of ``words`` (term) alone if given: few go to the scan as literals, which select row groups."""
+        listed = None
+        if words is not None:
+            listed = [r[0] for r in words.distinct().limit(LITERALS + 1).collect()]
+        found = None
+        for k in range(self.segments):
+            part = self.spark.read.parquet(f"{self.path}/{k}/postings")
+            if listed is not None:
+                part = part.filter(F.col("term").isin(listed)) if len(listed) <= LITERALS else part.join(words.distinct(), "term", "left_semi").select(part.columns)
+            for later in range(k + 1, self.segments):
+                part = part.join(self.spark.read.parquet(f"{self.path}/{later}/named"), list(self.keys), "left_anti")
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    def often(self, words: DataFrame) -> DataFrame:
+        """term and often, in how many documents, of ``words``."""
+        if self.segments == 1:
+            return self.spark.read.parquet(f"{self.path}/0/words").join(words.distinct(), "term")
+        return self._count(self.postings(words))
+
+    def totals(self) -> DataFrame:
+        """One row: documents and words."""
+        if self.segments == 1:
+            return self.spark.read.parquet(f"{self.path}/0/totals")
+        return self.postings().select(*self.keys, "length").distinct().agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
+
+
+def boost_of(boosts: dict[str, float]) -> Column:
+    """The boost of a field: that of the longest configured path which is the field or lies above it, else one."""
+    found = F.lit(1.0)
+    for path, boost in sorted(boosts.items(), key=lambda x: len(x[0])):
+        found = F.when((F.col("field") == path) | F.col("field").startswith(path + "/"), F.lit(float(boost))).otherwise(found)
+    return found
+
+
+def is_metadata(metadata: tuple[str, ...]) -> Column:
+    """Whether a field counts as metadata: by its path, or as one of the names given."""
+    name = F.col("field")
+    return name.startswith("/metadata") | name.startswith("/sources") | (name == "/id") | name.startswith("/id/") | name.isin(*metadata)
+
+
+def _phrase_hits(index: Index, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """group columns, keys, tf, length of documents that hold a phrase (group columns and ``span``): those with all its words, then by their texts."""
+    keys, group = list(index.keys), [c for c in wanted.columns if c != "span"]
+    words = wanted.withColumn("term", F.explode(F.array_distinct(F.split("span", " "))))
+    size = F.size(F.array_distinct(F.split("span", " ")))
+    held = index.postings(words.select("term")).select(*keys, "term", "length").distinct().join(words, "term")
+    both = held.groupBy(*group, "span", *keys, "length").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == size).drop("n")
+    near = texts.join(both.select(*keys).distinct(), keys, "left_semi").select(*keys, F.concat(F.lit(" "), F.regexp_replace(F.array_join(tokens(F.col("text")), " "), " ", "  "), F.lit(" ")).alias("joined"))
+    # blanks are doubled, so that occurrences that follow one another are each counted
+    needle = F.concat(F.lit(" "), F.regexp_replace("span", " ", "  "), F.lit(" "))
+    found = both.join(near, keys).withColumn("tf", (F.length("joined") - F.length(F.replace(F.col("joined"), needle, F.lit("")))) / F.length(needle))
+    return found.groupBy(*group, "span", *keys, "length").agg(F.sum("tf").cast("bigint").alias("tf")).filter("tf > 0")
+
+
+def _hits(index: Index, asked: DataFrame, size: int | None) -> DataFrame:
+    """query_id, keys, field, term, tf, length, prefix and word (whether the term selects candidates) of the postings that queries meet."""
+    keys = list(index.keys)
+    columns = ["query_id", *keys, "field", "term", "tf", "length", "prefix", "word"]
+    if size is None:
+        return index.postings(asked.select("term")).join(asked, "term").withColumn("prefix", F.lit(False)).select(columns)
+    # a prefix counts in a field only where the term itself does not occur; heads of equal length are joined
+    posted = index.postings()
+    exact = posted.join(asked, "term").withColumn("prefix", F.lit(False)).select(columns)
+    long_enough = asked.filter(F.length("term") >= size).withColumn("head", F.substring("term", 1, size))
+    heads = posted.filter(F.length("term") > size).withColumn("head", F.substring("term", 1, size)).withColumnRenamed("term", "longer")
+    more = heads.join(long_enough, "head").filter(F.col("longer").startswith(F.col("term")) & (F.col("longer") != F.col("term"))).withColumn("prefix", F.lit(True))
+    both = exact.unionByName(more.select(columns)).repartition("query_id", *keys)
+    one = both.groupBy("query_id", *keys, "field", "term").agg(F.sum(F.when(~F.col("prefix"), F.col("tf"))).alias("own"), F.sum("tf").alias("all"), F.first("length").alias("length"), F.first("word").alias("word"))
+    return one.select("query_id", *keys, "field", "term", F.coalesce("own", "all").alias("tf"), "length", F.col("own").isNull().alias("prefix"), "word")
+
+
+def _with_rarest(index: Index, asked: DataFrame, units: DataFrame) -> DataFrame:
+    """The hits of documents that hold each query's rarest word: those are found first, and no other document's postings are moved."""
+    keys = list(index.keys)
+    words = asked.filter("word").select("query_id", "term").join(units, ["query_id", "term"], "left")
+    rare = words.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "term")).alias("term"))
+    few = index.postings(rare.select("term")).join(rare, "term").select("query_id", *keys).distinct()
+    posted = index.postings(asked.select("term")).join(few.select(*keys).distinct(), keys, "left_semi")
+    hits = posted.join(asked, "term").join(few, ["query_id", *keys], "left_semi").withColumn("prefix", F.lit(False))
+    return hits.select("query_id", *keys, "field", "term", "tf", "length", "prefix", "word")
+
+
+def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options = Options(), metadata: tuple[str, ...] = (), explain: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+    """query_id, keys, matched, score and rank of the best documents of each query (query_id, query).
+
+    texts: the leaves that the index was built from. candidates: keys of the
+    documents to search, if not all. With ``explain`` also the parts of the
+    score: base, raw, coverage, frequency, each boost, the matched terms, prefixes
+    and phrases, each term's idf and score, and the candidates' number and mean
+    length.
     """
-    keys = list(keys)
-    parts = queries.select("query_id", normal(F.col("query")).alias("query"), query_terms(F.col("query")).alias("terms"))
-    wanted = parts.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    posted = postings(documents, fields, keys, wanted.select("term").distinct() if options.prefix_from is None else None)
-    if options.prefix_from is None:
-        hits = posted.join(wanted, "term")
-        hits = hits.withColumn("prefix", F.lit(False))
+    keys = list(index.keys)
+    parsed = parse(queries)
+    asked = parsed.select("query_id", F.explode("terms").alias("term"), "words").withColumn("word", F.array_contains("words", F.col("term"))).drop("words")
+    spans = parsed.select("query_id", F.explode("spans").alias("span"))
+    has_spans = not spans.isEmpty()
+    if options.prefix_from is not None:
+        hits = _hits(index, asked, options.prefix_from)
+        units = hits.filter("word").select("query_id", "term", *keys).distinct().groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("often"))
     else:
-        # a prefix counts in a field only where the term itself does not occur; heads of equal length are joined
-        long_enough = wanted.filter(F.length("term") >= options.prefix_from).withColumn("head", F.substring("term", 1, options.prefix_from))
-        exact = posted.join(wanted, "term").withColumn("prefix", F.lit(False))
-        heads = posted.filter(F.length("term") > options.prefix_from).withColumn("head", F.substring("term", 1, options.prefix_from)).withColumnRenamed("term", "longer")
-        more = heads.join(long_enough, "head").filter(F.col("longer").startswith(F.col("term")) & (F.col("longer") != F.col("term")))
-        more = more.groupBy(*keys, "field", "query_id", "n_terms", "term").agg(F.sum("tf").alias("tf"))
-        more = more.join(exact.select(*keys, "field", "query_id", "term"), [*keys, "field", "query_id", "term"], "left_anti").withColumn("prefix", F.lit(True))
-        hits = exact.unionByName(more.select(exact.columns))
-    weight = F.lit(1.0)
-    for name, boost in options.boosts.items():
-        weight = F.when(F.col("field") == name, F.lit(float(boost))).otherwise(weight)
-    hits = hits.withColumn("weight", weight)
-    terms = hits.groupBy("query_id", *keys, "n_terms", "term").agg(F.sum(F.col("tf") * F.col("weight")).alias("wtf"), F.sum("tf").alias("tf"), F.max(F.col("field").isin(*metadata) if metadata else F.lit(False)).alias("in_metadata"))
+        words = asked.filter("word").select("query_id", "term")
+        units = words.join(index.often(words.select("term")), "term")
+        hits = _with_rarest(index, asked, units) if options.match == "all" and not has_spans else _hits(index, asked, None)
+    if candidates is not None:
+        hits = hits.join(candidates.select(*keys).distinct(), keys, "left_semi")
+    hits = hits.repartition("query_id", *keys).withColumns({"weighted": F.col("tf") * boost_of(options.boosts), "in_metadata": is_metadata(metadata)})
+    terms = hits.groupBy("query_id", *keys, "term").agg(F.sum("weighted").alias("wtf"), F.sum("tf").alias("tf"), F.first("length").alias("length"), F.first("word").alias("word"), F.max("prefix").alias("prefix"), F.max("in_metadata").alias("in_metadata"))
 
+    # the order of candidates, by statistics of the whole index
+    totals = index.totals()
+    mean = F.greatest(F.col("words") / F.greatest(F.col("documents"), F.lit(1)), F.lit(1.0))
+    weight = F.greatest(F.log((F.col("documents") - F.col("often") + 0.5) / (F.col("often") + 0.5)), F.lit(LEAST_IDF))
+    unit = weight * F.col("tf") * (ORDER_K1 + 1) / (F.col("tf") + ORDER_K1 * (1 - ORDER_B + ORDER_B * F.col("length") / mean))
+    listed = F.collect_list(F.struct("term", "wtf", "tf", "prefix", "in_metadata"))
+    per_word = terms.join(units, ["query_id", "term"], "left").join(F.broadcast(totals))
+    docs = per_word.groupBy("query_id", *keys).agg(listed.alias("terms"), F.count(F.when(F.col("word"), 1)).alias("n_words"), F.sum(F.when(F.col("word"), unit)).alias("order"), F.max("length").alias("length"))
+    if has_spans:
+        found = _phrase_hits(index, texts, spans)
+        if candidates is not None:
+            found = found.join(candidates.select(*keys).distinct(), keys, "left_semi")
+        number = found.groupBy("query_id", "span").agg(F.count(F.lit(1)).alias("often"))
+        held = found.join(number, ["query_id", "span"]).join(F.broadcast(totals))
+        held = held.groupBy("query_id", *keys).agg(F.count(F.lit(1)).alias("n_spans"), F.sum(unit).alias("span_order"), F.max("length").alias("span_length"))
+        docs = docs.join(held, ["query_id", *keys], "full_outer")
+        none = F.array().cast(docs.schema["terms"].dataType)
+        docs = docs.select("query_id", *keys, F.coalesce("terms", none).alias("terms"), F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), (F.coalesce("order", F.lit(0.0)) + F.coalesce("span_order", F.lit(0.0))).alias("order"), F.coalesce("length", "span_length").alias("length"))
+    else:
+        docs = docs.withColumn("n_spans", F.lit(0))
+    sizes = parsed.select("query_id", F.size("terms").alias("n_terms"), F.size("words").alias("n_asked"), F.size("spans").alias("n_quoted"))
+    docs = docs.join(sizes, "query_id")
+    docs = docs.filter((F.col("n_words") == F.col("n_asked")) & (F.col("n_spans") == F.col("n_quoted")) if options.match == "all" else F.col("n_words") + F.col("n_spans") > 0)
+    for group in normal_groups(options.required):
+        wanted = index.spark.createDataFrame([(p,) for p in group], "span string")
+        docs = docs.join(_phrase_hits(index, texts, wanted).select(*keys).distinct(), keys, "left_semi")
+    by_order = Window.partitionBy("query_id").orderBy(F.round("order", 9).desc(), *keys)
+    docs = docs.withColumn("at", F.row_number().over(by_order)).filter(F.col("at") <= options.scan_limit).drop("at", "order")
+
+    # scores, by statistics of a query's candidates
     per_query = Window.partitionBy("query_id")
-    docs = terms.groupBy("query_id", *keys, "n_terms").agg(F.count(F.lit(1)).alias("matched"))
-    if options.match == "all":
-        docs = docs.filter(F.col("matched") == F.col("n_terms"))
-    order = Window.partitionBy("query_id").orderBy(F.col("matched").desc(), *keys)
-    docs = docs.withColumn("seen", F.row_number().over(order)).filter(F.col("seen") <= options.scan_limit).drop("seen", "n_terms")
-    docs = docs.join(lengths(documents, fields, keys), keys)
     docs = docs.withColumns({"n": F.count(F.lit(1)).over(per_query), "average": F.avg("length").over(per_query)})
-    scored = terms.join(docs, ["query_id", *keys])
-    df = F.count(F.lit(1)).over(Window.partitionBy("query_id", "term"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    counted = docs.select("query_id", F.explode("terms.term").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    maps = counted.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("dfs"))
+    docs = docs.join(maps, "query_id", "left")
     ratio = F.greatest(F.col("length"), F.lit(1)) / F.greatest(F.col("average"), F.lit(1.0))
-    part = idf * (F.col("wtf") * (options.k1 + 1)) / (F.col("wtf") + options.k1 * (1 - options.b + options.b * ratio))
-    scored = scored.withColumn("df", df).withColumn("part", part)
-    totals = scored.groupBy("query_id", *keys, "n_terms", "matched").agg(F.sum("part").alias("bm25"), F.sum("tf").alias("all_tf"), F.max("in_metadata").alias("in_metadata"))
-    coverage = 0.8 * F.col("matched") / F.col("n_terms") + 0.2 * F.least(F.lit(1.0), F.col("all_tf") / F.col("n_terms"))
-    totals = totals.withColumn("raw", F.col("bm25") if options.scoring == "bm25" else coverage)
-    base = F.col("raw") / F.max("raw").over(per_query) if options.scoring == "bm25" else F.least(F.lit(1.0), F.col("raw"))
-    found = totals.withColumn("base", base)
-
-    # boosts need the texts of matches only
-    texts = documents.select(*keys, *(normal(F.col(f)).alias(f"n_{f}") for f in fields))
-    found = found.join(texts, keys).join(parts.select("query_id", "query"), "query_id")
-    phrase = exact_match = F.lit(False)
-    for name in fields:
-        inside = F.coalesce(F.col(f"n_{name}").contains(F.col("query")), F.lit(False)) & (F.col("query") != "")
-        phrase, exact_match = phrase | inside, exact_match | F.coalesce(F.col(f"n_{name}") == F.col("query"), F.lit(False))
-    boost = F.when(phrase, options.phrase_boost).otherwise(0.0) + F.when(exact_match, options.exact_boost).otherwise(0.0) + F.when(F.col("in_metadata"), options.metadata_boost).otherwise(0.0)
-    found = found.withColumn("score", F.least(F.lit(1.0), F.col("base") + boost)).filter(F.col("score") > 0)
+    idf = lambda t: F.ln(1 + (F.col("n") - F.element_at("dfs", t) + 0.5) / (F.element_at("dfs", t) + 0.5))
+    part = lambda x: idf(x["term"]) * (x["wtf"] * (options.k1 + 1)) / (x["wtf"] + options.k1 * (1 - options.b + options.b * ratio))
+    matched = F.size("terms")
+    coverage = F.when(F.col("n_terms") > 0, matched / F.col("n_terms")).otherwise(0.0)
+    frequency = F.when(F.col("n_terms") > 0, F.least(F.lit(1.0), F.aggregate("terms", F.lit(0).cast("bigint"), lambda n, x: n + x["tf"]) / F.col("n_terms"))).otherwise(0.0)
+    bm25 = F.aggregate("terms", F.lit(0.0), lambda s, x: s + part(x))
+    docs = docs.withColumns({"matched": matched, "coverage": coverage, "frequency": frequency, "raw": bm25 if options.scoring == "bm25" else 0.8 * coverage + 0.2 * frequency, "term_in_metadata": F.exists("terms", lambda x: x["in_metadata"])})
+    most = F.max("raw").over(per_query)
+    base = F.when(most > 0, F.col("raw") / most).otherwise(0.0) if options.scoring == "bm25" else F.least(F.lit(1.0), F.col("raw"))
+    docs = docs.withColumn("base", base)
+    if options.match == "all":
+        docs = docs.filter(F.col("matched") >= F.col("n_terms"))
+
+    # only what boosts can lift to the last place that counts needs its texts
+    boosts = options.phrase_boost + options.exact_boost + options.metadata_boost
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("base").desc()))
+    docs = docs.withColumn("place", place).withColumn("edge", F.max(F.when(F.col("place") == options.top, F.col("base"))).over(per_query))
+    docs = docs.filter(F.col("edge").isNull() | (F.col("base") + boosts + 1e-9 >= F.col("edge"))).drop("place", "edge")
+    near = texts.join(docs.select(*keys).distinct(), keys, "left_semi").select(*keys, "field", normal(F.col("text")).alias("text"))
+    about = parsed.select("query_id", "query", "phrases")
+    paired = docs.select("query_id", *keys).join(near, keys).join(about, "query_id")
+    inside = (F.col("query") != "") & F.col("text").contains(F.col("query"))
+    holds = F.exists("phrases", lambda p: F.col("text").contains(p))
+    same = (F.col("query") != "") & (F.col("text") == F.col("query")) | F.exists("phrases", lambda p: F.col("text") == p)
+    whole = F.coalesce(inside | holds, F.lit(False))
+    found = paired.groupBy("query_id", *keys).agg(F.max(whole).alias("phrase"), F.max(F.coalesce(same, F.lit(False))).alias("exact"), F.max((whole | same) & is_metadata(metadata)).alias("text_in_metadata"), F.array_distinct(F.flatten(F.collect_list(F.filter("phrases", lambda p: F.col("text").contains(p))))).alias("held"))
+    docs = docs.join(found, ["query_id", *keys], "left")
+    boost = {"phrase_boost": F.when(F.col("phrase"), options.phrase_boost).otherwise(0.0), "exact_boost": F.when(F.col("exact"), options.exact_boost).otherwise(0.0), "metadata_boost": F.when(F.col("term_in_metadata") | F.col("text_in_metadata"), options.metadata_boost).otherwise(0.0)}
+    docs = docs.withColumns(boost)
+    docs = docs.withColumn("score", F.least(F.lit(1.0), F.col("base") + F.col("phrase_boost") + F.col("exact_boost") + F.col("metadata_boost"))).filter(F.col("score") > 0)
     if options.min_score is not None:
-        found = found.filter(F.col("score") >= options.min_score)
+        docs = docs.filter(F.col("score") >= options.min_score)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), *keys))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= options.top).select("query_id", *keys, "matched", "score", "rank")
+    docs = docs.withColumn("rank", rank).filter(F.col("rank") <= options.top)
+    columns = ["query_id", *keys, "matched", "score", "rank"]
+    if not explain:
+        return docs.select(*columns)
+    details = {
+        "matched_terms": F.sort_array(F.transform("terms", lambda x: x["term"])),
+        "matched_prefixes": F.sort_array(F.transform(F.filter("terms", lambda x: x["prefix"]), lambda x: x["term"])),
+        "matched_phrases": F.sort_array(F.coalesce("held", F.array().cast("array<string>"))),
+        "term_idf": F.map_from_entries(F.transform(F.array_sort("terms"), lambda x: F.struct(x["term"], idf(x["term"])))),
+        "term_scores": F.map_from_entries(F.transform(F.array_sort("terms"), lambda x: F.struct(x["term"], part(x) if options.scoring == "bm25" else x["wtf"]))),
+        "n_candidates": F.col("n"),
+        "average_length": F.col("average"),
+    }
+    return docs.select(*columns, "base", "raw", "coverage", "frequency", "phrase_boost", "exact_boost", "metadata_boost", "length", *(c.alias(name) for name, c in details.items()))
 
 
 def has_phrases(text: Column, groups: list[list[str]]) -> Column:
     """AND over groups, OR within: the text's tokens hold the phrase's tokens in a row."""
-    if len(groups) > 16 or any(len(g) > 16 or any(len(p) > 256 for p in g) for g in groups):
-        raise ValueError("too many or too long phrases")
     joined = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
     test = F.lit(True)
-    for group in groups:
+    for group in normal_groups(tuple(map(tuple, groups))):
         any_of = F.lit(False)
         for phrase in group:
-            words = " ".join(re.findall(r"[^\W_]+", phrase.lower()))
-            any_of = any_of | joined.contains(f" {words} ")
+            any_of = any_of | joined.contains(f" {phrase} ")
         test = test & any_of
     return test

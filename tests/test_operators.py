@@ -93,15 +93,47 @@ def test_context_budget_like_a_greedy_walk(spark):
         assert found[q] == want
 
 
-def test_lexical_prefix_and_options(spark):
+def _index(spark, docs, path, fields=("text",)):
+    texts = lexical.wide(docs, list(fields), ["partition_key", "id"])
+    return lexical.Index.build(texts, f"file://{path}", ["partition_key", "id"]), texts
+
+
+def test_lexical_prefix_and_options(spark, tmp_path):
     docs = spark.createDataFrame([("p", "1", "streaming data"), ("p", "2", "stream of data"), ("p", "3", "nothing")], "partition_key string, id string, text string")
     asked = spark.createDataFrame([(1, "stream")], "query_id int, query string")
-    plain = lexical.search(docs, asked, ["text"])
-    assert [r.id for r in plain.collect()] == ["2"]
-    assert {r.id for r in lexical.search(docs, asked, ["text"], lexical.Options(prefix_from=3)).collect()} == {"1", "2"}
-    assert lexical.quoted('say "Two  Words" and "x') == ["two words"]
-    with pytest.raises(ValueError, match="not valid"):
-        lexical.Options(b=2)
+    index, texts = _index(spark, docs, tmp_path)
+    assert [r.id for r in lexical.search(index, texts, asked).collect()] == ["2"]
+    assert {r.id for r in lexical.search(index, texts, asked, lexical.Options(prefix_from=3)).collect()} == {"1", "2"}
+    only = docs.filter("id = '1'")
+    assert [r.id for r in lexical.search(index, texts, asked, lexical.Options(prefix_from=3), candidates=only).collect()] == ["1"]
+    for wrong in ({"b": 2}, {"required": (("",),)}, {"required": (("a",),) * 17}, {"boosts": {"x": -1}}):
+        with pytest.raises(ValueError):
+            lexical.Options(**wrong)
+
+
+def test_quoted_phrases(spark, tmp_path):
+    docs = spark.createDataFrame([("p", "1", "a red fox"), ("p", "2", "the fox was red"), ("p", "3", "a red  Fox and a hen"), ("p", "4", "the hen")], "partition_key string, id string, text string")
+    asked = spark.createDataFrame([(1, '"red fox"'), (2, 'hen "red fox"'), (3, 'hen "red'), (4, '"the"')], "query_id int, query string")
+    index, texts = _index(spark, docs, tmp_path)
+    found = lexical.search(index, texts, asked, explain=True).collect()
+    ids = lambda q, rows=found: [r.id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == q]
+    # a quoted phrase selects the documents that hold its words in a row, and lifts them
+    assert set(ids(1)) == {"1", "3"} and all(r.matched_phrases == ["red fox"] and r.phrase_boost == 0.15 for r in found if r.query_id == 1)
+    assert set(ids(2)) == {"1", "3", "4"} and ids(2)[0] == "3"
+    assert set(ids(3)) == {"1", "2", "3", "4"}  # an unpaired quote is no quote
+    assert set(ids(4)) == {"2", "4"}
+    every = lexical.search(index, texts, asked, lexical.Options(match="all")).collect()
+    assert ids(2, every) == ["3"]
+
+
+def test_leaves_of_records(spark):
+    body = '{"content": {"text": "x", "tags": ["a", true, null, 2.5]}, "id": "7", "other": "no"}'
+    records = spark.createDataFrame([("p", "7", body), ("p", "8", "not json"), ("p", "9", None)], "partition_key string, id string, body string")
+    found = [(r.id, r.field, r.text) for r in lexical.leaves(records, ["partition_key", "id"]).collect()]
+    assert found == [("7", "/content/text", "x"), ("7", "/content/tags/0", "a"), ("7", "/content/tags/1", "True"), ("7", "/content/tags/3", "2.5"), ("7", "/id", "7")]
+    boosted = lexical.boost_of({"/content": 2.0, "/content/tags": 3.0})
+    data = spark.createDataFrame([("/content/text",), ("/content/tags/0",), ("/contents",)], "field string")
+    assert [r[0] for r in data.select(boosted).collect()] == [2.0, 3.0, 1.0]
 
 
 def test_vector_rows_that_are_not_valid_are_left_out(spark):
