@@ -230,13 +230,13 @@ def gather(training: DataFrame, text_column: str = "text", with_words: bool = Tr
             texts += len(lowered)
             for t in lowered if with_words else ():
                 words.update(t.split())
-            if len(words) > 1 << 18:
+            if len(words) > 1 << 16:
                 yield from word_rows()
             held.append(np.unique(gram_keys(lowered)[0], return_counts=True))
             fresh += len(held[-1][0])
-            if fresh > 1 << 20:
+            if fresh > 1 << 19:
                 held, fresh = [merged(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))], 0
-                if len(held[0][0]) > 1 << 21:
+                if len(held[0][0]) > 1 << 20:
                     yield from rows(1, *held.pop())
         yield from word_rows()
         if held:
@@ -374,7 +374,7 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
 class _Known:
     """Places of words in the table of frequent ones, each word looked up once."""
 
-    def __init__(self, keys: np.ndarray, times: np.ndarray, most: int = 1 << 19):
+    def __init__(self, keys: np.ndarray, times: np.ndarray, most: int = 1 << 17):
         self.keys, self.times, self.most = keys, times, most
         self.place: dict[bytes, int] = {}
 
