@@ -1,4 +1,4 @@
-"""Graphs, versioned documents, runs, traces, inspection and event streams."""
+"""Versioned documents, runs, traces, inspection and event streams."""
 
 from __future__ import annotations
 
@@ -8,104 +8,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillstone.catalog.base import Registry, table
-from quillstone.operators import canonical, graph, runs
+from quillstone.operators import canonical, runs
 from quillstone.sources.tables import cut, shared_folder
 from quillstone.streaming import events as streams
 
 R = Registry()
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
 
-NODES = """SELECT 'r' || r_regionkey AS id, 'region' AS type, r_name AS label, NULL::DOUBLE AS score FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation', n_name, NULL FROM nation UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name, s_acctbal FROM supplier UNION ALL SELECT 'c' || c_custkey, 'customer', c_name, c_acctbal FROM customer"""
-EDGES = """SELECT 'rn' || n_nationkey AS id, 'r' || n_regionkey AS source_id, 'n' || n_nationkey AS target_id, 'has' AS predicate, NULL::DOUBLE AS score FROM nation UNION ALL SELECT 'ns' || s_suppkey, 'n' || s_nationkey, 's' || s_suppkey, 'supplies', s_acctbal FROM supplier UNION ALL SELECT 'nc' || c_custkey, 'n' || c_nationkey, 'c' || c_custkey, 'buys', c_acctbal FROM customer"""
-
-
-def _nodes(spark, sf_dir):
-    def of(name, prefix, key, label, score=None):
-        return table(spark, sf_dir, name).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), F.lit(name).alias("type"), F.col(label).alias("label"), (F.col(score) if score else F.lit(None)).cast("double").alias("score"))
-
-    parts = (of("region", "r", "r_regionkey", "r_name"), of("nation", "n", "n_nationkey", "n_name"), of("supplier", "s", "s_suppkey", "s_name", "s_acctbal"), of("customer", "c", "c_custkey", "c_name", "c_acctbal"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
-def _edges(spark, sf_dir):
-    def of(name, prefix, key, parent, parent_prefix, own_prefix, predicate, score=None):
-        name_of = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-        return table(spark, sf_dir, name).select(name_of(prefix, key).alias("id"), name_of(parent_prefix, parent).alias("source_id"), name_of(own_prefix, key).alias("target_id"), F.lit(predicate).alias("predicate"), (F.col(score) if score else F.lit(None)).cast("double").alias("score"))
-
-    found = of("nation", "rn", "n_nationkey", "n_regionkey", "r", "n", "has")
-    found = found.unionByName(of("supplier", "ns", "s_suppkey", "s_nationkey", "n", "s", "supplies", "s_acctbal"))
-    return found.unionByName(of("customer", "nc", "c_custkey", "c_nationkey", "n", "c", "buys", "c_acctbal"))
-
-
-def _assertions(spark, sf_dir):
-    edges = _edges(spark, sf_dir).filter("predicate = 'supplies'")
-    return edges.select(F.concat(F.lit("a"), F.col("id")).alias("id"), F.when(F.length("id") % 4 == 0, F.concat(F.lit("gone"), F.col("id"))).otherwise(F.col("id")).alias("subject_id"), F.when(F.col("score") > 5000, "accepted").otherwise("proposed").alias("status"))
-
-
-@R.query(f"""WITH nodes AS ({NODES}), edges AS ({EDGES}), l1 AS (SELECT * FROM edges WHERE source_id = 'r1'), l2 AS (SELECT e.* FROM edges e JOIN l1 ON e.source_id = l1.target_id WHERE e.score IS NULL OR e.score >= 0)
-SELECT id, min(depth)::INTEGER AS depth FROM (SELECT 'r1' AS id, 0 AS depth UNION ALL SELECT target_id, 1 FROM l1 UNION ALL SELECT target_id, 2 FROM l2) GROUP BY id""")
-def graph_traverse(spark, sf_dir):
-    starts = spark.createDataFrame([("r1",), ("nowhere",)], "id string")
-    nodes, _ = graph.traverse(_nodes(spark, sf_dir), _edges(spark, sf_dir), starts, 2, least_score=0.0, node_limit=100_000, edge_limit=100_000)
-    return nodes.select("id", "depth")
-
-
-@R.query()
-def graph_traverse_limits(spark, sf_dir):
-    starts = spark.createDataFrame([("r1",), ("n3",)], "id string")
-    _, edges = graph.traverse(_nodes(spark, sf_dir), _edges(spark, sf_dir), starts, 3, direction="both", node_limit=40, edge_limit=35)
-    return edges
-
-
-@R.query(f"""WITH RECURSIVE edges AS ({EDGES}), walk(id, depth) AS (SELECT 'r2', 0 UNION ALL SELECT e.target_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_id = w.id WHERE w.depth < 3)
-SELECT id, min(depth)::INTEGER AS depth FROM walk GROUP BY id""")
-def graph_reachable(spark, sf_dir):
-    starts = spark.createDataFrame([("r2",)], "id string")
-    return graph.reachable(_edges(spark, sf_dir), starts, 3, cut)
-
-
-INSPECT = f"""WITH nodes AS ({NODES}), edges AS (SELECT * FROM ({EDGES}) WHERE id <> 'rn0' UNION ALL SELECT 'x1', 'r0', 'nowhere', NULL, NULL),
-assertions AS (SELECT 'a' || id AS id, CASE WHEN length(id) % 4 = 0 THEN 'gone' || id ELSE id END AS subject_id, CASE WHEN score > 5000 THEN 'accepted' ELSE 'proposed' END AS status FROM edges WHERE predicate = 'supplies'),
-found AS (SELECT 'node_type' AS kind, COALESCE(type, '(missing)') AS value, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'predicate', COALESCE(predicate, '(missing)'), count(*) FROM edges GROUP BY ALL UNION ALL SELECT 'assertion_status', COALESCE(status, '(missing)'), count(*) FROM assertions GROUP BY ALL
-UNION ALL SELECT 'duplicate_nodes', '', count(*) FROM (SELECT id FROM nodes GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'duplicate_edges', '', count(*) FROM (SELECT id FROM edges GROUP BY id HAVING count(*) > 1)
-UNION ALL SELECT 'dangling_edges', '', count(*) FROM edges WHERE source_id NOT IN (SELECT id FROM nodes) OR target_id NOT IN (SELECT id FROM nodes)
-UNION ALL SELECT 'orphan_assertions', '', count(*) FROM assertions WHERE subject_id NOT IN (SELECT id FROM nodes UNION SELECT id FROM edges))
-"""
-
-
-def _inspection(spark, sf_dir):
-    edges = _edges(spark, sf_dir).filter("id <> 'rn0'")
-    loose = spark.createDataFrame([("x1", "r0", "nowhere", None, None)], "id string, source_id string, target_id string, predicate string, score double")
-    return graph.inspect(_nodes(spark, sf_dir), edges.unionByName(loose), _assertions(spark, sf_dir))
-
-
-@R.query(INSPECT + "SELECT * FROM found")
-def graph_inspect(spark, sf_dir):
-    return _inspection(spark, sf_dir)
-
-
-@R.query(INSPECT + "SELECT sum(CASE WHEN kind = 'node_type' THEN n END)::BIGINT AS n_nodes, sum(CASE WHEN kind IN ('duplicate_nodes', 'duplicate_edges', 'dangling_edges', 'orphan_assertions') THEN n END)::BIGINT AS n_problems, false AS traversal_ready, 'graph_not_ready' AS status FROM found")
-def graph_doctor(spark, sf_dir):
-    state = graph.ready(_inspection(spark, sf_dir))
-    return state.withColumn("status", graph.doctor(F.lit(False), F.col("traversal_ready"), F.lit(2), F.lit(1), F.lit(1)))
-
-
-@R.query(f"WITH e AS ({EDGES}) SELECT id, predicate FROM e WHERE predicate = 'supplies' AND score > 5000 AND length(id) % 4 <> 0")
-def graph_edge_status(spark, sf_dir):
-    return graph.with_status(_edges(spark, sf_dir), _assertions(spark, sf_dir), ["accepted"]).select("id", "predicate")
-
-
-@R.query("SELECT 40::BIGINT AS n_seeds, count(*) AS n_found, count(*) / 40.0 AS coverage FROM nation WHERE n_nationkey < 40")
-def graph_seed_coverage(spark, sf_dir):
-    seeds = spark.range(40).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"))
-    return graph.seed_coverage(seeds, _nodes(spark, sf_dir))
-
-
-@R.query(f"SELECT 'demo' AS partition_key, 'g:node:' || rtrim(replace(replace(base64(encode(id)), '+', '-'), '/', '_'), '=') AS id, 'graph.node' AS type FROM ({NODES}) UNION ALL SELECT 'demo', 'g:edge:' || rtrim(replace(replace(base64(encode(id)), '+', '-'), '/', '_'), '='), 'graph.edge' FROM ({EDGES})")
-def graph_records(spark, sf_dir):
-    return graph.as_records(_nodes(spark, sf_dir), _edges(spark, sf_dir), "demo")
-
-
 def _mutations(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select((F.col("user_id") % 4).cast("string").alias("tenant"), F.col("event_type").alias("document_type"), (F.col("user_id") % 50).cast("string").alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 6 == 0, "delete").otherwise("upsert").alias("operation"), F.col("props").alias("data"), F.create_map(F.lit("value"), F.lpad(F.floor("value").cast("string"), 6, "0"), F.lit("user"), F.col("user_id").cast("string")).alias("indexes"))

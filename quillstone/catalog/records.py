@@ -74,19 +74,23 @@ def keyset_page(spark, sf_dir):
     return rest.orderBy(F.col("n_chars").desc(), "id").limit(25)
 
 
-def _state(spark, sf_dir):
+#: Orders up to this day are records already, those behind it are new.
+KNOWN = "o_orderdate < DATE '1998-06-01'"
+
+
+def _state(spark, sf_dir, where=KNOWN):
     orders = table(spark, sf_dir, "orders")
-    return orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderstatus").alias("partition_key"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("price"), F.lit(1).alias("revision"), F.lit("rev:1").alias("etag"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
+    return orders.filter(where).select(F.col("o_orderstatus").alias("partition_key"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("price"), F.lit(1).alias("revision"), F.lit("rev:1").alias("etag"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
 
 
 def _changes(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.filter("l_orderkey % 2 = 0").select(F.col("o_orderstatus").alias("partition_key"), F.col("l_orderkey").cast("string").alias("id"), F.col("l_extendedprice").alias("price"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"), F.col("l_shipdate").alias("at"))
+    return lines.select(F.col("o_orderstatus").alias("partition_key"), F.col("l_orderkey").cast("string").alias("id"), F.col("l_extendedprice").alias("price"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"), F.col("l_shipdate").alias("at"))
 
 
-UPSERT = """
-WITH state AS (SELECT o_orderstatus AS partition_key, CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS price, 1 AS revision, o_orderdate AS created_at, o_orderdate AS updated_at FROM orders WHERE o_orderkey % 3 = 0),
-lines AS (SELECT o_orderstatus AS partition_key, CAST(l_orderkey AS VARCHAR) AS id, l_extendedprice AS price, l_shipdate AS moment, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 2 = 0),
+UPSERT = f"""
+WITH state AS (SELECT o_orderstatus AS partition_key, CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS price, 1 AS revision, o_orderdate AS created_at, o_orderdate AS updated_at FROM orders WHERE {KNOWN}),
+lines AS (SELECT o_orderstatus AS partition_key, CAST(l_orderkey AS VARCHAR) AS id, l_extendedprice AS price, l_shipdate AS moment, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS back FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 folded AS (SELECT partition_key, id, max(CASE WHEN back = 1 THEN price END) AS price, count(*) AS n, min(moment) AS first_at, max(moment) AS last_at FROM lines GROUP BY ALL)
 SELECT COALESCE(s.partition_key, f.partition_key) AS partition_key, COALESCE(s.id, f.id) AS id, COALESCE(f.price, s.price) AS price, (COALESCE(s.revision, 0) + COALESCE(f.n, 0))::BIGINT AS revision, 'rev:' || CAST(COALESCE(s.revision, 0) + COALESCE(f.n, 0) AS VARCHAR) AS etag, COALESCE(s.created_at, f.first_at) AS created_at, COALESCE(f.last_at, s.updated_at) AS updated_at
 FROM state s FULL OUTER JOIN folded f ON s.partition_key = f.partition_key AND s.id = f.id"""
@@ -97,8 +101,8 @@ def upsert(spark, sf_dir):
     return records.upsert(_state(spark, sf_dir), _changes(spark, sf_dir), ["price"])
 
 
-@R.query("""
-WITH state AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0),
+@R.query(f"""
+WITH state AS (SELECT o_orderkey FROM orders WHERE {KNOWN}),
 c AS (SELECT o_orderstatus AS partition_key, CAST(o.o_orderkey AS VARCHAR) AS id, CASE WHEN o.o_orderkey % 4 = 0 THEN '*' WHEN o.o_orderkey % 4 = 1 THEN 'none' WHEN o.o_orderkey % 4 = 2 THEN 'rev:1' END AS expected, s.o_orderkey IS NOT NULL AS there FROM orders o LEFT JOIN state s ON o.o_orderkey = s.o_orderkey)
 SELECT partition_key, id, expected, CASE WHEN expected IN ('*', 'rev:1') AND NOT there OR expected = 'none' AND there THEN 'conflict' WHEN there THEN 'updated' ELSE 'created' END AS status,
 CASE WHEN expected IN ('*', 'rev:1') AND NOT there THEN NULL WHEN expected = 'none' AND there THEN 1 WHEN there THEN 2 ELSE 1 END AS revision FROM c""")
@@ -131,11 +135,11 @@ def batch_stop(spark, sf_dir):
     return _batch(spark, sf_dir, True)
 
 
-@R.query("SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@R.query("SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def delete_records(spark, sf_dir):
     orders, poor = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").filter("c_acctbal < 0")
     gone = orders.join(poor, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_orderstatus").alias("partition_key"), F.col("o_orderkey").cast("string").alias("id"))
-    return records.delete(_state(spark, sf_dir), gone).select("id")
+    return records.delete(_state(spark, sf_dir, "true"), gone).select("id")
 
 
 @R.query("""

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import context, graph, ingest, lexical, retrieval, runs, vector
-from quillstone.sources import records
+from quillstone.sources import records, tables
 
 
-def walk(nodes, edges, starts, depth, direction, node_limit, edge_limit):
+def plain_walk(nodes, edges, starts, depth, direction, node_limit, edge_limit):
     """A sequential breadth-first walk with limits."""
     near = defaultdict(list)
     for e in sorted(edges):
@@ -45,13 +45,27 @@ def test_traverse_like_a_sequential_walk(spark, seed, direction, node_limit, edg
     rng = random.Random(seed)
     nodes = [f"n{k:02d}" for k in range(12)]
     edges = [(f"e{k:02d}", rng.choice(nodes), rng.choice(nodes + ["gone"])) for k in range(24)]
-    n = spark.createDataFrame([(x, "t", x, None) for x in nodes], "id string, type string, label string, score double")
-    e = spark.createDataFrame([(*x, "p", None) for x in edges], "id string, source_id string, target_id string, predicate string, score double")
-    starts = spark.createDataFrame([("n00",), ("n05",), ("missing",)], "id string")
-    found_nodes, found_edges = graph.traverse(n, e, starts, 3, direction, node_limit=node_limit, edge_limit=edge_limit)
-    want_nodes, want_edges = walk(nodes, edges, ["n00", "n05", "missing"], 3, direction, node_limit, edge_limit)
-    assert [r.edge_id for r in found_edges.orderBy("position").collect()] == want_edges
-    assert [r.id for r in found_nodes.orderBy("position").collect()] == want_nodes
+    n = spark.createDataFrame([(x, "t", x, None, True) for x in nodes], "id string, type string, label string, score double, grounded boolean")
+    e = spark.createDataFrame([(*x, "p", None, True) for x in edges], "id string, source_id string, target_id string, predicate string, score double, grounded boolean")
+    walks = {"a": ["n00", "n05", "missing"], "b": ["n07"], "c": ["missing"]}
+    starts = spark.createDataFrame([(w, s) for w, some in walks.items() for s in some], "walk string, id string")
+    found_nodes, found_edges = graph.walk(n, e, starts, tables.cut, max_depth=3, direction=direction, node_limit=node_limit, edge_limit=edge_limit)
+    rows_nodes, rows_edges = found_nodes.orderBy("walk", "position").collect(), found_edges.orderBy("walk", "position").collect()
+    for w, some in walks.items():
+        want_nodes, want_edges = plain_walk(nodes, edges, some, 3, direction, node_limit, edge_limit)
+        assert [r.edge_id for r in rows_edges if r.walk == w] == want_edges
+        assert [r.id for r in rows_nodes if r.walk == w] == want_nodes
+
+
+def test_preflight(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert graph.preflight({"node": nodes}, None) == {"valid": True, "policy_status": "created", "errors": [], "warnings": []}
+    assert graph.preflight({"node": nodes}, graph.GRAPH_INDEXES)["policy_status"] == "existing_graph_policy"
+    other = graph.preflight({"node": nodes}, ("/metadata/kind",), allow_other=True)
+    assert other["policy_status"] == "existing_non_graph_policy_allowed" and other["warnings"]
+    assert graph.preflight({"node": nodes}, (), replace=True)["policy_status"] == "replaced"
+    wrong = graph.preflight({"node": nodes.unionByName(nodes)}, None, create=False)
+    assert not wrong["valid"] and wrong["errors"] == ["node: duplicate_id (2)", "the collection does not exist"]
 
 
 def test_chunks_cover_the_text():
