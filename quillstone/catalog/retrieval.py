@@ -303,9 +303,29 @@ def evaluation_deltas(spark, sf_dir):
     return evaluation.deltas(evaluation.summary(both, "variant"), "cosine", list(METRICS))
 
 
-@R.query()
+SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Chunks of 1200 characters with 150 of overlap, one after another, by searching each window's reversed text.
+CHUNKS = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+walk AS (SELECT doc_id, text, n, -1 AS i, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS nxt FROM t
+UNION ALL SELECT doc_id, text, n, i + 1, a, CASE WHEN kept > 0 THEN a + kept ELSE high END, greatest(a + 1, CASE WHEN kept > 0 THEN a + kept ELSE high END - 150)
+ FROM (SELECT *, length(regexp_replace(substring(text, a + 1, cut - a), '[{SPACE}]+$', '')) AS kept
+ FROM (SELECT *, CASE WHEN high = n THEN high WHEN contains(w, chr(10) || chr(10)) THEN a + 600 + length(w) - strpos(reverse(w), chr(10) || chr(10)) - 1 WHEN contains(w, chr(10)) THEN a + 600 + length(w) - strpos(reverse(w), chr(10))
+  WHEN regexp_matches(reverse(v), '[{SPACE}][.!?]') THEN a + 600 + length(v) - 1 - length(regexp_extract(reverse(v), '^((?s:.)*?)[{SPACE}][.!?]', 1)) WHEN regexp_matches(w, '[{SPACE}]') THEN a + 600 + length(w) - 1 - length(regexp_extract(reverse(w), '^([^{SPACE}]*)', 1)) ELSE high END AS cut
+ FROM (SELECT *, substring(text, a + 601, high - a - 600) AS w, substring(text, a + 601, high - a - 599) AS v FROM (SELECT *, least(n, a + 1200) AS high FROM (SELECT doc_id, text, n, i, b AS old, nxt + length(regexp_extract(substring(text, nxt + 1), '^[{SPACE}]*', 0)) AS a FROM walk WHERE b < n OR i < 0) WHERE a < n))))),
+c AS (SELECT doc_id, i, a, b, substring(text, a + 1, b - a) AS chunk, sha256(substring(text, a + 1, b - a)) AS h FROM walk WHERE i >= 0)
+SELECT doc_id, i::INTEGER AS chunk_index, a::INTEGER AS char_start, b::INTEGER AS char_end, chunk AS chunk_text, h AS chunk_hash, doc_id || '-chunk-' || lpad(CAST(i AS VARCHAR), 4, '0') || '-' || substring(h, 1, 12) AS chunk_id FROM c"""
+
+
+@R.query(CHUNKS)
 def chunk_documents(spark, sf_dir):
-    return ingest.chunks(table(spark, sf_dir, "documents"), "doc_id").drop("chunk_text")
+    return ingest.chunks(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@R.query("SELECT conv_id, turn, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS batch FROM (SELECT conv_id, turn, CASE WHEN (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 128 = 0 THEN 1 ELSE 0 END AS opens FROM conversations)".replace("sum(opens) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS batch", "(sum(opens) OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS batch"))
+def embed_batches(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request"), "turn", "text")
+    return ingest.embed_batches(turns, "turn").select(F.col("request").alias("conv_id"), "turn", "batch")
 
 
 @R.query("SELECT doc_id, 'doc-' || substring(sha256(text), 1, 16) AS content_id, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY lang, sha256(text)) THEN min(doc_id) OVER (PARTITION BY lang, sha256(text)) END AS duplicate_of FROM documents")
@@ -334,6 +354,28 @@ def ingest_plan(spark, sf_dir):
     return ingest.plan(lines, old, ["doc_id", "chunk_index"]).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+@R.query(f"""WITH l AS ({LINES}), o AS (SELECT doc_id, chunk_index, CASE WHEN chunk_index % 3 = 0 THEN 'x' ELSE chunk_hash END AS chunk_hash FROM l WHERE doc_id % 2 = 0)
+SELECT CASE WHEN o.chunk_hash IS NULL THEN 'created' WHEN o.chunk_hash = l.chunk_hash THEN 'unchanged' ELSE 'updated' END AS action, count(*) AS n, list(l.doc_id || '/' || l.chunk_index ORDER BY l.doc_id || '/' || l.chunk_index) AS ids FROM l LEFT JOIN o USING (doc_id, chunk_index) GROUP BY 1""")
+def ingest_actions(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    old = lines.filter("doc_id % 2 = 0").withColumn("chunk_hash", F.when(F.col("chunk_index") % 3 == 0, "x").otherwise(F.col("chunk_hash")))
+    planned = ingest.plan(lines, old.withColumn("chunk_hash", F.col("chunk_hash")), ["doc_id", "chunk_index"]).withColumn("action", F.when(F.col("action") == "reused", "created").otherwise(F.col("action")))
+    return ingest.action_summary(planned.withColumn("key", F.concat_ws("/", "doc_id", "chunk_index")), "key")
+
+
+@R.query(f"WITH l AS ({LINES}), d AS (SELECT doc_id, count(*) AS chunks, count(DISTINCT chunk_hash) AS kinds FROM l GROUP BY doc_id) SELECT count(*) AS n_documents, sum(chunks)::BIGINT AS chunks, sum(kinds)::BIGINT AS kinds FROM d")
+def ingest_rollup(spark, sf_dir):
+    per_document = _lines(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("chunk_hash").alias("kinds"))
+    return ingest.rollup(per_document, ["chunks", "kinds"])
+
+
+@R.query("SELECT doc_id, lang IS NOT NULL AND length(lang) = 2 AND doc_id % 3 <> 1 AND doc_id % 5 <> 0 AS unchanged FROM documents")
+def ingest_unchanged(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_hash"), "n_chars")
+    old = docs.withColumn("n_chars", F.when(F.col("doc_id") % 3 == 1, -1).otherwise(F.col("n_chars"))).filter("doc_id % 5 <> 0")
+    return ingest.unchanged(docs, old, ["doc_id"], ["lang", "source", "text_hash", "n_chars"]).select("doc_id", "unchanged")
+
+
 @R.query(f"WITH l AS ({LINES}) SELECT doc_id, count(*) AS n FROM l WHERE chunk_index > 3 AND doc_id % 2 = 0 GROUP BY doc_id")
 def ingest_stale(spark, sf_dir):
     lines = _lines(spark, sf_dir)
