@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstone.catalog.base import Registry, table
 from quillstone.catalog.records import RECORDS, _docs
 from quillstone.operators import context, evaluation, ingest, lexical, retrieval, vector
+from quillstone.plans.filters import Paths
 from quillstone.sources.tables import shared_folder
 
 R = Registry()
@@ -446,22 +447,89 @@ def context_render(spark, sf_dir):
     return context.render(context.pack(_turns(spark, sf_dir), 800, 300), "role")
 
 
-RULES = {"assistant": {"priority": 0, "required": True, "max_chunks": 2}, "user": {"priority": 1, "max_chars": 400}, "system": {"priority": 2}}
+RULES = {"assistant": {"required": True, "max_chunks": 2}, "user": {"min_chars": 150, "max_chars": 400}, "critic": {"priority": 9, "required": True}}
+OFFERED = "SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, role AS g, length(text) AS length FROM conversations"
+#: The greedy walk under the rules above, with 700 characters, 300 a chunk, and at most 2 chunks of 500 characters of other groups.
+QUOTAS = f"""
+WITH RECURSIVE r AS ({OFFERED}), f AS (SELECT * FROM r WHERE length > 0),
+c AS (SELECT *, row_number() OVER w AS nth, COALESCE(sum(least(length, 300)) OVER (PARTITION BY query_id, g ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, CASE g WHEN 'assistant' THEN 0 WHEN 'user' THEN 1 WHEN 'critic' THEN 9 ELSE 2147483647 END AS priority FROM f WINDOW w AS (PARTITION BY query_id, g ORDER BY rank)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN g = 'assistant' AND nth <= 1 OR g = 'user' AND before < 150 OR g = 'critic' AND nth <= 1 THEN 0 ELSE 1 END, priority, rank) AS n FROM c),
+walk AS (SELECT query_id, 0::BIGINT AS n, 0::BIGINT AS rank, '' AS g, 0::BIGINT AS take, 700::BIGINT AS room, MAP([''], [0::BIGINT]) AS chunks, MAP([''], [0::BIGINT]) AS chars, 0 AS place FROM (SELECT DISTINCT query_id FROM o)
+UNION ALL SELECT query_id, n, rank, g, take, room - take, CASE WHEN take > 0 THEN map_concat(chunks, MAP([g], [COALESCE(chunks[g], 0) + 1])) ELSE chunks END, CASE WHEN take > 0 THEN map_concat(chars, MAP([g], [COALESCE(chars[g], 0) + take])) ELSE chars END, place + (take > 0)::INT
+ FROM (SELECT o.query_id, o.n, o.rank, o.g, w.room, w.chunks, w.chars, w.place, CASE WHEN COALESCE(w.chunks[o.g], 0) >= CASE o.g WHEN 'assistant' THEN 2 WHEN 'user' THEN 2 WHEN 'critic' THEN 2 ELSE 2 END THEN 0 ELSE greatest(0, least(o.length, 300, w.room, CASE o.g WHEN 'user' THEN 400 ELSE 500 END - COALESCE(w.chars[o.g], 0))) END AS take FROM walk w JOIN o ON o.query_id = w.query_id AND o.n = w.n + 1)),
+q AS (SELECT query_id, CAST(rank AS VARCHAR) AS id, g AS group_key, take, place::INTEGER AS context_rank FROM walk WHERE n > 0 AND take > 0)
+"""
+
+
+def _offered(spark, sf_dir):
+    return _turns(spark, sf_dir).select("query_id", F.col("rank").cast("string").alias("id"), F.col("role").alias("group_key"), "rank", F.length("text").alias("length"))
 
 
 def _grouped(spark, sf_dir):
-    turns = _turns(spark, sf_dir).select("query_id", F.col("rank").cast("string").alias("id"), F.col("role").alias("group_key"), "rank", F.length("text").alias("length"))
-    return context.pack_grouped(turns, RULES, 1500, 300)
+    return context.pack_grouped(_offered(spark, sf_dir), RULES, 700, 300, 2, 500)
 
 
-@R.query()
+@R.query(QUOTAS + "SELECT * FROM q")
 def context_quotas(spark, sf_dir):
     return _grouped(spark, sf_dir)
 
 
-@R.query()
+@R.query(QUOTAS + """, s AS (SELECT query_id, group_key, count(*) AS chunk_count, sum(take)::BIGINT AS char_count FROM q GROUP BY ALL), k AS (SELECT query_id, g AS group_key, count(*) FILTER (WHERE length > 0) AS candidates FROM (SELECT query_id, g, length FROM r UNION ALL SELECT DISTINCT query_id, unnest(['assistant', 'user', 'critic']), 0 FROM r) GROUP BY ALL)
+SELECT query_id, group_key, candidates, COALESCE(chunk_count, 0) AS chunk_count, COALESCE(char_count, 0) AS char_count, group_key IN ('assistant', 'critic') AS required, CASE group_key WHEN 'assistant' THEN COALESCE(chunk_count, 0) >= 1 WHEN 'critic' THEN COALESCE(chunk_count, 0) >= 1 WHEN 'user' THEN COALESCE(char_count, 0) >= 150 ELSE true END AS satisfied FROM k LEFT JOIN s USING (query_id, group_key) WHERE candidates > 0 OR group_key IN ('assistant', 'user', 'critic')""")
 def context_groups(spark, sf_dir):
-    return context.group_satisfaction(_grouped(spark, sf_dir), RULES)
+    offered = _offered(spark, sf_dir)
+    return context.group_satisfaction(offered, _grouped(spark, sf_dir), RULES)
+
+
+@R.query("SELECT event_id, 'c' || (user_id % 2) AS by_collection, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN 'view' ELSE '(missing)' END AS by_kind, CASE WHEN event_id % 4 = 0 THEN '(missing)' WHEN event_id % 4 = 1 THEN '(null)' ELSE json_extract_string(props, '$.k') END AS by_json FROM events")
+def context_group_keys(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kinds = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(" "), F.col("event_type"))).when(F.col("event_id") % 3 == 1, F.array(F.lit(None).cast("string"), F.lit("view"))).otherwise(F.array(F.lit("")))
+    body = F.when(F.col("event_id") % 4 == 0, "{}").when(F.col("event_id") % 4 == 1, '{"k": null}').otherwise(F.col("props"))
+    paths = Paths({}, "body")
+    found = e.withColumn("body", body)
+    value = F.try_variant_get(paths.variant("/k"), "$", "string")
+    return found.select("event_id", context.group_key("collection", F.concat(F.lit("c"), (F.col("user_id") % 2).cast("string"))).alias("by_collection"), context.group_key("source_kind", kinds).alias("by_kind"), context.group_key("json", value, paths.variant("/k").isNotNull()).alias("by_json"))
+
+
+@R.query(PACKED + "SELECT query_id, rank, rank * 10 AS char_start, least(rank * 10 + take, rank * 10 + 50)::BIGINT AS char_end FROM p")
+def context_spans(spark, sf_dir):
+    packed = context.pack(_turns(spark, sf_dir), 800, 300)
+    start = F.col("rank") * 10
+    span = context.included_span(start, start + 50, F.lit(0), F.col("take"))
+    return packed.select("query_id", "rank", span["char_start"].alias("char_start"), span["char_end"].cast("bigint").alias("char_end"))
+
+
+#: A context and an expectation per conversation, whose parts fail in turn.
+GRAPHED = """SELECT conv_id, turn, 'q' || conv_id || '.' || turn AS query_id, (conv_id + turn) % 5 AS n_chunks, CASE (conv_id + turn) % 4 WHEN 0 THEN 'no_seeds' WHEN 1 THEN 'graph_not_found' ELSE 'succeeded' END AS status, (conv_id + turn) % 3 AS k, length(text) AS l FROM conversations"""
+
+
+@R.query(f"""WITH g AS ({GRAPHED}), c AS (SELECT query_id, n_chunks, status, CASE WHEN k = 0 THEN [] ELSE ['a', 'b'] END AS nodes, CASE WHEN k = 2 THEN ['e'] ELSE [] END AS edges, k < 2 AS grounded, CASE WHEN k > 0 THEN 'text' END AS text, l > 60 AS cut FROM g),
+m AS (SELECT *, CASE WHEN len(nodes) = 0 THEN ['a', 'c'] ELSE ['c'] END AS missing_nodes, CASE WHEN len(edges) = 0 THEN ['e'] ELSE [] END AS missing_edges, len(nodes) > 0 AND grounded AS grounding FROM (SELECT * FROM c WHERE substring(query_id, 2, 1) < '5') UNION ALL SELECT *, [] , [], true FROM c WHERE substring(query_id, 2, 1) >= '5')
+SELECT query_id, len(missing_nodes)::INTEGER AS n_missing, (len(missing_nodes) = 0 AND len(missing_edges) = 0 AND grounding AND (text IS NOT NULL) AND NOT cut) AS passed,
+ CASE WHEN len(missing_nodes) = 0 AND len(missing_edges) = 0 AND grounding AND text IS NOT NULL AND NOT cut THEN '' ELSE array_to_string(list_filter([CASE WHEN n_chunks = 0 THEN 'retrieval_miss' END, CASE WHEN status = 'no_seeds' THEN 'seed_miss' END, CASE WHEN status = 'graph_not_found' THEN 'graph_not_found' END, CASE WHEN status = 'succeeded' AND substring(query_id, 2, 1) < '5' AND len(nodes) + len(edges) = 0 THEN 'traversal_empty' END, CASE WHEN len(missing_nodes) > 0 THEN 'expected_node_missing' END, CASE WHEN len(missing_edges) > 0 THEN 'expected_edge_missing' END,
+ CASE WHEN NOT grounding THEN 'source_grounding_failed' END, CASE WHEN text IS NULL THEN 'graph_context_text_missing' END, CASE WHEN cut THEN 'context_text_truncated' END, CASE WHEN cut THEN 'budget_truncated' END], lambda x: x IS NOT NULL), ',') END AS failures FROM m""")
+def context_graph_evaluation(spark, sf_dir):
+    found = _graph_cases(spark, sf_dir)
+    return found.select("query_id", F.size("missing_node_ids").alias("n_missing"), "passed", F.array_join("failures", ",").alias("failures"))
+
+
+def _graph_cases(spark, sf_dir):
+    k, strings = (F.col("conv_id") + F.col("turn")), "array<string>"
+    status = F.when(k % 4 == 0, "no_seeds").when(k % 4 == 1, "graph_not_found").otherwise("succeeded")
+    nodes = F.when(k % 3 == 0, F.array().cast(strings)).otherwise(F.array(F.lit("a"), F.lit("b")))
+    edges = F.when(k % 3 == 2, F.array(F.lit("e"))).otherwise(F.array().cast(strings))
+    turns = table(spark, sf_dir, "conversations").withColumn("query_id", F.concat(F.lit("q"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")))
+    rows = turns.select("query_id", (k % 5).alias("n_chunks"), status.alias("status"), nodes.alias("node_ids"), edges.alias("edge_ids"), F.transform(nodes, lambda n: F.struct(n.alias("entity_id"), (k % 3 < 2).alias("grounded"))).alias("provenance"), F.when(k % 3 > 0, "text").alias("context_text"), (F.length("text") > 60).alias("text_truncated"), F.lit(False).alias("source_truncated"), F.lit(0).alias("omitted"), F.array().cast(strings).alias("limits"))
+    asked = F.substring("query_id", 2, 1) < "5"
+    want = lambda *names: F.when(asked, F.array(*map(F.lit, names))).otherwise(F.array().cast(strings))
+    expected = turns.select("query_id", want("a", "c").alias("node_ids"), want("e").alias("edge_ids"), F.array().cast(strings).alias("provenance_ids"), asked.alias("require_grounding"), F.lit(True).alias("require_text"), F.lit(True).alias("require_whole_text"))
+    return context.evaluate_graph(rows, expected)
+
+
+@R.query(f"WITH g AS ({GRAPHED}), e AS (SELECT * FROM g WHERE substring(query_id, 2, 1) < '5') SELECT (SELECT count(*) FROM g) AS n_cases, (SELECT count(*) FROM g WHERE substring(query_id, 2, 1) >= '5' AND k > 0 AND l <= 60) AS n_passed, round((SELECT sum((k > 0)::INT) / (2 * count(*)) FROM e), 6) AS node_hit_rate, round((SELECT sum((k = 2)::INT) / count(*) FROM e), 6) AS edge_hit_rate, 1.0 AS provenance_hit_rate")
+def context_graph_summary(spark, sf_dir):
+    return context.evaluate_graph_all(_graph_cases(spark, sf_dir)).drop("failure_counts", "limit_counts")
 
 
 PROMPT = PACKED + ", r2 AS (SELECT query_id, string_agg('[c' || context_rank || '] ' || role || chr(10) || excerpt, chr(10) || chr(10) ORDER BY context_rank) AS context FROM p GROUP BY query_id), q AS (SELECT query_id, '## Instructions' || chr(10) || 'Answer from the context and cite it.' || chr(10) || chr(10) || '## Context' || chr(10) || context || chr(10) || chr(10) || '## Question' || chr(10) || 'What of ' || query_id || '?' AS prompt FROM r2) SELECT query_id, length(prompt)::INTEGER AS prompt_chars, sha256(prompt) AS prompt_hash, length(prompt) <= 700 AS fits FROM q"
