@@ -41,16 +41,17 @@ q AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n_terms, words FROM
 PLAIN = "SELECT item_id AS query_id, text AS raw FROM benchmark"
 #: The third to fifth word quoted, the first few words outside, of every benchmark text.
 QUOTING = "SELECT item_id AS query_id, w[1] || ' \"' || w[3] || ' ' || w[4] || '  ' || upper(w[5]) || '\" ' || w[7] AS raw FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)"
-LEAVES = {"text": "SELECT partition_key, id, 'text' AS field, text FROM records", "both": "SELECT partition_key, id, 'text' AS field, text FROM records UNION ALL SELECT partition_key, id, 'lang', lang FROM records"}
+LEAVES = {"text": "SELECT partition_key, id, 'text' AS field, text FROM records", "both": "SELECT partition_key, id, 'text' AS field, text FROM records UNION ALL SELECT partition_key, id, 'lang', lang FROM records", "record": "SELECT partition_key, id, '/content/text' AS field, text FROM records UNION ALL SELECT partition_key, id, '/metadata/title', lang FROM records UNION ALL SELECT partition_key, id, '/metadata/source', partition_key FROM records UNION ALL SELECT partition_key, id, '/id', id FROM records"}
 
 
-def _search_sql(match: str = "any", scoring: str = "bm25", top: int = 10, queries: str = PLAIN, leaves: str = "text", prefix: int | None = None, boost: str = "1.0", meta: str = "false", required: str = "true", scan: int = 5000, more: str = "") -> str:
+def _search_sql(match: str = "any", scoring: str = "bm25", top: int = 10, queries: str = PLAIN, leaves: str = "text", prefix: int | None = None, boost: str = "1.0", meta: str = "false", required: str = "true", scan: int = 5000, more: str = "", digits: int = 6) -> str:
     raw = "sum(idf * (wtf * 2.2) / (wtf + 1.2 * (0.25 + 0.75 * greatest(length, 1) / greatest(average, 1.0))))"
     base = "CASE WHEN max(raw) OVER (PARTITION BY query_id) > 0 THEN raw / max(raw) OVER (PARTITION BY query_id) ELSE 0 END"
     if scoring == "coverage":
         raw, base = "0.8 * any_value(matched) / any_value(n_terms) + 0.2 * least(1.0, sum(tf) / any_value(n_terms))", "least(1.0, raw)"
     only = "n_words = asked AND n_spans = quoted" if match == "all" else "n_words + n_spans > 0"
-    longer = rf"""longer AS (SELECT query_id, partition_key, id, field, q.term, n_terms, words, sum(tf) AS tf FROM q JOIN posts p ON length(q.term) >= {prefix} AND starts_with(p.term, q.term) AND p.term <> q.term GROUP BY ALL),
+    longer = rf"""grown AS (SELECT a.term, v.longer FROM (SELECT DISTINCT term FROM q WHERE length(term) >= {prefix}) a JOIN (SELECT DISTINCT term AS longer, substring(term, 1, {prefix}) AS head FROM posts) v ON v.head = substring(a.term, 1, {prefix}) AND starts_with(v.longer, a.term) AND v.longer <> a.term),
+longer AS (SELECT query_id, partition_key, id, field, q.term, n_terms, words, sum(tf) AS tf FROM q JOIN grown g ON g.term = q.term JOIN posts p ON p.term = g.longer GROUP BY ALL),
 hits AS (SELECT * FROM exact UNION ALL SELECT l.* FROM longer l ANTI JOIN exact e ON l.query_id = e.query_id AND l.partition_key = e.partition_key AND l.id = e.id AND l.field = e.field AND l.term = e.term),""" if prefix else "hits AS (SELECT * FROM exact),"
     return rf"""
 WITH records AS ({RECORDS}), leaves AS ({LEAVES[leaves]}),
@@ -76,7 +77,7 @@ near AS (SELECT b.query_id, b.partition_key, b.id, bool_or(query <> '' AND conta
  bool_or(({meta}) AND (query <> '' AND contains({NORMAL.format("text")}, query) OR len(list_filter(phrases, lambda p: contains({NORMAL.format("text")}, p))) > 0)) AS meta_text FROM based b JOIN leaves USING (partition_key, id) JOIN raws4 USING (query_id) GROUP BY ALL),
 boosted AS (SELECT query_id, partition_key, id, matched, base, least(1.0, base + CASE WHEN phrase THEN 0.15 ELSE 0 END + CASE WHEN exact THEN 0.25 ELSE 0 END + CASE WHEN meta OR meta_text THEN 0.1 ELSE 0 END) AS score, phrase, raw FROM based b JOIN near USING (query_id, partition_key, id) {"WHERE matched >= n_terms" if match == "all" else ""}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id) AS rank FROM boosted WHERE score > 0)
-SELECT query_id, partition_key, id, matched::INTEGER AS matched, round(score, 6) AS score, rank::INTEGER AS rank{more} FROM ranked WHERE rank <= {top}"""
+SELECT query_id, partition_key, id, matched::INTEGER AS matched, round(score, {digits}) AS score, rank::INTEGER AS rank{more} FROM ranked WHERE rank <= {top}"""
 
 
 #: The indexes that queries of a session share, by application and tables.
@@ -207,39 +208,114 @@ def vector_normalised(spark, sf_dir):
     return pairs.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(vector.normalised(vector.score(F.col("vector"), F.col("other"), "cosine"), "cosine")), 6).alias("mean_normalised"))
 
 
-def _two_lists(spark, sf_dir):
-    """Two candidate lists over the vectors: by cosine, and by nearness of ids as a stand-in for a second signal."""
-    v, q = _vectors(spark, sf_dir), _asked(spark, sf_dir)
-    first = vector.top_k(v, q, 20)
-    near = q.select("query_id").join(v.select("id"), F.abs(F.col("query_id") - F.col("id")) <= 10)
-    second = retrieval.ranked(near.withColumn("score", 1 / (1.0 + F.abs(F.col("query_id") - F.col("id")))), ["id"])
-    return first, second
+def _record_leaves(spark, sf_dir):
+    """Documents as records: the text, the language as title, the source, and the id."""
+    docs = _docs(spark, sf_dir).select(*KEYS, F.col("text").alias("/content/text"), F.col("lang").alias("/metadata/title"), F.col("partition_key").alias("/metadata/source"), F.col("id").alias("/id"))
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("text")) for f in docs.columns[2:]))
+    return docs.select(*KEYS, F.explode(parts).alias("f")).select(*KEYS, "f.*").filter("text IS NOT NULL")
+
+
+def _collection(spark, sf_dir) -> retrieval.Collection:
+    """The documents' records with their index, and the model-free embeddings of their texts and sources."""
+    name = (spark.sparkContext.applicationId, sf_dir, "record")
+    leaves = _record_leaves(spark, sf_dir)
+    if name not in _INDEXES:
+        _INDEXES[name] = lexical.Index.build(leaves, f"{shared_folder(spark)}/lexical/{uuid.uuid4().hex}", KEYS)
+    docs = _docs(spark, sf_dir)
+    embedded = lambda c: ingest.embed(docs.withColumn("prefixed", ingest.with_purpose(F.col(c), "passage")), "prefixed", dims=64, out="vector").select(*KEYS, "vector")
+    fields = {"contentEmbedding": (embedded("text"), "cosine"), "sourceEmbedding": (embedded("id"), "euclidean")}
+    return retrieval.Collection(docs.select(*KEYS, "text"), tuple(KEYS), leaves, _INDEXES[name], fields)
+
+
+def _retrieved(spark, sf_dir, **request):
+    found = retrieval.run(request, {"docs": _collection(spark, sf_dir)}, _queries(spark, sf_dir))
+    return found.select("query_id", "collection", *KEYS, F.round("score", 5).alias("score"), "rank")
+
+
+def _lexical_list(top: int, boost: str = "1.0") -> str:
+    return _search_sql(top=top, leaves="record", prefix=3, boost=boost, meta="field LIKE '/metadata%' OR field = '/id'", digits=12)
+
+
+EVIDENCE = "CASE field WHEN '/id' THEN 1.5 WHEN '/metadata/title' THEN 1.15 ELSE 1.0 END"
+SIGNED = "CASE WHEN {0} >= 2147483648 THEN {0} - 4294967296 ELSE {0} END / 2147483647.0"
+WORD32 = "CAST('0x' || substring(h, 8 * k + 7, 2) || substring(h, 8 * k + 5, 2) || substring(h, 8 * k + 3, 2) || substring(h, 8 * k + 1, 2) AS BIGINT)"
 
 
-TWO_LISTS = f"""
-WITH pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity({A}, {B}) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
-a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM pairs) WHERE rank <= 20),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, 1 / (1.0 + abs(q.vec_id - v.vec_id)) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND abs(q.vec_id - v.vec_id) <= 10)),
-f AS (SELECT COALESCE(a.query_id, b.query_id) AS query_id, COALESCE(a.id, b.id) AS id, {{score}} AS score FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.id = b.id)
-SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM f"""
+def _hashed_sql(name: str, rows: str, keys: str) -> str:
+    """{name} (keys, v): unit vectors of eight numbers from rows (keys, t), as texts are embedded."""
+    return f"{name}_h AS (SELECT {keys}, sha256(t) AS h FROM ({rows})), {name}_w AS (SELECT {keys}, k, {SIGNED.format(WORD32)} AS x FROM {name}_h, range(0, 8) AS g(k)), {name} AS (SELECT {keys}, list(x / size ORDER BY k) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY {keys})) AS size FROM {name}_w) GROUP BY {keys})"
 
 
-@R.query(TWO_LISTS.format(score="COALESCE(0.35 / (60 + a.rank), 0) + COALESCE(0.65 / (60 + b.rank), 0)"))
-def hybrid_rrf(spark, sf_dir):
-    found = retrieval.fuse(*_two_lists(spark, sf_dir), ["id"], "rrf", (0.35, 0.65))
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+def _vector_list(name: str, text: str, score: str, top: int) -> str:
+    return f"""{_hashed_sql(f"{name}d", f"SELECT partition_key, id, 'passage: ' || {text} AS t FROM records0", "partition_key, id")},
+{name} AS (SELECT query_id, partition_key, id, {score} AS raw, row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, partition_key, id) AS rank FROM qv, {name}d QUALIFY rank <= {top})"""
+
+
+HASHED_QUERIES = f"records0 AS ({RECORDS}), {_hashed_sql('qv0', 'SELECT item_id AS query_id, ' + chr(39) + 'query: ' + chr(39) + ' || text AS t FROM benchmark', 'query_id')}, qv AS (SELECT query_id, v AS qv FROM qv0)"
+DOT, APART = "list_inner_product(qv, v)", "1 / (1 + list_distance(qv, v))"
+
+
+@R.query(f"SELECT query_id, 'docs' AS collection, partition_key, id, round(score, 5) AS score, rank FROM ({_lexical_list(8, EVIDENCE)})")
+def retrieval_evidence(spark, sf_dir):
+    return _retrieved(spark, sf_dir, profile="evidence")
+
+
+@R.query(f"SELECT query_id, 'docs' AS collection, partition_key, id, round(score, 5) AS score, rank FROM ({_lexical_list(8)})")
+def retrieval_rag_baseline(spark, sf_dir):
+    return _retrieved(spark, sf_dir, profile="ragBaseline")
+
+
+def _reranked_sql(top: int, chars: int) -> str:
+    return f"""WITH best AS ({_lexical_list(top, EVIDENCE)}), docs AS ({RECORDS}),
+c AS (SELECT best.*, b.text AS query, substring(d.text, 1, {chars}) AS body FROM best JOIN docs d USING (partition_key, id) JOIN benchmark b ON b.item_id = best.query_id),
+s AS (SELECT *, list_distinct({TOKENS.format("query")}) AS asked, {TOKENS.format("body")} AS has FROM c),
+o AS (SELECT query_id, partition_key, id, len(list_filter(asked, lambda t: list_contains(has, t))) / len(asked) AS score FROM s)
+SELECT query_id, 'docs' AS collection, partition_key, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id)::INTEGER AS rank FROM o QUALIFY rank <= 8"""
 
 
-@R.query(TWO_LISTS.format(score="0.55 * COALESCE(a.score, 0) + 0.45 * COALESCE(b.score, 0)"))
+@R.query(_reranked_sql(8, 1000))
+def retrieval_rerank_polish(spark, sf_dir):
+    return _retrieved(spark, sf_dir, profile="rerankPolish")
+
+
+@R.query(_reranked_sql(40, 2000))
+def retrieval_deep_quality(spark, sf_dir):
+    return _retrieved(spark, sf_dir, profile="deepQuality")
+
+
+def _hybrid_sql(limit: int, score: str, lexical_boost: str = "1.0") -> str:
+    most = max(limit * 8, 50)
+    return f"""WITH {HASHED_QUERIES}, {_vector_list("a", "text", DOT, most)}, b AS ({_lexical_list(most, lexical_boost)}),
+f AS (SELECT COALESCE(a.query_id, b.query_id) AS query_id, COALESCE(a.partition_key, b.partition_key) AS partition_key, COALESCE(a.id, b.id) AS id, {score} AS score FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.partition_key = b.partition_key AND a.id = b.id)
+SELECT query_id, 'docs' AS collection, partition_key, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id)::INTEGER AS rank FROM f QUALIFY rank <= {limit}"""
+
+
+@R.query(_hybrid_sql(10, "COALESCE(0.35 / (60 + a.rank), 0) + COALESCE(0.65 / (60 + b.rank), 0)"))
+def retrieval_discovery(spark, sf_dir):
+    return _retrieved(spark, sf_dir, profile="discovery")
+
+
+@R.query(_hybrid_sql(12, "COALESCE(0.45 / (60 + a.rank), 0) + COALESCE(0.55 / (60 + b.rank), 0)"))
+def retrieval_product(spark, sf_dir):
+    return _retrieved(spark, sf_dir, profile="productOptimization")
+
+
+@R.query(_hybrid_sql(10, "0.55 * COALESCE((a.raw + 1) / 2, 0) + 0.45 * COALESCE(b.score, 0)"))
 def hybrid_weighted(spark, sf_dir):
-    found = retrieval.fuse(*_two_lists(spark, sf_dir), ["id"])
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return _retrieved(spark, sf_dir, mode="hybrid", vector_fields={"contentEmbedding": 1.0}, prefix_from=3)
 
 
-@R.query(TWO_LISTS.replace("FULL OUTER", "FULL OUTER").format(score="(0.7 * COALESCE(a.score, 0) + 0.3 * COALESCE(b.score, 0)) / 1.0").replace("row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INTEGER AS rank FROM f", "best::INTEGER AS best_rank FROM f").replace(" AS score FROM a FULL", " AS score, least(a.rank, b.rank) AS best FROM a FULL"))
+@R.query(f"""WITH {HASHED_QUERIES}, {_vector_list("a", "text", DOT, 20)}, {_vector_list("b", "id", APART, 20)},
+f AS (SELECT COALESCE(a.query_id, b.query_id) AS query_id, COALESCE(a.partition_key, b.partition_key) AS partition_key, COALESCE(a.id, b.id) AS id, 0.7 * COALESCE((a.raw + 1) / 2, 0) + 0.3 * COALESCE(b.raw, 0) AS score FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.partition_key = b.partition_key AND a.id = b.id)
+SELECT query_id, 'docs' AS collection, partition_key, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id)::INTEGER AS rank FROM f QUALIFY rank <= 20""")
 def multi_vector(spark, sf_dir):
-    a, b = _two_lists(spark, sf_dir)
-    return retrieval.fuse_fields([(a, 0.7), (b, 0.3)], ["id"]).withColumn("score", F.round("score", 6))
+    return _retrieved(spark, sf_dir, vector_fields={"contentEmbedding": 0.7, "sourceEmbedding": 0.3}, limit=20)
+
+
+@R.query(f"""WITH {HASHED_QUERIES}, {_vector_list("a", "text", DOT, 10)} SELECT query_id, id, round(raw, 5) AS score, rank::INTEGER AS rank, 'result.identity.record,mode.vector,candidate.source.vector,score.vector.raw_similarity,score.vector.normalized' AS reasons FROM a""")
+def retrieval_explained(spark, sf_dir):
+    found = retrieval.run({"vector_fields": {"contentEmbedding": 1.0}, "explain": True}, {"docs": _collection(spark, sf_dir)}, _queries(spark, sf_dir))
+    return found.select("query_id", "id", F.round("score", 5).alias("score"), "rank", F.array_join("reasons", ",").alias("reasons"))
 
 
 @R.query(f"""
@@ -587,11 +663,24 @@ c AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY ro
 SELECT * FROM (SELECT query_id, collection, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, collection, id)::INTEGER AS rank FROM u) WHERE rank <= 10""")
 def collections_top_k(spark, sf_dir):
     v, q = _vectors(spark, sf_dir), _asked(spark, sf_dir)
-    union = None
-    for label in range(10):
-        part = vector.top_k(v.filter(F.col("label") == label), q, 3).withColumn("collection", F.lit(label))
-        union = part if union is None else union.unionByName(part)
-    return _rounded(retrieval.ranked(union, ["collection", "id"], 10)).select("query_id", "collection", "id", "score", "rank")
+    found = vector.top_k(v, q, 3, group_column="label").withColumnRenamed("label", "collection")
+    return _rounded(retrieval.ranked(found, ["collection", "id"], 10)).select("query_id", "collection", "id", "score", "rank")
+
+
+@R.query()
+def vector_ann(spark, sf_dir):
+    """Approximate search by inverted lists; its recall is measured by a test."""
+    folder = f"{shared_folder(spark)}/lists/{uuid.uuid4().hex}"
+    return _rounded(vector.Lists.build(_vectors(spark, sf_dir), folder).search(_asked(spark, sf_dir), 10, 60))
+
+
+@R.query(f"SELECT q.vec_id AS query_id, v.vec_id AS id, round(1 - list_cosine_distance({A}, {B}), 6) AS cosine, round(1 / (1 + list_distance({A}, {B})), 6) AS euclidean FROM embeddings q JOIN embeddings v ON v.vec_id = q.vec_id + 1")
+def vector_distance_scores(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    pairs = v.select((F.col("id") + 1).alias("id"), F.col("id").alias("query_id"), F.col("vector").alias("other")).join(v, "id")
+    a, b = F.col("vector"), F.col("other")
+    apart = vector.norm(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")))
+    return pairs.select("query_id", "id", F.round(vector.distance_score(1 - vector.score(a, b, "cosine"), "cosine"), 6).alias("cosine"), F.round(vector.distance_score(apart, "euclidean"), 6).alias("euclidean"))
 
 
 SPANS = "SELECT conv_id AS source, turn AS span, turn * 40 AS char_start, turn * 40 + length(text) AS char_end FROM conversations"

@@ -224,6 +224,12 @@ class Index:
             found = part if found is None else found.unionByName(part)
         return found
 
+    def terms(self) -> DataFrame:
+        """Every term once."""
+        if self.segments == 1:
+            return self.spark.read.parquet(f"{self.path}/0/words").select("term")
+        return self.postings().select("term").distinct()
+
     def often(self, words: DataFrame) -> DataFrame:
         """term and often, in how many documents, of ``words``."""
         if self.segments == 1:
@@ -271,13 +277,13 @@ def _hits(index: Index, asked: DataFrame, size: int | None) -> DataFrame:
     columns = ["query_id", *keys, "field", "term", "tf", "length", "prefix", "word"]
     if size is None:
         return index.postings(asked.select("term")).join(asked, "term").withColumn("prefix", F.lit(False)).select(columns)
-    # a prefix counts in a field only where the term itself does not occur; heads of equal length are joined
-    posted = index.postings()
-    exact = posted.join(asked, "term").withColumn("prefix", F.lit(False)).select(columns)
-    long_enough = asked.filter(F.length("term") >= size).withColumn("head", F.substring("term", 1, size))
-    heads = posted.filter(F.length("term") > size).withColumn("head", F.substring("term", 1, size)).withColumnRenamed("term", "longer")
-    more = heads.join(long_enough, "head").filter(F.col("longer").startswith(F.col("term")) & (F.col("longer") != F.col("term"))).withColumn("prefix", F.lit(True))
-    both = exact.unionByName(more.select(columns)).repartition("query_id", *keys)
+    # a prefix counts in a field only where the term itself does not occur; of the words with an asked term's head the longer ones are looked up
+    heads = asked.select("term").distinct().filter(F.length("term") >= size).withColumn("head", F.substring("term", 1, size))
+    known = index.terms().filter(F.length("term") > size).select(F.col("term").alias("longer"), F.substring("term", 1, size).alias("head"))
+    longer = known.join(heads, "head").filter(F.col("longer").startswith(F.col("term")) & (F.col("longer") != F.col("term"))).select("term", "longer")
+    every = asked.join(longer, "term").withColumn("prefix", F.lit(True)).unionByName(asked.withColumns({"longer": F.col("term"), "prefix": F.lit(False)}))
+    posted = index.postings(every.select(F.col("longer").alias("term"))).withColumnRenamed("term", "longer")
+    both = posted.join(every, "longer").repartition("query_id", *keys)
     one = both.groupBy("query_id", *keys, "field", "term").agg(F.sum(F.when(~F.col("prefix"), F.col("tf"))).alias("own"), F.sum("tf").alias("all"), F.first("length").alias("length"), F.first("word").alias("word"))
     return one.select("query_id", *keys, "field", "term", F.coalesce("own", "all").alias("tf"), "length", F.col("own").isNull().alias("prefix"), "word")
 

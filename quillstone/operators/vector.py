@@ -1,8 +1,8 @@
-"""Exact vector search for batches of queries.
+"""Vector search for batches of queries: exact, and by inverted lists.
 
-Queries are cut into blocks of bounded size, each block is broadcast and scored
-against Arrow batches of vectors as one matrix product; only each batch's best
-rows leave Python, and a window keeps the best of all.
+Queries and vectors are packed into blocks of bounded size, and each pair of
+blocks is scored as one matrix product; only each block's best rows leave Python,
+and a window keeps the best of all. Neither side is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries of a block.
-BLOCK = 1024
+#: Queries and vectors of a block.
+BLOCK, ROWS = 1024, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,6 +49,25 @@ def normalised(value: Column, distance: str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
+def distance_score(distance: Column, kind: str) -> Column:
+    """The score of a distance: one less it for cosine, its negative for dot products, 1 / (1 + it) for Euclidean ones."""
+    if kind == "cosine":
+        return 1 - distance
+    if kind == "dotproduct":
+        return -distance
+    if kind == "euclidean":
+        return 1 / (1 + distance)
+    raise ValueError(f"unknown distance: {kind}")
+
+
+def index_choice(index: str) -> dict:
+    """What a collection policy's index asks for: exact search, or an approximate index and its parameters; both approximate kinds are served by ``Lists``."""
+    found = {"flat": {"kind": "exact"}, "quantizedflat": {"kind": "ivfflat", "lists": 100}, "diskann": {"kind": "hnsw", "m": 16, "ef_construction": 64}}.get(index.lower())
+    if found is None:
+        raise ValueError(f"unknown index: {index}")
+    return found
+
+
 def valid(vector: Column, dims: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == dims) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
 
@@ -64,41 +83,131 @@ def _scores(vectors: np.ndarray, queries: np.ndarray, distance: str) -> np.ndarr
     return 1 / (1 + np.sqrt(np.maximum(a[:, None] + b[None, :] - 2 * product, 0)))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, distance: str = "cosine", dims: int = 64, min_score: float | None = None, id_column: str = "id", vector_column: str = "vector") -> DataFrame:
-    """query_id, id, score and rank (score down, then id) of each query's best vectors.
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of a list column of ``dims`` numbers each, without nulls: its values as they lie."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _packed(rows: DataFrame, size: int, dims: int, prefix: str) -> DataFrame:
+    """Blocks of rows with id, grp and vector: arrays of ids and groups, and the vectors' doubles as bytes."""
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "grp")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                body = _matrix(part.column(2), dims).astype("<f8").tobytes()
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([body], pa.binary())], names=[f"{prefix}_ids", f"{prefix}_grps", f"{prefix}_body"])
+
+    return rows.select("id", "grp", "vector").mapInArrow(run, f"{prefix}_ids array<{kinds[0]}>, {prefix}_grps array<{kinds[1]}>, {prefix}_body binary")
 
-    ``queries`` has query_id and vector; it is read in blocks, each in its own pass.
+
+def _best(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each column's best ``k`` values; ties at the edge stay in, so that a window can order them."""
+    most = min(k, len(values))
+    edge = np.partition(values, len(values) - most, axis=0)[len(values) - most]
+    return np.nonzero(values >= edge - 1e-9)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, distance: str = "cosine", dims: int = 64, min_score: float | None = None, id_column: str = "id", vector_column: str = "vector", group_column: str | None = None) -> DataFrame:
+    """query_id, id, score and rank (score down, then id) of each query's best vectors, and with ``group_column`` the group: the best of each group.
+
+    ``queries`` has query_id and vector. All is one pass over the vectors.
     """
-    kind = vectors.schema[id_column].dataType.simpleString()
-    query_kind = queries.schema["query_id"].dataType.simpleString()
-    good = vectors.filter(valid(F.col(vector_column), dims)).select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
-    asked = queries.filter(valid(F.col("vector"), dims)).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    count = asked.count()
-    blocks = -(-count // BLOCK)
-    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))))
-    found = None
-    for block in range(blocks):
-        rows = numbered.filter(F.col("block") == block).drop("block").toArrow()
-        matrix = np.array(rows.column(1).to_pylist(), float).reshape(-1, dims)
-        shared = vectors.sparkSession.sparkContext.broadcast((rows.column(0).combine_chunks(), matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, asked_matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                values = _scores(np.array(batch.column(1).to_pylist()), asked_matrix, distance)
-                most = min(k, len(values))
-                # ties at the edge stay in, so that the window can order them
-                edge = np.partition(values, len(values) - most, axis=0)[len(values) - most]
-                at, query = np.nonzero(values >= edge - 1e-9)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column(0).take(pa.array(at)), pa.array(values[at, query])], names=["query_id", "id", "score"])
-
-        part = good.mapInArrow(run, f"query_id {query_kind}, id {kind}, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], f"query_id {query_kind}, id {kind}, score double")
+    group = F.lit(0) if group_column is None else F.col(group_column)
+    good = vectors.filter(valid(F.col(vector_column), dims)).select(F.col(id_column).alias("id"), group.alias("grp"), F.col(vector_column).cast("array<double>").alias("vector"))
+    asked = queries.filter(valid(F.col("vector"), dims)).select(F.col("query_id").alias("id"), F.lit(0).alias("grp"), F.col("vector").cast("array<double>").alias("vector"))
+    pairs = _packed(good, ROWS, dims, "v").join(_packed(asked.coalesce(1), BLOCK, dims, "q"), how="cross")
+    found = _scored(pairs, good, asked, k, distance, dims)
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    by = ["query_id"] if group_column is None else ["query_id", "grp"]
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), "id"))
+    ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked.drop("grp") if group_column is None else ranked.withColumnRenamed("grp", group_column)
+
+
+def _scored(pairs: DataFrame, good: DataFrame, asked: DataFrame, k: int, distance: str, dims: int) -> DataFrame:
+    """query_id, id, grp and score of the best of each pair of blocks, group by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = {name: batch.column(name).slice(n, 1) for name in batch.schema.names}
+                ids, groups, names = (row[c].flatten() for c in ("v_ids", "v_grps", "q_ids"))
+                v, q = (np.frombuffer(row[c][0].as_py(), "<f8").reshape(-1, dims) for c in ("v_body", "q_body"))
+                values = _scores(v, q, distance)
+                at, query = [], []
+                kinds, place = np.unique(groups.to_numpy(zero_copy_only=False), return_inverse=True)
+                for kind in range(len(kinds)):
+                    own = np.flatnonzero(place == kind)
+                    rows, columns = _best(values[own], k)
+                    at.append(own[rows])
+                    query.append(columns)
+                a, b = np.concatenate(at), np.concatenate(query)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(b)), ids.take(pa.array(a)), groups.take(pa.array(a)), pa.array(values[a, b])], names=["query_id", "id", "grp", "score"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    columns = ["v_ids", "v_grps", "v_body", "q_ids", "q_body"]
+    return pairs.select(*columns).mapInArrow(run, f"query_id {kind(asked, 'id')}, id {kind(good, 'id')}, grp {kind(good, 'grp')}, score double")
+
+
+class Lists:
+    """Inverted lists: every vector is in the list of its nearest centre, and a query looks through the lists of its nearest centres.
+
+    The centres are fitted on a bounded sample, the ``sample`` vectors of least
+    hash of their ids; all vectors are placed and written by list.
+    """
+
+    def __init__(self, spark, path: str, centres: np.ndarray, distance: str):
+        self.spark, self.path, self.centres, self.distance = spark, path, centres, distance
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, dims: int = 64, lists: int = 100, distance: str = "cosine", sample: int = 20_000, rounds: int = 10) -> Lists:
+        """vectors: id and vector. Centres by Lloyd's rounds; of fewer vectors than lists each is a centre."""
+        good = vectors.filter(valid(F.col("vector"), dims)).select("id", F.col("vector").cast("array<double>").alias("vector"))
+        some = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
+        points = cls._placed(_matrix(some.column(0).combine_chunks(), dims), distance)
+        centres = points[:: max(1, len(points) // lists)][:lists].copy()
+        for _ in range(rounds):
+            nearest = _scores(points, centres, "euclidean").argmax(axis=1)
+            for k in np.unique(nearest):
+                centres[k] = points[nearest == k].mean(axis=0)
+        found = cls(vectors.sparkSession, path, centres, distance)
+        found._assigned(good, "id", 1).select("id", "vector", "list").repartition("list").write.mode("overwrite").partitionBy("list").parquet(path)
+        return found
+
+    @staticmethod
+    def _placed(points: np.ndarray, distance: str) -> np.ndarray:
+        """Cosine is nearness on the unit sphere."""
+        if distance != "cosine":
+            return points
+        size = np.linalg.norm(points, axis=1, keepdims=True)
+        return np.divide(points, size, out=np.zeros_like(points), where=size > 0)
+
+    def _assigned(self, rows: DataFrame, key: str, probes: int) -> DataFrame:
+        """``rows`` (key, vector) with the numbers of their nearest lists."""
+        centres, distance = self.centres, self.distance
+        kind = rows.schema[key].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    near = _scores(Lists._placed(_matrix(batch.column(1), centres.shape[1]), distance), centres, "dotproduct" if distance == "dotproduct" else "euclidean")
+                    order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+                    at = np.repeat(np.arange(batch.num_rows), order.shape[1])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(order.ravel().astype(np.int32))], names=[key, "vector", "list"])
+
+        return rows.select(key, "vector").mapInArrow(run, f"{key} {kind}, vector array<double>, list int")
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 16) -> DataFrame:
+        """query_id, id, score and rank, approximately: the best of the ``probes`` nearest lists of each query."""
+        dims = self.centres.shape[1]
+        asked = queries.filter(valid(F.col("vector"), dims)).select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+        by_list = self._assigned(asked, "id", min(probes, len(self.centres))).withColumnRenamed("list", "q_list").select(F.col("id").alias("query_id"), F.col("vector").alias("asked"), "q_list")
+        held = self.spark.read.parquet(self.path)
+        pairs = held.join(by_list, F.col("list") == F.col("q_list"))
+        found = pairs.select("query_id", "id", score(F.col("vector"), F.col("asked"), self.distance).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)

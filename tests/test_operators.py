@@ -182,11 +182,52 @@ def test_vector_rows_that_are_not_valid_are_left_out(spark):
     assert vector.top_k(data, asked.limit(0), 5, dims=2).count() == 0
 
 
+def test_many_blocks_and_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
+    data = spark.createDataFrame([(k, k % 3, x.tolist()) for k, x in enumerate(v)], "id int, label int, vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(q)], "query_id int, vector array<double>")
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    monkeypatch.setattr(vector, "ROWS", 11)
+    want = (v @ q.T) / np.linalg.norm(v, axis=1)[:, None] / np.linalg.norm(q, axis=1)[None, :]
+    found = vector.top_k(data, asked, 4, dims=8).collect()
+    for k in range(40):
+        assert [r.id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == k] == np.argsort(-want[:, k])[:4].tolist()
+    grouped = vector.top_k(data, asked, 2, dims=8, group_column="label").collect()
+    assert len(grouped) == 40 * 3 * 2
+    for r in grouped:
+        own = np.arange(r.label, 300, 3)
+        assert own[np.argsort(-want[own, r.query_id])][r["rank"] - 1] == r.id
+
+
+def test_recall_of_lists(spark, tmp_path):
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = data.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
+    index = vector.Lists.build(data, f"file://{tmp_path}/lists")
+    assert spark.read.parquet(f"file://{tmp_path}/lists").count() == data.count()
+    near, exact = index.search(asked, 10, 60), vector.top_k(data, asked, 10)
+    both = near.join(exact, ["query_id", "id"]).count()
+    assert both >= 0.9 * exact.count()
+    assert vector.index_choice("quantizedFlat")["lists"] == 100 and vector.index_choice("flat")["kind"] == "exact"
+
+
 def test_profiles():
     assert retrieval.apply_profile({"profile": "evidence"})["limit"] == 8
     assert retrieval.apply_profile({"profile": "evidence", "limit": 3})["limit"] == 3
     assert retrieval.apply_profile({"vector_fields": ["v"]})["mode"] == "vector"
-    assert retrieval.candidate_limit(10) == 50 and retrieval.candidate_limit(10, 5) == 10
+    assert retrieval.candidate_limit(10) == 80 and retrieval.candidate_limit(5) == 50 and retrieval.candidate_limit(10, 5) == 10
+    assert retrieval.rerank_limit(8, None) == 8 and retrieval.rerank_limit(8, {}) == 32 and retrieval.rerank_limit(8, {"candidates": 4}) == 8
+    for wrong in ({"profile": "other"}, {"mode": "both"}, {"limit": 0}, {"vector_fields": dict.fromkeys("abcdefghi", 1.0)}):
+        with pytest.raises(ValueError):
+            retrieval.apply_profile(wrong)
+
+
+def test_rerank_falls_back(spark):
+    rows = [(1, "a", 0.9, 0.1), (1, "b", 0.8, 0.7), (2, "a", 0.9, 0.1), (2, "b", 0.8, float("nan")), (3, "a", 0.9, None), (3, "b", 0.8, 0.2)]
+    pool = spark.createDataFrame(rows, "query_id int, id string, score double, value double")
+    found = retrieval.blended(pool, ["id"]).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in found] == [(1, "b"), (1, "a"), (2, "a"), (2, "b"), (3, "b"), (3, "a")]
+    assert [r.rerank_score for r in found] == [0.7, 0.1, None, None, 0.2, 0.0]
 
 
 def test_claims(spark):
