@@ -227,9 +227,9 @@ def _collection(spark, sf_dir) -> retrieval.Collection:
     return retrieval.Collection(docs.select(*KEYS, "text"), tuple(KEYS), leaves, _INDEXES[name], fields)
 
 
-def _retrieved(spark, sf_dir, **request):
+def _retrieved(spark, sf_dir, digits=5, **request):
     found = retrieval.run(request, {"docs": _collection(spark, sf_dir)}, _queries(spark, sf_dir))
-    return found.select("query_id", "collection", *KEYS, F.round("score", 5).alias("score"), "rank")
+    return found.select("query_id", "collection", *KEYS, F.round("score", digits).alias("score"), "rank")
 
 
 def _lexical_list(top: int, boost: str = "1.0") -> str:
@@ -283,21 +283,21 @@ def retrieval_deep_quality(spark, sf_dir):
     return _retrieved(spark, sf_dir, profile="deepQuality")
 
 
-def _hybrid_sql(limit: int, score: str, lexical_boost: str = "1.0") -> str:
+def _hybrid_sql(limit: int, score: str, lexical_boost: str = "1.0", digits: int = 5) -> str:
     most = max(limit * 8, 50)
     return f"""WITH {HASHED_QUERIES}, {_vector_list("a", "text", DOT, most)}, b AS ({_lexical_list(most, lexical_boost)}),
 f AS (SELECT COALESCE(a.query_id, b.query_id) AS query_id, COALESCE(a.partition_key, b.partition_key) AS partition_key, COALESCE(a.id, b.id) AS id, {score} AS score FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.partition_key = b.partition_key AND a.id = b.id)
-SELECT query_id, 'docs' AS collection, partition_key, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id)::INTEGER AS rank FROM f QUALIFY rank <= {limit}"""
+SELECT query_id, 'docs' AS collection, partition_key, id, round(score, {digits}) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, partition_key, id)::INTEGER AS rank FROM f QUALIFY rank <= {limit}"""
 
 
-@R.query(_hybrid_sql(10, "COALESCE(0.35 / (60 + a.rank), 0) + COALESCE(0.65 / (60 + b.rank), 0)"))
+@R.query(_hybrid_sql(10, "COALESCE(0.35 / (60 + a.rank), 0) + COALESCE(0.65 / (60 + b.rank), 0)", digits=10))
 def retrieval_discovery(spark, sf_dir):
-    return _retrieved(spark, sf_dir, profile="discovery")
+    return _retrieved(spark, sf_dir, 10, profile="discovery")
 
 
-@R.query(_hybrid_sql(12, "COALESCE(0.45 / (60 + a.rank), 0) + COALESCE(0.55 / (60 + b.rank), 0)"))
+@R.query(_hybrid_sql(12, "COALESCE(0.45 / (60 + a.rank), 0) + COALESCE(0.55 / (60 + b.rank), 0)", digits=10))
 def retrieval_product(spark, sf_dir):
-    return _retrieved(spark, sf_dir, profile="productOptimization")
+    return _retrieved(spark, sf_dir, 10, profile="productOptimization")
 
 
 @R.query(_hybrid_sql(10, "0.55 * COALESCE((a.raw + 1) / 2, 0) + 0.45 * COALESCE(b.score, 0)"))

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.sources.tables import cut
+
 # The words that a query drops, the fields searched unless others are named, and the scale of BM25 in the candidates' order.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with")
 DEFAULT_FIELDS = ("/content", "/metadata", "/id", "/type", "/sources")
@@ -166,6 +168,11 @@ def postings(texts: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys, "length", "field", "term").agg(F.count(F.lit(1)).alias("tf")).select(*keys, "field", "term", "tf", "length")
 
 
+def _any_of(words: list[str]) -> Column:
+    """term among words, which are letters and digits alone, as one expression."""
+    return F.expr("term IN ({})".format(", ".join(f"'{w}'" for w in words))) if words else F.lit(False)
+
+
 @dataclass(frozen=True)
 class Index:
     """An index's folder. Segments are never changed: a later one replaces the documents that it names."""
@@ -218,7 +225,7 @@ class Index:
         for k in range(self.segments):
             part = self.spark.read.parquet(f"{self.path}/{k}/postings")
             if listed is not None:
-                part = part.filter(F.col("term").isin(listed)) if len(listed) <= LITERALS else part.join(words.distinct(), "term", "left_semi").select(part.columns)
+                part = part.filter(_any_of(listed)) if len(listed) <= LITERALS else part.join(words.distinct(), "term", "left_semi").select(part.columns)
             for later in range(k + 1, self.segments):
                 part = part.join(self.spark.read.parquet(f"{self.path}/{later}/named"), list(self.keys), "left_anti")
             found = part if found is None else found.unionByName(part)
@@ -293,7 +300,8 @@ def _with_rarest(index: Index, asked: DataFrame, units: DataFrame) -> DataFrame:
     keys = list(index.keys)
     words = asked.filter("word").select("query_id", "term").join(units, ["query_id", "term"], "left")
     rare = words.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "term")).alias("term"))
-    few = index.postings(rare.select("term")).join(rare, "term").select("query_id", *keys).distinct()
+    rare = cut(rare)
+    few = cut(index.postings(rare.select("term")).join(rare, "term").select("query_id", *keys).distinct())
     posted = index.postings(asked.select("term")).join(few.select(*keys).distinct(), keys, "left_semi")
     hits = posted.join(asked, "term").join(few, ["query_id", *keys], "left_semi").withColumn("prefix", F.lit(False))
     return hits.select("query_id", *keys, "field", "term", "tf", "length", "prefix", "word")
@@ -309,7 +317,7 @@ def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options
     length.
     """
     keys = list(index.keys)
-    parsed = parse(queries)
+    parsed = cut(parse(queries))
     asked = parsed.select("query_id", F.explode("terms").alias("term"), "words").withColumn("word", F.array_contains("words", F.col("term"))).drop("words")
     spans = parsed.select("query_id", F.explode("spans").alias("span"))
     has_spans = not spans.isEmpty()
@@ -318,7 +326,7 @@ def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options
         units = hits.filter("word").select("query_id", "term", *keys).distinct().groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("often"))
     else:
         words = asked.filter("word").select("query_id", "term")
-        units = words.join(index.often(words.select("term")), "term")
+        units = cut(words.join(index.often(words.select("term")), "term"))
         hits = _with_rarest(index, asked, units) if options.match == "all" and not has_spans else _hits(index, asked, None)
     if candidates is not None:
         hits = hits.join(candidates.select(*keys).distinct(), keys, "left_semi")
@@ -352,7 +360,7 @@ def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options
         wanted = index.spark.createDataFrame([(p,) for p in group], "span string")
         docs = docs.join(_phrase_hits(index, texts, wanted).select(*keys).distinct(), keys, "left_semi")
     by_order = Window.partitionBy("query_id").orderBy(F.round("order", 9).desc(), *keys)
-    docs = docs.withColumn("at", F.row_number().over(by_order)).filter(F.col("at") <= options.scan_limit).drop("at", "order")
+    docs = cut(docs.withColumn("at", F.row_number().over(by_order)).filter(F.col("at") <= options.scan_limit).drop("at", "order"))
 
     # scores, by statistics of a query's candidates
     per_query = Window.partitionBy("query_id")
@@ -374,14 +382,16 @@ def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options
     if options.match == "all":
         docs = docs.filter(F.col("matched") >= F.col("n_terms"))
 
-    # only what boosts can lift to the last place that counts needs its texts
+    # a text that holds the query has all its words but the first and the last whole, and only what boosts can lift to the last place that counts matters
     boosts = options.phrase_boost + options.exact_boost + options.metadata_boost
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("base").desc()))
     docs = docs.withColumn("place", place).withColumn("edge", F.max(F.when(F.col("place") == options.top, F.col("base"))).over(per_query))
     docs = docs.filter(F.col("edge").isNull() | (F.col("base") + boosts + 1e-9 >= F.col("edge"))).drop("place", "edge")
-    near = texts.join(docs.select(*keys).distinct(), keys, "left_semi").select(*keys, "field", normal(F.col("text")).alias("text"))
+    docs = cut(docs if explain else docs.drop("terms", "dfs"))
     about = parsed.select("query_id", "query", "phrases")
-    paired = docs.select("query_id", *keys).join(near, keys).join(about, "query_id")
+    need = docs.join(about, "query_id").filter((F.col("matched") >= F.col("n_terms") - 2) | (F.size("phrases") > 0)).select("query_id", *keys, "query", "phrases")
+    near = texts.join(need.select(*keys).distinct(), keys, "left_semi").select(*keys, "field", normal(F.col("text")).alias("text"))
+    paired = need.join(near, keys)
     inside = (F.col("query") != "") & F.col("text").contains(F.col("query"))
     holds = F.exists("phrases", lambda p: F.col("text").contains(p))
     same = (F.col("query") != "") & (F.col("text") == F.col("query")) | F.exists("phrases", lambda p: F.col("text") == p)
