@@ -103,6 +103,13 @@ def _search(spark, sf_dir, queries=None, fields=("text",), metadata=(), explain=
     return found.withColumn("score", F.round("score", 6))
 
 
+@R.query(f"SELECT count(DISTINCT (partition_key, id)) AS documents, count(*) AS words, count(DISTINCT term) AS terms FROM (SELECT partition_key, id, unnest({TOKENS.format('text')}) AS term FROM ({RECORDS}))")
+def lexical_index(spark, sf_dir):
+    """What the stored index holds; the first query of a session to use it builds it."""
+    index = _index(spark, sf_dir)
+    return index.totals().join(F.broadcast(index.terms().agg(F.count(F.lit(1)).alias("terms"))))
+
+
 @R.query(_search_sql())
 def lexical_bm25(spark, sf_dir):
     return _search(spark, sf_dir, top=10)

@@ -190,7 +190,8 @@ class Index:
     def _write(self, texts: DataFrame, named: DataFrame) -> Index:
         folder = f"{self.path}/{self.segments}"
         named.write.mode("overwrite").parquet(f"{folder}/named")
-        rows = postings(texts, list(self.keys)).repartitionByRange("term", *self.keys).sortWithinPartitions("term", *self.keys)
+        # written once before it is dealt by ranges, which are found by looking at it
+        rows = cut(postings(texts, list(self.keys))).repartitionByRange("term", *self.keys).sortWithinPartitions("term", *self.keys)
         rows.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/postings")
         back = self.spark.read.parquet(f"{folder}/postings")
         totals = back.select(*self.keys, "length").distinct().agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
