@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quillstone.catalog.base import Registry, table
 from quillstone.operators import canonical, runs
 from quillstone.sources.tables import cut, shared_folder
-from quillstone.streaming import events as streams
 
 R = Registry()
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -411,23 +410,3 @@ def trace_prune(spark, sf_dir):
 def collection_inspect(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("partition_key"), F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 10 == 1, F.array().cast("array<float>")).when(F.col("vec_id") % 10 == 2, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")).alias("vector"))
     return runs.inspect_collection(v.drop("vector"), v.filter("id % 10 <> 0"), 64, ["partition_key", "id"])
-
-
-@R.query("SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-def stream_tumbling(spark, sf_dir):
-    return streams.tumbling(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
-
-
-@R.query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
-SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
-def stream_sessions(spark, sf_dir):
-    return streams.sessions(table(spark, sf_dir, "events"))
-
-
-@R.query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
-def stream_outbox_pump(spark, sf_dir):
-    folder = f"{shared_folder(spark)}/pump/{uuid.uuid4().hex}"
-    events = streams.read_events(spark, f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type")
-    query = streams.pump(events, f"{folder}/state", f"{folder}/checkpoint", "user_id", "event_id")
-    query.awaitTermination()
-    return streams.latest_state(spark, f"{folder}/state", query)

@@ -76,3 +76,28 @@ def overlapping(found: DataFrame, wanted: DataFrame, source: str = "source", con
     a, b, c, d = (F.col(x) for x in ("found_char_start", "found_char_end", "wanted_char_start", "wanted_char_end"))
     test = (a <= c) & (d <= b) if contained else (a < d) & (c < b)
     return both.filter(test & (F.col("cell") == F.floor(F.greatest(a, c) / width))).drop("cell")
+
+
+def brief_problems(claims: DataFrame, citations: DataFrame) -> DataFrame:
+    """brief_id, claim_id and problem of evidence briefs whose claims (brief_id, claim_id, text, citation_ids, counter_ids) do not stand: blank ones, uncited ones, and those that cite, for or against, what the brief (brief_id, citation_id) does not list."""
+    named = claims.withColumn("refs", F.concat(F.coalesce("citation_ids", F.array().cast("array<string>")), F.coalesce("counter_ids", F.array().cast("array<string>"))))
+    blank = claims.filter(F.coalesce(F.trim("text"), F.lit("")) == "").select("brief_id", "claim_id", F.lit("blank_claim").alias("problem"))
+    bare = claims.filter(F.coalesce(F.size("citation_ids"), F.lit(0)) <= 0).select("brief_id", "claim_id", F.lit("uncited_claim").alias("problem"))
+    asked = named.select("brief_id", "claim_id", F.explode("refs").alias("citation_id"))
+    lost = asked.join(citations.select("brief_id", "citation_id").distinct(), ["brief_id", "citation_id"], "left_anti").select("brief_id", "claim_id", F.lit("unknown_citation").alias("problem")).distinct()
+    return blank.unionByName(bare).unionByName(lost)
+
+
+def first_match(results: DataFrame, expected: DataFrame, negatives: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """``cases`` of results and expectations that know each other by any of several ids (``refs``: a record's own, its sources' and aliases), each result counting for the first expectation that it meets."""
+    asked = expected.select("query_id", F.col("ref").alias("expected"), F.explode("refs").alias("alias"), "relevance")
+    met = results.select("query_id", "rank", F.explode("refs").alias("alias")).distinct().join(asked, ["query_id", "alias"])
+    first = met.groupBy("query_id", "rank").agg(F.min("expected").alias("ref"))
+    plain = results.select("query_id", "rank").join(first, ["query_id", "rank"], "left")
+    bad = None
+    if negatives is not None:
+        against = negatives.select("query_id", F.col("ref"), F.explode("refs").alias("alias"))
+        hit = results.select("query_id", "rank", F.explode("refs").alias("alias")).join(against, ["query_id", "alias"]).groupBy("query_id", "rank").agg(F.min("ref").alias("bad"))
+        plain = plain.join(hit, ["query_id", "rank"], "left").withColumn("ref", F.coalesce("ref", "bad")).drop("bad")
+        bad = negatives.select("query_id", "ref")
+    return cases(plain.filter("ref IS NOT NULL"), expected.select("query_id", "ref", "relevance"), bad, k)

@@ -1,0 +1,64 @@
+"""What stands around a transformer: WordPiece ids, pooling of its outputs, and scores of a cross-encoder's head.
+
+Models are the caller's: a function from batches of ids to arrays. Nothing is
+downloaded here.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, processors
+
+
+def word_piece(vocabulary: dict[str, int], lower: bool = True, most: int = 512) -> Tokenizer:
+    """The tokenizer of a vocabulary with [UNK], [CLS] and [SEP]: words cut greedily into the longest pieces."""
+    found = Tokenizer(models.WordPiece(vocabulary, unk_token="[UNK]", max_input_chars_per_word=100))
+    found.normalizer = normalizers.BertNormalizer(lowercase=lower)
+    found.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    found.post_processor = processors.BertProcessing(("[SEP]", vocabulary["[SEP]"]), ("[CLS]", vocabulary["[CLS]"]))
+    found.enable_truncation(most)
+    return found
+
+
+def pooled(outputs: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
+    """Unit vectors of texts from their tokens' outputs (texts, tokens, dims): the mean over the mask, or the first token's."""
+    if how == "mean":
+        weight = mask.astype(np.float64)[:, :, None]
+        found = (outputs * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9)
+    elif how == "cls":
+        found = outputs[:, 0].astype(np.float64)
+    else:
+        raise ValueError(f"unknown pooling: {how}")
+    size = np.linalg.norm(found, axis=1, keepdims=True)
+    return np.divide(found, size, out=np.zeros_like(found), where=size > 0).astype(np.float32)
+
+
+def head_scores(logits: np.ndarray) -> np.ndarray:
+    """A cross-encoder's scores: the sigmoid of one logit, or the softmax share of the last of several."""
+    logits = np.asarray(logits, np.float64)
+    if logits.ndim == 1 or logits.shape[1] == 1:
+        return 1 / (1 + np.exp(-logits.reshape(len(logits))))
+    shifted = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return shifted[:, -1] / shifted.sum(axis=1)
+
+
+def embed(docs: DataFrame, text_column: str, vocabulary: dict[str, int], model: Callable[[np.ndarray, np.ndarray], np.ndarray], how: str = "mean", batch: int = 32, out: str = "embedding") -> DataFrame:
+    """``docs`` with the pooled outputs of ``model``, which takes ids and mask (texts, tokens), padded to the longest of a batch. A null text is empty."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts):
+        tokenizer, found = word_piece(vocabulary), []
+        listed = texts.fillna("").tolist()
+        for at in range(0, len(listed), batch):
+            codes = [e.ids for e in tokenizer.encode_batch(listed[at : at + batch])]
+            width = max(map(len, codes))
+            mask = np.array([[1] * len(c) + [0] * (width - len(c)) for c in codes])
+            ids = np.array([c + [0] * (width - len(c)) for c in codes])
+            found += pooled(model(ids, mask), mask, how).tolist()
+        return type(texts)(found, index=texts.index)
+
+    return docs.withColumn(out, run(text_column))

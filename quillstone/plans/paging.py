@@ -12,12 +12,26 @@ from pyspark.sql import functions as F
 MOST_ORDERS = 8
 
 
-def order_columns(orders: list[tuple[str, str]], keys: tuple[str, ...] = ("partition_key", "id")) -> list[Column]:
-    """Order by (column, "asc" or "desc"), then by the keys that are not named yet."""
+def order_columns(orders: list[tuple[str, str]], keys: tuple[str, ...] = ("partition_key", "id"), nulls_last: bool = False) -> list[Column]:
+    """Order by (column, "asc" or "desc"), then by the keys that are not named yet. Nulls come first upwards and last downwards, or last both ways."""
     if len(orders) > MOST_ORDERS:
         raise ValueError("too many order expressions")
     named = [*orders, *((k, "asc") for k in keys if k not in {c for c, _ in orders})]
-    return [F.col(c).desc() if d.lower() == "desc" else F.col(c).asc() for c, d in named]
+    way = lambda c, d: (c.desc_nulls_last() if nulls_last else c.desc()) if d.lower() == "desc" else (c.asc_nulls_last() if nulls_last else c.asc())
+    return [way(F.col(c), d) for c, d in named]
+
+
+def mixed_order(node: Column, descending: bool = False) -> list[Column]:
+    """Order of JSON values of any type (a variant): nulls, numbers with truth values as 0 and 1, then texts, then the JSON of all else."""
+    kind = F.schema_of_variant(node)
+    number = F.coalesce(F.try_variant_get(node, "$", "boolean").cast("double"), F.try_variant_get(node, "$", "double"))
+    is_text = kind == "STRING"
+    is_number = kind.rlike("^(BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    text = F.when(is_text, F.try_variant_get(node, "$", "string")).otherwise(F.to_json(node))
+    missing = node.isNull() | F.is_variant_null(node)
+    group = F.when(missing, 0).when(is_number, 1).when(is_text, 2).otherwise(3)
+    parts = [group, F.when(is_number, number), F.when(~missing & ~is_number, text)]
+    return [p.desc() if descending else p.asc() for p in parts]
 
 
 def encode_token(offset: int) -> str:

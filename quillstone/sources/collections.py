@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.plans.filters import Paths
+from quillstone.sources.records import KEYS, snapshot
+from quillstone.sources.tables import cut
 
 DISTANCES = ("cosine", "dotproduct", "euclidean")
 INDEXES = ("flat", "quantizedflat", "diskann")
@@ -106,6 +108,36 @@ class Catalog:
         """The collection's next state, in folders by partition key, so that a filter on it prunes files."""
         records.withColumn("partition_", F.col("partition_key")).write.mode("overwrite").partitionBy("partition_").parquet(self.table_path(name))
 
+    def import_snapshot(self, target: str, policy: Policy, records: DataFrame, columns: list[str], record_count: int | None = None, content_hash: str | None = None, truncated: bool = False, allow_rename: bool = False, allow_partial: bool = False, replace_existing: bool = False) -> dict:
+        """Write a snapshot's records as a collection and say what became of its policy: created, replaced or existing_equivalent.
+
+        A snapshot of another name, one cut short, and one whose records are not
+        as many or have not the hash that it declares are refused, unless the
+        first two are allowed.
+        """
+        if policy.name != target and not allow_rename:
+            raise ValueError(f"the snapshot is of {policy.name!r}, not of {target!r}")
+        if truncated and not allow_partial:
+            raise ValueError("the snapshot is truncated")
+        found = snapshot(records, columns).first()
+        if record_count is not None and found.record_count != record_count or content_hash is not None and found.content_hash != content_hash:
+            raise ValueError("the snapshot's records are not those that it declares")
+        renamed = replace(policy, name=target)
+        old, status = self.held.get(target), "created"
+        if old is not None and replace_existing:
+            self.drop(target)
+            status = "replaced"
+        elif old is not None:
+            status = "existing_equivalent"
+        self.create(renamed)
+        kept = records
+        if status == "existing_equivalent":
+            # what the snapshot does not hold stays
+            there = cut(self.read(target))
+            kept = there.join(records.select(*KEYS), KEYS, "left_anti").unionByName(records)
+        self.write(target, kept)
+        return {"policy_status": status, "record_count": found.record_count, "content_hash": found.content_hash}
+
     def read(self, name: str, partitions: list[str] | None = None) -> DataFrame:
         found = self.spark.read.parquet(self.table_path(name))
         return (found.filter(F.col("partition_").isin(*partitions)) if partitions else found).drop("partition_")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,25 +21,69 @@ def listing(objects: DataFrame, prefix: str = "", limit: int = 100, offset: int
     return found.select("key", F.octet_length("body").cast("bigint").alias("length"), F.sha2(F.col("body").cast("binary"), 256).alias("etag"))
 
 
+def _etag(body: Column) -> Column:
+    return F.sha2(body.cast("binary"), 256)
+
+
 def put_status(current: DataFrame, puts: DataFrame) -> DataFrame:
     """created, replaced or precondition_failed for each put (key, body, if_match, if_none_match)."""
-    now = current.select("key", F.sha2(F.col("body").cast("binary"), 256).alias("current_etag"))
+    now = current.select("key", _etag(F.col("body")).alias("current_etag"))
     joined = puts.join(now, "key", "left")
     exists = F.col("current_etag").isNotNull()
     refused = (F.col("if_none_match") & exists) | (F.col("if_match").isNotNull() & ~F.coalesce(F.col("if_match") == F.col("current_etag"), F.lit(False)))
     return joined.select("key", F.when(F.coalesce(refused, F.lit(False)), "precondition_failed").when(exists, "replaced").otherwise("created").alias("status"))
 
 
-def grep(texts: DataFrame, needle: str, path: Column, body: str = "text", case_sensitive: bool = True, limit: int | None = None) -> DataFrame:
-    """path, line, column (from 1) and the line of each line's first match, in order, with ``truncated`` if limited.
+def put(current: DataFrame, puts: DataFrame) -> DataFrame:
+    """The objects (key, body) after puts, one a key; refused ones change nothing."""
+    done = puts.join(put_status(current, puts).filter("status <> 'precondition_failed'").select("key"), "key", "left_semi").select("key", "body")
+    return current.select("key", "body").join(done.select("key"), "key", "left_anti").unionByName(done)
+
+
+def get(objects: DataFrame, keys: DataFrame) -> DataFrame:
+    """found, length, etag and body of each key asked for."""
+    held = objects.select("key", "body", F.lit(True).alias("there"))
+    body = F.col("body")
+    return keys.select("key").distinct().join(held, "key", "left").select("key", F.coalesce("there", F.lit(False)).alias("found"), F.octet_length(body).cast("bigint").alias("length"), _etag(body).alias("etag"), "body")
+
+
+def delete_status(current: DataFrame, deletes: DataFrame) -> DataFrame:
+    """deleted, missing or precondition_failed for each delete (key, if_match)."""
+    joined = deletes.join(current.select("key", _etag(F.col("body")).alias("current_etag")), "key", "left")
+    refused = F.col("if_match").isNotNull() & (F.col("if_match") != F.col("current_etag"))
+    return joined.select("key", F.when(F.col("current_etag").isNull(), "missing").when(refused, "precondition_failed").otherwise("deleted").alias("status"))
+
+
+def delete(current: DataFrame, deletes: DataFrame) -> DataFrame:
+    """The objects after deletes."""
+    return current.join(delete_status(current, deletes).filter("status = 'deleted'").select("key"), "key", "left_anti")
+
+
+def matches(path: Column, globs: list[str]) -> Column:
+    """Whether a path fits one of the globs: ``**`` any part of it, ``*`` and ``?`` within a folder."""
+    test = F.lit(False)
+    for glob in globs:
+        parts = re.split(r"(\*\*/?|\*|\?)", glob)
+        pattern = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(p, re.escape(p)) for p in parts)
+        test = test | path.rlike(f"^{pattern}$")
+    return test
+
+
+def grep(texts: DataFrame, needle: str, path: Column, body: str = "text", case_sensitive: bool = True, limit: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None, with_revision: bool = False) -> DataFrame:
+    """path, line, column (from 1) and the line of each line's first match, in order, with ``truncated`` if limited and the text's hash as ``revision`` if asked for.
 
     The literal is tested against whole texts first, so that others' lines are never split.
     """
     fold = (lambda c: c) if case_sensitive else F.lower
     want = needle if case_sensitive else needle.lower()
-    hit = texts.filter(fold(F.col(body)).contains(want)).select(path.alias("path"), F.posexplode(F.split(body, "\n")).alias("at", "content"))
+    if include:
+        texts = texts.filter(matches(path, include))
+    if exclude:
+        texts = texts.filter(~matches(path, exclude))
+    revision = [_etag(F.col(body)).alias("revision")] if with_revision else []
+    hit = texts.filter(fold(F.col(body)).contains(want)).select(path.alias("path"), *revision, F.posexplode(F.split(body, "\n")).alias("at", "content"))
     found = hit.withColumn("column", F.instr(fold(F.col("content")), want)).filter(F.col("column") > 0)
-    found = found.select("path", (F.col("at") + 1).alias("line"), "column", "content")
+    found = found.select("path", (F.col("at") + 1).alias("line"), "column", "content", *(["revision"] if with_revision else []))
     if limit is None:
         return found
     probe = found.orderBy("path", "line", "column").limit(limit + 1)

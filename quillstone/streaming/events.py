@@ -1,18 +1,22 @@
-"""Event streams: windowed counts with watermarks (extensions), and the outbox pump.
-
-The same functions take batch and streaming DataFrames.
-"""
+"""Event streams: windowed counts with watermarks (extensions), and the outbox pump."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+#: Folders that a projection's keys are dealt into; a batch rewrites those that it touches.
+BUCKETS = 64
 
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+
+def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16, at: str | None = None) -> DataFrame:
+    """Files as a stream; ``at`` names the event time, which watermarks take as a timestamp with a zone."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return found if at is None else found.withColumn(at, F.col(at).cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours", at: str = "ts") -> DataFrame:
@@ -32,23 +36,78 @@ def first_seen(events: DataFrame, key: str = "event_id", late: str = "2 hours",
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives for all that is there now, appended to a table under ``folder``: of windows those that the watermark has closed."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+class Manifest:
+    """Which version of each bucket of a projection counts after each batch, as a JSON file per batch."""
+
+    def __init__(self, spark: SparkSession, target: str):
+        self.spark, self.target = spark, target
+        self.jvm = spark.sparkContext._jvm
+        self.system = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.target}/{name}")
+
+    def read(self, number: int) -> dict[str, int]:
+        path = self._path(f"manifest-{number}.json")
+        return json.loads("".join(r[0] for r in self.spark.read.text(path.toString()).collect())) if number >= 0 and self.system.exists(path) else {}
+
+    def write(self, number: int, versions: dict[str, int]) -> None:
+        out = self.system.create(self._path(f"manifest-{number}.json"), True)
+        out.write(bytearray(json.dumps(versions).encode()))
+        out.close()
+
+    def drop_before(self, number: int) -> None:
+        """Remove manifests older than the last two, and bucket versions that neither of those names."""
+        kept = {(v, b) for n in (number - 1, number) for b, v in self.read(n).items()}
+        old = self.read(number - 2)
+        for bucket, version in old.items():
+            if (version, bucket) not in kept:
+                self.system.delete(self._path(f"{version}/bucket_={bucket}"), True)
+        self.system.delete(self._path(f"manifest-{number - 2}.json"), False)
+
+    def paths(self, versions: dict[str, int], buckets: list[str] | None = None) -> list[str]:
+        return [f"{self.target}/{v}/bucket_={b}" for b, v in versions.items() if buckets is None or b in buckets]
+
+
 def pump(events: DataFrame, target: str, checkpoint: str, key: str, version: str) -> StreamingQuery:
     """Apply events to a projection in batches: the highest version of each key stays, batches replayed after a failure change nothing.
 
-    A batch reads the state that the last batch wrote and writes its own, named
-    by its number.
+    Keys are dealt into ``BUCKETS`` folders. A batch reads and writes those that
+    it touches, under its own number, and then says so in a manifest; a batch that
+    fails before that is run again from the last manifest.
     """
 
+    def last_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bucket_", key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "bucket_"]), version).alias("e")).select("bucket_", "e.*")
+
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("e")).select("e.*")
-        if number:
-            held = spark.read.schema(batch.schema).parquet(f"{target}/{number - 1}")
-            last = last.unionByName(held).groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("e")).select("e.*")
-        last.write.mode("overwrite").parquet(f"{target}/{number}")
+        manifest = Manifest(spark, target)
+        versions = manifest.read(number - 1)
+        new = last_of(batch.withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))).persist()
+        touched = [str(r[0]) for r in new.select("bucket_").distinct().collect()]
+        held = manifest.paths(versions, touched)
+        rows = new
+        if held:
+            old = spark.read.schema(new.schema).option("basePath", target).parquet(*held)
+            rows = last_of(new.unionByName(old.select(new.columns)))
+        if touched:
+            rows.write.mode("overwrite").partitionBy("bucket_").parquet(f"{target}/{number}")
+        manifest.write(number, versions | dict.fromkeys(touched, number))
+        manifest.drop_before(number)
+        new.unpersist()
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_state(spark: SparkSession, target: str, query: StreamingQuery) -> DataFrame:
-    return spark.read.parquet(f"{target}/{query.lastProgress['batchId']}")
+    """The projection after the query's last batch."""
+    manifest = Manifest(spark, target)
+    return spark.read.parquet(*manifest.paths(manifest.read(query.lastProgress["batchId"])))
