@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from quillstone.catalog.base import Registry, table
 from quillstone.catalog.records import RECORDS, _docs
-from quillstone.operators import context, evaluation, handlers, lexical
+from quillstone.operators import context, evaluation, handlers, ingest, lexical, runs
 from quillstone.plans import paging
 from quillstone.plans.filters import Paths
-from quillstone.sources import objects, records
+from quillstone.sources import collections, objects, records
 from quillstone.sources.tables import shared_folder
 from quillstone.streaming import events as streams
 
@@ -189,3 +189,76 @@ def stream_outbox_pump(spark, sf_dir):
     query = streams.pump(events, f"{folder}/state", f"{folder}/checkpoint", "user_id", "event_id")
     query.awaitTermination()
     return streams.latest_state(spark, f"{folder}/state", query).select("user_id", "event_id", "event_type")
+
+
+@R.query(f"SELECT id, lang, n_chars FROM ({RECORDS}) WHERE (partition_key, id) IN (SELECT CASE WHEN length(c_name) % 2 = 0 THEN 'src3' ELSE 'src' || (c_custkey % 20) END, 'doc-' || c_custkey FROM customer)")
+def point_lookups(spark, sf_dir):
+    """Many records by their keys, one join."""
+    source = F.when(F.length("c_name") % 2 == 0, "src3").otherwise(F.concat(F.lit("src"), (F.col("c_custkey") % 20).cast("string")))
+    keys = table(spark, sf_dir, "customer").select(source.alias("partition_key"), F.concat(F.lit("doc-"), F.col("c_custkey").cast("string")).alias("id")).distinct()
+    return _docs(spark, sf_dir).join(keys, ["partition_key", "id"], "left_semi").select("id", "lang", "n_chars")
+
+
+@R.query(f"SELECT partition_key, id FROM ({RECORDS}) WHERE partition_key IN ('src1', 'src7')")
+def partition_filter(spark, sf_dir):
+    """Two partitions of a collection that is stored by them."""
+    catalog = collections.Catalog(spark, _folder(spark))
+    catalog.create(collections.Policy("docs", indexed=("/metadata/lang",)))
+    catalog.write("docs", _docs(spark, sf_dir))
+    return catalog.read("docs", ["src1", "src7"]).select("partition_key", "id")
+
+
+@R.query(f"SELECT lang AS partition_key, id, CASE WHEN partition_key IN ('src1', 'src2') THEN 'new' ELSE 'old' END AS body FROM ({RECORDS})")
+def snapshot_import(spark, sf_dir):
+    """A collection after a snapshot of some of its records is imported under its name."""
+    docs = _docs(spark, sf_dir).select("partition_key", "id", F.col("lang"), F.lit("old").alias("body"))
+    catalog = collections.Catalog(spark, _folder(spark))
+    policy = collections.Policy("docs")
+    records_of = lambda df: df.select(F.col("lang").alias("partition_key"), "id", "body")
+    catalog.import_snapshot("docs", policy, records_of(docs), ["partition_key", "id", "body"])
+    changed = docs.filter(F.col("partition_key").isin("src1", "src2")).withColumn("body", F.lit("new"))
+    other = collections.Policy("elsewhere")
+    catalog.import_snapshot("docs", other, records_of(changed), ["partition_key", "id", "body"], allow_rename=True)
+    return catalog.read("docs")
+
+
+@R.query("""WITH r AS (SELECT vec_id, CASE WHEN label < 5 THEN 'low' END AS type FROM embeddings), v AS (SELECT vec_id, label, CASE WHEN label = 9 THEN 'other' ELSE 'main' END AS field, CASE label WHEN 1 THEN 0 WHEN 2 THEN 32 ELSE 64 END AS size, 'p' || (label % 2) AS provider FROM embeddings WHERE label <> 0)
+SELECT 'type' AS kind, COALESCE(type, '(missing)') AS value, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'provider', provider, count(*) FROM v GROUP BY ALL UNION ALL SELECT 'model', '(missing)', count(*) FROM v UNION ALL SELECT 'present_vectors', 'main', count(*) FROM v WHERE field = 'main' UNION ALL SELECT 'missing_vectors', 'main', (SELECT count(*) FROM r) - (SELECT count(*) FROM v WHERE field = 'main')
+UNION ALL SELECT 'empty_vectors', 'main', count(*) FROM v WHERE field = 'main' AND size = 0 UNION ALL SELECT 'mismatched_vectors', 'main', count(*) FROM v WHERE field = 'main' AND size = 32 UNION ALL SELECT 'undeclared_field', field, count(*) FROM v WHERE field = 'other' GROUP BY ALL""")
+def collection_details(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    found = e.select("vec_id", F.when(F.col("label") < 5, "low").alias("type"))
+    body = F.when(F.col("label") == 1, F.slice("embedding", 1, 0)).when(F.col("label") == 2, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    held = e.filter("label <> 0").select("vec_id", F.when(F.col("label") == 9, "other").otherwise("main").alias("field"), body.alias("vector"), F.concat(F.lit("p"), (F.col("label") % 2).cast("string")).alias("provider"), F.lit(None).cast("string").alias("model"))
+    return runs.inspect_details(found, held, {"main": 64}, ["vec_id"])
+
+
+#: Results and expectations that know each other by aliases: a result's own id, and that of its label's first vector.
+ALIASED = """r AS (SELECT vec_id % 50 AS query_id, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) AS rank, ['v' || vec_id, 'l' || label] AS refs FROM embeddings), e AS (SELECT DISTINCT vec_id % 50 AS query_id, 'x' || (label % 3) AS ref, label % 3 + 1 AS relevance, ['l' || (label % 3), 'v' || (label % 3 + 100)] AS refs FROM embeddings)"""
+
+
+@R.query(f"""WITH {ALIASED}, m AS (SELECT r.query_id, r.rank, min(e.ref) AS ref FROM r JOIN e ON r.query_id = e.query_id AND len(list_intersect(r.refs, e.refs)) > 0 WHERE r.rank <= 10 GROUP BY ALL), h AS (SELECT m.query_id, count(DISTINCT m.ref) AS hits, min(rank) AS first, sum(relevance / log2(rank + 1.0)) AS dcg FROM m JOIN e USING (query_id, ref) GROUP BY m.query_id),
+i AS (SELECT query_id, count(*) AS n_expected, sum(relevance / log2(p + 1.0)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, ref) AS p FROM e) GROUP BY query_id)
+SELECT query_id, n_expected, COALESCE(hits, 0) AS hits, round(COALESCE(1.0 / first, 0), 6) AS reciprocal_rank, round(COALESCE(dcg / ideal, 0), 6) AS ndcg FROM i LEFT JOIN h USING (query_id)""")
+def evaluation_aliases(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    e = table(spark, sf_dir, "embeddings").withColumn("query_id", F.col("vec_id") % 50)
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    results = e.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id")).alias("rank"), F.array(name("v", F.col("vec_id")), name("l", F.col("label"))).alias("refs"))
+    group = F.col("label") % 3
+    expected = e.select("query_id", name("x", group).alias("ref"), (group + 1).alias("relevance"), F.array(name("l", group), name("v", group + 100)).alias("refs")).distinct()
+    found = evaluation.first_match(results, expected)
+    return found.select("query_id", "n_expected", "hits", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("ndcg", 6).alias("ndcg"))
+
+
+@R.query("SELECT round(avg(CASE WHEN event_type <> 'view' THEN (event_type = 'error')::INT END), 6) AS rerank_fallback_rate FROM events")
+def evaluation_fallbacks(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("event_type") != "view").alias("reranked"), (F.col("event_type") == "error").alias("fell_back"))
+    return evaluation.fallback_rate(e)
+
+
+@R.query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'query: ' || props WHEN event_type = 'view' THEN 'query: x' ELSE 'query: ' || event_type END AS text FROM events")
+def embed_purpose(spark, sf_dir):
+    text = F.when(F.col("event_type") == "click", F.col("props")).when(F.col("event_type") == "view", "query: x").otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", ingest.with_purpose(text, "query").alias("text"))

@@ -494,7 +494,7 @@ def embed_hash(spark, sf_dir):
 
 @R.query()
 def embed_tokens(spark, sf_dir):
-    return ingest.embed(table(spark, sf_dir, "benchmark"), "text", "local-token-hash", 384).select("item_id", F.size("embedding").alias("dims"), F.round(vector.norm(F.col("embedding")), 5).alias("norm"))
+    return ingest.embed(table(spark, sf_dir, "benchmark"), "text", "local-token-hash", 384).select("item_id", "embedding")
 
 
 PACKED = """

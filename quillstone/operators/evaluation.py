@@ -40,6 +40,23 @@ def _mean(column: Column) -> Column:
     return F.round(F.avg(column), 6)
 
 
+# The most cases of an evaluation, expectations and negatives of a case, and variants.
+MOST_CASES, MOST_EXPECTED, MOST_NEGATIVES, MOST_VARIANTS = 200, 100, 200, 12
+
+
+def check_limits(expected: DataFrame, negatives: DataFrame | None = None, variants: int = 1) -> None:
+    """Refuses an evaluation beyond the limits."""
+    per_case = expected.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    against = None if negatives is None else negatives.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if per_case[0] > MOST_CASES or (per_case[1] or 0) > MOST_EXPECTED or (against or 0) > MOST_NEGATIVES or variants > MOST_VARIANTS:
+        raise ValueError("the evaluation has too many cases, expectations, negatives or variants")
+
+
+def fallback_rate(cases_run: DataFrame) -> DataFrame:
+    """One row: of the cases that asked for a rerank (reranked), the share that fell back (fell_back); zero without any."""
+    return cases_run.agg(F.coalesce(F.round(F.avg(F.when(F.col("reranked"), F.col("fell_back").cast("double"))), 6), F.lit(0.0)).alias("rerank_fallback_rate"))
+
+
 def summary(found: DataFrame, *group: str) -> DataFrame:
     """Means over cases; the hard-negative rate is over the cases that have negatives."""
     return found.groupBy(*group).agg(

@@ -370,3 +370,25 @@ def inspect_collection(records: DataFrame, vectors: DataFrame, dims: int, keys:
         count((F.col("dims") > 0) & (F.col("dims") != dims)).alias("dimension_mismatch"),
     )
     return found.withColumn("coverage", F.when(F.col("n_records") > 0, 1 - F.col("missing_vector") / F.col("n_records")).otherwise(1.0))
+
+
+def inspect_details(records: DataFrame, vectors: DataFrame, declared: dict[str, int], keys: list[str]) -> DataFrame:
+    """kind, value, n of a collection (records: keys, type; vectors: keys, field, vector, provider, model): records by type, vectors by provider and model, and per field those present, missing, empty, of another size, and in fields that the policy does not declare."""
+    spark = records.sparkSession
+    counted = lambda df, c, kind: df.groupBy(F.coalesce(F.col(c), F.lit("(missing)")).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+    policy = spark.createDataFrame(list(declared.items()), "field string, want int")
+    held = vectors.select(*keys, "field", F.size("vector").alias("size"))
+    asked = records.select(*keys).join(F.broadcast(policy))
+    met = asked.join(held, [*keys, "field"], "left").groupBy(F.col("field").alias("value")).agg(
+        F.count("size").alias("present"),
+        F.count(F.when(F.col("size").isNull(), 1)).alias("missing"),
+        F.count(F.when(F.col("size") == 0, 1)).alias("empty"),
+        F.count(F.when((F.col("size") > 0) & (F.col("size") != F.col("want")), 1)).alias("mismatched"),
+    )
+    fields = met.select("value", F.explode(F.array(*(F.struct(F.lit(f"{c}_vectors").alias("kind"), F.col(c).alias("n")) for c in ("present", "missing", "empty", "mismatched")))).alias("x")).select("x.kind", "value", "x.n")
+    extra = counted(held.join(F.broadcast(policy), "field", "left_anti"), "field", "undeclared_field")
+    parts = [counted(records, "type", "type"), counted(vectors, "provider", "provider"), counted(vectors, "model", "model"), fields, extra]
+    union = parts[0]
+    for more in parts[1:]:
+        union = union.unionByName(more)
+    return union

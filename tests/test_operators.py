@@ -266,3 +266,93 @@ def test_catalog(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(partition_" in plan or "partition_" in plan.split("PartitionFilters")[1]
     again.drop("notes")
     assert Catalog(spark, root).load().names() == []
+
+
+def test_token_vectors_like_counting_features(spark):
+    """Signed hashing, feature by feature, from the digest's first bytes."""
+    import hashlib
+    import re
+
+    text = "The quick red fox, the RED fox; x"
+    words = [w.lower() for w in re.findall(r"[^\W_]+", text)]
+    features = [(f"tok:{w}", 0.15 if w in lexical.STOP_WORDS else 1.0) for w in words]
+    features += [(f"tri:{w[k : k + 3]}", 0.2) for w in words if w not in lexical.STOP_WORDS for k in range(max(1, len(w) - 2))]
+    features += [(f"bi:{a} {b}", 1.35) for a, b in zip(words, words[1:], strict=False) if not (a in lexical.STOP_WORDS and b in lexical.STOP_WORDS)]
+    want = [0.0] * 96
+    for name, weight in features:
+        digest = hashlib.sha256(name.encode()).digest()
+        want[int.from_bytes(digest[:4], "little") % 96] += weight if digest[4] % 2 == 0 else -weight
+    size = sum(x * x for x in want) ** 0.5
+    row = ingest.embed(spark.createDataFrame([(text,)], "t string"), "t", "local-token-hash", 96).first()
+    assert np.allclose(row.embedding, [x / size for x in want], atol=1e-6)
+    with pytest.raises(ValueError, match="unknown provider"):
+        ingest.embed(spark.createDataFrame([(text,)], "t string"), "t", "other")
+
+
+def test_canonical_json():
+    value = {"b": [1, 2.5, 1e21, True, None], "a": "<é'+\u2028>", "f": np.float32(0.1), "z": np.float32(1e-10)}
+    assert records.canonical_json(value) == '{"b":[1,2.5,1E+21,true,null],"a":"\\u003C\\u00E9\\u0027\\u002B\\u2028\\u003E","f":0.1,"z":1E-10}'
+    with pytest.raises(ValueError, match="finite"):
+        records.canonical_json(float("nan"))
+
+
+def test_snapshots_are_refused(spark, tmp_path):
+    from quillstone.sources.collections import Catalog, Conflict, Policy
+
+    data = spark.createDataFrame([("p", "1", "x")], "partition_key string, id string, body string")
+    columns = ["partition_key", "id", "body"]
+    catalog = Catalog(spark, f"file://{tmp_path}/root")
+    for about in ({"policy": Policy("other")}, {"truncated": True}, {"record_count": 2}, {"content_hash": "x"}):
+        with pytest.raises(ValueError, match="snapshot"):
+            catalog.import_snapshot("docs", **{"policy": Policy("docs"), "records": data, "columns": columns, **about})
+    assert catalog.import_snapshot("docs", Policy("docs"), data, columns)["policy_status"] == "created"
+    assert catalog.import_snapshot("docs", Policy("docs"), data, columns, record_count=1)["policy_status"] == "existing_equivalent"
+    with pytest.raises(Conflict):
+        catalog.import_snapshot("docs", Policy("docs", indexed=("/x",)), data, columns)
+    assert catalog.import_snapshot("docs", Policy("docs", indexed=("/x",)), data, columns, replace_existing=True)["policy_status"] == "replaced"
+
+
+def test_word_pieces_and_heads(spark):
+    from quillstone.operators import transformer
+
+    names = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "fox", ","]
+    tokenizer = transformer.word_piece({n: k for k, n in enumerate(names)})
+    assert tokenizer.encode("Unaffable, FÓX zzz").ids == [2, 4, 5, 6, 8, 7, 1, 3]
+    outputs = np.array([[[3.0, 4.0], [0.0, 0.0]], [[1.0, 0.0], [0.0, 1.0]]])
+    mask = np.array([[1, 0], [1, 1]])
+    assert np.allclose(transformer.pooled(outputs, mask), [[0.6, 0.8], [2**-0.5, 2**-0.5]])
+    assert np.allclose(transformer.pooled(outputs, mask, "cls"), [[0.6, 0.8], [1, 0]])
+    assert np.allclose(transformer.head_scores(np.array([[0.0], [2.0]])), [0.5, 1 / (1 + np.exp(-2))])
+    assert np.allclose(transformer.head_scores(np.array([[1.0, 1.0]])), [0.5])
+    model = lambda ids, mask: np.stack([ids * mask, mask], axis=2).astype(float)
+    found = transformer.embed(spark.createDataFrame([("fox",), (None,), ("un fox",)], "t string"), "t", {n: k for k, n in enumerate(names)}, model).collect()
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in found)
+
+
+def test_handlers():
+    from quillstone.operators import handlers
+
+    registry = handlers.Registry(*handlers.CAPABILITIES)
+    with pytest.raises(ValueError, match="there is a handler"):
+        registry.add(handlers.Handler("ai.chat", dict))
+    assert handlers.rank({"query": "red fox", "candidates": [{"id": "b", "text": "fox"}, {"id": "a", "text": "a red fox"}]})["results"][0] == {"id": "a", "score": 1.0}
+    assert handlers.review({"text": "a TODO here", "terms": ["todo", "x"]}) == {"approved": False, "findings": ["todo"]}
+    assert handlers.plan_tools({"goal": "find a fox", "tools": [{"name": "find"}, {"name": "cook"}]}) == {"steps": ["find"]}
+    assert handlers.chat({"messages": [{"role": "user", "content": "hello"}]})["content"].endswith(": hello")
+    with pytest.raises(ValueError, match="needed"):
+        handlers.extract({})
+
+
+def test_the_pump_takes_batches_and_replays(spark, tmp_path):
+    from quillstone.streaming import events as streams
+
+    source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/state"
+    want = {}
+    for n in range(4):
+        rows = [(k % 40, 100 * n + k, f"v{n}.{k}") for k in range(n * 5, 60)]
+        want |= {key: (version, value) for key, version, value in sorted(rows, key=lambda r: r[1])}
+        spark.createDataFrame(rows, "key int, version int, value string").coalesce(1).write.mode("append").parquet(source)
+        query = streams.pump(streams.read_events(spark, source), target, f"file://{tmp_path}/checkpoint", "key", "version")
+        query.awaitTermination()
+        found = {r.key: (r.version, r.value) for r in streams.latest_state(spark, target, query).collect()}
+        assert found == want
