@@ -159,7 +159,7 @@ def lexical_prefix(spark, sf_dir):
     return _search(spark, sf_dir, fields=("text", "lang"), metadata=("lang",), prefix_from=5, top=10, boosts={"lang": 2.0})
 
 
-@R.query(_search_sql(top=5, more=", round(base, 6) AS base, round(raw, 5) AS raw, CASE WHEN phrase THEN 0.15 ELSE 0.0 END AS phrase_boost"))
+@R.query(_search_sql(top=5, more=", round(base, 6) AS base, round(raw, 5) AS raw, (CASE WHEN phrase THEN 0.15 ELSE 0.0 END)::DOUBLE AS phrase_boost"))
 def lexical_explain(spark, sf_dir):
     found = _search(spark, sf_dir, top=5, explain=True)
     return found.select("query_id", *KEYS, "matched", "score", "rank", F.round("base", 6).alias("base"), F.round("raw", 5).alias("raw"), "phrase_boost")
@@ -610,7 +610,7 @@ def _graph_cases(spark, sf_dir):
     return context.evaluate_graph(rows, expected)
 
 
-@R.query(f"WITH g AS ({GRAPHED}), e AS (SELECT * FROM g WHERE substring(query_id, 2, 1) < '5') SELECT (SELECT count(*) FROM g) AS n_cases, (SELECT count(*) FROM g WHERE substring(query_id, 2, 1) >= '5' AND k > 0 AND l <= 60) AS n_passed, round((SELECT sum((k > 0)::INT) / (2 * count(*)) FROM e), 6) AS node_hit_rate, round((SELECT sum((k = 2)::INT) / count(*) FROM e), 6) AS edge_hit_rate, 1.0 AS provenance_hit_rate")
+@R.query(f"WITH g AS ({GRAPHED}), e AS (SELECT * FROM g WHERE substring(query_id, 2, 1) < '5') SELECT (SELECT count(*) FROM g) AS n_cases, (SELECT count(*) FROM g WHERE substring(query_id, 2, 1) >= '5' AND k > 0 AND l <= 60) AS n_passed, round((SELECT sum((k > 0)::INT) / (2 * count(*)) FROM e), 6) AS node_hit_rate, round((SELECT sum((k = 2)::INT) / count(*) FROM e), 6) AS edge_hit_rate, 1.0::DOUBLE AS provenance_hit_rate")
 def context_graph_summary(spark, sf_dir):
     return context.evaluate_graph_all(_graph_cases(spark, sf_dir)).drop("failure_counts", "limit_counts")
 
