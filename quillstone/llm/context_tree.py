@@ -29,7 +29,7 @@ from quillstone.llm.common import Out, materialise, rows_of
 DEPTH = 5
 #: Words whose counts, and byte n-grams whose values, are shared with the executors, at most; the others' meet them in a join.
 FREQUENT = 1 << 20
-#: N-grams whose subtrees are held at once, unless one two-byte context has more.
+#: N-grams whose subtrees are held at once, unless one three-byte context has more.
 GROUP = 1 << 18
 #: Bytes coded at once.
 CHUNK = 1 << 19
@@ -247,40 +247,67 @@ def gather(training: DataFrame, text_column: str = "text", with_words: bool = Tr
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]]:
-    """Keys, occurrences and nodes of depths DEPTH to 2 of n-grams (key, n, met), some whole two-byte contexts at a time."""
-    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-    if not parts:
-        return
-    keys, counts, met = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys)
-    keys, counts, met = keys[order].astype(_U), counts[order], met[order]
-    context = keys >> _U(8 * (DEPTH - 1))
-    begins = np.append(np.flatnonzero(np.append(True, context[1:] != context[:-1])), len(keys))
-    at = 0
-    while at < len(keys):
-        # the last begin within GROUP, or the next one
-        near = np.searchsorted(begins, at + GROUP, "right") - 1
-        end = begins[near] if begins[near] > at else begins[near + 1]
-        seen = counts[at:end] > 0
-        yield keys[at:end], met[at:end], subtree(keys[at:end][seen], counts[at:end][seen], 2)
-        at = end
+def pieces(batches: Iterator[pa.RecordBatch], whole) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted rows in pieces of ``GROUP`` rows or more, cut where ``whole`` of them changes."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size < GROUP:
+            continue
+        rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+        mark = whole(rows)
+        end = int(np.searchsorted(mark, mark[-1]))
+        if end:
+            yield [x[:end] for x in rows]
+        held, size = [[x[end:] for x in rows]], size - end
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def lifted(level: tuple[np.ndarray, ...], depth: int) -> tuple[np.ndarray, ...]:
+    """Keys cut to ``depth`` context bytes, with the sums of their extensions' zeros, ones and log weighted probabilities."""
+    node, at = np.unique(level[0] & (context_mask(depth) | _U(255)), return_inverse=True)
+    return (node, *(np.bincount(at, x, len(node)) for x in (level[1], level[2], level[-1])))
 
 
 def valued(grams: DataFrame) -> DataFrame:
     """key, met and value: log10 of the probability of each n-gram (key, n times in training, met in all texts) by the whole tree.
 
-    All nodes below two bytes of context lie in the task of that context; those
-    of depths 0 and 1, at most 257 * 255, are shared.
+    N-grams are dealt by their two nearest context bytes and come sorted, so that
+    a task holds the subtrees of some three-byte contexts at a time. What these
+    add up to at two bytes is a table, of at most 2^16 * 255 rows; it is dealt
+    alike, and a context's rows come before its n-grams. Nodes of depths 0 and 1,
+    at most 257 * 255, are shared.
     """
+    near = F.shiftright("key", 8 * (DEPTH - 1))
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *_, levels in subtrees(batches):
-            node, zeros, ones, _, inside = levels[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *map(pa.array, (zeros, ones, inside))], names=["key", "zeros", "ones", "weighted"])
-
-    apart = grams.select("key", "n", "met").repartition(F.shiftright("key", 8 * (DEPTH - 1)))
-    nodes = apart.mapInArrow(below, "key bigint, zeros double, ones double, weighted double")
+        open_nodes: tuple[np.ndarray, ...] | None = None
+
+        def rows(nodes: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            node, zeros, ones, weight, inside = weighted(nodes[0], nodes[1], nodes[2], (nodes[0], nodes[3]))
+            return pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *map(pa.array, (zeros, ones, weight, inside))], names=["key", "zeros", "ones", "weight", "weighted"])
+
+        for keys, counts in pieces(batches, lambda x: x[0] >> 8 * (DEPTH - 2)):
+            seen = counts > 0
+            nodes = lifted(subtree(keys[seen].astype(_U), counts[seen], 3)[-1], 2) if seen.any() else None
+            if nodes is None:
+                continue
+            if open_nodes is not None:
+                nodes = lifted(tuple(np.concatenate(x) for x in zip(open_nodes, nodes, strict=True)), 2)
+            # the last context may go on in the next piece
+            last = nodes[0] >> _U(8 * (DEPTH - 1)) == nodes[0][-1] >> _U(8 * (DEPTH - 1))
+            done, open_nodes = tuple(x[~last] for x in nodes), tuple(x[last] for x in nodes)
+            if len(done[0]):
+                yield rows(done)
+        if open_nodes is not None:
+            yield rows(open_nodes)
+
+    sorted_grams = grams.select("key", "n").repartition(near).sortWithinPartitions("key")
+    nodes = materialise(sorted_grams.mapInArrow(below, "key bigint, zeros double, ones double, weight double, weighted double"), "lm-nodes")
     upper = nodes.groupBy(F.col("key").bitwiseAND(int(context_mask(1)) | 255).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
     first = upper.toPandas().sort_values("key")
     inner = first["key"].to_numpy().astype(_U), first["below"].to_numpy()
@@ -290,14 +317,30 @@ def valued(grams: DataFrame) -> DataFrame:
     shared = grams.sparkSession.sparkContext.broadcast((none, one))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, met, levels in subtrees(batches):
-            every = [*shared.value, *levels[::-1]]
-            tree = Tree([x[0] for x in every], [kt_one(x[1], x[2]) for x in every], [x[3] for x in every])
-            for at in range(0, len(keys), 1 << 16):
-                part = keys[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(met[at : at + (1 << 16)]), pa.array(tree.log10(part))], names=["key", "met", "value"])
-
-    return apart.mapInArrow(run, "key bigint, met bigint, value double")
+        empty = np.zeros(0)
+        held = (np.zeros(0, _U), empty, empty)
+        for kind, keys, counts, met, zeros, ones, weight in pieces(batches, lambda x: x[1] >> 8 * (DEPTH - 1) << 9 | x[0].astype(np.int64) << 8 | np.where(x[0] == 1, x[1] >> 8 * (DEPTH - 2) & 255, 0)):
+            node = kind == 0
+            # the nodes of a context that began in the piece before are still needed
+            held = tuple(np.concatenate([a, b]) for a, b in zip(held, (keys[node].astype(_U), kt_one(zeros[node], ones[node]), weight[node]), strict=True))
+            grams_here, n, often = keys[~node].astype(_U), counts[~node], met[~node]
+            if len(grams_here):
+                seen = n > 0
+                levels = subtree(grams_here[seen], n[seen], 3) if seen.any() else []
+                every = [*shared.value, *levels[::-1]]
+                tree = [(x[0], kt_one(x[1], x[2]), x[3]) for x in every]
+                tree.insert(2, held)
+                whole = Tree(*(list(x) for x in zip(*tree, strict=True)))
+                for at in range(0, len(grams_here), 1 << 16):
+                    part = grams_here[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(often[at : at + (1 << 16)]), pa.array(whole.log10(part))], names=["key", "met", "value"])
+            last = held[0] >> _U(8 * (DEPTH - 1)) == _U(int(keys[-1])) >> _U(8 * (DEPTH - 1))
+            held = tuple(x[last] for x in held)
+
+    zero = F.lit(0.0)
+    both = nodes.select(F.lit(0).alias("kind"), "key", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("met"), "zeros", "ones", "weight")
+    both = both.unionByName(grams.select(F.lit(1).alias("kind"), "key", "n", "met", zero.alias("zeros"), zero.alias("ones"), zero.alias("weight")))
+    return both.repartition(near).sortWithinPartitions(near, "kind", "key").mapInArrow(run, "key bigint, met bigint, value double")
 
 
 def most_frequent(counted: DataFrame, by: str, value: str) -> tuple[np.ndarray, np.ndarray]:
