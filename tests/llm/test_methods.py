@@ -334,6 +334,32 @@ def test_held_out_accuracy(spark):
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_a_step_follows_the_gradient():
+    """One sample, one step: table and output weights move by the gradient of the log-likelihood, found by differences."""
+    rows, counts, dims = np.array([3, 8, 11]), np.array([2, 1, 1]), 4
+    share = counts / counts.sum()
+    rng = np.random.default_rng(7)
+    table = rng.uniform(-1 / dims, 1 / dims, (quality_model.SIZE, dims))
+    samples = [(rows, counts, 1), (np.zeros(0, np.int64), np.zeros(0, np.int64), 0)]
+    order = rng.permutation(2)
+    step = 0.5 * (1 - int(np.flatnonzero(order == 0)[0]) / 2)
+
+    def likelihood(vectors, out):
+        z = share @ vectors @ out
+        return z[1] - np.log(np.exp(z).sum())
+
+    out, tiny = np.zeros((dims, 2)), 1e-6
+    grad = np.zeros_like(out)
+    for i in np.ndindex(out.shape):
+        moved = out.copy()
+        moved[i] += tiny
+        grad[i] = (likelihood(table[rows], moved) - likelihood(table[rows], out)) / tiny
+    # at zero output weights the table's own gradient is zero, so one step moves the output weights alone
+    want = table @ (step * grad)[:, 1] - table @ (step * grad)[:, 0]
+    found = quality_model.fit(samples, dims=dims, epochs=1)
+    assert np.allclose(found.worth, want, atol=1e-4) and found.bias == 0.0
+
+
 def test_folded_score_is_the_mean_of_vectors(spark):
     rng = np.random.default_rng(0)
     model = quality_model.Model(rng.normal(size=quality_model.SIZE).astype(np.float32), 0.25)

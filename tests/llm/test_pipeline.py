@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,37 @@ def test_stages_on_no_rows(spark, odd, name):
 def test_run_on_odd_rows(spark, odd):
     found = corpus_pipeline.run(spark, odd).collect()
     assert {r.doc_id for r in found} <= {i for i, _ in TEXTS} and any(r.doc_id == 5 for r in found)
+
+
+def test_dedup_and_join_leave_no_repeats(spark):
+    """What the two stages keep of the smallest documents, against plain loops."""
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    deduped = stages["line_dedup"](spark, docs, sf).cache()
+    seen, again = set(), []
+    for r in sorted(deduped.collect(), key=lambda r: r.doc_id):
+        lines = [x.strip() for x in (r.text or "").split("\n") if x.split()]
+        for at in range(len(lines)):
+            total, end = 0, at
+            while total < 50 and end < len(lines):
+                total, end = total + len(lines[end].split()), end + 1
+            if total >= 50:
+                again += [r.doc_id] if tuple(lines[at:end]) in seen else []
+                seen.add(tuple(lines[at:end]))
+    # removing a run joins what stood around it, which may match by chance only
+    assert len(again) <= 1
+    kept = {r.doc_id for r in stages["jaccard_join"](spark, deduped, sf).collect()}
+    sets = {}
+    for r in deduped.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    alike = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ids = sorted(sets)
+    component = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if a < b and alike(a, b):
+                old, new = component[b], component[a]
+                component = {k: min(old, new) if v in (old, new) else v for k, v in component.items()}
+    assert kept == {i for i in ids if component[i] == i}
