@@ -575,6 +575,13 @@ def context_group_keys(spark, sf_dir):
     return found.select("event_id", context.group_key("collection", F.concat(F.lit("c"), (F.col("user_id") % 2).cast("string"))).alias("by_collection"), context.group_key("source_kind", kinds).alias("by_kind"), context.group_key("json", value, paths.variant("/k").isNotNull()).alias("by_json"))
 
 
+@R.query(PACKED + "SELECT query_id, sum(CASE WHEN rank % 2 = 0 THEN 1 ELSE 3 END - 1)::BIGINT AS omitted FROM p GROUP BY query_id")
+def context_omitted(spark, sf_dir):
+    packed = context.pack(_turns(spark, sf_dir), 800, 300)
+    sources = F.when(F.col("rank") % 2 == 0, F.array("role")).otherwise(F.array("role", "role", "role"))
+    return context.omitted_citations(packed.withColumn("sources", sources), most=1)
+
+
 @R.query(PACKED + "SELECT query_id, rank, rank * 10 AS char_start, least(rank * 10 + take, rank * 10 + 50)::BIGINT AS char_end FROM p")
 def context_spans(spark, sf_dir):
     packed = context.pack(_turns(spark, sf_dir), 800, 300)

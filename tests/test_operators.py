@@ -356,3 +356,32 @@ def test_the_pump_takes_batches_and_replays(spark, tmp_path):
         query.awaitTermination()
         found = {r.key: (r.version, r.value) for r in streams.latest_state(spark, target, query).collect()}
         assert found == want
+
+
+def test_limits(spark):
+    from quillstone.operators import evaluation
+
+    texts = spark.createDataFrame([("x" * 2_000_001, 1), ("x", 2001), ("x", 3)], "t string, n int")
+    assert [r[0] for r in texts.select(ingest.limit_error(F.col("t"), F.col("n"))).collect()] == ["text_too_long", "too_many_chunks", None]
+    few = spark.createDataFrame([(1, "a"), (1, "b")], "query_id int, ref string")
+    evaluation.check_limits(few, few, 12)
+    for expected, negatives, variants in ((spark.range(201).select(F.col("id").alias("query_id")), None, 1), (spark.range(101).select(F.lit(1).alias("query_id")), None, 1), (few, spark.range(201).select(F.lit(1).alias("query_id")), 1), (few, None, 13)):
+        with pytest.raises(ValueError, match="too many"):
+            evaluation.check_limits(expected, negatives, variants)
+    with pytest.raises(ValueError, match="limit"):
+        runs.trace_list(None, limit=5001)
+
+
+def test_files_as_objects(spark, tmp_path):
+    import hashlib
+
+    from quillstone.sources import objects
+
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.txt").write_bytes(b"hello")
+    (tmp_path / "b.bin").write_bytes(b"no")
+    found = objects.from_files(spark, f"file://{tmp_path}", "*.txt").collect()
+    assert [(r.length, r.etag) for r in found] == [(5, hashlib.sha256(b"hello").hexdigest())] and found[0].key.endswith("deep/a.txt")
+    paths = spark.createDataFrame([("a/b/c.txt",), ("a/c.txt",), ("c.md",), ("a/xc.txt",)], "p string")
+    assert [r.p for r in paths.filter(objects.matches(F.col("p"), ["a/**/c.txt"])).collect()] == ["a/b/c.txt", "a/c.txt"]
+    assert [r.p for r in paths.filter(objects.matches(F.col("p"), ["?.md", "*/x*"])).collect()] == ["c.md", "a/xc.txt"]
