@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.catalog.base import Registry, table
 from quillstone.operators import canonical, runs
 from quillstone.sources.tables import cut, shared_folder
+from quillstone.streaming import events as streams
 
 R = Registry()
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -250,15 +251,29 @@ def run_worker_leases(spark, sf_dir):
     return runs.worker_leases(ops).select("run_id", "seq", "answer", "attempt", "lease_until")
 
 
-@R.query("""WITH RECURSIVE ops AS (SELECT CAST(user_id % 20 AS VARCHAR) AS lease_key, event_id AS seq, ts AS moment, event_type = 'error' AS lets_go, CAST(event_id % 3 AS VARCHAR) AS owner, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS n FROM events),
+TTL_LEASES = """WITH RECURSIVE ops AS (SELECT CAST(user_id % 20 AS VARCHAR) AS lease_key, event_id AS seq, ts AS moment, event_type = 'error' AS lets_go, CAST(event_id % 3 AS VARCHAR) AS owner, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS n FROM events),
 walk AS (SELECT lease_key, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS answer, NULL::VARCHAR AS held, NULL::TIMESTAMP AS until FROM (SELECT DISTINCT lease_key FROM ops)
 UNION ALL SELECT o.lease_key, o.n, o.seq, CASE WHEN o.lets_go THEN CASE WHEN w.held = o.owner THEN 'released' ELSE 'not_owner' END WHEN w.held <> o.owner AND w.until > o.moment THEN 'refused' ELSE 'acquired' END,
  CASE WHEN o.lets_go THEN CASE WHEN w.held = o.owner THEN NULL ELSE w.held END WHEN w.held <> o.owner AND w.until > o.moment THEN w.held ELSE o.owner END,
  CASE WHEN o.lets_go OR w.held <> o.owner AND w.until > o.moment THEN w.until ELSE o.moment + INTERVAL 6 HOUR END FROM walk w JOIN ops o ON o.lease_key = w.lease_key AND o.n = w.n + 1)
-SELECT lease_key, seq, answer, CASE WHEN answer = 'acquired' THEN until END AS lease_until FROM walk WHERE n > 0""")
+SELECT lease_key, seq, answer, CASE WHEN answer = 'acquired' THEN until END AS lease_until FROM walk WHERE n > 0"""
+
+
+def _lease_operations(events):
+    return events.select((F.col("user_id") % 20).cast("string").alias("lease_key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "release").otherwise("acquire").alias("operation"), (F.col("event_id") % 3).cast("string").alias("owner"), F.lit(21600.0).alias("ttl_seconds"))
+
+
+@R.query(TTL_LEASES)
 def run_ttl_leases(spark, sf_dir):
-    ops = table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("lease_key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(F.col("event_type") == "error", "release").otherwise("acquire").alias("operation"), (F.col("event_id") % 3).cast("string").alias("owner"), F.lit(21600.0).alias("ttl_seconds"))
-    return runs.ttl_leases(ops).select("lease_key", "seq", "answer", "lease_until")
+    return runs.ttl_leases(_lease_operations(table(spark, sf_dir, "events"))).select("lease_key", "seq", "answer", "lease_until")
+
+
+@R.query(TTL_LEASES)
+def stream_ttl_leases(spark, sf_dir):
+    """Leases answered by a stream that keeps each key's state."""
+    operations = _lease_operations(streams.read_events(spark, f"{sf_dir}/events.parquet*"))
+    answered = runs.ttl_leases(operations).select("lease_key", "seq", "answer", "lease_until")
+    return streams.drained(answered, f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}")
 
 
 @R.query()

@@ -126,23 +126,24 @@ def worker_leases(operations: DataFrame) -> DataFrame:
     return sequential.fold(operations, ["run_id"], ["seq"], start, step, f"answer string, attempt int, lease_until {_kind(operations, 'at')}")
 
 
+def _ttl_step(held: tuple | None, row: dict) -> tuple[tuple | None, dict]:
+    if row["operation"] == "release":
+        mine = held is not None and held[0] == row["owner"]
+        return (None if mine else held), {"answer": "released" if mine else "not_owner"}
+    if held is not None and held[1] > row["at"] and held[0] != row["owner"]:
+        return held, {"answer": "refused"}
+    until = row["at"] + dt.timedelta(seconds=row["ttl_seconds"])
+    return (row["owner"], until), {"answer": "acquired", "lease_until": until}
+
+
 def ttl_leases(operations: DataFrame) -> DataFrame:
-    """Acquisitions and releases of leases (lease_key, seq, at, operation, owner, ttl_seconds) with answer and lease_until.
+    """Acquisitions and releases of leases (lease_key, seq, at, operation, owner, ttl_seconds) with answer and lease_until, of a table or a stream.
 
     A lease is refused while another owner's stands; the owner's own is renewed.
     A release by the owner ends it, over or not.
     """
-
-    def step(held: tuple | None, row: dict) -> tuple[tuple | None, dict]:
-        if row["operation"] == "release":
-            mine = held is not None and held[0] == row["owner"]
-            return (None if mine else held), {"answer": "released" if mine else "not_owner"}
-        if held is not None and held[1] > row["at"] and held[0] != row["owner"]:
-            return held, {"answer": "refused"}
-        until = row["at"] + dt.timedelta(seconds=row["ttl_seconds"])
-        return (row["owner"], until), {"answer": "acquired", "lease_until": until}
-
-    return sequential.fold(operations, ["lease_key"], ["seq"], lambda: None, step, f"answer string, lease_until {_kind(operations, 'at')}")
+    folded = sequential.fold_stream if operations.isStreaming else sequential.fold
+    return folded(operations, ["lease_key"], ["seq"], lambda: None, _ttl_step, f"answer string, lease_until {_kind(operations, 'at')}")
 
 
 def due(timers: DataFrame, now: Column) -> DataFrame:

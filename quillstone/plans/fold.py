@@ -8,8 +8,10 @@ key's state and a batch of rows, never a key's history.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,3 +46,28 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[],
     dealt = rows.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
     schema = StructType([*rows.schema.fields, *added.fields])
     return dealt.mapInArrow(run, schema)
+
+
+def fold_stream(stream: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict]], answers: str) -> DataFrame:
+    """``fold`` over a stream: a key's state is kept between batches, and within a batch its rows are taken by ``order``.
+
+    A row that comes in a later batch than one it should go before is taken after
+    it: what a stream has answered stands. The rows of a key in one batch are held.
+    """
+    added = StructType.fromDDL(answers)
+    names = [f.name for f in added]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        state = pickle.loads(held.get[0]) if held.exists else start()
+        rows = pd.concat(list(frames)).sort_values(order)
+        found = []
+        # nulls are None for the step, as in a fold
+        for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
+            state, answer = step(state, row)
+            found.append([answer.get(n) for n in names])
+        held.update((pickle.dumps(state),))
+        more = pd.DataFrame(found, columns=names, index=rows.index, dtype=object)
+        yield pd.concat([rows, more], axis=1)
+
+    schema = StructType([*stream.schema.fields, *added.fields])
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", "NoTimeout")

@@ -121,3 +121,29 @@ def test_keys_of_refused_requests_stay_free(spark):
     data = spark.createDataFrame(rows, "seq int, idempotency_key string, hash string")
     assert [r.status for r in runs.admit(data, 1, 3).orderBy("seq").collect()] == ["admitted", "admitted", "queue_full", "conflict", "queue_full", "queue_full"]
     assert {r.status for r in runs.admit(data, 9, 3).collect()} == {"queue_full"}
+
+
+def test_a_stream_keeps_state_between_batches(spark, tmp_path):
+    from quillstone.streaming import events as streams
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), k, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), rng.choice(["acquire", "acquire", "release"]), rng.choice("xy"), 300.0) for k in range(300)]
+    schema = "lease_key string, seq int, at timestamp_ntz, operation string, owner string, ttl_seconds double"
+    for n in range(3):
+        spark.createDataFrame(rows[100 * n : 100 * n + 100], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = streams.read_events(spark, f"file://{tmp_path}/in", files_per_trigger=1)
+    found = {r.seq: (r.answer, r.lease_until) for r in streams.drained(runs.ttl_leases(stream), f"file://{tmp_path}/out").collect()}
+    batch = {r.seq: (r.answer, r.lease_until) for r in runs.ttl_leases(spark.createDataFrame(rows, schema)).collect()}
+    held, want = {}, {}
+    for key, seq, at, operation, owner, _ in rows:
+        now = held.get(key)
+        if operation == "release":
+            want[seq] = ("released" if now and now[0] == owner else "not_owner", None)
+            if want[seq][0] == "released":
+                del held[key]
+        elif now and now[1] > at and now[0] != owner:
+            want[seq] = ("refused", None)
+        else:
+            held[key] = (owner, at + dt.timedelta(minutes=5))
+            want[seq] = ("acquired", held[key][1])
+    assert batch == want and found == want and {a for a, _ in want.values()} == {"acquired", "refused", "released", "not_owner"}
