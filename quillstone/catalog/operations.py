@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import datetime
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillstone.catalog.base import Registry, table
 from quillstone.operators import canonical, runs
-from quillstone.sources.tables import cut, shared_folder
+from quillstone.sources.tables import cut, scratch
 from quillstone.streaming import events as streams
 
 R = Registry()
@@ -178,7 +176,7 @@ def canonical_archive(spark, sf_dir):
 def canonical_restore(spark, sf_dir):
     """An archived tenant comes back in place of what it has become; others stay as they have."""
     now = cut(canonical.current(_mutations(spark, sf_dir)))
-    folder = f"{shared_folder(spark)}/archive/{uuid.uuid4().hex}"
+    folder = scratch(spark, "archive")
     canonical.export({"documents": now}, "2", folder)
     later = now.withColumn("revision", F.col("revision") + 1)
     return canonical.restore({"documents": later}, folder)["documents"].drop("data", "indexes")
@@ -273,7 +271,7 @@ def stream_ttl_leases(spark, sf_dir):
     """Leases answered by a stream that keeps each key's state."""
     operations = _lease_operations(streams.read_events(spark, f"{sf_dir}/events.parquet*"))
     answered = runs.ttl_leases(operations).select("lease_key", "seq", "answer", "lease_until")
-    return streams.drained(answered, f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}")
+    return streams.drained(answered, scratch(spark, "streams"))
 
 
 @R.query()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillstone.catalog.base import Registry, table
@@ -12,7 +10,7 @@ from quillstone.operators import context, evaluation, handlers, ingest, lexical,
 from quillstone.plans import paging
 from quillstone.plans.filters import Paths
 from quillstone.sources import collections, objects, records
-from quillstone.sources.tables import shared_folder
+from quillstone.sources.tables import scratch
 from quillstone.streaming import events as streams
 
 R = Registry()
@@ -153,7 +151,7 @@ def _stream(spark, sf_dir):
 
 
 def _folder(spark):
-    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    return scratch(spark, "streams")
 
 
 LAST = "(SELECT max(ts) - INTERVAL 2 HOUR FROM events)"

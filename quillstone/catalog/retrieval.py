@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillstone.catalog.base import Registry, table
 from quillstone.catalog.records import RECORDS, _docs
 from quillstone.operators import context, evaluation, ingest, lexical, retrieval, vector
 from quillstone.plans.filters import Paths
-from quillstone.sources.tables import shared_folder
+from quillstone.sources.tables import exists, scratch
 
 R = Registry()
 KEYS = ["partition_key", "id"]
@@ -91,9 +89,13 @@ def _texts(spark, sf_dir, fields=("text",)):
 def _index(spark, sf_dir, fields=("text",)) -> lexical.Index:
     """The stored index of the documents' fields, built when it is first asked for."""
     name = (spark.sparkContext.applicationId, sf_dir, fields)
-    if name not in _INDEXES:
-        folder = f"{shared_folder(spark)}/lexical/{uuid.uuid4().hex}"
-        _INDEXES[name] = lexical.Index.build(_texts(spark, sf_dir, fields), folder, KEYS)
+    return _stored(spark, name, _texts(spark, sf_dir, fields))
+
+
+def _stored(spark, name: tuple, texts) -> lexical.Index:
+    """The index under a name, built if there is none or its folder is gone."""
+    if name not in _INDEXES or not exists(spark, _INDEXES[name].path):
+        _INDEXES[name] = lexical.Index.build(texts, scratch(spark, "lexical"), KEYS)
     return _INDEXES[name]
 
 
@@ -226,12 +228,11 @@ def _collection(spark, sf_dir) -> retrieval.Collection:
     """The documents' records with their index, and the model-free embeddings of their texts and sources."""
     name = (spark.sparkContext.applicationId, sf_dir, "record")
     leaves = _record_leaves(spark, sf_dir)
-    if name not in _INDEXES:
-        _INDEXES[name] = lexical.Index.build(leaves, f"{shared_folder(spark)}/lexical/{uuid.uuid4().hex}", KEYS)
+    index = _stored(spark, name, leaves)
     docs = _docs(spark, sf_dir)
     embedded = lambda c: ingest.embed(docs.withColumn("prefixed", ingest.with_purpose(F.col(c), "passage")), "prefixed", dims=64, out="vector").select(*KEYS, "vector")
     fields = {"contentEmbedding": (embedded("text"), "cosine"), "sourceEmbedding": (embedded("id"), "euclidean")}
-    return retrieval.Collection(docs.select(*KEYS, "text"), tuple(KEYS), leaves, _INDEXES[name], fields)
+    return retrieval.Collection(docs.select(*KEYS, "text"), tuple(KEYS), leaves, index, fields)
 
 
 def _retrieved(spark, sf_dir, digits=5, **request):
@@ -660,7 +661,7 @@ def token_frequency(spark, sf_dir):
 @R.query(f"WITH p AS (SELECT 'doc-' || doc_id AS id, unnest({TOKENS.format('CASE WHEN doc_id % 4 = 0 THEN lang || chr(32) || lang ELSE text END')}) AS term FROM documents WHERE doc_id % 9 <> 4 OR doc_id % 4 = 0) SELECT term, count(*) AS n, count(DISTINCT id) AS documents FROM p GROUP BY term")
 def lexical_index_update(spark, sf_dir):
     """The postings of an index after changes and removals, in segments, then as one."""
-    docs, folder = _docs(spark, sf_dir), f"{shared_folder(spark)}/lexical/{uuid.uuid4().hex}"
+    docs, folder = _docs(spark, sf_dir), scratch(spark, "lexical")
     index = lexical.Index.build(lexical.wide(docs.filter("doc_id % 3 <> 1"), ["text"], KEYS), folder, KEYS)
     index = index.update(lexical.wide(docs.filter("doc_id % 3 = 1"), ["text"], KEYS))
     index = index.update(lexical.wide(docs.filter("doc_id % 4 = 0").withColumn("text", F.concat_ws(" ", "lang", "lang")), ["text"], KEYS), docs.filter("doc_id % 9 = 4"))
@@ -684,7 +685,7 @@ def collections_top_k(spark, sf_dir):
 @R.query()
 def vector_ann(spark, sf_dir):
     """Approximate search by inverted lists; its recall is measured by a test."""
-    folder = f"{shared_folder(spark)}/lists/{uuid.uuid4().hex}"
+    folder = scratch(spark, "lists")
     return _rounded(vector.Lists.build(_vectors(spark, sf_dir), folder).search(_asked(spark, sf_dir), 10, 60))
 
 

@@ -20,8 +20,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may have ended before the interpreter
+        pass
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed when the driver's interpreter ends."""
+    path = f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` without its lineage: written once, read from then on."""
-    path = f"{shared_folder(df.sparkSession)}/steps/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "steps")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
