@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+
 from pyspark.sql import functions as F
 
 from quillstone.catalog.base import Registry, table
