@@ -30,7 +30,7 @@ DEPTH = 5
 #: Words whose counts, and byte n-grams whose values, are shared with the executors, at most; the others' meet them in a join.
 FREQUENT = 1 << 20
 #: N-grams whose subtrees are held at once, unless one three-byte context has more.
-GROUP = 1 << 18
+GROUP = 1 << 16
 #: Bytes coded at once.
 CHUNK = 1 << 19
 
