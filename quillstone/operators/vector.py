@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.sources.tables import cut
+
 #: Queries and vectors of a block.
 BLOCK, ROWS = 1024, 4096
 
@@ -118,7 +120,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, distance: str = "
     group = F.lit(0) if group_column is None else F.col(group_column)
     good = vectors.filter(valid(F.col(vector_column), dims)).select(F.col(id_column).alias("id"), group.alias("grp"), F.col(vector_column).cast("array<double>").alias("vector"))
     asked = queries.filter(valid(F.col("vector"), dims)).select(F.col("query_id").alias("id"), F.lit(0).alias("grp"), F.col("vector").cast("array<double>").alias("vector"))
-    pairs = _packed(good, ROWS, dims, "v").join(_packed(asked.coalesce(1), BLOCK, dims, "q"), how="cross")
+    # the queries' blocks are written once: each task of the vectors reads them
+    blocks = cut(_packed(asked.coalesce(1), BLOCK, dims, "q"))
+    pairs = _packed(good, ROWS, dims, "v").join(blocks, how="cross")
     found = _scored(pairs, good, asked, k, distance, dims)
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
