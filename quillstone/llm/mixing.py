@@ -7,10 +7,11 @@ leave both expectations as they are, until one of the two is integral; the other
 goes on. A pair's expected words never change, so a source ends off its target by
 the last open document alone.
 
-Documents that are large in their source are rounded first, so that what the last
-of them leaves over is spread over all others, whose chances it shifts evenly.
-Those are rounded in blocks, and what each block has left over goes up a tree of
-blocks, a few levels for any input. All of it is DataFrame operations.
+Documents that are large in their source are rounded first, the largest before
+others, so that what the last of them leaves over is spread over all smaller ones,
+whose chances it shifts evenly. The small ones are rounded in blocks, and what
+each block has left over goes up a tree of blocks, a few levels for any input. All
+of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from quillstone.llm.common import WORD, materialise
 
 #: Documents of a block, about; also how many blocks share one of the next level.
 FAN = 64
-#: A document is large if it has more than one in so many of its source's words; a source has fewer large ones than that.
-LARGE = 256
+#: Large documents have more than one in so many of their source's words, by falling size; a source has fewer than that of each kind.
+LARGE = (8, 64, 256)
 
 
 def words(text: str | Column) -> Column:
@@ -106,36 +107,45 @@ def copies(docs: DataFrame, target: DataFrame, seed: int = 11) -> DataFrame:
     rows = numbered.join(target, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(times).cast("int")).withColumn("p", times - F.floor(times))
-    kind = F.when((F.col("size") == 0) | (F.col("p") == 0), 0).when(F.col("size") * LARGE > F.col("source_size"), 1).otherwise(2)
-    rows = materialise(rows.withColumn("kind", kind).drop("source_size", "target"), "mix-rows")
+    kind = F.when((F.col("size") == 0) | (F.col("p") == 0), 0)
+    for tier, part in enumerate(LARGE, 1):
+        kind = kind.when(F.col("size") * part > F.col("source_size"), tier)
+    small_kind = len(LARGE) + 1
+    rows = materialise(rows.withColumn("kind", kind.otherwise(small_kind)).drop("source_size", "target"), "mix-rows")
     settled = rows.filter("kind = 0").select("id", "source", "size", "copy", F.col("whole").alias("copies"))
 
     item = F.struct((-F.col("size")).alias("nsize"), "id", "copy", "p", "u")
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.col("shift")))
 
     def rounded(items: DataFrame, key: list[str], level: int) -> DataFrame:
         """One row of each group, with x: its items from the largest on, rounded."""
         grouped = items.withColumn("u", _chance(seed + level, "id", "copy", "size")).groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("items"))
         return grouped.select(*key, _round(F.col("items"), id_type).alias("x"))
 
-    large = rounded(rows.filter("kind = 1"), ["source", "whole"], 0)
-    large = materialise(large.withColumn("last", _last(large, seed + 1000)), "mix-large")
-    small = rows.filter("kind = 2")
-    off = F.when(F.col("x.held").isNull(), 0.0).otherwise((F.col("x.held.p") - F.col("last")) * -F.col("x.held.nsize"))
-    most_off = -F.col("x.held.nsize") * F.greatest(F.col("x.held.p"), 1 - F.col("x.held.p"))
-    left_over = large.select(F.col("source").alias("large_source"), off.alias("off"), F.coalesce(most_off, F.lit(0.0)).alias("most_off"))
-    # one row a source: how many blocks, and by how much the large ones shift the chance of the others
-    stats = small.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("blocks"), F.sum("size").alias("words"), F.first("p").alias("p"))
-    stats = stats.join(left_over, F.col("source").eqNullSafe(F.col("large_source")), "left")
-    room = F.col("words") * F.least(F.col("p"), 1 - F.col("p"))
-    share = F.when(F.col("most_off") > room, room / F.col("most_off")).otherwise(1.0)
-    shift = F.coalesce(share * F.col("off") / F.col("words"), F.lit(0.0))
-    stats = materialise(stats.select(F.col("source").alias("source_"), "blocks", shift.alias("shift")), "mix-blocks")
-
-    results = [settled, _decided(large)]
+    # one row a source: the chance of its open documents, the words of those of each kind and smaller, the blocks of the small ones, and by how much larger ones have shifted the chance
+    below = [F.coalesce(F.sum(F.when(F.col("kind") > tier, F.col("size"))), F.lit(0)).alias(f"below_{tier}") for tier in range(1, small_kind)]
+    blocks = F.ceil(F.count(F.when(F.col("kind") == small_kind, 1)) / FAN).alias("blocks")
+    stats = rows.filter("kind > 0").groupBy("source").agg(F.first("p").alias("chance"), blocks, *below).withColumnRenamed("source", "source_").withColumn("shift", F.lit(0.0))
+    stats = materialise(stats, "mix-sources")
+    own = F.col("source").eqNullSafe(F.col("source_"))
+    results = [settled]
+    for tier in range(1, small_kind):
+        items = rows.filter(F.col("kind") == tier).join(stats.select("source_", "shift"), own).withColumn("p", clipped)
+        large = rounded(items, ["source", "whole"], -tier)
+        large = materialise(large.withColumn("last", _last(large, seed + 1000 + tier)), f"mix-large{tier}")
+        results.append(_decided(large))
+        held = F.col("x.held")
+        left_over = large.select("source", ((held["p"] - F.col("last")) * -held["nsize"]).alias("off"), (-held["nsize"] * F.greatest(held["p"], 1 - held["p"])).alias("most_off"))
+        now, words_below = F.col("chance") + F.col("shift"), F.col(f"below_{tier}")
+        room = words_below * F.greatest(F.lit(0.0), F.least(now, 1 - now))
+        share = F.when(F.col("most_off") > room, room / F.col("most_off")).otherwise(1.0)
+        more = F.when((words_below > 0) & F.col("off").isNotNull() & (F.col("most_off") > 0), share * F.col("off") / words_below).otherwise(0.0)
+        stats = stats.join(left_over, own, "left").withColumn("shift", F.col("shift") + more).drop("source", "off", "most_off")
+        stats = materialise(stats, f"mix-shift{tier}")
+    small = rows.filter(F.col("kind") == small_kind)
     most = stats.agg(F.max("blocks")).first()[0]
-    if most is not None:
-        moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") + F.col("shift")))
-        placed = small.join(stats, F.col("source").eqNullSafe(F.col("source_"))).withColumn("p", moved).withColumn("block", F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.col("blocks")))
+    if most:
+        placed = small.join(stats.select("source_", "shift", "blocks"), own).withColumn("p", clipped).withColumn("block", F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.col("blocks")))
         current, width, level = placed, most, 1
         key = ["source", "whole", "blocks", "block"]
         while True:
@@ -161,8 +171,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     by id; texts of any length are counted whole; further columns are ignored; an
     empty table gives no rows. At most ``ceil(most)`` copies are taken. The words
     taken of a source differ from its target by less than one of its documents,
-    and by less than one in ``LARGE`` of its words where the others can take up
-    what the large ones leave.
+    and by less than the last of ``LARGE`` says of its words where smaller ones
+    can always take up what larger ones leave.
     """
     sizes = materialise(docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words(text_column).alias("size")), "mix-sizes")
     target = materialise(targets(sizes, weights, most), "mix-targets")

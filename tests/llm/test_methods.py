@@ -241,7 +241,7 @@ def test_mix_takes_each_row_as_often_as_stated(spark):
     assert all(abs(r.m - 1.37) < 4 * math.sqrt(0.37 * 0.63 / r.n) for r in by_size)
     totals = found.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("size").alias("most")).join(target, "source").collect()
     assert len(totals) == 1540 and all(abs(r.taken - r.target) < r.most for r in totals)
-    assert all(abs(r.taken - r.target) < r.source_size / mixing.LARGE for r in totals if r.source >= "b")
+    assert all(abs(r.taken - r.target) < r.source_size / mixing.LARGE[-1] for r in totals if r.source >= "b")
 
 
 # 4: line frequency
