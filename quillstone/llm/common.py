@@ -77,6 +77,18 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Rows of an Arrow batch that carries texts, at most.
+BATCH_ROWS = 2000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python fewer rows at a time, unless it hands fewer already: a batch of whole texts is held several times over, by the executor and its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Python rows of Arrow batches; the text in ``body`` comes as UTF-8 bytes, a null one as empty. Some rows at a time are turned into Python values."""
     for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):

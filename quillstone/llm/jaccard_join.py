@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.llm.common import Out, in_blocks, materialise, release, rows_of, runs_of
+from quillstone.llm.common import Out, in_blocks, materialise, modest_batches, release, rows_of, runs_of
 from quillstone.llm.components import components
 
 _U = np.uint64
@@ -112,7 +112,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct hashes of a text's shingles; words' hashes are remembered up to ``most``."""
 
-    def __init__(self, words: int, most: int = 1 << 18):
+    def __init__(self, words: int, most: int = 1 << 17):
         self.width, self.most, self.hashes = words, most, {}
 
     def __call__(self, text: bytes) -> np.ndarray:
@@ -358,6 +358,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     components. Repeated rows link with each other, and so do rows with a null id,
     which counts as larger than any other. Sets and classes go by 64-bit hashes.
     """
+    modest_batches(docs.sparkSession)
     body = F.col(text_column).cast("string")
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("text_key"), body.alias("body"))
     signed = materialise(_sets(rows, words, num, den), "join-signed")

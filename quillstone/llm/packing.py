@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Out
+from quillstone.llm.common import Out, modest_batches
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -93,6 +93,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_column: str = "doc_id", text_c
     length the last to wait goes first; further columns are ignored; an empty
     table gives no pieces.
     """
+    modest_batches(docs.sparkSession)
     kind = docs.select(id_column).schema[0].dataType.simpleString()
     schema = f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
 

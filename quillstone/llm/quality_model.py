@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import rows_of
+from quillstone.llm.common import modest_batches, rows_of
 
 #: Features fixed by the model; the table has ``1 << BITS`` rows.
 BITS, GRAMS = 17, (3, 4, 5)
@@ -62,7 +62,7 @@ def word_rows(hashes: np.ndarray) -> np.ndarray:
 class Words:
     """What each word met so far is worth, its number of features and its hash; starts anew beyond ``most`` words."""
 
-    def __init__(self, worth: np.ndarray, most: int = 1 << 18):
+    def __init__(self, worth: np.ndarray, most: int = 1 << 17):
         self.worth, self.most = worth, most
         self.clear()
 
@@ -207,6 +207,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     Null and empty texts get the score of the labels' prior; very long texts are
     read whole; repeated rows are scored alike; an empty table gives no rows.
     """
+    modest_batches(docs.sparkSession)
     names = keep or [id_column]
     shared = docs.sparkSession.sparkContext.broadcast((model.worth, model.bias))
 

@@ -43,7 +43,7 @@ class WordTokens:
     tokenizer's own go to the tokenizer whole.
     """
 
-    def __init__(self, file: str, most: int = 1 << 19):
+    def __init__(self, file: str, most: int = 1 << 18):
         self.tokenizer = Tokenizer.from_file(file)
         self.memory = _Memory(self.tokenizer.model, most)
 
