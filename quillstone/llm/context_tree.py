@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Out, materialise, rows_of
+from quillstone.llm.common import Out, materialise, modest_batches, rows_of
 
 #: Context bytes. An n-gram key holds them, the nearest in the highest bits, and in the lowest the byte to code,
 #: so that keys cut to fewer context bytes stay in order.
@@ -369,6 +369,7 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
     its one token and its one coded byte are the end. Repeated rows count and are
     scored each, whole texts at any length; an empty table gives no rows.
     """
+    modest_batches(docs.sparkSession)
     picked = docs.select(F.col(id_column).alias("id"), held_out.alias("held_out"), F.col(text_column).alias("body"))
     counts = materialise(gather(picked.filter(~F.col("held_out")), "body"), "lm-counts")
     words = counts.filter("kind = 0").select("key", "n")
