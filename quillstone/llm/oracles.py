@@ -47,3 +47,28 @@ m AS (SELECT *, max(CASE WHEN on_later THEN on_end END) OVER (PARTITION BY doc_i
 gone AS (SELECT doc_id, pos FROM m WHERE reach >= e OR first <= s),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY pos) AS text FROM l LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
 SELECT d.doc_id, COALESCE(n_lines, 0)::INTEGER AS n_lines, COALESCE(n_removed, 0)::INTEGER AS n_removed, CASE WHEN d.text IS NOT NULL THEN COALESCE(k.text, '') END AS text FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+FILL_MIDDLE = """
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, sha256('1:' || COALESCE(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (SELECT *, length(text)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (SELECT *, substring(text, 1, a) AS prefix, substring(text, a + 1, b - a) AS middle, substring(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM g"""
+
+#: Words that share what is left when one place is replaced by a mark, or lacks a letter that the other has.
+SPELLING_VARIANTS = f"""
+WITH RECURSIVE crc(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(0, 256) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc WHERE k < 8),
+crcs AS (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8),
+runs AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(COALESCE(doc_id::VARCHAR, '') || ':' || w)) AS b FROM runs),
+hashed AS (SELECT w, c, xor(list_reduce(list_transform(range(0, length(b) // 2), lambda i: ('0x' || substring(b, 2 * i + 1, 2))::BIGINT), lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, crcs),
+cut AS (SELECT c, CASE WHEN h % 199 = 0 THEN substring(w, 1, (h % length(w))) || substring(w, (h % length(w)) + 2) ELSE w END AS word FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+holes AS (SELECT word, n, unnest(list_distinct(list_transform(range(0, length(word)), lambda i: substring(word, 1, i) || '?' || substring(word, i + 2)))) AS k FROM words),
+lacks AS (SELECT word, n, unnest(list_distinct(list_transform(range(0, length(word)), lambda i: substring(word, 1, i) || substring(word, i + 2)))) AS k FROM words),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.k = b.k AND a.word <> b.word UNION SELECT a.word, a.n, b.word, b.n FROM lacks a JOIN words b ON a.k = b.word UNION SELECT b.word, b.n, a.word, a.n FROM lacks a JOIN words b ON a.k = b.word),
+best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word, n),
+forms AS (SELECT word, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM best),
+walk(word, here) AS (SELECT word, word FROM words UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.here WHERE f.form IS NOT NULL),
+roots AS (SELECT w.word, w.here AS root FROM walk w LEFT JOIN forms f ON f.word = w.here WHERE f.form IS NULL)
+SELECT word, form, root, n, COALESCE(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n FROM words LEFT JOIN forms USING (word) JOIN roots USING (word)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import context_tree, embedding_dedup, jaccard_join, line_dedup, line_frequency, mixing, oracles, packing, quality_model, secrets, warc
+from quillstone.llm import context_tree, embedding_dedup, fill_middle, jaccard_join, line_dedup, line_frequency, mixing, oracles, packing, quality_model, secrets, sharding, spelling, warc
 from quillstone.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.apply(table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(text).alias("restored_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"))
+    return sharding.shuffled(docs).withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +97,9 @@ QUERIES = {
         op8_embedding_dedup,
         op9_secret_scan,
         op10_jaccard_join,
+        op11_fill_middle,
+        op12_spelling_variants,
+        op13_sharding,
     )
 }
 #: The others learn, round at random, tokenize, write files or scan by position; their tests are brute force.
@@ -88,4 +108,6 @@ ORACLE_SQL: dict[str, str] = {
     op4_line_frequency.__name__: oracles.LINE_FREQUENCY,
     op8_embedding_dedup.__name__: oracles.EMBEDDING_DEDUP,
     op10_jaccard_join.__name__: oracles.JACCARD_JOIN,
+    op11_fill_middle.__name__: oracles.FILL_MIDDLE,
+    op12_spelling_variants.__name__: oracles.SPELLING_VARIANTS,
 }
