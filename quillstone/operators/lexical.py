@@ -1,19 +1,20 @@
 """Lexical search: a stored inverted index, and batches of queries over it.
 
-An index holds postings (keys, field, term, tf and the document's length) sorted
-by term, so that a query's terms select row groups, and the keys that each
-segment of it wrote. All queries of a batch run in one job. Candidates come from
-postings alone: documents that hold any (or all) of a query's words and quoted
-phrases, the best ``scan_limit`` of them by BM25 over the whole index. Statistics
-for scoring are those of a query's candidates; scores are divided by the query's
-best, boosted and cut at one. Texts are read for those documents alone that a
-boost can still bring among the best.
+An index holds blocks of postings sorted by term, so that a query's terms select
+row groups, and the keys that each segment of it wrote. All queries of a batch run
+in one job. Candidates come from the index alone: documents that hold any (or all)
+of a query's words and quoted phrases, the best ``scan_limit`` of them by BM25
+over the whole index; blocks that cannot reach the last of these are not decoded,
+and phrases are found by positions. Statistics for scoring are those of a query's
+candidates; scores are divided by the query's best, boosted and cut at one. Texts
+are read for those documents alone that a boost can still bring among the best.
 
 Texts come as leaves: keys, field and text, one row a field.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -34,8 +35,9 @@ MOST_GROUPS, MOST_PHRASE = 16, 256
 TOKEN = r"[\p{L}\p{N}]+"
 #: Words that are handed to the scan as literals; beyond that they are joined.
 LITERALS = 4096
-#: Rows of an index that one of its files holds, about.
-FILE_ROWS = 4_000_000
+#: Documents of a range, about, and what an index holds of a posting besides keys and positions.
+RANGE = 1024
+ITEM = ("field", "tf", "length")
 
 
 @dataclass(frozen=True)
@@ -153,7 +155,7 @@ def _scalars(root: object, pointer: str) -> Iterator[tuple[str, str]]:
     while todo:
         path, value = todo.pop()
         if isinstance(value, dict):
-            todo += [(f"{path}/{k}", v) for k, v in reversed(value.items())]
+            todo += [(f"{path}/{k.replace('~', '~0').replace('/', '~1')}", v) for k, v in reversed(value.items())]
         elif isinstance(value, list):
             todo += [(f"{path}/{k}", v) for k, v in reversed(list(enumerate(value)))]
         elif value is not None:
@@ -161,11 +163,19 @@ def _scalars(root: object, pointer: str) -> Iterator[tuple[str, str]]:
 
 
 def postings(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, field, term, tf, length): one scan, one shuffle by document. The length is that of all of a document's fields."""
+    """(keys, length, term, field, tf, positions, total, lead): one scan, one shuffle by document.
+
+    The length is that of all of a document's fields, total the term's frequency
+    in all of them, and lead marks one field of each document and term. Positions
+    go up within a text; texts of one field are far apart.
+    """
     listed = texts.groupBy(*keys).agg(F.collect_list(F.struct("field", tokens(F.col("text")).alias("terms"))).alias("fields"))
     length = F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["terms"]))
-    each = listed.select(*keys, length.alias("length"), F.explode("fields").alias("f")).select(*keys, "length", "f.field", F.explode("f.terms").alias("term"))
-    return each.groupBy(*keys, "length", "field", "term").agg(F.count(F.lit(1)).alias("tf")).select(*keys, "field", "term", "tf", "length")
+    each = listed.select(*keys, length.alias("length"), F.posexplode("fields").alias("text_no", "f")).select(*keys, "length", "text_no", "f.field", F.posexplode("f.terms").alias("place", "term"))
+    position = F.shiftleft(F.col("text_no").cast("bigint"), 32) + F.col("place")
+    by_field = each.groupBy(*keys, "length", "term", "field").agg(F.sort_array(F.collect_list(position)).alias("positions"))
+    by_term = by_field.groupBy(*keys, "length", "term").agg(F.collect_list(F.struct("field", F.size("positions").cast("bigint").alias("tf"), "positions")).alias("parts"), F.sum(F.size("positions")).alias("total"))
+    return by_term.select(*keys, "length", "term", "total", F.posexplode("parts").alias("no", "part")).select(*keys, "length", "term", "part.*", "total", (F.col("no") == 0).alias("lead"))
 
 
 def _any_of(words: list[str]) -> Column:
@@ -175,7 +185,14 @@ def _any_of(words: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """An index's folder. Segments are never changed: a later one replaces the documents that it names."""
+    """An index's folder. Segments are never changed: a later one replaces the documents that it names.
+
+    A segment's documents are dealt into ranges of documents alike in length. A
+    term's postings of a range are one row, a block, with arrays of keys, fields,
+    frequencies, lengths and positions, and with what bounds their scores: the
+    highest frequency and the least length. Positions are delta-coded by the file
+    format, and read for phrases alone.
+    """
 
     spark: SparkSession
     path: str
@@ -191,17 +208,25 @@ class Index:
         folder = f"{self.path}/{self.segments}"
         named.write.mode("overwrite").parquet(f"{folder}/named")
         # written once before it is dealt by ranges, which are found by looking at it
-        rows = cut(postings(texts, list(self.keys))).repartitionByRange("term", *self.keys).sortWithinPartitions("term", *self.keys)
-        rows.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/postings")
-        back = self.spark.read.parquet(f"{folder}/postings")
-        totals = back.select(*self.keys, "length").distinct().agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
-        self._count(back).write.mode("overwrite").parquet(f"{folder}/words")
+        self._store(cut(postings(texts, list(self.keys))), folder)
         return Index(self.spark, self.path, self.keys, self.segments + 1)
 
-    def _count(self, posted: DataFrame) -> DataFrame:
-        """term and often: in how many documents."""
-        return posted.select("term", *self.keys).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("often"))
+    def _store(self, rows: DataFrame, folder: str) -> None:
+        keys = list(self.keys)
+        rows.filter("lead").select(*keys, "length").distinct().write.mode("overwrite").parquet(f"{folder}/documents")
+        documents = self.spark.read.parquet(f"{folder}/documents")
+        documents.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+        # ranges of about RANGE documents whose lengths differ by a fifth at most
+        kind = F.floor(F.log2(F.col("length") + 1) * 4).cast("bigint")
+        spread = documents.groupBy(kind.alias("kind")).agg(F.ceil(F.count(F.lit(1)) / RANGE).alias("parts"))
+        ranged = rows.withColumn("kind", kind).join(F.broadcast(spread), "kind")
+        ranged = ranged.withColumn("range", F.shiftleft("kind", 40) + F.pmod(F.xxhash64(*keys), "parts"))
+        items = F.sort_array(F.collect_list(F.struct(*keys, *ITEM, "positions"))).alias("items")
+        held = ranged.repartitionByRange("term", "range").groupBy("term", "range").agg(F.count(F.when(F.col("lead"), 1)).alias("documents"), F.max("total").alias("most"), F.min("length").alias("least"), items)
+        held = held.sortWithinPartitions("term", "range").select("term", "range", "documents", "most", "least", *(F.col(f"items.{c}").alias(c) for c in (*keys, *ITEM, "positions")))
+        # small row groups, so that a query's terms select few; positions as differences
+        held.write.mode("overwrite").option("parquet.block.size", 16 << 20).option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#positions.list.element.list.element", "false").parquet(f"{folder}/blocks")
+        self.spark.read.parquet(f"{folder}/blocks").groupBy("term").agg(F.sum("documents").alias("often")).write.mode("overwrite").parquet(f"{folder}/words")
 
     def update(self, changed: DataFrame, removed: DataFrame | None = None) -> Index:
         """The index with ``changed`` documents' leaves in place of what it has of them, and without ``removed`` keys: one segment more."""
@@ -210,27 +235,46 @@ class Index:
 
     def compacted(self, path: str) -> Index:
         """The same index as one segment."""
-        rows = self.postings()
-        rows.select(*self.keys).distinct().write.mode("overwrite").parquet(f"{path}/0/named")
-        rows.repartitionByRange("term", *self.keys).sortWithinPartitions("term", *self.keys).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/0/postings")
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{path}/0/totals")
-        self._count(rows).write.mode("overwrite").parquet(f"{path}/0/words")
-        return Index(self.spark, path, self.keys, 1)
+        keys = list(self.keys)
+        parts = self.decoded(self.blocks(), positions=True).groupBy(*keys, "length", "term").agg(F.collect_list(F.struct("field", "tf", "positions")).alias("parts"), F.sum("tf").alias("total"))
+        rows = cut(parts.select(*keys, "length", "term", "total", F.posexplode("parts").alias("no", "part")).select(*keys, "length", "term", "part.*", "total", (F.col("no") == 0).alias("lead")))
+        rows.filter("lead").select(*keys).distinct().write.mode("overwrite").parquet(f"{path}/0/named")
+        found = Index(self.spark, path, self.keys, 1)
+        found._store(rows, f"{path}/0")
+        return found
 
-    def postings(self, words: DataFrame | None = None) -> DataFrame:
-        """Postings that no later segment replaces, of ``words`` (term) alone if given: few go to the scan as literals, which select row groups."""
+    def _last(self) -> DataFrame:
+        """keys and segment: the last segment that names a document."""
+        named = [self.spark.read.parquet(f"{self.path}/{k}/named").withColumn("segment", F.lit(k)) for k in range(self.segments)]
+        return functools.reduce(DataFrame.unionByName, named).groupBy(*self.keys).agg(F.max("segment").alias("segment"))
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (keys, segment) that no later segment replaces."""
+        return rows if self.segments == 1 else rows.join(self._last(), [*self.keys, "segment"], "left_semi")
+
+    def blocks(self, words: DataFrame | None = None) -> DataFrame:
+        """Blocks with their segment, of ``words`` (term) alone if given: few go to the scan as literals, which select row groups."""
         listed = None
         if words is not None:
             listed = [r[0] for r in words.distinct().limit(LITERALS + 1).collect()]
-        found = None
+        parts = []
         for k in range(self.segments):
-            part = self.spark.read.parquet(f"{self.path}/{k}/postings")
+            part = self.spark.read.parquet(f"{self.path}/{k}/blocks")
             if listed is not None:
                 part = part.filter(_any_of(listed)) if len(listed) <= LITERALS else part.join(words.distinct(), "term", "left_semi").select(part.columns)
-            for later in range(k + 1, self.segments):
-                part = part.join(self.spark.read.parquet(f"{self.path}/{later}/named"), list(self.keys), "left_anti")
-            found = part if found is None else found.unionByName(part)
-        return found
+            parts.append(part.withColumn("segment", F.lit(k)))
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def decoded(self, blocks: DataFrame, *more: str, positions: bool = False) -> DataFrame:
+        """Postings of blocks: term, ``more`` columns, keys, field, tf, length, and positions if asked for; without replaced documents."""
+        names = [*self.keys, *ITEM, *(["positions"] if positions else [])]
+        kept = list(dict.fromkeys(["term", "segment", *more]))
+        rows = self._live(blocks.select(*kept, F.inline(F.arrays_zip(*names))))
+        return rows if "segment" in more else rows.drop("segment")
+
+    def postings(self, words: DataFrame | None = None) -> DataFrame:
+        """term, keys, field, tf and length of all that is indexed, or of ``words`` alone."""
+        return self.decoded(self.blocks(words))
 
     def terms(self) -> DataFrame:
         """Every term once."""
@@ -242,13 +286,14 @@ class Index:
         """term and often, in how many documents, of ``words``."""
         if self.segments == 1:
             return self.spark.read.parquet(f"{self.path}/0/words").join(words.distinct(), "term")
-        return self._count(self.postings(words))
+        return self.postings(words).select("term", *self.keys).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("often"))
 
     def totals(self) -> DataFrame:
         """One row: documents and words."""
         if self.segments == 1:
             return self.spark.read.parquet(f"{self.path}/0/totals")
-        return self.postings().select(*self.keys, "length").distinct().agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
+        held = [self.spark.read.parquet(f"{self.path}/{k}/documents").withColumn("segment", F.lit(k)) for k in range(self.segments)]
+        return self._live(functools.reduce(DataFrame.unionByName, held)).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
 
 
 def boost_of(boosts: dict[str, float]) -> Column:
@@ -265,26 +310,68 @@ def is_metadata(metadata: tuple[str, ...]) -> Column:
     return name.startswith("/metadata") | name.startswith("/sources") | (name == "/id") | name.startswith("/id/") | name.isin(*metadata)
 
 
-def _phrase_hits(index: Index, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """group columns, keys, tf, length of documents that hold a phrase (group columns and ``span``): those with all its words, then by their texts."""
+def _phrase_hits(index: Index, wanted: DataFrame) -> DataFrame:
+    """group columns, span, keys, tf and length of documents that hold a phrase (group columns and ``span``), by positions alone.
+
+    Ranges that lack a word of the phrase are left out before anything is decoded.
+    A field holds the phrase where its words' positions, each less the word's place
+    in the phrase, have numbers in common.
+    """
     keys, group = list(index.keys), [c for c in wanted.columns if c != "span"]
-    words = wanted.withColumn("term", F.explode(F.array_distinct(F.split("span", " "))))
-    size = F.size(F.array_distinct(F.split("span", " ")))
-    held = index.postings(words.select("term")).select(*keys, "term", "length").distinct().join(words, "term")
-    both = held.groupBy(*group, "span", *keys, "length").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == size).drop("n")
-    near = texts.join(both.select(*keys).distinct(), keys, "left_semi").select(*keys, F.concat(F.lit(" "), F.regexp_replace(F.array_join(tokens(F.col("text")), " "), " ", "  "), F.lit(" ")).alias("joined"))
-    # blanks are doubled, so that occurrences that follow one another are each counted
-    needle = F.concat(F.lit(" "), F.regexp_replace("span", " ", "  "), F.lit(" "))
-    found = both.join(near, keys).withColumn("tf", (F.length("joined") - F.length(F.replace(F.col("joined"), needle, F.lit("")))) / F.length(needle))
-    return found.groupBy(*group, "span", *keys, "length").agg(F.sum("tf").cast("bigint").alias("tf")).filter("tf > 0")
-
-
-def _hits(index: Index, asked: DataFrame, size: int | None) -> DataFrame:
-    """query_id, keys, field, term, tf, length, prefix and word (whether the term selects candidates) of the postings that queries meet."""
+    words = wanted.select(*group, "span", F.posexplode(F.split("span", " ")).alias("place", "term"))
+    blocks = index.blocks(words.select("term"))
+    units = F.size(F.array_distinct(F.split("span", " ")))
+    met = blocks.select("term", "segment", "range").join(words.select("span", "term").distinct(), "term")
+    full = met.groupBy("span", "segment", "range").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == units).select("span", "segment", "range")
+    asked = words.select("span", "place", "term").distinct().join(full, "span")
+    posted = index.decoded(blocks.join(asked, ["term", "segment", "range"]), "span", "place", positions=True)
+    begins = F.transform("positions", lambda x: x - F.col("place"))
+    near = posted.groupBy("span", *keys, "field", "length").agg(F.collect_list(F.struct("place", begins.alias("begins"))).alias("found")).filter(F.size("found") == F.size(F.split("span", " ")))
+    common = F.aggregate("found", F.get("found", 0)["begins"], lambda s, x: F.array_intersect(s, x["begins"]))
+    held = near.groupBy("span", *keys, "length").agg(F.sum(F.size(common)).cast("bigint").alias("tf")).filter("tf > 0")
+    return held.join(wanted, "span") if group else held
+
+
+def _unit(often: Column, tf: Column, length: Column) -> Column:
+    """A word's or a phrase's part in the order of candidates, by the whole index (documents, words)."""
+    mean = F.greatest(F.col("words") / F.greatest(F.col("documents"), F.lit(1)), F.lit(1.0))
+    weight = F.greatest(F.log((F.col("documents") - often + 0.5) / (often + 0.5)), F.lit(LEAST_IDF))
+    return weight * tf * (ORDER_K1 + 1) / (tf + ORDER_K1 * (1 - ORDER_B + ORDER_B * length / mean))
+
+
+def best_ranges(index: Index, units: DataFrame, scan_limit: int) -> DataFrame:
+    """query_id, segment and range of what can hold one of a query's best ``scan_limit`` documents. units: query_id, term, often.
+
+    A range's bound is the sum of its blocks' bounds. The ranges of the highest
+    bounds that have enough documents for certain are looked at first; the last of
+    their best documents is a threshold, and ranges bounded below it are left out.
+    """
+    totals, keys = index.totals(), list(index.keys)
+    blocks = index.blocks(units.select("term"))
+    sides = blocks.select("term", "segment", "range", F.col("documents").alias("held"), "most", "least").join(units, "term").join(F.broadcast(totals))
+    bound = F.sum(_unit(F.col("often"), F.col("most"), F.col("least"))).alias("bound")
+    ranges = cut(sides.groupBy("query_id", "segment", "range").agg(bound, F.max("held").alias("held")))
+    before = F.sum("held").over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "range")) - F.col("held")
+    first = ranges.withColumn("before", before).filter(F.col("before") < scan_limit).select("query_id", "segment", "range")
+    posted = index.decoded(blocks.join(units.join(first, "query_id"), ["term", "segment", "range"]), "query_id", "often")
+    whole = posted.groupBy("query_id", *keys, "term", "often", "length").agg(F.sum("tf").alias("tf")).join(F.broadcast(totals))
+    scored = whole.groupBy("query_id", *keys).agg(F.sum(_unit(F.col("often"), F.col("tf"), F.col("length"))).alias("order"))
+    last = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("order").desc()))
+    edge = scored.withColumn("at", last).filter(F.col("at") == scan_limit).select("query_id", "order")
+    return ranges.join(edge, "query_id", "left").filter(F.col("order").isNull() | (F.col("bound") + 1e-8 >= F.col("order"))).select("query_id", "segment", "range")
+
+
+def _hits(index: Index, asked: DataFrame, size: int | None, ranges: DataFrame | None = None) -> DataFrame:
+    """query_id, keys, field, term, tf, length, prefix and word (whether the term selects candidates) of the postings that queries meet, in their ``ranges`` alone if given."""
     keys = list(index.keys)
     columns = ["query_id", *keys, "field", "term", "tf", "length", "prefix", "word"]
     if size is None:
-        return index.postings(asked.select("term")).join(asked, "term").withColumn("prefix", F.lit(False)).select(columns)
+        blocks = index.blocks(asked.select("term"))
+        if ranges is None:
+            found = index.decoded(blocks.join(asked, "term"), "query_id", "word")
+        else:
+            found = index.decoded(blocks.join(asked.join(ranges, "query_id"), ["term", "segment", "range"]), "query_id", "word")
+        return found.withColumn("prefix", F.lit(False)).select(columns)
     # a prefix counts in a field only where the term itself does not occur; of the words with an asked term's head the longer ones are looked up
     heads = asked.select("term").distinct().filter(F.length("term") >= size).withColumn("head", F.substring("term", 1, size))
     known = index.terms().filter(F.length("term") > size).select(F.col("term").alias("longer"), F.substring("term", 1, size).alias("head"))
@@ -297,15 +384,14 @@ def _hits(index: Index, asked: DataFrame, size: int | None) -> DataFrame:
 
 
 def _with_rarest(index: Index, asked: DataFrame, units: DataFrame) -> DataFrame:
-    """The hits of documents that hold each query's rarest word: those are found first, and no other document's postings are moved."""
+    """The hits of documents that hold each query's rarest word: those are found first, and no other range is decoded."""
     keys = list(index.keys)
     words = asked.filter("word").select("query_id", "term").join(units, ["query_id", "term"], "left")
-    rare = words.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "term")).alias("term"))
-    rare = cut(rare)
-    few = cut(index.postings(rare.select("term")).join(rare, "term").select("query_id", *keys).distinct())
-    posted = index.postings(asked.select("term")).join(few.select(*keys).distinct(), keys, "left_semi")
-    hits = posted.join(asked, "term").join(few, ["query_id", *keys], "left_semi").withColumn("prefix", F.lit(False))
-    return hits.select("query_id", *keys, "field", "term", "tf", "length", "prefix", "word")
+    rare = cut(words.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "term")).alias("term")))
+    held = index.decoded(index.blocks(rare.select("term")).join(rare, "term"), "query_id", "segment", "range")
+    few = cut(held.select("query_id", "segment", "range", *keys).distinct())
+    hits = _hits(index, asked, None, few.select("query_id", "segment", "range").distinct())
+    return hits.join(few.select("query_id", *keys), ["query_id", *keys], "left_semi")
 
 
 def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options = Options(), metadata: tuple[str, ...] = (), explain: bool = False, candidates: DataFrame | None = None) -> DataFrame:
@@ -328,7 +414,12 @@ def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options
     else:
         words = asked.filter("word").select("query_id", "term")
         units = cut(words.join(index.often(words.select("term")), "term"))
-        hits = _with_rarest(index, asked, units) if options.match == "all" and not has_spans else _hits(index, asked, None)
+        if options.match == "all" and not has_spans:
+            hits = _with_rarest(index, asked, units)
+        elif options.match == "any" and not has_spans and candidates is None and not options.required and index.totals().first()[0] > options.scan_limit:
+            hits = _hits(index, asked, None, best_ranges(index, units, options.scan_limit))
+        else:  # every document that holds a word counts
+            hits = _hits(index, asked, None)
     if candidates is not None:
         hits = hits.join(candidates.select(*keys).distinct(), keys, "left_semi")
     hits = hits.repartition("query_id", *keys).withColumns({"weighted": F.col("tf") * boost_of(options.boosts), "in_metadata": is_metadata(metadata)})
@@ -336,14 +427,12 @@ def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options
 
     # the order of candidates, by statistics of the whole index
     totals = index.totals()
-    mean = F.greatest(F.col("words") / F.greatest(F.col("documents"), F.lit(1)), F.lit(1.0))
-    weight = F.greatest(F.log((F.col("documents") - F.col("often") + 0.5) / (F.col("often") + 0.5)), F.lit(LEAST_IDF))
-    unit = weight * F.col("tf") * (ORDER_K1 + 1) / (F.col("tf") + ORDER_K1 * (1 - ORDER_B + ORDER_B * F.col("length") / mean))
+    unit = _unit(F.col("often"), F.col("tf"), F.col("length"))
     listed = F.collect_list(F.struct("term", "wtf", "tf", "prefix", "in_metadata"))
     per_word = terms.join(units, ["query_id", "term"], "left").join(F.broadcast(totals))
     docs = per_word.groupBy("query_id", *keys).agg(listed.alias("terms"), F.count(F.when(F.col("word"), 1)).alias("n_words"), F.sum(F.when(F.col("word"), unit)).alias("order"), F.max("length").alias("length"))
     if has_spans:
-        found = _phrase_hits(index, texts, spans)
+        found = _phrase_hits(index, spans)
         if candidates is not None:
             found = found.join(candidates.select(*keys).distinct(), keys, "left_semi")
         number = found.groupBy("query_id", "span").agg(F.count(F.lit(1)).alias("often"))
@@ -359,7 +448,7 @@ def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options
     docs = docs.filter((F.col("n_words") == F.col("n_asked")) & (F.col("n_spans") == F.col("n_quoted")) if options.match == "all" else F.col("n_words") + F.col("n_spans") > 0)
     for group in normal_groups(options.required):
         wanted = index.spark.createDataFrame([(p,) for p in group], "span string")
-        docs = docs.join(_phrase_hits(index, texts, wanted).select(*keys).distinct(), keys, "left_semi")
+        docs = docs.join(_phrase_hits(index, wanted).select(*keys).distinct(), keys, "left_semi")
     by_order = Window.partitionBy("query_id").orderBy(F.round("order", 9).desc(), *keys)
     docs = cut(docs.withColumn("at", F.row_number().over(by_order)).filter(F.col("at") <= options.scan_limit).drop("at", "order"))
 
