@@ -57,9 +57,9 @@ def graph_traverse(spark, sf_dir):
 
 
 def _walk_sql(starts: str, sides: tuple[str, ...], depth: int, node_limit: int, edge_limit: int, node_ok: str = "SELECT id FROM nodes", edge_ok: str = "SELECT * FROM edges") -> str:
-    """CTEs n{k} and t{k}: the nodes and edges of walks from ``starts`` (walk, id) up to depth k, level by level."""
+    """CTEs n{k} and t{k}: the nodes and edges of walks from ``starts`` (walk, id, given) up to depth k, level by level."""
     text = f"""nodes AS ({NODES}), edges AS ({EDGES}), assertions AS ({ASSERTIONS}), reviews AS ({REVIEWS}), node_ok AS ({node_ok}), edge_ok AS ({edge_ok}),
-f0 AS (SELECT walk, id, row_number() OVER (PARTITION BY walk ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT walk, id FROM ({starts}) WHERE id IN (SELECT id FROM nodes)) QUALIFY pos < {node_limit}),
+f0 AS (SELECT walk, id, row_number() OVER (PARTITION BY walk ORDER BY given, id) - 1 AS pos FROM (SELECT walk, id, min(given) AS given FROM ({starts}) WHERE id IN (SELECT id FROM nodes) GROUP BY walk, id)),
 n0 AS (SELECT walk, id, 0 AS depth, row_number() OVER (PARTITION BY walk ORDER BY pos) - 1 AS pos FROM f0 WHERE id IN (SELECT id FROM node_ok)),
 v0 AS (SELECT walk, id FROM f0), t0 AS (SELECT '' AS walk, '' AS id, '' AS a, '' AS b, '' AS predicate, 0 AS depth, 0::BIGINT AS pos WHERE false)"""
     ways = {"out": ("source_id", "target_id", 0), "in": ("target_id", "source_id", 1)}
@@ -78,23 +78,23 @@ f{k} AS (SELECT * FROM x{k} WHERE (walk, id) NOT IN (SELECT walk, id FROM v{j}))
     return text
 
 
-LIMITED = _walk_sql("SELECT 'w' AS walk, unnest(['r1', 'n3']) AS id", ("out", "in"), 3, 40, 35)
+LIMITED = _walk_sql("SELECT 'w' AS walk, unnest(['r1', 'n3', 'c9', 'c2', 'b']) AS id, unnest([1, 2, 3, 4, 5]) AS given", ("out", "in"), 3, 40, 35)
 
 
 @R.query(f"WITH {LIMITED} SELECT id AS edge_id, a AS from_id, b AS to_id, predicate, depth::INTEGER AS depth, pos::INTEGER AS position FROM t3")
 def graph_traverse_limits(spark, sf_dir):
-    return graph.traverse(_nodes(spark, sf_dir), _edges(spark, sf_dir), _starts(spark, "r1", "n3"), cut, max_depth=3, direction="both", node_limit=40, edge_limit=35)[1]
+    return graph.traverse(_nodes(spark, sf_dir), _edges(spark, sf_dir), _starts(spark, "r1", "n3", "c9", "c2", "b").withColumn("position", F.expr("array_position(array('r1', 'n3', 'c9', 'c2', 'b'), id)")), cut, max_depth=3, direction="both", node_limit=40, edge_limit=35)[1]
 
 
-#: A walk from each nation and its region.
-MANY = "SELECT 'w' || n_nationkey AS walk, unnest(['n' || n_nationkey, 'r' || n_regionkey]) AS id FROM nation"
+#: A walk from each nation's region and the nation, in this order.
+MANY = "SELECT 'w' || n_nationkey AS walk, unnest(['r' || n_regionkey, 'n' || n_nationkey]) AS id, unnest([0, 1]) AS given FROM nation"
 FILTERED = {"node_ok": "SELECT id FROM nodes WHERE type <> 'customer' AND grounded", "edge_ok": "SELECT * FROM edges WHERE grounded AND (score IS NULL OR score >= 2000)"}
 
 
 def _walks(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    return n.select(name("w", "n_nationkey").alias("walk"), F.explode(F.array(name("n", "n_nationkey"), name("r", "n_regionkey"))).alias("id"))
+    return n.select(name("w", "n_nationkey").alias("walk"), F.posexplode(F.array(name("r", "n_regionkey"), name("n", "n_nationkey"))).alias("position", "id"))
 
 
 def _walked(spark, sf_dir, **options):
@@ -270,14 +270,14 @@ def graph_seeds(spark, sf_dir):
     return _seeds(spark, sf_dir)
 
 
-@R.query(f"""WITH {SEEDS}, {_walk_sql("SELECT query_id AS walk, id FROM seeds", ("out", "in"), 1, 30, 25)},
+@R.query(f"""WITH {SEEDS}, {_walk_sql("SELECT query_id AS walk, id, position AS given FROM seeds", ("out", "in"), 1, 12, 25)},
 a AS (SELECT DISTINCT query_id AS walk FROM r UNION ALL SELECT 'none'), sl AS (SELECT query_id AS walk, string_agg(id, ', ' ORDER BY position) AS l, max(dropped) AS dropped FROM seeds GROUP BY 1),
 nl AS (SELECT walk, count(*) AS n, string_agg('- ' || id || ' (' || type || '): ' || label, chr(10) ORDER BY pos) AS l, string_agg(id, ',' ORDER BY pos) AS ids FROM n1 JOIN nodes USING (id) GROUP BY walk),
 el AS (SELECT walk, count(*) AS n, string_agg('- ' || source_id || ' --' || t.predicate || '--> ' || target_id || COALESCE(' (' || label || ')', ''), chr(10) ORDER BY pos) AS l FROM t1 t JOIN edges USING (id) GROUP BY walk),
 x AS (SELECT walk, 'Graph context:' || chr(10) || 'Seeds: ' || sl.l || chr(10) || 'Nodes:' || chr(10) || nl.l || COALESCE(chr(10) || 'Edges:' || chr(10) || el.l, '') AS t, COALESCE(nl.n, 0) AS nn, COALESCE(el.n, 0) AS ne, nl.ids, sl.l IS NOT NULL AS seeded, dropped FROM a LEFT JOIN sl USING (walk) LEFT JOIN nl USING (walk) LEFT JOIN el USING (walk))
 SELECT walk AS query_id, CASE WHEN seeded THEN 'succeeded' ELSE 'no_seeds' END AS status, nn::INTEGER AS n_nodes, ne::INTEGER AS n_edges, COALESCE(ids, '') AS node_ids, CASE WHEN length(t) > 600 THEN substring(t, 1, 597) || '...' ELSE t END AS context_text, COALESCE(length(t) > 600, false) AS text_truncated, greatest(nn + ne - 20, 0)::INTEGER AS omitted,
- array_to_string(list_filter([CASE WHEN ne >= 25 THEN 'edgeLimit' END, CASE WHEN nn >= 30 THEN 'nodeLimit' END, CASE WHEN length(t) > 600 THEN 'maxGraphContextChars' END, CASE WHEN nn + ne > 20 THEN 'maxGraphProvenanceItems' END, CASE WHEN dropped > 0 THEN 'maxSeedNodes' END], lambda x: x IS NOT NULL), ',') AS limits FROM x""")
+ array_to_string(list_filter([CASE WHEN ne >= 25 THEN 'edgeLimit' END, CASE WHEN nn >= 12 THEN 'nodeLimit' END, CASE WHEN length(t) > 600 THEN 'maxGraphContextChars' END, CASE WHEN nn + ne > 20 THEN 'maxGraphProvenanceItems' END, CASE WHEN dropped > 0 THEN 'maxSeedNodes' END], lambda x: x IS NOT NULL), ',') AS limits FROM x""")
 def graph_contexts(spark, sf_dir):
     asked = _results(spark, sf_dir).select("query_id").distinct().unionByName(spark.createDataFrame([("none",)], "query_id string"))
-    found = graph.contexts(asked, _seeds(spark, sf_dir), _nodes(spark, sf_dir), _edges(spark, sf_dir), cut, 600, 20, direction="both", node_limit=30, edge_limit=25)
+    found = graph.contexts(asked, _seeds(spark, sf_dir), _nodes(spark, sf_dir), _edges(spark, sf_dir), cut, 600, 20, direction="both", node_limit=12, edge_limit=25)
     return found.select("query_id", "status", "n_nodes", "n_edges", F.array_join("node_ids", ",").alias("node_ids"), "context_text", "text_truncated", "omitted", F.array_join("limits", ",").alias("limits"))

@@ -10,6 +10,7 @@ from quillstone.catalog.base import Registry, table
 from quillstone.operators import canonical, runs
 from quillstone.sources.tables import cut, scratch
 from quillstone.streaming import events as streams
+from quillstone.streaming import waits
 
 R = Registry()
 NOW = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -275,13 +276,60 @@ def stream_ttl_leases(spark, sf_dir):
     return streams.drained(answered, scratch(spark, "streams"))
 
 
-@R.query()
-def run_waits(spark, sf_dir):
-    """Waits for events and timers, and events raised, of each run in turn."""
+#: The state of every run after each of its operations: the open wait, outcomes that are there (th), events kept (ev), and what the operation and an ended wait gave.
+WAITS = """
+WITH RECURSIVE o AS (SELECT user_id AS run_id, event_id AS seq, ts, event_type IN ('signup', 'click') AS waits, CASE event_type WHEN 'signup' THEN 'timer' ELSE 'external_event' END AS kind, (event_id % 3)::VARCHAR AS name, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 8 HOUR END AS fire_at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+walk(run_id, rn, okind, oname, ofire, th, ev, seq, name, outcome, consumed, ended_name, ended_kind) AS (
+ SELECT DISTINCT run_id, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::TIMESTAMP, []::STRUCT(k VARCHAR, o VARCHAR, e BIGINT)[], []::STRUCT(n VARCHAR, e BIGINT)[], NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR FROM o
+ UNION ALL
+ SELECT run_id, rn, CASE WHEN suspended THEN kind WHEN NOT resumed THEN okind END, CASE WHEN suspended THEN name WHEN NOT resumed THEN oname END, CASE WHEN suspended THEN fire_at WHEN NOT resumed THEN ofire END,
+  CASE WHEN resumed THEN list_append(th, {'k': k, 'o': 'external_event', 'e': seq}) WHEN has_outcome THEN list_filter(th, lambda x: x.k <> k) ELSE th END,
+  CASE WHEN NOT waits AND NOT resumed THEN list_append(ev, {'n': name, 'e': seq}) WHEN has_event THEN list_filter(ev, lambda x: x.e <> first_event) ELSE ev END,
+  seq, name, CASE WHEN resumed THEN 'resumed' WHEN NOT waits THEN 'kept' WHEN has_outcome THEN held.o WHEN has_event THEN 'external_event' ELSE 'suspended' END,
+  CASE WHEN resumed THEN seq WHEN has_outcome THEN held.e WHEN has_event THEN first_event END, ended_name, ended_kind
+ FROM (SELECT *, waits AND NOT has_outcome AND NOT has_event AS suspended FROM (
+  SELECT *, NOT waits AND COALESCE(okind = 'external_event' AND oname = name, false) AS resumed, held IS NOT NULL AS has_outcome, waits AND held IS NULL AND kind = 'external_event' AND first_event IS NOT NULL AS has_event FROM (
+   SELECT *, CASE WHEN waits THEN list_filter(th, lambda x: x.k = k)[1] END AS held, list_filter(ev, lambda x: x.n = name)[1].e AS first_event FROM (
+    SELECT run_id, rn, seq, waits, kind, name, fire_at, k, ev, CASE WHEN NOT ended THEN okind END AS okind, CASE WHEN NOT ended THEN oname END AS oname, CASE WHEN NOT ended THEN ofire END AS ofire,
+     CASE WHEN ended THEN list_append(th, {'k': okind || ':' || oname, 'o': CASE okind WHEN 'timer' THEN 'timer' ELSE 'timed_out' END, 'e': NULL::BIGINT}) ELSE th END AS th, CASE WHEN ended THEN oname END AS ended_name, CASE WHEN ended THEN okind END AS ended_kind
+    FROM (SELECT w.run_id, o.rn, o.seq, o.waits, o.kind, o.name, o.fire_at, o.kind || ':' || o.name AS k, w.okind, w.oname, w.ofire, w.th, w.ev, COALESCE(w.ofire <= o.ts, false) AS ended FROM walk w JOIN o ON o.run_id = w.run_id AND o.rn = w.rn + 1))))))
+"""
+
+
+def _wait_operations(events):
     wait = F.col("event_type").isin("signup", "click")
     kind = F.when(F.col("event_type") == "signup", "timer").when(wait, "external_event")
-    ops = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(wait, "wait").otherwise("raise").alias("operation"), kind.alias("kind"), (F.col("event_id") % 3).cast("string").alias("name"), F.when(F.col("event_id") % 2 == 0, F.col("ts") + F.expr("INTERVAL 8 HOURS")).alias("fire_at"), "event_id")
-    return runs.waited(ops).select("run_id", "seq", "outcome", "consumed")
+    return events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.when(wait, "wait").otherwise("raise").alias("operation"), kind.alias("kind"), (F.col("event_id") % 3).cast("string").alias("name"), F.when(F.col("event_id") % 2 == 0, F.col("ts") + F.expr("INTERVAL 8 HOURS")).alias("fire_at"), "event_id")
+
+
+@R.query(WAITS + "SELECT run_id, seq, outcome, consumed FROM walk WHERE rn > 0")
+def run_waits(spark, sf_dir):
+    """Waits for events and timers, and events raised, of each run in turn."""
+    return runs.waited(_wait_operations(table(spark, sf_dir, "events"))).select("run_id", "seq", "outcome", "consumed")
+
+
+@R.query(WAITS + """SELECT run_id, seq, outcome, name, consumed FROM walk WHERE rn > 0
+UNION ALL SELECT run_id, NULL, CASE ended_kind WHEN 'timer' THEN 'timer' ELSE 'timed_out' END, ended_name, NULL FROM walk WHERE ended_name IS NOT NULL
+UNION ALL SELECT run_id, NULL, CASE okind WHEN 'timer' THEN 'timer' ELSE 'timed_out' END, oname, NULL FROM walk JOIN (SELECT run_id, max(rn) AS rn FROM walk GROUP BY run_id) USING (run_id, rn) WHERE ofire <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
+def stream_waits(spark, sf_dir):
+    """The same over a stream, whose timers end waits of runs that have no new row."""
+    operations = _wait_operations(streams.read_events(spark, f"{sf_dir}/events.parquet*", at="ts"))
+    with waits.with_timers(spark):
+        found = streams.drained(waits.timed_waits(operations), scratch(spark, "streams"))
+    return found.select("run_id", "seq", "outcome", "name", "consumed")
+
+
+@R.query("""WITH w AS (SELECT event_id AS wait_id, user_id AS run_id, ts AS since FROM events WHERE event_type = 'signup'),
+m AS (SELECT wait_id, min((e.ts, e.event_id)) AS first FROM w JOIN events e ON e.user_id = w.run_id AND e.event_type = 'click' AND e.ts >= since AND e.ts <= since + INTERVAL 8 HOUR GROUP BY wait_id)
+SELECT wait_id, run_id, 'click' AS name, first[2] AS event_id, CASE WHEN first IS NULL THEN 'timed_out' ELSE 'resumed' END AS outcome FROM w LEFT JOIN m USING (wait_id) WHERE since <= (SELECT max(ts) - INTERVAL 24 HOUR FROM events)""")
+def stream_resumed(spark, sf_dir):
+    """Waits resumed by events of another stream or timed out, of those that the watermarks have closed for certain."""
+    two = [streams.read_events(spark, f"{sf_dir}/events.parquet*", at="ts") for _ in range(2)]
+    asked = two[0].filter("event_type = 'signup'").select(F.col("event_id").alias("wait_id"), F.col("user_id").alias("run_id"), F.lit("click").alias("name"), F.col("ts").alias("since"))
+    raised = two[1].select(F.col("user_id").alias("run_id"), F.col("event_type").alias("name"), "event_id", F.col("ts").alias("at"))
+    found = streams.drained(waits.resumed_in_time(asked, raised), scratch(spark, "streams"))
+    closed = table(spark, sf_dir, "events").agg((F.max("ts") - F.expr("INTERVAL 24 HOURS")).cast("timestamp").alias("closed"))
+    return found.join(F.broadcast(closed), F.col("since") <= F.col("closed")).select("wait_id", "run_id", "name", "event_id", "outcome")
 
 
 @R.query(f"""WITH w AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'timer' ELSE 'external_event' END AS kind, event_type AS name, ts AS fire_at FROM events WHERE event_id % 3 = 0)

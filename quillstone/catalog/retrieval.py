@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.catalog.base import Registry, table
 from quillstone.catalog.records import RECORDS, _docs
-from quillstone.operators import context, evaluation, ingest, lexical, retrieval, vector
+from quillstone.operators import context, evaluation, ingest, lexical, neighbours, retrieval, vector
 from quillstone.plans.filters import Paths
 from quillstone.sources.tables import exists, scratch
 
@@ -684,9 +684,16 @@ def collections_top_k(spark, sf_dir):
 
 @R.query()
 def vector_ann(spark, sf_dir):
-    """Approximate search by inverted lists; its recall is measured by a test."""
-    folder = scratch(spark, "lists")
-    return _rounded(vector.Lists.build(_vectors(spark, sf_dir), folder).search(_asked(spark, sf_dir), 10, 60))
+    """Approximate search by proximity graphs; its recall is measured by a test."""
+    index = neighbours.index_of("diskANN", _vectors(spark, sf_dir), scratch(spark, "graphs"))
+    return _rounded(index.search(_asked(spark, sf_dir), 10))
+
+
+@R.query()
+def vector_quantised(spark, sf_dir):
+    """Approximate search by lists of residual codes; its recall is measured by a test."""
+    index = neighbours.index_of("quantizedFlat", _vectors(spark, sf_dir), scratch(spark, "lists"))
+    return _rounded(index.search(_asked(spark, sf_dir), 10))
 
 
 @R.query(f"SELECT q.vec_id AS query_id, v.vec_id AS id, round(1 - list_cosine_distance({A}, {B}), 6) AS cosine, round(1 / (1 + list_distance({A}, {B})), 6) AS euclidean FROM embeddings q JOIN embeddings v ON v.vec_id = q.vec_id + 1")

@@ -83,7 +83,7 @@ def with_status(edges: DataFrame, assertions: DataFrame, statuses: list[str]) ->
 
 
 def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame], filters: Filters = Filters(), max_depth: int = 1, direction: str = "outgoing", node_limit: int = 100, edge_limit: int = 100, include_start: bool = True, assertions: DataFrame | None = None, reviews: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Breadth-first walks from ``starts`` (walk, id): nodes (walk, id, depth, position) and edges (walk, edge_id, from_id, to_id, predicate, depth, position).
+    """Breadth-first walks from ``starts`` (walk, id, and position if they have an order, else they go by id): nodes (walk, id, depth, position) and edges (walk, edge_id, from_id, to_id, predicate, depth, position).
 
     One round of joins a level, for all walks. A level's edges are ordered by
     their frontier node's position, outgoing before incoming, then by id; an edge
@@ -96,9 +96,11 @@ def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[D
     ways = {"outgoing": ("out",), "incoming": ("in",), "both": ("out", "in")}[direction]
     edge_ok = filters.edges(edges, assertions, reviews)
     node_ok = filters.nodes(nodes).select("id")
-    by_id = Window.partitionBy("walk").orderBy("id")
-    there = starts.select("walk", "id").distinct().join(nodes.select("id").distinct(), "id", "left_semi").withColumn("position", F.row_number().over(by_id) - 1)
-    frontier = cut(there.filter(F.col("position") < node_limit).select("walk", "id", "position"))
+    given = F.col("position") if "position" in starts.columns else F.lit(0)
+    there = starts.groupBy("walk", "id").agg(F.min(given).alias("given")).join(nodes.select("id").distinct(), "id", "left_semi")
+    by_order = Window.partitionBy("walk").orderBy("given", "id")
+    # every start counts; they use up the node limit for later nodes alone
+    frontier = cut(there.withColumn("position", F.row_number().over(by_order) - 1).select("walk", "id", "position"))
     allowed = frontier.join(node_ok, "id", "left_semi").select("walk", "id", F.lit(0).alias("depth"), (F.row_number().over(Window.partitionBy("walk").orderBy("position")) - 1).alias("position"))
     included = allowed if include_start else allowed.limit(0)
     visited, taken, level = frontier.select("walk", "id"), None, 0
@@ -143,7 +145,7 @@ def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[D
 
 def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame], **options) -> tuple[DataFrame, DataFrame]:
     """One walk from ``starts`` (id), see ``walk``."""
-    found_nodes, found_edges = walk(nodes, edges, starts.select(F.lit(0).alias("walk"), "id"), cut, **options)
+    found_nodes, found_edges = walk(nodes, edges, starts.withColumn("walk", F.lit(0)), cut, **options)
     return found_nodes.drop("walk"), found_edges.drop("walk")
 
 
@@ -346,7 +348,7 @@ def contexts(asked: DataFrame, found_seeds: DataFrame, nodes: DataFrame, edges:
     cut to ``most_chars``; provenance names what was met, nodes first, with
     whether it is grounded. A query without seeds has status no_seeds.
     """
-    starts = found_seeds.select(F.col("query_id").alias("walk"), "id")
+    starts = found_seeds.select(F.col("query_id").alias("walk"), "id", "position")
     node_limit, edge_limit = options.get("node_limit", 100), options.get("edge_limit", 100)
     walked_nodes, walked_edges = walk(nodes, edges, starts, cut, **options)
     line = lambda kind, position, text: F.struct(F.lit(kind).alias("kind"), position.alias("position"), text.alias("text"))

@@ -35,8 +35,11 @@ MOST_GROUPS, MOST_PHRASE = 16, 256
 TOKEN = r"[\p{L}\p{N}]+"
 #: Words that are handed to the scan as literals; beyond that they are joined.
 LITERALS = 4096
-#: Documents of a range, about, and what an index holds of a posting besides keys and positions.
-RANGE = 1024
+#: Documents to one of a query's candidates from which on blocks are bounded before they are decoded.
+PAYS = 4
+#: Documents of a range, and of a group of neighbours by keys that is divided into ranges, as powers of two.
+RANGE_BITS, GROUP_BITS = 10, 14
+#: What an index holds of a posting besides keys and positions.
 ITEM = ("field", "tf", "length")
 
 
@@ -163,19 +166,25 @@ def _scalars(root: object, pointer: str) -> Iterator[tuple[str, str]]:
 
 
 def postings(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, length, term, field, tf, positions, total, lead): one scan, one shuffle by document.
+    """(keys, range, length, term, field, tf, positions, total, lead) of leaves with their document's range: one scan, one shuffle by document.
 
     The length is that of all of a document's fields, total the term's frequency
     in all of them, and lead marks one field of each document and term. Positions
     go up within a text; texts of one field are far apart.
     """
-    listed = texts.groupBy(*keys).agg(F.collect_list(F.struct("field", tokens(F.col("text")).alias("terms"))).alias("fields"))
+    by = [*keys, "range"]
+    listed = texts.groupBy(*by).agg(F.collect_list(F.struct("field", tokens(F.col("text")).alias("terms"))).alias("fields"))
     length = F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["terms"]))
-    each = listed.select(*keys, length.alias("length"), F.posexplode("fields").alias("text_no", "f")).select(*keys, "length", "text_no", "f.field", F.posexplode("f.terms").alias("place", "term"))
+    each = listed.select(*by, length.alias("length"), F.posexplode("fields").alias("text_no", "f")).select(*by, "length", "text_no", "f.field", F.posexplode("f.terms").alias("place", "term"))
     position = F.shiftleft(F.col("text_no").cast("bigint"), 32) + F.col("place")
-    by_field = each.groupBy(*keys, "length", "term", "field").agg(F.sort_array(F.collect_list(position)).alias("positions"))
-    by_term = by_field.groupBy(*keys, "length", "term").agg(F.collect_list(F.struct("field", F.size("positions").cast("bigint").alias("tf"), "positions")).alias("parts"), F.sum(F.size("positions")).alias("total"))
-    return by_term.select(*keys, "length", "term", "total", F.posexplode("parts").alias("no", "part")).select(*keys, "length", "term", "part.*", "total", (F.col("no") == 0).alias("lead"))
+    by_field = each.groupBy(*by, "length", "term", "field").agg(F.sort_array(F.collect_list(position)).alias("positions"))
+    return _with_totals(by_field.withColumn("tf", F.size("positions").cast("bigint")), by)
+
+
+def _with_totals(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (by, length, term, field, tf, positions) with total and lead."""
+    by_term = rows.groupBy(*by, "length", "term").agg(F.collect_list(F.struct("field", "tf", "positions")).alias("parts"), F.sum("tf").alias("total"))
+    return by_term.select(*by, "length", "term", "total", F.posexplode("parts").alias("no", "part")).select(*by, "length", "term", "part.*", "total", (F.col("no") == 0).alias("lead"))
 
 
 def _any_of(words: list[str]) -> Column:
@@ -187,7 +196,7 @@ def _any_of(words: list[str]) -> Column:
 class Index:
     """An index's folder. Segments are never changed: a later one replaces the documents that it names.
 
-    A segment's documents are dealt into ranges of documents alike in length. A
+    A segment's documents are dealt into ranges of neighbours alike in length. A
     term's postings of a range are one row, a block, with arrays of keys, fields,
     frequencies, lengths and positions, and with what bounds their scores: the
     highest frequency and the least length. Positions are delta-coded by the file
@@ -207,23 +216,25 @@ class Index:
     def _write(self, texts: DataFrame, named: DataFrame) -> Index:
         folder = f"{self.path}/{self.segments}"
         named.write.mode("overwrite").parquet(f"{folder}/named")
-        # written once before it is dealt by ranges, which are found by looking at it
-        self._store(cut(postings(texts, list(self.keys))), folder)
+        lengths = texts.groupBy(*self.keys).agg(F.sum(F.size(tokens(F.col("text")))).alias("length")).filter("length > 0")
+        placed = self._place(lengths, folder).select(*self.keys, "range")
+        self._store(postings(texts.join(placed, list(self.keys)), list(self.keys)), folder)
         return Index(self.spark, self.path, self.keys, self.segments + 1)
 
-    def _store(self, rows: DataFrame, folder: str) -> None:
-        keys = list(self.keys)
-        rows.filter("lead").select(*keys, "length").distinct().write.mode("overwrite").parquet(f"{folder}/documents")
+    def _place(self, lengths: DataFrame, folder: str) -> DataFrame:
+        """Write and give keys, length and range: neighbours by keys share a group, and of a group those alike in length a range."""
+        group = F.shiftright(F.monotonically_increasing_id(), GROUP_BITS)
+        near = cut(lengths).repartitionByRange(*self.keys).sortWithinPartitions(*self.keys).withColumn("group", group).sortWithinPartitions("group", "length", *self.keys)
+        near.withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)).drop("group").write.mode("overwrite").parquet(f"{folder}/documents")
         documents = self.spark.read.parquet(f"{folder}/documents")
         documents.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
-        # ranges of about RANGE documents whose lengths differ by a fifth at most
-        kind = F.floor(F.log2(F.col("length") + 1) * 4).cast("bigint")
-        spread = documents.groupBy(kind.alias("kind")).agg(F.ceil(F.count(F.lit(1)) / RANGE).alias("parts"))
-        ranged = rows.withColumn("kind", kind).join(F.broadcast(spread), "kind")
-        ranged = ranged.withColumn("range", F.shiftleft("kind", 40) + F.pmod(F.xxhash64(*keys), "parts"))
-        items = F.sort_array(F.collect_list(F.struct(*keys, *ITEM, "positions"))).alias("items")
-        held = ranged.repartitionByRange("term", "range").groupBy("term", "range").agg(F.count(F.when(F.col("lead"), 1)).alias("documents"), F.max("total").alias("most"), F.min("length").alias("least"), items)
-        held = held.sortWithinPartitions("term", "range").select("term", "range", "documents", "most", "least", *(F.col(f"items.{c}").alias(c) for c in (*keys, *ITEM, "positions")))
+        return documents
+
+    def _store(self, rows: DataFrame, folder: str) -> None:
+        items = F.sort_array(F.collect_list(F.struct(*self.keys, *ITEM, "positions"))).alias("items")
+        # written once before it is dealt by ranges, which are found by looking at it
+        held = cut(rows).repartitionByRange("term", "range").groupBy("term", "range").agg(F.count(F.when(F.col("lead"), 1)).alias("documents"), F.max("total").alias("most"), F.min("length").alias("least"), items)
+        held = held.sortWithinPartitions("term", "range").select("term", "range", "documents", "most", "least", *(F.col(f"items.{c}").alias(c) for c in (*self.keys, *ITEM, "positions")))
         # small row groups, so that a query's terms select few; positions as differences
         held.write.mode("overwrite").option("parquet.block.size", 16 << 20).option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#positions.list.element.list.element", "false").parquet(f"{folder}/blocks")
         self.spark.read.parquet(f"{folder}/blocks").groupBy("term").agg(F.sum("documents").alias("often")).write.mode("overwrite").parquet(f"{folder}/words")
@@ -235,12 +246,12 @@ class Index:
 
     def compacted(self, path: str) -> Index:
         """The same index as one segment."""
-        keys = list(self.keys)
-        parts = self.decoded(self.blocks(), positions=True).groupBy(*keys, "length", "term").agg(F.collect_list(F.struct("field", "tf", "positions")).alias("parts"), F.sum("tf").alias("total"))
-        rows = cut(parts.select(*keys, "length", "term", "total", F.posexplode("parts").alias("no", "part")).select(*keys, "length", "term", "part.*", "total", (F.col("no") == 0).alias("lead")))
-        rows.filter("lead").select(*keys).distinct().write.mode("overwrite").parquet(f"{path}/0/named")
+        keys, folder = list(self.keys), f"{path}/0"
+        lengths = self.documents().select(*keys, "length")
+        lengths.select(*keys).write.mode("overwrite").parquet(f"{folder}/named")
         found = Index(self.spark, path, self.keys, 1)
-        found._store(rows, f"{path}/0")
+        placed = found._place(lengths, folder).select(*keys, "range")
+        found._store(_with_totals(self.decoded(self.blocks(), positions=True).join(placed, keys), [*keys, "range"]), folder)
         return found
 
     def _last(self) -> DataFrame:
@@ -292,8 +303,12 @@ class Index:
         """One row: documents and words."""
         if self.segments == 1:
             return self.spark.read.parquet(f"{self.path}/0/totals")
+        return self.documents().agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
+
+    def documents(self) -> DataFrame:
+        """keys, length and segment of every document that holds a word."""
         held = [self.spark.read.parquet(f"{self.path}/{k}/documents").withColumn("segment", F.lit(k)) for k in range(self.segments)]
-        return self._live(functools.reduce(DataFrame.unionByName, held)).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
+        return self._live(functools.reduce(DataFrame.unionByName, held))
 
 
 def boost_of(boosts: dict[str, float]) -> Column:
@@ -345,14 +360,16 @@ def best_ranges(index: Index, units: DataFrame, scan_limit: int) -> DataFrame:
     A range's bound is the sum of its blocks' bounds. The ranges of the highest
     bounds that have enough documents for certain are looked at first; the last of
     their best documents is a threshold, and ranges bounded below it are left out.
+    Queries with few documents for a candidate keep all their ranges.
     """
     totals, keys = index.totals(), list(index.keys)
     blocks = index.blocks(units.select("term"))
     sides = blocks.select("term", "segment", "range", F.col("documents").alias("held"), "most", "least").join(units, "term").join(F.broadcast(totals))
     bound = F.sum(_unit(F.col("often"), F.col("most"), F.col("least"))).alias("bound")
     ranges = cut(sides.groupBy("query_id", "segment", "range").agg(bound, F.max("held").alias("held")))
-    before = F.sum("held").over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "segment", "range")) - F.col("held")
-    first = ranges.withColumn("before", before).filter(F.col("before") < scan_limit).select("query_id", "segment", "range")
+    mine = Window.partitionBy("query_id")
+    before = F.sum("held").over(mine.orderBy(F.col("bound").desc(), "segment", "range")) - F.col("held")
+    first = ranges.withColumns({"before": before, "every": F.sum("held").over(mine)}).filter((F.col("before") < scan_limit) & (F.col("every") > PAYS * scan_limit)).select("query_id", "segment", "range")
     posted = index.decoded(blocks.join(units.join(first, "query_id"), ["term", "segment", "range"]), "query_id", "often")
     whole = posted.groupBy("query_id", *keys, "term", "often", "length").agg(F.sum("tf").alias("tf")).join(F.broadcast(totals))
     scored = whole.groupBy("query_id", *keys).agg(F.sum(_unit(F.col("often"), F.col("tf"), F.col("length"))).alias("order"))
@@ -416,7 +433,7 @@ def search(index: Index, texts: DataFrame, queries: DataFrame, options: Options
         units = cut(words.join(index.often(words.select("term")), "term"))
         if options.match == "all" and not has_spans:
             hits = _with_rarest(index, asked, units)
-        elif options.match == "any" and not has_spans and candidates is None and not options.required and index.totals().first()[0] > options.scan_limit:
+        elif options.match == "any" and not has_spans and candidates is None and not options.required and index.totals().first()[0] > PAYS * options.scan_limit:
             hits = _hits(index, asked, None, best_ranges(index, units, options.scan_limit))
         else:  # every document that holds a word counts
             hits = _hits(index, asked, None)

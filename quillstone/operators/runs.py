@@ -168,6 +168,44 @@ def resumed(waits: DataFrame, events: DataFrame) -> DataFrame:
     return matched.groupBy("run_id", "name").agg(F.min(F.struct("at", "event_id")).alias("e")).select("run_id", "name", "e.event_id", "e.at")
 
 
+def wait_start() -> dict:
+    """A run's open wait (kind, name, fire_at), outcomes that are there by kind and name, and events kept by name."""
+    return {"open": None, "there": {}, "events": {}}
+
+
+def end_wait(state: dict, at: object) -> tuple | None:
+    """End the open wait if its time has come, and give it."""
+    ended = state["open"]
+    if ended is None or ended[2] is None or ended[2] > at:
+        return None
+    state["there"][ended[:2]] = ("timer" if ended[0] == "timer" else "timed_out", None)
+    state["open"] = None
+    return ended
+
+
+def wait_step(state: dict, row: dict) -> tuple[dict, dict]:
+    """A run's state and the answer after an operation, as ``waited`` says."""
+    end_wait(state, row["at"])
+    open_wait = state["open"]
+    name = (row["kind"] or "external_event", row["name"])
+    if row["operation"] == "raise":
+        if open_wait is not None and open_wait[:2] == ("external_event", row["name"]):
+            state["there"][open_wait[:2]] = ("external_event", row["event_id"])
+            state["open"] = None
+            return state, {"outcome": "resumed", "consumed": row["event_id"]}
+        state["events"].setdefault(row["name"], []).append(row["event_id"])
+        return state, {"outcome": "kept"}
+    if name in state["there"]:
+        outcome, event = state["there"].pop(name)
+        return state, {"outcome": outcome, "consumed": event}
+    if name[0] == "external_event" and state["events"].get(row["name"]):
+        return state, {"outcome": "external_event", "consumed": state["events"][row["name"]].pop(0)}
+    if row["fire_at"] is not None and row["fire_at"] <= row["at"]:
+        return state, {"outcome": "timer" if name[0] == "timer" else "timed_out"}
+    state["open"] = (*name, row["fire_at"])
+    return state, {"outcome": "suspended"}
+
+
 def waited(operations: DataFrame) -> DataFrame:
     """Waits and raised events of runs (run_id, seq, at, operation, kind, name, fire_at, event_id) with outcome and the event consumed.
 
@@ -178,30 +216,7 @@ def waited(operations: DataFrame) -> DataFrame:
     any operation an open wait whose time has come ends with a timer or time-out.
     """
 
-    def step(state: dict, row: dict) -> tuple[dict, dict]:
-        open_wait = state["open"]
-        if open_wait is not None and open_wait[2] is not None and open_wait[2] <= row["at"]:
-            state["there"][open_wait[:2]] = ("timer" if open_wait[0] == "timer" else "timed_out", None)
-            open_wait = state["open"] = None
-        name = (row["kind"] or "external_event", row["name"])
-        if row["operation"] == "raise":
-            if open_wait is not None and open_wait[:2] == ("external_event", row["name"]):
-                state["there"][open_wait[:2]] = ("external_event", row["event_id"])
-                state["open"] = None
-                return state, {"outcome": "resumed", "consumed": row["event_id"]}
-            state["events"].setdefault(row["name"], []).append(row["event_id"])
-            return state, {"outcome": "kept"}
-        if name in state["there"]:
-            outcome, event = state["there"].pop(name)
-            return state, {"outcome": outcome, "consumed": event}
-        if name[0] == "external_event" and state["events"].get(row["name"]):
-            return state, {"outcome": "external_event", "consumed": state["events"][row["name"]].pop(0)}
-        if row["fire_at"] is not None and row["fire_at"] <= row["at"]:
-            return state, {"outcome": "timer" if name[0] == "timer" else "timed_out"}
-        state["open"] = (*name, row["fire_at"])
-        return state, {"outcome": "suspended"}
-
-    return sequential.fold(operations, ["run_id"], ["seq"], lambda: {"open": None, "there": {}, "events": {}}, step, f"outcome string, consumed {_kind(operations, 'event_id')}")
+    return sequential.fold(operations, ["run_id"], ["seq"], wait_start, wait_step, f"outcome string, consumed {_kind(operations, 'event_id')}")
 
 
 def unconsumed(events: DataFrame, consumption: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Vector search for batches of queries: exact, and by inverted lists.
+"""Exact vector search for batches of queries.
 
 Queries and vectors are packed into blocks of bounded size, and each pair of
 blocks is scored as one matrix product; only each block's best rows leave Python,
@@ -63,7 +63,7 @@ def distance_score(distance: Column, kind: str) -> Column:
 
 
 def index_choice(index: str) -> dict:
-    """What a collection policy's index asks for: exact search, or an approximate index and its parameters; both approximate kinds are served by ``Lists``."""
+    """What a collection policy's index asks for: exact search, or an approximate index and its parameters; ``neighbours.index_of`` builds it."""
     found = {"flat": {"kind": "exact"}, "quantizedflat": {"kind": "ivfflat", "lists": 100}, "diskann": {"kind": "hnsw", "m": 16, "ef_construction": 64}}.get(index.lower())
     if found is None:
         raise ValueError(f"unknown index: {index}")
@@ -155,63 +155,3 @@ def _scored(pairs: DataFrame, good: DataFrame, asked: DataFrame, k: int, distanc
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     columns = ["v_ids", "v_grps", "v_body", "q_ids", "q_body"]
     return pairs.select(*columns).mapInArrow(run, f"query_id {kind(asked, 'id')}, id {kind(good, 'id')}, grp {kind(good, 'grp')}, score double")
-
-
-class Lists:
-    """Inverted lists: every vector is in the list of its nearest centre, and a query looks through the lists of its nearest centres.
-
-    The centres are fitted on a bounded sample, the ``sample`` vectors of least
-    hash of their ids; all vectors are placed and written by list.
-    """
-
-    def __init__(self, spark, path: str, centres: np.ndarray, distance: str):
-        self.spark, self.path, self.centres, self.distance = spark, path, centres, distance
-
-    @classmethod
-    def build(cls, vectors: DataFrame, path: str, dims: int = 64, lists: int = 100, distance: str = "cosine", sample: int = 20_000, rounds: int = 10) -> Lists:
-        """vectors: id and vector. Centres by Lloyd's rounds; of fewer vectors than lists each is a centre."""
-        good = vectors.filter(valid(F.col("vector"), dims)).select("id", F.col("vector").cast("array<double>").alias("vector"))
-        some = good.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
-        points = cls._placed(_matrix(some.column(0).combine_chunks(), dims), distance)
-        centres = points[:: max(1, len(points) // lists)][:lists].copy()
-        for _ in range(rounds):
-            nearest = _scores(points, centres, "euclidean").argmax(axis=1)
-            for k in np.unique(nearest):
-                centres[k] = points[nearest == k].mean(axis=0)
-        found = cls(vectors.sparkSession, path, centres, distance)
-        found._assigned(good, "id", 1).select("id", "vector", "list").repartition("list").write.mode("overwrite").partitionBy("list").parquet(path)
-        return found
-
-    @staticmethod
-    def _placed(points: np.ndarray, distance: str) -> np.ndarray:
-        """Cosine is nearness on the unit sphere."""
-        if distance != "cosine":
-            return points
-        size = np.linalg.norm(points, axis=1, keepdims=True)
-        return np.divide(points, size, out=np.zeros_like(points), where=size > 0)
-
-    def _assigned(self, rows: DataFrame, key: str, probes: int) -> DataFrame:
-        """``rows`` (key, vector) with the numbers of their nearest lists."""
-        centres, distance = self.centres, self.distance
-        kind = rows.schema[key].dataType.simpleString()
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    near = _scores(Lists._placed(_matrix(batch.column(1), centres.shape[1]), distance), centres, "dotproduct" if distance == "dotproduct" else "euclidean")
-                    order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                    at = np.repeat(np.arange(batch.num_rows), order.shape[1])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(order.ravel().astype(np.int32))], names=[key, "vector", "list"])
-
-        return rows.select(key, "vector").mapInArrow(run, f"{key} {kind}, vector array<double>, list int")
-
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 16) -> DataFrame:
-        """query_id, id, score and rank, approximately: the best of the ``probes`` nearest lists of each query."""
-        dims = self.centres.shape[1]
-        asked = queries.filter(valid(F.col("vector"), dims)).select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-        by_list = self._assigned(asked, "id", min(probes, len(self.centres))).withColumnRenamed("list", "q_list").select(F.col("id").alias("query_id"), F.col("vector").alias("asked"), "q_list")
-        held = self.spark.read.parquet(self.path)
-        pairs = held.join(by_list, F.col("list") == F.col("q_list"))
-        found = pairs.select("query_id", "id", score(F.col("vector"), F.col("asked"), self.distance).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= k)

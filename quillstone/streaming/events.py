@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 #: Folders that a projection's keys are dealt into; a batch rewrites those that it touches.
 BUCKETS = 64
@@ -58,6 +59,11 @@ class Manifest:
         path = self._path(f"manifest-{number}.json")
         return json.loads("".join(r[0] for r in self.spark.read.text(path.toString()).collect())) if number >= 0 and self.system.exists(path) else {}
 
+    def last(self) -> dict[str, int]:
+        """The versions after the last batch that had rows."""
+        numbers = [int(f.getPath().getName()[9:-5]) for f in self.system.listStatus(self._path("")) if f.getPath().getName().startswith("manifest-")] if self.system.exists(self._path("")) else []
+        return self.read(max(numbers, default=-1))
+
     def write(self, number: int, versions: dict[str, int]) -> None:
         out = self.system.create(self._path(f"manifest-{number}.json"), True)
         out.write(bytearray(json.dumps(versions).encode()))
@@ -107,7 +113,8 @@ def pump(events: DataFrame, target: str, checkpoint: str, key: str, version: str
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_state(spark: SparkSession, target: str, query: StreamingQuery) -> DataFrame:
-    """The projection after the query's last batch."""
+def latest_state(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The projection after the last batch that had rows; without any it is empty. schema: of the events."""
     manifest = Manifest(spark, target)
-    return spark.read.parquet(*manifest.paths(manifest.read(query.lastProgress["batchId"])))
+    paths = manifest.paths(manifest.last())
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

@@ -1,12 +1,14 @@
 import random
+import re
 import struct
 from collections import defaultdict, deque
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import context, graph, ingest, lexical, retrieval, runs, vector
+from quillstone.operators import context, graph, ingest, lexical, neighbours, retrieval, runs, vector
 from quillstone.sources import records, tables
 
 
@@ -18,7 +20,7 @@ def plain_walk(nodes, edges, starts, depth, direction, node_limit, edge_limit):
             near[e[1]].append((0, e[0], e[2]))
         if direction in ("incoming", "both"):
             near[e[2]].append((1, e[0], e[1]))
-    seen = [s for s in sorted(set(starts)) if s in nodes][:node_limit]
+    seen = [s for s in dict.fromkeys(starts) if s in nodes]
     included, taken, todo = dict.fromkeys(seen), [], deque((s, 0) for s in seen)
     visited = set(seen)
     while todo:
@@ -47,8 +49,8 @@ def test_traverse_like_a_sequential_walk(spark, seed, direction, node_limit, edg
     edges = [(f"e{k:02d}", rng.choice(nodes), rng.choice(nodes + ["gone"])) for k in range(24)]
     n = spark.createDataFrame([(x, "t", x, None, True) for x in nodes], "id string, type string, label string, score double, grounded boolean")
     e = spark.createDataFrame([(*x, "p", None, True) for x in edges], "id string, source_id string, target_id string, predicate string, score double, grounded boolean")
-    walks = {"a": ["n00", "n05", "missing"], "b": ["n07"], "c": ["missing"]}
-    starts = spark.createDataFrame([(w, s) for w, some in walks.items() for s in some], "walk string, id string")
+    walks = {"a": ["n05", "n00", "missing", "n05"], "b": ["n07"], "c": ["missing"], "d": ["n11", "n03", "n10", "n02", "n09", "n01"]}
+    starts = spark.createDataFrame([(w, s, k) for w, some in walks.items() for k, s in enumerate(some)], "walk string, id string, position int")
     found_nodes, found_edges = graph.walk(n, e, starts, tables.cut, max_depth=3, direction=direction, node_limit=node_limit, edge_limit=edge_limit)
     rows_nodes, rows_edges = found_nodes.orderBy("walk", "position").collect(), found_edges.orderBy("walk", "position").collect()
     for w, some in walks.items():
@@ -200,15 +202,62 @@ def test_many_blocks_and_groups(spark, monkeypatch):
         assert own[np.argsort(-want[own, r.query_id])][r["rank"] - 1] == r.id
 
 
-def test_recall_of_lists(spark, tmp_path):
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Vectors of few dimensions in a space of more, in clusters, as embeddings lie; with some that are not valid, and queries."""
+    rng = np.random.default_rng(3)
+    plane, middle = rng.normal(size=(10, 32)), 1.5 * rng.normal(size=(40, 10))
+    points = (middle[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 10))) @ plane + 0.05 * rng.normal(size=(8000, 32))
+    rows = [(k, p) for k, p in enumerate(points.tolist())] + [(9001, None), (9002, [1.0]), (9003, [float("nan")] * 32), (9004, [0.0] * 32)]
+    data = spark.createDataFrame(rows, "id long, vector array<double>").repartition(4).cache()
+    return data, data.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+@pytest.mark.parametrize("distance", ["cosine", "euclidean", "dotproduct"])
+def test_graphs_find_the_nearest_and_look_at_few(spark, tmp_path, clustered, distance):
+    data, asked = clustered
+    index = neighbours.Graphs.build(data, f"file://{tmp_path}/graphs", 32, distance, shard_rows=4100)
+    exact = vector.top_k(data, asked, 10, distance, 32)
+    near = index.search(asked, 10)
+    assert near.join(exact, ["query_id", "id"]).count() >= 0.95 * exact.count() and near.count() == exact.count()
+    joined = near.join(exact.select("query_id", "id", F.col("score").alias("wish")), ["query_id", "id"])
+    assert joined.filter("abs(score - wish) > 1e-5").count() == 0
+    looked = index.candidates(asked, 10, 64).groupBy("query_id", "looked").agg(F.count("*")).groupBy("query_id").agg(F.sum("looked").alias("n")).agg(F.avg("n")).first()[0]
+    assert looked < 0.1 * 8001 * (2 if distance == "dotproduct" else 1.5)  # two shards of 4,000: each is entered anew
+    one = neighbours.Graphs.build(data, f"file://{tmp_path}/one", 32, distance)
+    looked = one.candidates(asked, 10, 64).groupBy("query_id").agg(F.max("looked").alias("n")).agg(F.avg("n")).first()[0]
+    assert looked < 0.1 * 8001
+    assert one.search(asked, 10).join(exact, ["query_id", "id"]).count() >= 0.95 * exact.count()
+
+
+@pytest.mark.parametrize("distance", ["cosine", "euclidean", "dotproduct"])
+def test_coded_lists_find_the_nearest(spark, tmp_path, clustered, distance):
+    data, asked = clustered
+    index = neighbours.CodedLists.build(data, f"file://{tmp_path}/lists", 32, 50, distance, sample=3000)
+    held = spark.read.parquet(f"file://{tmp_path}/lists/codes")
+    assert held.agg(F.sum(F.size("v_ids"))).first()[0] == 8001 and held.agg(F.max(F.size("v_ids"))).first()[0] <= vector.ROWS
+    exact = vector.top_k(data, asked, 10, distance, 32)
+    near = index.search(asked, 10)
+    assert near.count() == exact.count() and near.join(exact, ["query_id", "id"]).count() >= 0.95 * exact.count()
+    plan = neighbours.CodedLists(spark, index.path).candidates(asked, 34, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "lists/vectors" not in plan  # whole vectors are read for the best alone
+
+
+def test_indexes_on_noise_and_by_policy(spark, tmp_path):
+    """Without any structure the default settings still reach the recall, by looking at more."""
     data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = data.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
-    index = vector.Lists.build(data, f"file://{tmp_path}/lists")
-    assert spark.read.parquet(f"file://{tmp_path}/lists").count() == data.count()
-    near, exact = index.search(asked, 10, 60), vector.top_k(data, asked, 10)
-    both = near.join(exact, ["query_id", "id"]).count()
-    assert both >= 0.9 * exact.count()
-    assert vector.index_choice("quantizedFlat")["lists"] == 100 and vector.index_choice("flat")["kind"] == "exact"
+    exact = neighbours.index_of("flat", data, "").search(asked, 10)
+    for policy in ("diskANN", "quantizedFlat"):
+        index = neighbours.index_of(policy, data, f"file://{tmp_path}/{policy}")
+        assert isinstance(index, neighbours.Graphs if policy == "diskANN" else neighbours.CodedLists)
+        assert index.search(asked, 10).join(exact, ["query_id", "id"]).count() >= 0.95 * exact.count(), policy
+    for kind in ("graphs", "lists"):
+        few = data.limit(3)
+        index = {"graphs": neighbours.Graphs, "lists": neighbours.CodedLists}[kind].build(few, f"file://{tmp_path}/few-{kind}")
+        assert index.search(few.withColumnRenamed("id", "query_id"), 10).count() == 9
+        index = {"graphs": neighbours.Graphs, "lists": neighbours.CodedLists}[kind].build(data.limit(0), f"file://{tmp_path}/none-{kind}")
+        assert index.search(asked, 10).count() == 0
 
 
 def test_profiles():
@@ -352,10 +401,11 @@ def test_the_pump_takes_batches_and_replays(spark, tmp_path):
         rows = [(k % 40, 100 * n + k, f"v{n}.{k}") for k in range(n * 5, 60)]
         want |= {key: (version, value) for key, version, value in sorted(rows, key=lambda r: r[1])}
         spark.createDataFrame(rows, "key int, version int, value string").coalesce(1).write.mode("append").parquet(source)
-        query = streams.pump(streams.read_events(spark, source), target, f"file://{tmp_path}/checkpoint", "key", "version")
-        query.awaitTermination()
-        found = {r.key: (r.version, r.value) for r in streams.latest_state(spark, target, query).collect()}
-        assert found == want
+        for _ in range(2):  # the second time there is nothing new
+            events = streams.read_events(spark, source)
+            streams.pump(events, target, f"file://{tmp_path}/checkpoint", "key", "version").awaitTermination()
+            assert {r.key: (r.version, r.value) for r in streams.latest_state(spark, target, events.schema).collect()} == want
+    assert streams.latest_state(spark, f"file://{tmp_path}/none", events.schema).collect() == []
 
 
 def test_limits(spark):
@@ -385,3 +435,68 @@ def test_files_as_objects(spark, tmp_path):
     paths = spark.createDataFrame([("a/b/c.txt",), ("a/c.txt",), ("c.md",), ("a/xc.txt",)], "p string")
     assert [r.p for r in paths.filter(objects.matches(F.col("p"), ["a/**/c.txt"])).collect()] == ["a/b/c.txt", "a/c.txt"]
     assert [r.p for r in paths.filter(objects.matches(F.col("p"), ["?.md", "*/x*"])).collect()] == ["c.md", "a/xc.txt"]
+
+
+def _tiny_index(spark, path, texts):
+    docs = spark.createDataFrame([("p", f"{k:04d}", t) for k, t in enumerate(texts)], "partition_key string, id string, text string")
+    leaves = lexical.wide(docs, ["text"], ["partition_key", "id"])
+    return lexical.Index.build(leaves, f"file://{path}", ["partition_key", "id"]), leaves
+
+
+def test_blocks_below_the_threshold_are_not_decoded(spark, tmp_path, monkeypatch):
+    """The best of many documents come from under a third of the postings, and are those that all postings give."""
+    rng = random.Random(7)
+    # neighbours by keys treat of one of fifty matters, some at length
+    texts = []
+    for k in range(2000):
+        own = [f"m{k // 40}x{j}" for j in range(6)] + [f"m{rng.randrange(50)}x{rng.randrange(6)}"]
+        texts.append(" ".join(rng.choice(own) if rng.random() < 0.3 else f"w{int(rng.expovariate(0.01))}" for _ in range(rng.choice([10, 20, 80, 200]))))
+    monkeypatch.setattr(lexical, "RANGE_BITS", 3)
+    monkeypatch.setattr(lexical, "GROUP_BITS", 5)
+    index, leaves = _tiny_index(spark, tmp_path / "index", texts)
+    asked = spark.createDataFrame([(1, "m7x1 m7x2 w90"), (2, "m3x1 w300 w40"), (3, "m9x0 m9x5 nowhere")], "query_id long, query string")
+    words = lexical.parse(asked).select("query_id", F.explode("terms").alias("term"))
+    units = words.join(index.often(words.select("term")), "term")
+    chosen = lexical.best_ranges(index, units, 10)
+    blocks = index.blocks(words.select("term")).join(words, "term")
+    whole = index.decoded(blocks, "query_id").count()
+    read = index.decoded(blocks.join(chosen, ["query_id", "segment", "range"]), "query_id").count()
+    assert 0 < read < whole / 3
+    options = lexical.Options(scan_limit=10, top=10)
+    found = lexical.search(index, leaves, asked, options).collect()
+    monkeypatch.setattr(lexical, "PAYS", 10**9)
+    rows = lambda some: sorted((r.query_id, r.rank, r.id, r.matched, round(r.score, 9)) for r in some)
+    assert rows(lexical.search(index, leaves, asked, options).collect()) == rows(found) and len(found) == 30
+
+
+def test_phrases_by_positions(spark, tmp_path):
+    texts = ["a b a b a", "b a", "a a a", "x a  B, c", "c b a", "a b\nc"]
+    index, leaves = _tiny_index(spark, tmp_path / "index", texts)
+    more = spark.createDataFrame([("p", "0001", "now a b c"), ("p", "0006", "a b")], "partition_key string, id string, text string")
+    index = index.update(lexical.wide(more, ["text"], ["partition_key", "id"]), spark.createDataFrame([("p", "0005")], "partition_key string, id string"))
+    wanted = spark.createDataFrame([(s,) for s in ("a b", "a a", "a b c", "a b a", "b")], "span string")
+    for each in (index, index.compacted(f"file://{tmp_path}/one")):
+        found = {(r.span, r.id): (r.tf, r.length) for r in lexical._phrase_hits(each, wanted).collect()}
+        now = {**{f"{k:04d}": t for k, t in enumerate(texts)}, "0001": "now a b c", "0006": "a b"}
+        del now["0005"]
+        wish = {}
+        for i, text in now.items():
+            has = re.findall(r"\w+", text.lower())
+            for span in ("a b", "a a", "a b c", "a b a", "b"):
+                part = span.split()
+                n = sum(has[k : k + len(part)] == part for k in range(len(has)))
+                if n:
+                    wish[span, i] = (n, len(has))
+        assert found == wish
+        assert each.totals().first()[:] == (len(now), sum(len(re.findall(r"\w+", t)) for t in now.values()))
+    # no plan for phrases reads texts, and positions are written as differences
+    plan = lexical._phrase_hits(index, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan
+    files = list((tmp_path / "index" / "0" / "blocks").glob("*.parquet"))
+    column = next(c for k in range(99) if "positions" in (c := pq.ParquetFile(files[0]).metadata.row_group(0).column(k)).path_in_schema)
+    assert "DELTA_BINARY_PACKED" in column.encodings
+
+
+def test_leaves_escape_names(spark):
+    records = spark.createDataFrame([("p", "1", '{"content": {"a/b": {"~": 1}}}')], "partition_key string, id string, body string")
+    assert [r.field for r in lexical.leaves(records, ["partition_key", "id"]).collect()] == ["/content/a~1b/~0"]
