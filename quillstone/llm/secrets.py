@@ -31,7 +31,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----")
 PEM_FIELD = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
 PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s]{16,}")
-BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+BLOB = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: A further line of a wrapped run, and what may stand between lines: a line break, written out or escaped, with marks of a quotation or a comment.
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+BREAK = re.compile(r"(?:\r?\n|(?:\\+r)?\\+n)[\x20\t>#|*]{0,16}")
+ESCAPED_BREAK = re.compile(r"(?:\\+r)?\\+n")
+#: What is no part of a line of armour at its ends: quotation marks, marks of comments and of strings in source code.
+AROUND = " \t\r>#|*;\"',\\"
 HEX_BLOB = re.compile(r"[0-9A-Fa-f]{48,}")
 #: Where in a run a structure may begin: a SEQUENCE of short or long form, an SSH field's length, the name of an OpenSSH key.
 BLOB_STARTS = re.compile(r"(?=M[A-H]|MI[E-T]|AAAA|b3BlbnNzaC1rZXktdjEA)")
@@ -159,7 +165,8 @@ def _pem_spans(text: str) -> Iterator[tuple[int, int]]:
     """Blocks from BEGIN to END of one label, with none begun between, whose body decodes and parses.
 
     Header lines may stand before the body, with a blank line behind them; the
-    body of an encrypted key is blocks of its cipher.
+    body of an encrypted key is blocks of its cipher. Line breaks may be escaped,
+    as in JSON, and lines be quoted, commented out or strings of source code.
     """
     begins = list(PEM.finditer(text))
     for m, following in zip(begins, [*begins[1:], None], strict=True):
@@ -168,7 +175,8 @@ def _pem_spans(text: str) -> Iterator[tuple[int, int]]:
         end = text.find(mark, m.end(), limit)
         if end < 0:
             continue
-        body, encrypted = text[m.end() : end].strip(), False
+        lines = ESCAPED_BREAK.sub("\n", text[m.end() : end]).split("\n")
+        body, encrypted = "\n".join(x.strip(AROUND) for x in lines).strip(), False
         if PEM_FIELD.match(body):
             head, body = (re.split(r"\n[\x20\t\r]*\n", body, maxsplit=1) + [""])[:2]
             encrypted = "ENCRYPTED" in head and "DEK-Info:" in head
@@ -188,6 +196,28 @@ def _decoded_hex(run: str, at: int, size: int) -> bytes:
     return bytes.fromhex(part[: len(part) // 2 * 2])
 
 
+def _wrapped(text: str, m: re.Match) -> tuple[str, int, int]:
+    """The digits of a run and of the lines on which it goes on, the digits of a line, and the characters between lines.
+
+    Lines are as long as the first; a shorter one ends the run, if it makes whole
+    groups of four digits.
+    """
+    first, at = m[0], m.end()
+    between = BREAK.match(text, at) if not first.endswith("=") else None
+    if between is None:
+        return first, len(first), 0
+    size, mark, lines, total = len(first), between[0], [first], len(first)
+    while text.startswith(mark, at) and (line := LINE.match(text, at + len(mark))) and len(line[0]) <= size:
+        last = len(line[0]) < size or line[0].endswith("=")
+        if last and (total + len(line[0])) % 4:
+            break
+        lines.append(line[0])
+        total, at = total + len(line[0]), line.end()
+        if last:
+            break
+    return "".join(lines), size, len(mark)
+
+
 def _structures(run: str, starts: re.Pattern, decoded, bits: int) -> Iterator[tuple[int, int, int]]:
     """(start, kind, end) of structures in a run of digits worth ``bits`` each: a few bytes of each candidate are decoded, all of it once its length fits."""
     digits = len(run.rstrip("="))
@@ -228,10 +258,21 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         if is_token(m[1]):
             at = m.end()
             add(m.start(), 5, m.end())
-    for pattern, starts, decoded, bits in ((BLOB, BLOB_STARTS, _decoded64, 6), (HEX_BLOB, HEX_STARTS, _decoded_hex, 4)):
-        for m in pattern.finditer(text):
-            for start, kind, end in _structures(m[0], starts, decoded, bits):
-                add(m.start() + start, kind, m.start() + end)
+    at = 0
+    while m := BLOB.search(text, at):
+        run, size, between = _wrapped(text, m)
+        place = lambda k, m=m, size=size, between=between: m.start() + k + k // size * between
+        found = list(_structures(run, BLOB_STARTS, _decoded64, 6))
+        for start, kind, end in found:
+            add(place(start), kind, place(end - 1) + 1)
+        if not found and between:  # a line may be all of a structure
+            for k in range(0, len(run), size):
+                for start, kind, end in _structures(run[k : k + size], BLOB_STARTS, _decoded64, 6):
+                    add(place(k + start), kind, place(k + end - 1) + 1)
+        at = place(len(run) - 1) + 1
+    for m in HEX_BLOB.finditer(text):
+        for start, kind, end in _structures(m[0], HEX_STARTS, _decoded_hex, 4):
+            add(m.start() + start, kind, m.start() + end)
     return sorted(spans)
 
 

@@ -549,6 +549,41 @@ def test_clean_runs_confirm_nothing():
     assert len(secrets.confirmed_spans(text)) <= 1
 
 
+def test_keys_in_json_in_quotations_and_wrapped():
+    """A key is found however its lines are broken, with its span from the first to the last character of it."""
+    key = der(b"\x02\x01\x00", b"\x30\x82\x01\x04" + b"\x04\x82\x01\x00" + bytes(range(256)))
+    digits = base64.b64encode(key).decode()
+    for width in (64, 76):
+        lines = [digits[k : k + width] for k in range(0, len(digits), width)]
+        armour = ["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"]
+        ways = {
+            "json": json.dumps({"type": "service_account", "private_key": "\n".join(armour) + "\n"}),
+            "json in json": json.dumps(json.dumps({"k": "\n".join(armour)})),
+            "windows json": json.dumps({"k": "\r\n".join(armour)}),
+            "quoted": "On Monday:\n" + "\n".join(f"> {x}" for x in armour) + "\nbye",
+            "twice quoted": "\n".join(f">> {x}" for x in armour),
+            "comment": "\n".join(f"# {x}" for x in armour),
+            "strings": "\n".join(f'    "{x}\\n"' for x in armour),
+        }
+        for name, text in ways.items():
+            assert [(k, text[a : a + 11], text[b - 5 : b]) for a, k, b in secrets.confirmed_spans(text)] == [(3, "-----BEGIN ", "-----")], name
+        for mark in ("\n", "\r\n", "\n> ", "\n    ", "\\n"):
+            body = mark.join(lines)
+            text = f"here:\n{body}{mark}and words behind"
+            found = [(k, text[a:b]) for a, k, b in secrets.confirmed_spans(text)]
+            assert found == [(6, body)] or found == [(6, body.rstrip("="))], (width, mark)
+    ssh = base64.b64encode(b"\0\0\0\x07ssh-rsa\0\0\0\x03\1\0\1\0\0\1\1" + bytes(k % 251 for k in range(257))).decode()
+    body = "\n".join(ssh[k : k + 70] for k in range(0, len(ssh), 70))
+    text = f"a\n{body}\nb"
+    assert [(k, text[a:b]) for a, k, b in secrets.confirmed_spans(text)] == [(4, body)]
+    # thirty-two digits are enough for a structure of that size
+    small = b"\x30\x16\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x0a\x04\x08" + bytes(range(8))
+    text = f"x {base64.b64encode(small).decode()} y"
+    assert len(small) == 24 and [text[a:b] for a, k, b in secrets.confirmed_spans(text) if k == 6] == [base64.b64encode(small).decode()]
+    noise = random.Random(3)
+    assert secrets.confirmed_spans("\n".join("".join(noise.choice("abcdefgh0123") for _ in range(76)) for _ in range(3000))) == []
+
+
 def test_secret_base(spark, texts):
     assign = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     for r in QUERIES["op9_secret_scan"](spark, SF).collect():
