@@ -9,6 +9,7 @@ from quillstone.catalog.records import RECORDS, _docs
 from quillstone.operators import context, evaluation, ingest, lexical, neighbours, retrieval, vector
 from quillstone.plans.filters import Paths
 from quillstone.sources.tables import exists, scratch
+from quillstone.sources.vectors import StoredVectors
 
 R = Registry()
 KEYS = ["partition_key", "id"]
@@ -224,14 +225,31 @@ def _record_leaves(spark, sf_dir):
     return docs.select(*KEYS, F.explode(parts).alias("f")).select(*KEYS, "f.*").filter("text IS NOT NULL")
 
 
+def _embed(texts):
+    """hash and vector of texts as passages."""
+    return ingest.embed(texts.withColumn("prefixed", ingest.with_purpose(F.col("text"), "passage")), "prefixed", dims=64, out="vector").select("hash", "vector")
+
+
+#: The vectors that queries of a session share, by application, tables and column.
+_VECTORS: dict[tuple, StoredVectors] = {}
+
+
+def _embedded(spark, sf_dir, column: str):
+    """Stored vectors of a column of the documents, made when they are first asked for."""
+    name = (spark.sparkContext.applicationId, sf_dir, column)
+    if name not in _VECTORS or not exists(spark, _VECTORS[name].path):
+        texts = _docs(spark, sf_dir).select(*KEYS, F.col(column).alias("text"))
+        _VECTORS[name] = StoredVectors(spark, scratch(spark, "vectors"), tuple(KEYS)).refresh(texts, _embed)
+    return _VECTORS[name].rows().select(*KEYS, "vector")
+
+
 def _collection(spark, sf_dir) -> retrieval.Collection:
-    """The documents' records with their index, and the model-free embeddings of their texts and sources."""
+    """The documents' records with their index, and the stored embeddings of their texts and ids."""
     name = (spark.sparkContext.applicationId, sf_dir, "record")
     leaves = _record_leaves(spark, sf_dir)
     index = _stored(spark, name, leaves)
     docs = _docs(spark, sf_dir)
-    embedded = lambda c: ingest.embed(docs.withColumn("prefixed", ingest.with_purpose(F.col(c), "passage")), "prefixed", dims=64, out="vector").select(*KEYS, "vector")
-    fields = {"contentEmbedding": (embedded("text"), "cosine"), "sourceEmbedding": (embedded("id"), "euclidean")}
+    fields = {"contentEmbedding": (_embedded(spark, sf_dir, "text"), "cosine"), "sourceEmbedding": (_embedded(spark, sf_dir, "id"), "euclidean")}
     return retrieval.Collection(docs.select(*KEYS, "text"), tuple(KEYS), leaves, index, fields)
 
 
@@ -320,6 +338,19 @@ def multi_vector(spark, sf_dir):
     return _retrieved(spark, sf_dir, vector_fields={"contentEmbedding": 0.7, "sourceEmbedding": 0.3}, limit=20)
 
 
+@R.query(f"""WITH records0 AS ({RECORDS}), {_hashed_sql("v", "SELECT partition_key, id, 'passage: ' || COALESCE(CASE WHEN lang = 'de' THEN upper(lang) || id ELSE text END, '') AS t FROM records0 WHERE lang <> 'fr'", "partition_key, id")},
+old AS (SELECT DISTINCT COALESCE(text, '') AS t FROM records0), new AS (SELECT DISTINCT 'DE' || id AS t FROM records0 WHERE lang = 'de')
+SELECT partition_key, id, round(v[1] / sqrt(8), 4) AS first_number, (SELECT count(*) FROM old) AS embedded_first, (SELECT count(*) FROM new WHERE t NOT IN (SELECT t FROM old)) AS embedded_later FROM v""")
+def vectors_refreshed(spark, sf_dir):
+    """Vectors after one language's texts changed and another's records went: what did not change is not embedded again."""
+    docs = _docs(spark, sf_dir)
+    store = StoredVectors(spark, scratch(spark, "vectors"), tuple(KEYS)).refresh(docs.select(*KEYS, "text"), _embed)
+    text = F.when(F.col("lang") == "de", F.concat(F.upper("lang"), F.col("id"))).otherwise(F.col("text"))
+    store = store.refresh(docs.filter("lang <> 'fr'").select(*KEYS, text.alias("text")), _embed)
+    counts = store.embedded().agg(F.max(F.when(F.col("segment") == 0, F.col("n"))).alias("embedded_first"), F.max(F.when(F.col("segment") == 1, F.col("n"))).alias("embedded_later"))
+    return store.rows().select(*KEYS, F.round(F.get("vector", 0).cast("double"), 4).alias("first_number")).join(F.broadcast(counts))
+
+
 @R.query(f"""WITH {HASHED_QUERIES}, {_vector_list("a", "text", DOT, 10)} SELECT query_id, id, round(raw, 5) AS score, rank::INTEGER AS rank, 'result.identity.record,mode.vector,candidate.source.vector,score.vector.raw_similarity,score.vector.normalized' AS reasons FROM a""")
 def retrieval_explained(spark, sf_dir):
     found = retrieval.run({"vector_fields": {"contentEmbedding": 1.0}, "explain": True}, {"docs": _collection(spark, sf_dir)}, _queries(spark, sf_dir))
