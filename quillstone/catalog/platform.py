@@ -186,7 +186,7 @@ def stream_outbox_pump(spark, sf_dir):
     events = streams.read_events(spark, f"{sf_dir}/events.parquet*").select("user_id", "event_id", "event_type")
     query = streams.pump(events, f"{folder}/state", f"{folder}/checkpoint", "user_id", "event_id")
     query.awaitTermination()
-    return streams.latest_state(spark, f"{folder}/state", events.schema).select("user_id", "event_id", "event_type")
+    return streams.latest_state(spark, f"{folder}/state", events.schema, "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
 @R.query(f"SELECT id, lang, n_chars FROM ({RECORDS}) WHERE (partition_key, id) IN (SELECT CASE WHEN length(c_name) % 2 = 0 THEN 'src3' ELSE 'src' || (c_custkey % 20) END, 'doc-' || c_custkey FROM customer)")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillstone.catalog.base import Registry, table
 from quillstone.plans import filters, paging
 from quillstone.sources import objects, records
+from quillstone.sources.log import Records
+from quillstone.sources.tables import scratch
 
 R = Registry()
 DOC_PATHS = filters.Paths({"/id": "id", "/partitionKey": "partition_key", "/metadata/lang": "lang", "/metadata/nChars": "n_chars", "/content/text": "text"})
@@ -101,6 +103,19 @@ def upsert(spark, sf_dir):
     return records.upsert(_state(spark, sf_dir), _changes(spark, sf_dir), ["price"])
 
 
+@R.query(f"SELECT partition_key, id, price, revision, etag FROM ({UPSERT}) WHERE price >= 20000")
+def log_written(spark, sf_dir):
+    """A record log after three writes of changes, by the first, the middle and the last lines of orders, and a removal of what became cheap."""
+    log = Records(spark, scratch(spark, "log"))
+    log.append(_state(spark, sf_dir).withColumn("revision", F.col("revision").cast("bigint")))
+    changes = _changes(spark, sf_dir)
+    for some in ("seq.l_linenumber <= 2", "seq.l_linenumber BETWEEN 3 AND 4", "seq.l_linenumber > 4"):
+        log.upsert(changes.filter(some), ["price"])
+    log.delete(log.read().filter("price < 20000"))
+    log.settle()
+    return log.read().select("partition_key", "id", "price", "revision", "etag")
+
+
 @R.query(f"""
 WITH state AS (SELECT o_orderkey FROM orders WHERE {KNOWN}),
 c AS (SELECT o_orderstatus AS partition_key, CAST(o.o_orderkey AS VARCHAR) AS id, CASE WHEN o.o_orderkey % 4 = 0 THEN '*' WHEN o.o_orderkey % 4 = 1 THEN 'none' WHEN o.o_orderkey % 4 = 2 THEN 'rev:1' END AS expected, s.o_orderkey IS NOT NULL AS there FROM orders o LEFT JOIN state s ON o.o_orderkey = s.o_orderkey)

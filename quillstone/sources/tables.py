@@ -6,6 +6,7 @@ import atexit
 import shutil
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,3 +46,36 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "steps")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless there is one of its name, whoever else tries at the same time: whole or not at all."""
+    jvm = spark.sparkContext._jvm
+    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    system = target.getFileSystem(conf)
+    out = system.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if system.getScheme() == "file":  # its rename looks first and moves then; a link is made in one step
+            paths = jvm.java.nio.file.Paths
+            jvm.java.nio.file.Files.createLink(paths.get(target.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.String, 0)), paths.get(new.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.String, 0)))
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(new, target, options)
+        return True
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        system.delete(new, False)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, none if there is no folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(target)] if system.exists(target) else []

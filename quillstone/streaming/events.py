@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-#: Folders that a projection's keys are dealt into; a batch rewrites those that it touches.
-BUCKETS = 64
-
+from quillstone.sources.log import Log
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16, at: str | None = None) -> DataFrame:
     """Files as a stream; ``at`` names the event time, which watermarks take as a timestamp with a zone."""
@@ -44,77 +40,24 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-class Manifest:
-    """Which version of each bucket of a projection counts after each batch, as a JSON file per batch."""
-
-    def __init__(self, spark: SparkSession, target: str):
-        self.spark, self.target = spark, target
-        self.jvm = spark.sparkContext._jvm
-        self.system = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.target}/{name}")
-
-    def read(self, number: int) -> dict[str, int]:
-        path = self._path(f"manifest-{number}.json")
-        return json.loads("".join(r[0] for r in self.spark.read.text(path.toString()).collect())) if number >= 0 and self.system.exists(path) else {}
-
-    def last(self) -> dict[str, int]:
-        """The versions after the last batch that had rows."""
-        numbers = [int(f.getPath().getName()[9:-5]) for f in self.system.listStatus(self._path("")) if f.getPath().getName().startswith("manifest-")] if self.system.exists(self._path("")) else []
-        return self.read(max(numbers, default=-1))
-
-    def write(self, number: int, versions: dict[str, int]) -> None:
-        out = self.system.create(self._path(f"manifest-{number}.json"), True)
-        out.write(bytearray(json.dumps(versions).encode()))
-        out.close()
-
-    def drop_before(self, number: int) -> None:
-        """Remove manifests older than the last two, and bucket versions that neither of those names."""
-        kept = {(v, b) for n in (number - 1, number) for b, v in self.read(n).items()}
-        old = self.read(number - 2)
-        for bucket, version in old.items():
-            if (version, bucket) not in kept:
-                self.system.delete(self._path(f"{version}/bucket_={bucket}"), True)
-        self.system.delete(self._path(f"manifest-{number - 2}.json"), False)
-
-    def paths(self, versions: dict[str, int], buckets: list[str] | None = None) -> list[str]:
-        return [f"{self.target}/{v}/bucket_={b}" for b, v in versions.items() if buckets is None or b in buckets]
-
-
 def pump(events: DataFrame, target: str, checkpoint: str, key: str, version: str) -> StreamingQuery:
     """Apply events to a projection in batches: the highest version of each key stays, batches replayed after a failure change nothing.
 
-    Keys are dealt into ``BUCKETS`` folders. A batch reads and writes those that
-    it touches, under its own number, and then says so in a manifest; a batch that
-    fails before that is run again from the last manifest.
+    A batch writes a segment of its own keys, named by its number, and segments
+    of like size are merged, so that what is written grows with the events.
     """
-
-    def last_of(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("bucket_", key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "bucket_"]), version).alias("e")).select("bucket_", "e.*")
+    log = Log(events.sparkSession, target, [key], version)
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        manifest = Manifest(spark, target)
-        versions = manifest.read(number - 1)
-        new = last_of(batch.withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))).persist()
-        touched = [str(r[0]) for r in new.select("bucket_").distinct().collect()]
-        held = manifest.paths(versions, touched)
-        rows = new
-        if held:
-            old = spark.read.schema(new.schema).option("basePath", target).parquet(*held)
-            rows = last_of(new.unionByName(old.select(new.columns)))
-        if touched:
-            rows.write.mode("overwrite").partitionBy("bucket_").parquet(f"{target}/{number}")
-        manifest.write(number, versions | dict.fromkeys(touched, number))
-        manifest.drop_before(number)
-        new.unpersist()
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("e")).select("e.*")
+        log.append(last, f"batch-{number}")
+        log.settle()
+        log.clean()
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_state(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
-    """The projection after the last batch that had rows; without any it is empty. schema: of the events."""
-    manifest = Manifest(spark, target)
-    paths = manifest.paths(manifest.last())
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def latest_state(spark: SparkSession, target: str, schema: StructType, key: str, version: str) -> DataFrame:
+    """The projection as it is now; before the first batch it is empty. schema: of the events."""
+    log = Log(spark, target, [key], version)
+    return log.read().select(schema.names) if log.version() else spark.createDataFrame([], schema)

@@ -404,8 +404,8 @@ def test_the_pump_takes_batches_and_replays(spark, tmp_path):
         for _ in range(2):  # the second time there is nothing new
             events = streams.read_events(spark, source)
             streams.pump(events, target, f"file://{tmp_path}/checkpoint", "key", "version").awaitTermination()
-            assert {r.key: (r.version, r.value) for r in streams.latest_state(spark, target, events.schema).collect()} == want
-    assert streams.latest_state(spark, f"file://{tmp_path}/none", events.schema).collect() == []
+            assert {r.key: (r.version, r.value) for r in streams.latest_state(spark, target, events.schema, "key", "version").collect()} == want
+    assert streams.latest_state(spark, f"file://{tmp_path}/none", events.schema, "key", "version").collect() == []
 
 
 def test_limits(spark):
