@@ -76,7 +76,7 @@ def _transactions(spark, sf_dir):
     mutations = "array(named_struct('operation', IF(event_id % 6 = 0, 'delete', 'upsert'), 'document_type', event_type, 'id', CAST(user_id % 30 AS STRING), 'data', props, 'indexes', map('user', CAST(user_id AS STRING)), 'expected_revision', IF(event_id % 7 = 0, event_id % 5, NULL), 'must_exist', event_id % 11 = 0, 'must_not_exist', event_id % 13 = 0))"
     second = mutations.replace("event_id % 6 = 0", "false").replace("user_id % 30", "user_id % 3")
     fences = "IF(event_id % 3 = 0, array(named_struct('operation', IF(event_id % 2 = 0, 'claim', 'release'), 'name', 'n', 'value', CAST(event_id % 9 AS STRING), 'owner_type', 'o', 'owner_id', CAST(user_id % 2 AS STRING))), array())"
-    outbox = "IF(event_id % 4 = 0, array(named_struct('topic', event_type, 'key', CAST(user_id AS STRING), 'payload', props, 'max_attempts', 3)), array())"
+    outbox = "IF(event_id % 4 = 0, array(named_struct('topic', event_type, 'key', CAST(user_id AS STRING), 'payload', props, 'max_attempts', 3, 'id', IF(event_id % 8 = 0, concat(' own-', event_id), NULL), 'headers', map('by', event_type), 'not_before', IF(event_id % 16 = 0, ts, NULL))), array())"
     return table(spark, sf_dir, "events").select(
         (F.col("user_id") % 4).cast("string").alias("tenant"),
         F.col("event_id").alias("seq"),

@@ -231,21 +231,22 @@ def collection_details(spark, sf_dir):
     return runs.inspect_details(found, held, {"main": 64}, ["vec_id"])
 
 
-#: Results and expectations that know each other by aliases: a result's own id, and that of its label's first vector.
-ALIASED = """r AS (SELECT vec_id % 50 AS query_id, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) AS rank, ['v' || vec_id, 'l' || label] AS refs FROM embeddings), e AS (SELECT DISTINCT vec_id % 50 AS query_id, 'x' || (label % 3) AS ref, label % 3 + 1 AS relevance, ['l' || (label % 3), 'v' || (label % 3 + 100)] AS refs FROM embeddings)"""
+#: Results and expectations that know each other by aliases (a result's own id, and that of its label's first vector) or by a span of a source, in an order that is not that of their names; one counts in a collection alone.
+ALIASED = """r AS (SELECT vec_id, label, vec_id % 50 AS query_id, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) AS rank, ['v' || vec_id, 'l' || label] AS refs FROM embeddings), e AS (SELECT DISTINCT vec_id % 50 AS query_id, label % 3 AS g, 'x' || (label % 3) AS ref, label % 3 + 1 AS relevance, (label % 3 * 2) % 3 AS p, ['l' || (label % 3), 'v' || (label % 3 + 100)] AS refs FROM embeddings)"""
 
 
-@R.query(f"""WITH {ALIASED}, m AS (SELECT r.query_id, r.rank, min(e.ref) AS ref FROM r JOIN e ON r.query_id = e.query_id AND len(list_intersect(r.refs, e.refs)) > 0 WHERE r.rank <= 10 GROUP BY ALL), h AS (SELECT m.query_id, count(DISTINCT m.ref) AS hits, min(rank) AS first, sum(relevance / log2(rank + 1.0)) AS dcg FROM m JOIN e USING (query_id, ref) GROUP BY m.query_id),
-i AS (SELECT query_id, count(*) AS n_expected, sum(relevance / log2(p + 1.0)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, ref) AS p FROM e) GROUP BY query_id)
+@R.query(f"""WITH {ALIASED}, m AS (SELECT r.query_id, r.rank, arg_min(e.ref, (e.p, e.ref)) AS ref FROM r JOIN e ON r.query_id = e.query_id AND (g <> 2 OR vec_id % 4 < 3) AND (len(list_intersect(r.refs, e.refs)) > 0 OR label = 7 AND vec_id <= 200 + g * 50 AND vec_id + 300 >= 210) WHERE r.rank <= 10 GROUP BY ALL), h AS (SELECT m.query_id, count(DISTINCT m.ref) AS hits, min(rank) AS first, sum(relevance / log2(rank + 1.0)) AS dcg FROM m JOIN e USING (query_id, ref) GROUP BY m.query_id),
+i AS (SELECT query_id, count(*) AS n_expected, sum(relevance / log2(p + 1.0)) AS ideal FROM (SELECT * EXCLUDE (p), row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, ref) AS p FROM e) GROUP BY query_id)
 SELECT query_id, n_expected, COALESCE(hits, 0) AS hits, round(COALESCE(1.0 / first, 0), 6) AS reciprocal_rank, round(COALESCE(dcg / ideal, 0), 6) AS ndcg FROM i LEFT JOIN h USING (query_id)""")
 def evaluation_aliases(spark, sf_dir):
     from pyspark.sql.window import Window
 
     e = table(spark, sf_dir, "embeddings").withColumn("query_id", F.col("vec_id") % 50)
     name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    results = e.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id")).alias("rank"), F.array(name("v", F.col("vec_id")), name("l", F.col("label"))).alias("refs"))
+    sources = lambda id_, begin, end: F.array(F.struct(id_, F.lit(None), F.lit(None), F.struct(begin, end, F.lit(None), F.lit(None), F.lit(None)))).cast(evaluation.SOURCES)
+    results = e.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("vec_id")).alias("rank"), F.array(name("v", F.col("vec_id")), name("l", F.col("label"))).alias("refs"), F.when(F.col("vec_id") % 4 < 3, "main").otherwise("other").alias("collection"), sources(name("s", F.col("label")), F.col("vec_id"), F.col("vec_id") + 300).alias("sources"))
     group = F.col("label") % 3
-    expected = e.select("query_id", name("x", group).alias("ref"), (group + 1).alias("relevance"), F.array(name("l", group), name("v", group + 100)).alias("refs")).distinct()
+    expected = e.select("query_id", group.alias("g")).distinct().select("query_id", name("x", F.col("g")).alias("ref"), (F.col("g") + 1).alias("relevance"), (F.col("g") * 2 % 3).alias("position"), F.array(name("l", F.col("g")), name("v", F.col("g") + 100)).alias("refs"), F.when(F.col("g") == 2, "main").alias("collection"), sources(F.lit("s7"), 200 + F.col("g") * 50, F.lit(210)).alias("sources"))
     found = evaluation.first_match(results, expected)
     return found.select("query_id", "n_expected", "hits", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.round("ndcg", 6).alias("ndcg"))
 

@@ -158,11 +158,13 @@ def delete_records(spark, sf_dir):
 
 
 @R.query("""
-WITH rows AS (SELECT '{"c_custkey":' || c_custkey || ',"id":"' || c_name || '","partition_key":"' || c_mktsegment || '"}' AS line, row_number() OVER (ORDER BY c_mktsegment, c_name) AS n FROM customer)
-SELECT least(count(*), 100) AS record_count, count(*) > 100 AS truncated, sha256(string_agg(CASE WHEN n <= 100 THEN line END, chr(10) ORDER BY n)) AS content_hash FROM rows WHERE n <= 101""")
+WITH rows AS (SELECT '{"id":"' || c_name || '","partitionKey":"' || c_mktsegment || '","type":"\\u003C' || c_nationkey || '\\u003E","schemaVersion":null,"metadata":{"z":' || c_custkey || ',"a":[' || c_nationkey || ',"\\u00E9"]},"content":null,"sources":null,"vectors":null,"etag":null,"revision":null,"createdAt":null,"updatedAt":null,"c_custkey":' || c_custkey || '}' AS line, row_number() OVER (ORDER BY c_mktsegment, c_name) AS n FROM customer)
+SELECT least(count(*), 100) AS record_count, count(*) > 100 AS truncated, 'sha256:' || sha256('{"collection":"customers","policy":{"name":"customers","indexed":["/a"]},"records":[' || string_agg(CASE WHEN n <= 100 THEN line END, ',' ORDER BY n) || ']}') AS content_hash FROM rows WHERE n <= 101""")
 def snapshot_export(spark, sf_dir):
-    state = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("partition_key"), F.col("c_name").alias("id"), "c_custkey")
-    return records.snapshot(state, ["partition_key", "id", "c_custkey"], 100)
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    body = F.concat(F.lit('{"z": '), key, F.lit(', "a": ['), nation, F.lit(', "é"]}'))
+    state = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("partition_key"), F.col("c_name").alias("id"), F.concat(F.lit("<"), nation, F.lit(">")).alias("type"), body.alias("metadata"), "c_custkey")
+    return records.snapshot(state, ["partition_key", "id", "type", "metadata", "c_custkey"], 100, "customers", {"name": "customers", "indexed": ["/a"]})
 
 
 @R.query("SELECT 'page/' || page_id AS key, octet_length(encode(html))::BIGINT AS length, sha256(html) AS etag FROM pages WHERE starts_with('page/' || page_id, 'page/1') ORDER BY key LIMIT 40 OFFSET 5")

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.plans.components import components
 from quillstone.plans.fold import fold
+from quillstone.sources.tables import cut
 
 DOC = ["tenant", "document_type", "id"]
 # The limits of a transaction and of what it carries.
@@ -22,7 +24,7 @@ RETRY_SECONDS = 5.0
 #: A transaction's parts, as ``commit`` takes them.
 MUTATIONS = "array<struct<operation:string,document_type:string,id:string,data:string,indexes:map<string,string>,expected_revision:bigint,must_exist:boolean,must_not_exist:boolean>>"
 FENCES = "array<struct<operation:string,name:string,value:string,owner_type:string,owner_id:string>>"
-EVENTS = "array<struct<topic:string,key:string,payload:string,max_attempts:int>>"
+EVENTS = "array<struct<topic:string,key:string,payload:string,max_attempts:int,id:string,headers:map<string,string>,not_before:timestamp>>"
 
 
 class _Conflict(Exception):
@@ -81,8 +83,9 @@ def commit(transactions: DataFrame) -> DataFrame:
     before is replayed if the hash is the same and else a conflict; a refused
     transaction leaves its key free. Conflicts have a reason: idempotency_key,
     precondition, missing_document, fence_held, fence_not_owner; one beyond the
-    limits is invalid. A tenant's transactions are serial, its documents' last
-    revisions and its fences are what a task holds.
+    limits is invalid. Transactions of a tenant that share no document, fence or
+    key, even by others, cannot change each other's fate: those that hang together
+    are serial, and a task holds what they touched.
     """
 
     def step(state: dict, row: dict) -> tuple[dict, dict]:
@@ -100,7 +103,29 @@ def commit(transactions: DataFrame) -> DataFrame:
         return state, {"status": "committed", "documents": made}
 
     answers = "status string, reason string, documents array<struct<document_type:string,id:string,operation:string,revision:bigint,deleted:boolean>>"
-    return fold(transactions, ["tenant"], ["seq"], lambda: {"heads": {}, "owners": {}, "receipts": {}}, step, answers)
+    grouped = together(transactions)
+    part = next(c for c in grouped.columns if c not in transactions.columns)
+    return fold(grouped, ["tenant", part], ["seq"], lambda: {"heads": {}, "owners": {}, "receipts": {}}, step, answers).drop(part)
+
+
+def together(transactions: DataFrame) -> DataFrame:
+    """``transactions`` with the least seq of those of their tenant that they hang together with by documents, fences and keys."""
+    part = "part_"
+    while part in transactions.columns:
+        part += "_"
+    some = lambda column, names: F.transform(F.coalesce(column, F.array().cast(transactions.schema[column].dataType)), lambda x: F.struct(*names(x)))
+    kind = "array<struct<kind:string,a:string,b:string>>"
+    touched = F.concat(
+        some("mutations", lambda m: (F.lit("document"), m["document_type"], m["id"])).cast(kind),
+        some("fences", lambda f: (F.lit("fence"), f["name"], f["value"])).cast(kind),
+        F.array(F.struct(F.lit("key"), F.col("idempotency_key").cast("string"), F.lit(None).cast("string"))).cast(kind),
+    )
+    each = cut(transactions.select("tenant", "seq", F.explode(touched).alias("x")))
+    first = each.groupBy("tenant", "x").agg(F.min("seq").alias("b"))
+    # nulls are values here, as in the fold's names
+    links = each.alias("e").join(first.alias("f"), F.col("e.tenant").eqNullSafe(F.col("f.tenant")) & F.col("e.x.kind").eqNullSafe(F.col("f.x.kind")) & F.col("e.x.a").eqNullSafe(F.col("f.x.a")) & F.col("e.x.b").eqNullSafe(F.col("f.x.b")))
+    found = components(links.select(F.col("e.tenant").alias("tenant"), F.col("e.seq").alias("a"), "b").distinct(), cut)
+    return transactions.join(found.withColumnsRenamed({"node": "seq", "component": part}), ["tenant", "seq"]).select(*transactions.columns, part)
 
 
 def transaction_id(tenant: Column, key: Column) -> Column:
@@ -128,9 +153,10 @@ def committed_fences(committed: DataFrame) -> DataFrame:
 
 
 def committed_outbox(committed: DataFrame) -> DataFrame:
-    """The events of committed transactions: tenant, transaction_id, event_id (its transaction's and a place of three digits), topic, key, payload, max_attempts."""
+    """The events of committed transactions: tenant, transaction_id, event_id (its own, else its transaction's and a place of three digits), topic, key, payload, headers, not_before, max_attempts."""
     each = committed.filter("status = 'committed'").select("tenant", transaction_id(F.col("tenant"), F.col("idempotency_key")).alias("transaction_id"), F.posexplode("outbox").alias("at", "e"))
-    return each.select("tenant", "transaction_id", F.concat("transaction_id", F.lit(":"), F.lpad(F.col("at").cast("string"), 3, "0")).alias("event_id"), "e.topic", "e.key", "e.payload", "e.max_attempts")
+    made = F.concat("transaction_id", F.lit(":"), F.lpad(F.col("at").cast("string"), 3, "0"))
+    return each.select("tenant", "transaction_id", F.coalesce(F.trim("e.id"), made).alias("event_id"), F.trim("e.topic").alias("topic"), F.trim("e.key").alias("key"), "e.payload", "e.headers", "e.not_before", "e.max_attempts")
 
 
 def receipts(transactions: DataFrame) -> DataFrame:

@@ -105,16 +105,54 @@ def brief_problems(claims: DataFrame, citations: DataFrame) -> DataFrame:
     return blank.unionByName(bare).unionByName(lost)
 
 
+#: Sources of a result or of an expectation.
+SOURCES = "array<struct<id:string,kind:string,uri:string,span:struct<char_start:int,char_end:int,line:int,column:int,anchor:string>>>"
+
+
+def source_matches(found: Column, wanted: Column) -> Column:
+    """Whether a source is the one that an expectation names: all of id, kind and uri that it gives are equal, one at least, and its span lies within."""
+    named, equal = F.lit(False), F.lit(True)
+    for part in ("id", "kind", "uri"):
+        given = F.coalesce(F.trim(wanted[part]), F.lit("")) != ""
+        named = named | given
+        equal = equal & (~given | F.coalesce(found[part] == wanted[part], F.lit(False)))
+    a, b = found["span"], wanted["span"]
+    inside = (b["char_start"].isNull() | F.coalesce(a["char_start"] <= b["char_start"], F.lit(False))) & (b["char_end"].isNull() | F.coalesce(a["char_end"] >= b["char_end"], F.lit(False)))
+    for part in ("line", "column", "anchor"):
+        inside = inside & (b[part].isNull() | F.coalesce(a[part] == b[part], F.lit(False)))
+    return named & equal & (b.isNull() | (a.isNotNull() & inside))
+
+
+def _first_of(results: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, rank and ref: the first of ``wanted``, by position and ref, that each result meets."""
+    kinds = {"collection": "string", "partition_key": "string", "sources": SOURCES}
+    with_all = lambda df: df.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in df.columns})
+    position = F.col("position") if "position" in wanted.columns else F.lit(0)
+    named = with_all(wanted).select("query_id", "ref", position.alias("position"), "refs", *(F.col(c).alias(f"wanted_{c}") for c in kinds))
+    rows = with_all(results).select("query_id", "rank", F.col("refs").alias("own_refs"), *kinds)
+    free = lambda c: F.coalesce(F.col(f"wanted_{c}"), F.lit("")) == ""
+    scope = F.lit(True)
+    for c in ("collection", "partition_key"):
+        scope = scope & (free(c) | F.coalesce(F.col(c) == F.col(f"wanted_{c}"), F.lit(False)))
+    by_source = F.exists("sources", lambda x: F.exists("wanted_sources", lambda y: source_matches(x, y)))
+    test = scope & (F.coalesce(F.arrays_overlap("own_refs", "refs"), F.lit(False)) | F.coalesce(by_source, F.lit(False)))
+    # a case has few expectations and few results that count, see the limits
+    met = rows.join(named, "query_id").filter(test)
+    return met.groupBy("query_id", "rank").agg(F.min(F.struct("position", "ref")).alias("first")).select("query_id", "rank", "first.ref")
+
+
 def first_match(results: DataFrame, expected: DataFrame, negatives: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """``cases`` of results and expectations that know each other by any of several ids (``refs``: a record's own, its sources' and aliases), each result counting for the first expectation that it meets."""
-    asked = expected.select("query_id", F.col("ref").alias("expected"), F.explode("refs").alias("alias"), "relevance")
-    met = results.select("query_id", "rank", F.explode("refs").alias("alias")).distinct().join(asked, ["query_id", "alias"])
-    first = met.groupBy("query_id", "rank").agg(F.min("expected").alias("ref"))
-    plain = results.select("query_id", "rank").join(first, ["query_id", "rank"], "left")
-    bad = None
-    if negatives is not None:
-        against = negatives.select("query_id", F.col("ref"), F.explode("refs").alias("alias"))
-        hit = results.select("query_id", "rank", F.explode("refs").alias("alias")).join(against, ["query_id", "alias"]).groupBy("query_id", "rank").agg(F.min("ref").alias("bad"))
-        plain = plain.join(hit, ["query_id", "rank"], "left").withColumn("ref", F.coalesce("ref", "bad")).drop("bad")
-        bad = negatives.select("query_id", "ref")
-    return cases(plain.filter("ref IS NOT NULL"), expected.select("query_id", "ref", "relevance"), bad, k)
+    """``cases`` of results and expectations that know each other by any of several ids (``refs``: a record's own, its sources' and aliases) or by sources, each result counting for the first expectation that it meets.
+
+    Expectations go by ``position`` if they have one, else by ref. Those with a
+    collection or partition_key are met by its results alone; sources are those of
+    ``SOURCES``. All of these columns may be absent.
+    """
+    top = results.filter(F.col("rank") <= k)
+    met = _first_of(top, expected)
+    if negatives is None:
+        return cases(met, expected.select("query_id", "ref", "relevance"), None, k)
+    # a result may meet an expectation and a negative
+    mark = lambda df, name: df.withColumn("ref", F.concat(F.lit(name), F.col("ref").cast("string")))
+    both = mark(met, "+").unionByName(mark(_first_of(top, negatives), "-"))
+    return cases(both, mark(expected.select("query_id", "ref", "relevance"), "+"), mark(negatives.select("query_id", "ref"), "-"), k)

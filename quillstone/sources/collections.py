@@ -104,9 +104,23 @@ class Catalog:
     def table_path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, name: str, records: DataFrame) -> None:
-        """The collection's next state, in folders by partition key, so that a filter on it prunes files."""
-        records.withColumn("partition_", F.col("partition_key")).write.mode("overwrite").partitionBy("partition_").parquet(self.table_path(name))
+    def write(self, name: str, records: DataFrame, row_group_bytes: int = 32 << 20) -> None:
+        """The collection's next state, in folders by partition key, so that a filter on it prunes files.
+
+        What the policy indexes is skipped over within files: rows are clustered
+        by the first indexed column, whose ranges then meet few row groups and
+        pages, and all indexed columns have Bloom filters for equality.
+        """
+        policy = self.held.get(name)
+        indexed = [c for c in (policy.paths().columns[p] for p in policy.indexed) if c in records.columns] if policy else []
+        rows = records.withColumn("partition_", F.col("partition_key"))
+        if indexed:
+            order = ["partition_", indexed[0], *KEYS]
+            rows = cut(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+        out = rows.write.mode("overwrite").partitionBy("partition_").option("parquet.block.size", row_group_bytes)
+        for column in indexed:
+            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        out.parquet(self.table_path(name))
 
     def import_snapshot(self, target: str, policy: Policy, records: DataFrame, columns: list[str], record_count: int | None = None, content_hash: str | None = None, truncated: bool = False, allow_rename: bool = False, allow_partial: bool = False, replace_existing: bool = False) -> dict:
         """Write a snapshot's records as a collection and say what became of its policy: created, replaced or existing_equivalent.
@@ -119,7 +133,7 @@ class Catalog:
             raise ValueError(f"the snapshot is of {policy.name!r}, not of {target!r}")
         if truncated and not allow_partial:
             raise ValueError("the snapshot is truncated")
-        found = snapshot(records, columns).first()
+        found = snapshot(records, columns, collection=policy.name, policy=json.loads(json.dumps(asdict(policy)))).first()
         if record_count is not None and found.record_count != record_count or content_hash is not None and found.content_hash != content_hash:
             raise ValueError("the snapshot's records are not those that it declares")
         renamed = replace(policy, name=target)

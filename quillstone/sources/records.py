@@ -58,12 +58,36 @@ def delete(state: DataFrame, keys: DataFrame) -> DataFrame:
     return state.join(keys.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
-def snapshot(state: DataFrame, columns: list[str], most: int = 10_000) -> DataFrame:
-    """One row: record_count, truncated and content_hash of the first ``most`` records by key, of their canonical JSON lines."""
+# A snapshot's record begins with these names in this order, null where a record has none, as these columns; the bodies are JSON.
+SNAPSHOT = {"id": "id", "partitionKey": "partition_key", "type": "type", "schemaVersion": "schema_version", "metadata": "metadata", "content": "content", "sources": "sources", "vectors": "vectors", "etag": "etag", "revision": "revision", "createdAt": "created_at", "updatedAt": "updated_at"}
+BODIES = ("metadata", "content", "sources", "vectors")
+
+
+def snapshot(state: DataFrame, columns: list[str], most: int = 10_000, collection: str = "", policy: dict | None = None) -> DataFrame:
+    """One row: record_count, truncated and content_hash of the first ``most`` records by key.
+
+    The hash is that of one canonical JSON text of the collection's name, its
+    policy and the records; columns that are not among ``SNAPSHOT`` follow in the
+    order of ``columns``. Texts in the columns of ``BODIES`` are JSON themselves.
+    """
     rows = state.orderBy(*KEYS).limit(most + 1).withColumn("n", F.row_number().over(Window.orderBy(*KEYS)))
-    line = F.to_json(F.struct(*sorted(columns)))
-    inside = F.when(F.col("n") <= most, F.struct("n", line.alias("line")))
-    return rows.agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("record_count"), (F.count(F.lit(1)) > most).alias("truncated"), F.sort_array(F.collect_list(inside)).alias("lines")).select("record_count", "truncated", F.sha2(F.concat_ws("\n", F.transform("lines", lambda x: x["line"])), 256).alias("content_hash"))
+    known = [F.col(c).alias(name) if c in columns else F.lit(None).cast("string").alias(name) for name, c in SNAPSHOT.items()]
+    more = [F.col(c) for c in columns if c not in SNAPSHOT.values()]
+    bodies = [name for name in BODIES if SNAPSHOT[name] in columns and state.schema[SNAPSHOT[name]].dataType.simpleString() == "string"]
+
+    @F.pandas_udf("string")
+    def line(texts):
+        def one(text: str) -> str:
+            record = json.loads(text)
+            return canonical_json(record | {b: json.loads(record[b]) for b in bodies if record[b] is not None})
+
+        return texts.map(one)
+
+    inside = F.when(F.col("n") <= most, F.struct("n", line(F.to_json(F.struct(*known, *more), {"ignoreNullFields": "false"})).alias("line")))
+    head = F.lit('{"collection":' + canonical_json(collection) + ',"policy":' + canonical_json(policy) + ',"records":[')
+    text = F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), ","), F.lit("]}"))
+    found = rows.withColumn("inside", inside).agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("record_count"), (F.count(F.lit(1)) > most).alias("truncated"), F.sort_array(F.collect_list("inside")).alias("lines"))
+    return found.select("record_count", "truncated", F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("content_hash"))
 
 
 def import_check(snapshots: DataFrame, expected: DataFrame) -> DataFrame:

@@ -147,3 +147,25 @@ def test_a_stream_keeps_state_between_batches(spark, tmp_path):
             held[key] = (owner, at + dt.timedelta(minutes=5))
             want[seq] = ("acquired", held[key][1])
     assert batch == want and found == want and {a for a, _ in want.values()} == {"acquired", "refused", "released", "not_owner"}
+
+
+def test_commits_that_do_not_touch_each_other_are_apart(spark):
+    """One tenant's transactions fall into groups by what they share, over a long chain of others too, and are answered as one after another."""
+    rows = []
+    for seq in range(60):
+        # a chain over documents, a pair by a fence, a pair by a key, and single ones
+        docs = [str(seq), str(seq + 1)] if seq < 30 else [f"own-{seq}"]
+        mutations = [{"operation": "upsert", "document_type": "d", "id": d, "data": "x", "indexes": {}, "expected_revision": None, "must_exist": False, "must_not_exist": False} for d in docs]
+        fences = [{"operation": "claim", "name": "n", "value": None, "owner_type": "o", "owner_id": str(seq)}] if seq in (40, 41) else None
+        rows.append({"tenant": "t", "seq": seq, "idempotency_key": "same" if seq in (50, 51) else str(seq), "hash": "h", "mutations": mutations, "fences": fences, "outbox": [{"topic": " t ", "key": "k", "payload": "p", "max_attempts": 2, "id": " own " if seq == 59 else None, "headers": {"a": "b"}, "not_before": dt.datetime(2024, 1, 1)}]})
+    schema = f"tenant string, seq bigint, idempotency_key string, hash string, mutations {canonical.MUTATIONS}, fences {canonical.FENCES}, outbox {canonical.EVENTS}"
+    data = spark.createDataFrame(rows, schema).repartition(3)
+    groups = {r.seq: r.part_ for r in canonical.together(data).collect()}
+    assert {groups[k] for k in range(30)} == {0} and groups[41] == groups[40] == 40 and groups[51] == groups[50] == 50
+    assert all(groups[k] == k for k in range(30, 60) if k not in (41, 51)) and len(groups) == 60
+    committed = canonical.commit(data)
+    found = {r.seq: (r.status, r.reason) for r in committed.collect()}
+    assert found[41] == ("conflict", "fence_held") and found[51][0] == "replayed" and all(s == "committed" for k, (s, _) in found.items() if k not in (41, 51))
+    assert committed.columns == [*data.columns, "status", "reason", "documents"]
+    out = {r.event_id: r for r in canonical.committed_outbox(committed).collect()}
+    assert len(out) == 58 and out["own"].topic == "t" and out["own"].headers == {"a": "b"} and out["own"].not_before == dt.datetime(2024, 1, 1)
