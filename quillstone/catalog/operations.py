@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from quillstone.catalog.base import Registry, table
-from quillstone.operators import canonical, runs
+from quillstone.operators import archive, canonical, runs
 from quillstone.sources.tables import cut, scratch
 from quillstone.streaming import events as streams
 from quillstone.streaming import waits
@@ -174,6 +174,20 @@ def canonical_archive(spark, sf_dir):
     return canonical.archive({"mutations": m, "documents": canonical.current(m)}, "2")
 
 
+ROW_TEXTS = {"mutations": "COALESCE(data, '-') || '|' || document_type || '|' || id || '|' || " + INDEXED + " || '|' || operation || '|' || seq || '|' || tenant", "documents": "CASE WHEN deleted THEN '-' ELSE data END || '|' || deleted || '|' || document_type || '|' || id || '|' || CASE WHEN deleted THEN '-' ELSE " + INDEXED + " END || '|' || revision || '|' || tenant"}
+
+
+@R.query(f"""WITH RECURSIVE {CURRENT}, a AS (SELECT 0 AS no, 'mutations' AS t, row_number() OVER (ORDER BY seq) - 1 AS p, sha256({ROW_TEXTS["mutations"]}) AS h FROM m WHERE tenant = '2' UNION ALL SELECT 1, 'documents', row_number() OVER (ORDER BY document_type, id) - 1, sha256({ROW_TEXTS["documents"]}) FROM cur WHERE tenant = '2'),
+k AS (SELECT no, t, p // 40 AS chunk, count(*) AS n, sha256(string_agg(h, '' ORDER BY p)) AS c, row_number() OVER (ORDER BY no, p // 40) AS i FROM a GROUP BY no, t, p // 40),
+w AS (SELECT i, sha256('|' || t || '|' || chunk || '|' || n || '|' || c) AS chain FROM k WHERE i = 1 UNION ALL SELECT k.i, sha256(w.chain || '|' || t || '|' || chunk || '|' || n || '|' || c) FROM w JOIN k ON k.i = w.i + 1)
+SELECT t AS "table", chunk, n AS n_rows, c AS content_hash, chain FROM k JOIN w USING (i)""")
+def canonical_archive_chain(spark, sf_dir):
+    """A tenant's tables in chunks, each hashed over the one before."""
+    m = _mutations(spark, sf_dir)
+    manifest = archive.export({"mutations": (m, ["seq"]), "documents": (canonical.current(m), ["document_type", "id"])}, "2", scratch(spark, "archive"), 40)
+    return manifest.select("table", "chunk", "n_rows", "content_hash", "chain")
+
+
 @R.query(f"WITH RECURSIVE {CURRENT} SELECT tenant, document_type, id, revision, deleted FROM cur WHERE tenant = '2' UNION ALL SELECT tenant, document_type, id, revision + 1, deleted FROM cur WHERE tenant <> '2'")
 def canonical_restore(spark, sf_dir):
     """An archived tenant comes back in place of what it has become; others stay as they have."""

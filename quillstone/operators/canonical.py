@@ -303,7 +303,7 @@ def oldest_pending(outboxes: list[DataFrame]) -> DataFrame:
     return union.agg(F.min("created_at").alias("oldest"))
 
 
-def _row_hash(table: DataFrame) -> Column:
+def row_hash(table: DataFrame) -> Column:
     """A hash of a row's columns by name; maps go in order of their keys."""
     plain = lambda f: F.to_json(F.map_from_entries(F.sort_array(F.map_entries(f.name)))) if f.dataType.typeName() == "map" else F.col(f.name).cast("string")
     return F.sha2(F.concat_ws("|", *(F.coalesce(plain(f), F.lit("-")) for f in sorted(table.schema.fields, key=lambda f: f.name))), 256)
@@ -314,7 +314,7 @@ def archive(tables: dict[str, DataFrame], tenant: str) -> DataFrame:
     parts = []
     for name, table in tables.items():
         rows = table.filter(F.col("tenant") == tenant)
-        digest = F.conv(F.substring(_row_hash(rows), 1, 15), 16, 10).cast("decimal(38,0)")
+        digest = F.conv(F.substring(row_hash(rows), 1, 15), 16, 10).cast("decimal(38,0)")
         parts.append(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("content_hash")).withColumn("table", F.lit(name)))
     union = parts[0]
     for more in parts[1:]:

@@ -1,14 +1,11 @@
 """Handlers of execution runs: functions from a JSON payload to a JSON result, by name, run over tables of runs.
 
 Handlers are pure functions, so that a run whose executor is lost is run again.
-The deterministic stand-ins for model capabilities are handlers too.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -85,53 +82,3 @@ class Registry:
 
         answers = StructType.fromDDL("status string, result string, error string")
         return runs.mapInArrow(run, StructType([*runs.schema.fields, *answers.fields]))
-
-
-def _hash(text: str) -> str:
-    return "sha256:" + hashlib.sha256(text.encode()).hexdigest()
-
-
-def _needed(payload: dict, name: str) -> str:
-    value = payload.get(name)
-    if not isinstance(value, str) or not value.strip():
-        raise ValueError(f"{name} is needed")
-    return value
-
-
-def chat(payload: dict) -> dict:
-    """An answer that says what was asked, with its hash."""
-    messages = payload.get("messages") or []
-    asked = [m for m in messages if m.get("role") == "user"] or messages
-    text = _needed(asked[-1] if asked else {}, "content")
-    return {"role": "assistant", "content": f"deterministic advisory response [{_hash(text)[:19]}]: {text[: payload.get('maxOutputChars', 512)]}", "stopReason": "complete"}
-
-
-def extract(payload: dict) -> dict:
-    """Facts about a text, and the names that a schema asks for."""
-    text = _needed(payload, "text")
-    first = next((line for line in text.split("\n") if line), text)
-    return {"inputHash": _hash(text), "textLength": len(text), "firstLine": first[:240], **({"schemaKeys": list(payload["schema"])} if payload.get("schema") is not None else {})}
-
-
-def rank(payload: dict) -> dict:
-    """Candidates (id, text) by the share of the query's distinct words that they hold, then id."""
-    asked = set(re.findall(r"[^\W_]+", _needed(payload, "query").lower()))
-    scored = [{"id": c["id"], "score": len(asked & set(re.findall(r"[^\W_]+", c.get("text", "").lower()))) / len(asked) if asked else 0.0} for c in payload.get("candidates") or []]
-    return {"results": sorted(scored, key=lambda c: (-c["score"], c["id"]))}
-
-
-def review(payload: dict) -> dict:
-    """Findings about a text: each of the words to look for that it holds."""
-    text = _needed(payload, "text").lower()
-    found = [w for w in payload.get("terms") or [] if w.lower() in text]
-    return {"approved": not found, "findings": found}
-
-
-def plan_tools(payload: dict) -> dict:
-    """The tools whose name or a word of whose description the goal names, in order."""
-    words = set(re.findall(r"[^\W_]+", _needed(payload, "goal").lower()))
-    return {"steps": [t["name"] for t in payload.get("tools") or [] if words & set(re.findall(r"[^\W_]+", f"{t['name']} {t.get('description', '')}".lower()))]}
-
-
-#: Stand-ins for model capabilities, the same for the same input.
-CAPABILITIES = (Handler("ai.chat", chat, "ai"), Handler("ai.extract", extract, "ai"), Handler("ai.rerank", rank, "ai"), Handler("ai.review", review, "ai"), Handler("ai.toolPlan", plan_tools, "ai"))

@@ -22,6 +22,8 @@ from quillstone.sources.tables import _drop, cut, names_in, put_if_absent
 
 #: Segments of like size that are merged into one, and how often a writer that came second tries again.
 MERGED, TRIES = 4, 50
+#: Marks rows of keys that are gone.
+REMOVED = "removed_"
 
 
 class Conflict(RuntimeError):
@@ -47,7 +49,7 @@ class Log:
         return put_if_absent(self.spark, f"{self.path}/versions/{version}.json", json.dumps(segments))
 
     def _merged(self, segments: list[dict]) -> DataFrame:
-        """The row of each key that stands in these segments, with deleted."""
+        """The row of each key that stands in these segments, with removed_."""
         parts = [self.spark.read.parquet(f"{self.path}/segments/{s['name']}").withColumn("place_", F.lit(k)) for k, s in enumerate(segments)]
         if len(parts) == 1:
             return parts[0].drop("place_")
@@ -65,7 +67,7 @@ class Log:
         segments = self.segments(version)
         if not segments:
             raise ValueError(f"nothing was written to {self.path}")
-        return self._merged(segments).filter(~F.col("deleted")).drop("deleted")
+        return self._merged(segments).filter(~F.col(REMOVED)).drop(REMOVED)
 
     def _write(self, rows: DataFrame, name: str | None = None) -> dict:
         name = name or uuid.uuid4().hex
@@ -74,7 +76,7 @@ class Log:
         return {"name": name, "rows": self.spark.read.parquet(path).count()}
 
     def commit(self, make: Callable[[int], DataFrame | None], name: str | None = None) -> int:
-        """Publish the rows (with deleted) that ``make`` gives for the version that they build on; its number, or that of the version which has a segment called ``name`` already."""
+        """Publish the rows (with removed_) that ``make`` gives for the version that they build on; its number, or that of the version which has a segment called ``name`` already."""
         for _ in range(TRIES):
             version = self.version()
             segments = self.segments(version)
@@ -91,7 +93,7 @@ class Log:
 
     def append(self, rows: DataFrame, name: str | None = None) -> int:
         """Rows that stand whatever was there; with a ``name`` they are written once, however often they are given."""
-        given = rows.withColumn("deleted", F.lit(False))
+        given = rows.withColumn(REMOVED, F.lit(False))
         return self.commit(lambda _: given, name)
 
     def settle(self) -> int:
@@ -112,7 +114,7 @@ class Log:
 
     def _replace(self, version: int, segments: list[dict], at: int) -> int:
         rows = self._merged(segments[at:])
-        new = self._write(rows if at else rows.filter(~F.col("deleted")))
+        new = self._write(rows if at else rows.filter(~F.col(REMOVED)))
         new["of"] = [n for s in segments[at:] for n in s.get("of", ())]
         for _ in range(TRIES):
             now = self.segments(version)
@@ -147,7 +149,7 @@ class Records(Log):
 
     def upsert(self, changes: DataFrame, payload: list[str], order: str = "seq", at: str = "at") -> int:
         """``records.upsert`` of a state that is there: what is written are the changed records."""
-        return self.commit(lambda v: records.upsert(self._held(v, changes), changes, payload, order, at).withColumn("deleted", F.lit(False)))
+        return self.commit(lambda v: records.upsert(self._held(v, changes), changes, payload, order, at).withColumn(REMOVED, F.lit(False)))
 
     def put(self, changes: DataFrame, payload: list[str], at: str = "at") -> tuple[int, DataFrame]:
         """Write the changes (one a key, with ``expected``) that ``records.conditional`` allows; the version and each change's status. Two writers that expect the same revision never both succeed."""
@@ -161,11 +163,11 @@ class Records(Log):
             if good.isEmpty():
                 return None
             made = good.join(held.select(*self.keys, F.col("created_at").alias("since_")), self.keys, "left")
-            return made.select(*self.keys, *payload, F.col("revision").cast("bigint").alias("revision"), records.etag(F.col("revision")).alias("etag"), F.coalesce("since_", at).alias("created_at"), F.col(at).alias("updated_at"), F.lit(False).alias("deleted"))
+            return made.select(*self.keys, *payload, F.col("revision").cast("bigint").alias("revision"), records.etag(F.col("revision")).alias("etag"), F.coalesce("since_", at).alias("created_at"), F.col(at).alias("updated_at"), F.lit(False).alias(REMOVED))
 
         version = self.commit(make)
         return version, judged
 
     def delete(self, keys: DataFrame) -> int:
         """Without the records that ``keys`` names."""
-        return self.commit(lambda v: self._held(v, keys).withColumn("deleted", F.lit(True)))
+        return self.commit(lambda v: self._held(v, keys).withColumn(REMOVED, F.lit(True)))

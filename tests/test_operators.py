@@ -361,35 +361,17 @@ def test_snapshots_are_refused(spark, tmp_path):
     assert catalog.import_snapshot("docs", Policy("docs", indexed=("/x",)), data, columns, replace_existing=True)["policy_status"] == "replaced"
 
 
-def test_word_pieces_and_heads(spark):
-    from quillstone.operators import transformer
-
-    names = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "un", "##aff", "##able", "fox", ","]
-    tokenizer = transformer.word_piece({n: k for k, n in enumerate(names)})
-    assert tokenizer.encode("Unaffable, FÓX zzz").ids == [2, 4, 5, 6, 8, 7, 1, 3]
-    outputs = np.array([[[3.0, 4.0], [0.0, 0.0]], [[1.0, 0.0], [0.0, 1.0]]])
-    mask = np.array([[1, 0], [1, 1]])
-    assert np.allclose(transformer.pooled(outputs, mask), [[0.6, 0.8], [2**-0.5, 2**-0.5]])
-    assert np.allclose(transformer.pooled(outputs, mask, "cls"), [[0.6, 0.8], [1, 0]])
-    assert np.allclose(transformer.head_scores(np.array([[0.0], [2.0]])), [0.5, 1 / (1 + np.exp(-2))])
-    assert np.allclose(transformer.head_scores(np.array([[1.0, 1.0]])), [0.5])
-    model = lambda ids, mask: np.stack([ids * mask, mask], axis=2).astype(float)
-    found = transformer.embed(spark.createDataFrame([("fox",), (None,), ("un fox",)], "t string"), "t", {n: k for k, n in enumerate(names)}, model).collect()
-    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in found)
-
-
-def test_handlers():
+def test_handlers(spark):
     from quillstone.operators import handlers
 
-    registry = handlers.Registry(*handlers.CAPABILITIES)
+    registry = handlers.Registry(handlers.Handler("a", lambda p: {"n": p["n"] + 1}, max_attempts=2))
     with pytest.raises(ValueError, match="there is a handler"):
-        registry.add(handlers.Handler("ai.chat", dict))
-    assert handlers.rank({"query": "red fox", "candidates": [{"id": "b", "text": "fox"}, {"id": "a", "text": "a red fox"}]})["results"][0] == {"id": "a", "score": 1.0}
-    assert handlers.review({"text": "a TODO here", "terms": ["todo", "x"]}) == {"approved": False, "findings": ["todo"]}
-    assert handlers.plan_tools({"goal": "find a fox", "tools": [{"name": "find"}, {"name": "cook"}]}) == {"steps": ["find"]}
-    assert handlers.chat({"messages": [{"role": "user", "content": "hello"}]})["content"].endswith(": hello")
-    with pytest.raises(ValueError, match="needed"):
-        handlers.extract({})
+        registry.add(handlers.Handler("a", dict))
+    with pytest.raises(ValueError):
+        handlers.Handler(" ", dict)
+    rows = [("a", '{"n": 1}', 1), ("a", "{}", 1), ("a", "{}", 2), ("a", "[]", 1), ("a", None, 1), ("b", "{}", 1)]
+    found = registry.execute(spark.createDataFrame(rows, "handler_id string, payload string, attempt int"))
+    assert [(r.status, r.result, r.error) for r in found.collect()] == [("completed", '{"n":2}', None), ("queued", None, "'n'"), ("failed", None, "'n'"), ("rejected", None, "invalid_payload"), ("rejected", None, "invalid_payload"), ("rejected", None, "unknown_handler")]
 
 
 def test_the_pump_takes_batches_and_replays(spark, tmp_path):
