@@ -367,7 +367,9 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
     The model and the counts come from the rows that are not held out; without
     any, every decision costs one bit and no word is known. A null text is empty:
     its one token and its one coded byte are the end. Repeated rows count and are
-    scored each, whole texts at any length; an empty table gives no rows.
+    scored each, whole texts at any length; words and n-grams that tie in number
+    are held or joined as their keys go, to the same score; columns besides the
+    two named are ignored; an empty table gives no rows.
     """
     modest_batches(docs.sparkSession)
     picked = docs.select(F.col(id_column).alias("id"), held_out.alias("held_out"), F.col(text_column).alias("body"))

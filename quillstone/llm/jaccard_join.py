@@ -357,6 +357,8 @@ def join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     and texts without words have empty sets, link with nothing and are their own
     components. Repeated rows link with each other, and so do rows with a null id,
     which counts as larger than any other. Sets and classes go by 64-bit hashes.
+    Texts of any length are compared whole; documents just at the threshold link;
+    columns besides the two named are ignored, and an empty table gives no rows.
     """
     modest_batches(docs.sparkSession)
     body = F.col(text_column).cast("string")

@@ -191,7 +191,11 @@ def fit_rows(labelled: DataFrame, most_rows: int) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", most_rows: int = 2500) -> Model:
     """Fit on at most ``most_rows`` rows of ``docs`` that have a label of 0 or 1.
 
-    A document with several labels counts once for each distinct one.
+    A document with several labels counts once for each distinct one; repeated
+    rows count once for each label. Null texts are empty, and null ids and labels
+    are left out, as are labels besides 0 and 1. Which rows are taken goes by a
+    hash of the id, ties by id and label. Texts are read whole. Without rows or
+    labels the model scores a half; further columns are ignored.
     """
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("bigint").alias("label")).filter(F.col("label").isin(0, 1)).distinct()
     # ids alone choose the rows, so that only the chosen texts move
@@ -206,6 +210,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
     Null and empty texts get the score of the labels' prior; very long texts are
     read whole; repeated rows are scored alike; an empty table gives no rows.
+    Columns that are not in ``keep`` are ignored.
     """
     modest_batches(docs.sparkSession)
     names = keep or [id_column]

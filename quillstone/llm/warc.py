@@ -168,6 +168,8 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 at += min(step, len(data) - at)
             at -= len(member.unused_data)
             yield from _plain(b"".join(parts))
+        if data[at:].strip(b"\0"):
+            raise ValueError(f"no gzip member at byte {at}")
     else:
         yield from _plain(data)
 
@@ -212,8 +214,10 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
     A file is read whole by one task, so its size, 2 GB at most, is bounded by what
     a worker holds; its records are bounded by the segments' size. Segments of one record meet in one task, those of other records do not.
-    Missing segments, a wrong total length and a wrong digest are errors; a
-    folder without records gives no rows.
+    Missing segments, a wrong total length and a wrong digest are errors; segments
+    may come in any order. A record that is there twice gives two rows, unless it
+    is in segments, where a second one is an error. Fields besides those needed
+    are ignored; empty payloads have rows; a folder without records gives none.
     """
     longs = pa.int64()
     names = pa.schema([("page_id", pa.string()), ("payload_bytes", longs), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("origin", pa.string()), ("number", longs), ("total", longs), ("block", pa.binary())])

@@ -418,6 +418,50 @@ def test_warc_round_trip_with_segments_and_revisits(spark, tmp_path):
             assert r.record_type == "revisit" and int(r.refers_to) == first[body.decode()]
 
 
+def plain_archive(records):
+    return b"".join(b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields.items()) + b"\r\n" + block + b"\r\n\r\n" for fields, block in records)
+
+
+@pytest.mark.parametrize("kind", ["as written", "reversed", "left out", "first left out", "twice", "total", "digest"])
+def test_warc_segments(spark, tmp_path, kind):
+    """Segments in any order make the record; one left out, one too many, a wrong length and a wrong digest are errors."""
+    html = "".join(f"<p>{k}</p>" for k in range(900))
+    warc.write(spark.createDataFrame([(7, "http://x/", html)], "page_id long, url string, html string"), f"file://{tmp_path}/a", segment=1000, chunk=300)
+    records = [r for file in sorted((tmp_path / "a").glob("*.gz")) for r in warc.parse(file.read_bytes())]
+    parts = [k for k, (fields, _) in enumerate(records) if "warc-segment-number" in fields]
+    assert len(parts) > 3
+    if kind == "reversed":
+        records = records[::-1]
+    elif kind == "left out":
+        del records[parts[1]]
+    elif kind == "first left out":
+        del records[parts[0]]
+    elif kind == "twice":
+        records.append(records[parts[1]])
+    elif kind == "total":
+        last = records[parts[-1]][0]
+        last["warc-segment-total-length"] = str(int(last["warc-segment-total-length"]) + 1)
+    elif kind == "digest":
+        for k in parts:
+            if "warc-payload-digest" in records[k][0]:
+                records[k][0]["warc-payload-digest"] = "sha1:" + "A" * 32
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc").write_bytes(plain_archive(records))
+    if kind in ("as written", "reversed"):
+        row = warc.read(spark, f"file://{tmp_path}/b").first()
+        assert (row.page_id, row.payload.decode(), row.record_type) == ("7", html, "response")
+    else:
+        with pytest.raises(Exception, match="lacks a segment|bytes, not|does not have the digest"):
+            warc.read(spark, f"file://{tmp_path}/b").collect()
+
+
+def test_warc_behind_zeros(spark):
+    record = gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    assert [b for _, b in warc.parse(record + record + bytes(9))] == [b"abc", b"abc"]
+    with pytest.raises(ValueError, match="no gzip member"):
+        list(warc.parse(record + bytes(9) + record))
+
+
 def test_warc_damage_is_an_error(spark):
     assert warc.dechunked(warc.chunked(b"abc" * 50, 7)) == b"abc" * 50
     assert warc.dechunked(b"3;x=y\r\nabc\r\n0\r\nTrailer: 1\r\n\r\n") == b"abc"
