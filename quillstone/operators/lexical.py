@@ -383,10 +383,10 @@ def _hits(index: Index, asked: DataFrame, size: int | None, ranges: DataFrame |
     keys = list(index.keys)
     columns = ["query_id", *keys, "field", "term", "tf", "length", "prefix", "word"]
     if size is None:
-        blocks = index.blocks(asked.select("term"))
-        if ranges is None:
-            found = index.decoded(blocks.join(asked, "term"), "query_id", "word")
+        if ranges is None:  # each posting is decoded once, however many queries ask for it
+            found = index.postings(asked.select("term")).join(asked, "term")
         else:
+            blocks = index.blocks(asked.select("term"))
             found = index.decoded(blocks.join(asked.join(ranges, "query_id"), ["term", "segment", "range"]), "query_id", "word")
         return found.withColumn("prefix", F.lit(False)).select(columns)
     # a prefix counts in a field only where the term itself does not occur; of the words with an asked term's head the longer ones are looked up
