@@ -186,7 +186,7 @@ def _pem_spans(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _decoded64(run: str, at: int, size: int) -> bytes:
-    part = run[at : at + -(-4 * size // 3)]
+    part = run[at : at + -(-4 * size // 3)].rstrip("=")
     part = part[: len(part) - (len(part) % 4 == 1)].replace("-", "+").replace("_", "/")
     return base64.b64decode(part + "=" * (-len(part) % 4))
 
