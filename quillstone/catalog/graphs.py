@@ -52,7 +52,7 @@ def _starts(spark, *ids):
 @R.query(f"""WITH nodes AS ({NODES}), edges AS ({EDGES}), l1 AS (SELECT * FROM edges WHERE source_id = 'r1'), l2 AS (SELECT e.* FROM edges e JOIN l1 ON e.source_id = l1.target_id WHERE e.score IS NULL OR e.score >= 0)
 SELECT id, min(depth)::INTEGER AS depth FROM (SELECT 'r1' AS id, 0 AS depth UNION ALL SELECT target_id, 1 FROM l1 UNION ALL SELECT target_id, 2 FROM l2) GROUP BY id""")
 def graph_traverse(spark, sf_dir):
-    nodes, _ = graph.traverse(_nodes(spark, sf_dir), _edges(spark, sf_dir), _starts(spark, "r1", "nowhere"), cut, filters=graph.Filters(least_score=0.0), max_depth=2, node_limit=100_000, edge_limit=100_000)
+    nodes, _ = graph.traverse(_nodes(spark, sf_dir), _edges(spark, sf_dir), _starts(spark, "r1", "nowhere"), cut, filters=graph.Filters(least_score=0.0), max_depth=2, node_limit=None, edge_limit=None)
     return nodes.select("id", "depth")
 
 

@@ -82,7 +82,7 @@ def with_status(edges: DataFrame, assertions: DataFrame, statuses: list[str]) ->
     return Filters(assertion_statuses=tuple(statuses)).edges(edges.withColumns({c: F.lit(None).cast("double") for c in ("score",) if c not in edges.columns}), assertions)
 
 
-def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame], filters: Filters = Filters(), max_depth: int = 1, direction: str = "outgoing", node_limit: int = 100, edge_limit: int = 100, include_start: bool = True, assertions: DataFrame | None = None, reviews: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame], filters: Filters = Filters(), max_depth: int = 1, direction: str = "outgoing", node_limit: int | None = 100, edge_limit: int | None = 100, include_start: bool = True, assertions: DataFrame | None = None, reviews: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first walks from ``starts`` (walk, id, and position if they have an order, else they go by id): nodes (walk, id, depth, position) and edges (walk, edge_id, from_id, to_id, predicate, depth, position).
 
     One round of joins a level, for all walks. A level's edges are ordered by
@@ -90,7 +90,8 @@ def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[D
     counts at its first occurrence whose far node is allowed, and a node is new at
     its first one. Of the edges to new nodes those within the node limit are
     taken, of all of them the first within the edge limit: a hub's edges meet in
-    aggregates and top-k's, never in a sort. ``cut`` writes each level where every
+    aggregates and top-k's, never in a sort. Without limits (None) all count, and
+    a level is numbered over many tasks. ``cut`` writes each level where every
     executor can read it.
     """
     ways = {"outgoing": ("out",), "incoming": ("in",), "both": ("out", "in")}[direction]
@@ -121,17 +122,26 @@ def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[D
         done = taken.groupBy("walk").agg(F.count(F.lit(1)).alias("n_edges")) if taken is not None else held.select("walk", F.lit(0).alias("n_edges")).limit(0)
         known = included.select("walk", F.col("id").alias("to_id")).withColumn("known", F.lit(True))
         met = met.join(known, ["walk", "to_id"], "left")
-        new = met.filter("known IS NULL").groupBy("walk", "to_id").agg(F.min("order").alias("seen")).join(held, "walk", "left")
+        seen = met.filter("known IS NULL").groupBy("walk", "to_id").agg(F.min("order").alias("seen")).join(held, "walk", "left")
         first = F.row_number().over(Window.partitionBy("walk").orderBy("seen"))
-        new = new.withColumn("turn", first).filter(F.col("turn") <= node_limit).filter(F.col("turn") + F.coalesce("n_nodes", F.lit(0)) <= node_limit).select("walk", "to_id").withColumn("fits", F.lit(True))
-        found = met.join(new, ["walk", "to_id"], "left").filter("known OR fits")
-        place = F.row_number().over(Window.partitionBy("walk").orderBy("order"))
-        found = found.withColumn("place", place).filter(F.col("place") <= edge_limit).join(done, "walk", "left")
-        found = found.withColumn("place", F.col("place") + F.coalesce("n_edges", F.lit(0))).filter(F.col("place") <= edge_limit)
+        if node_limit is None:
+            found = met
+        else:
+            new = seen.withColumn("turn", first).filter(F.col("turn") <= node_limit).filter(F.col("turn") + F.coalesce("n_nodes", F.lit(0)) <= node_limit).select("walk", "to_id").withColumn("fits", F.lit(True))
+            found = met.join(new, ["walk", "to_id"], "left").filter("known OR fits")
+        if edge_limit is None:
+            found = _numbered(found, "order", "place", cut).join(done, "walk", "left").withColumn("place", F.col("place") + 1 + F.coalesce("n_edges", F.lit(0)))
+        else:
+            place = F.row_number().over(Window.partitionBy("walk").orderBy("order"))
+            found = found.withColumn("place", place).filter(F.col("place") <= edge_limit).join(done, "walk", "left")
+            found = found.withColumn("place", F.col("place") + F.coalesce("n_edges", F.lit(0))).filter(F.col("place") <= edge_limit)
         found = cut(found.select("walk", "edge_id", "from_id", "to_id", "predicate", F.lit(level + 1).alias("depth"), (F.col("place") - 1).cast("int").alias("position")))
         fresh = found.groupBy("walk", F.col("to_id").alias("id")).agg(F.min("position").alias("seen")).join(included.select("walk", "id"), ["walk", "id"], "left_anti").join(held, "walk", "left")
-        turn = F.row_number().over(Window.partitionBy("walk").orderBy("seen")) - 1
-        fresh = cut(fresh.withColumn("turn", turn).select("walk", "id", F.lit(level + 1).alias("depth"), (F.col("turn") + F.coalesce("n_nodes", F.lit(0))).cast("int").alias("position")))
+        if edge_limit is None:
+            fresh = _numbered(fresh, "seen", "turn", cut)
+        else:
+            fresh = fresh.withColumn("turn", F.row_number().over(Window.partitionBy("walk").orderBy("seen")) - 1)
+        fresh = cut(fresh.select("walk", "id", F.lit(level + 1).alias("depth"), (F.col("turn") + F.coalesce("n_nodes", F.lit(0))).cast("int").alias("position")))
         frontier = fresh.join(visited, ["walk", "id"], "left_anti").select("walk", "id", "position")
         visited = visited.unionByName(fresh.select("walk", "id"))
         included = included.unionByName(fresh)
@@ -143,6 +153,16 @@ def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[D
     return included, taken
 
 
+def _numbered(rows: DataFrame, order: str, name: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with their number within their walk by ``order``, from 0: each task numbers a range of the order."""
+    dealt = rows.repartitionByRange("walk", order).sortWithinPartitions("walk", order)
+    dealt = cut(dealt.withColumns({"part_": F.spark_partition_id(), "row_": F.monotonically_increasing_id()}))
+    parts = dealt.groupBy("walk", "part_").agg(F.min("row_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("walk").orderBy("part_")) - F.col("n_")
+    numbered = dealt.join(parts.withColumn("before_", before), ["walk", "part_"])
+    return numbered.withColumn(name, F.col("row_") - F.col("first_") + F.col("before_")).drop("part_", "row_", "first_", "n_", "before_")
+
+
 def traverse(nodes: DataFrame, edges: DataFrame, starts: DataFrame, cut: Callable[[DataFrame], DataFrame], **options) -> tuple[DataFrame, DataFrame]:
     """One walk from ``starts`` (id), see ``walk``."""
     found_nodes, found_edges = walk(nodes, edges, starts.withColumn("walk", F.lit(0)), cut, **options)
