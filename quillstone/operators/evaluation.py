@@ -17,9 +17,19 @@ def cases(results: DataFrame, expected: DataFrame, negatives: DataFrame | None =
     ideal = expected.withColumn("at", ideal_rank).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_expected"), F.sum(F.when(F.col("at") <= k, F.col("relevance") / F.log2(F.col("at") + 1.0))).alias("ideal"))
     top = results.filter(F.col("rank") <= k)
     hits = top.join(expected, ["query_id", "ref"]).groupBy("query_id").agg(F.countDistinct("ref").alias("hits"), F.min("rank").alias("first"), F.sum(F.col("relevance") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    found = _measured(ideal, hits, k)
+    if negatives is None:
+        return found.withColumn("first_negative", F.lit(None).cast("int")).withColumn("has_negatives", F.lit(False))
+    bad = negatives.select("query_id", "ref").distinct()
+    worst = top.join(bad, ["query_id", "ref"]).groupBy("query_id").agg(F.min("rank").alias("first_negative"))
+    return found.join(worst, "query_id", "left").join(bad.select("query_id").distinct().withColumn("has_negatives", F.lit(True)), "query_id", "left").withColumn("has_negatives", F.coalesce("has_negatives", F.lit(False)))
+
+
+def _measured(ideal: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """The metrics of each case of ``ideal`` (query_id, n_expected, ideal) by its hits (query_id, hits, first, dcg), if any."""
     found = ideal.join(hits, "query_id", "left")
     matched = F.coalesce("hits", F.lit(0))
-    found = found.select(
+    return found.select(
         "query_id",
         "n_expected",
         matched.alias("hits"),
@@ -29,11 +39,27 @@ def cases(results: DataFrame, expected: DataFrame, negatives: DataFrame | None =
         (matched / F.col("n_expected")).alias("recall"),
         F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)).alias("ndcg"),
     )
-    if negatives is None:
-        return found.withColumn("first_negative", F.lit(None).cast("int")).withColumn("has_negatives", F.lit(False))
-    bad = negatives.select("query_id", "ref").distinct()
-    worst = top.join(bad, ["query_id", "ref"]).groupBy("query_id").agg(F.min("rank").alias("first_negative"))
-    return found.join(worst, "query_id", "left").join(bad.select("query_id").distinct().withColumn("has_negatives", F.lit(True)), "query_id", "left").withColumn("has_negatives", F.coalesce("has_negatives", F.lit(False)))
+
+
+def class_cases(results: DataFrame, asked: DataFrame, classes: DataFrame, k: int = 10) -> DataFrame:
+    """``cases`` where a case (query_id, wanted, unwanted) expects all references of a class (ref, label) but itself, each with relevance one, and all of another are its negatives.
+
+    References are counted by class, and only returned ones are looked up: no row is
+    made for a case and a reference that it expects.
+    """
+    sizes = classes.filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    itself = classes.select(F.col("ref").alias("query_id"), F.col("label").alias("wanted")).groupBy("query_id", "wanted").agg(F.count(F.lit(1)).alias("own"))
+    expected = F.col("size") - F.coalesce("own", F.lit(0))
+    counted = asked.join(sizes.withColumnRenamed("label", "wanted"), "wanted").join(itself, ["query_id", "wanted"], "left").withColumn("n_expected", expected).filter("n_expected > 0")
+    gains = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("n_expected"), F.lit(k))), F.lit(0.0), lambda s, x: s + 1 / F.log2(x + 1.0))
+    ideal = counted.select("query_id", "n_expected", gains.alias("ideal"))
+    top = results.filter(F.col("rank") <= k).join(asked, "query_id").join(classes, "ref")
+    good = (F.col("label") == F.col("wanted")) & (F.col("ref") != F.col("query_id"))
+    hits = top.filter(good).groupBy("query_id").agg(F.countDistinct("ref").alias("hits"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    worst = top.filter(F.col("label") == F.col("unwanted")).groupBy("query_id").agg(F.min("rank").alias("first_negative"))
+    held = asked.join(sizes.select(F.col("label").alias("unwanted")), "unwanted").select("query_id", F.lit(True).alias("has_negatives"))
+    found = _measured(ideal, hits, k).join(worst, "query_id", "left").join(held, "query_id", "left")
+    return found.withColumn("has_negatives", F.coalesce("has_negatives", F.lit(False)))
 
 
 def _mean(column: Column) -> Column:
