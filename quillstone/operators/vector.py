@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.sources.tables import cut
+from quillstone.sources.tables import cut, modest_batches
 
 #: Queries and vectors of a block.
 BLOCK, ROWS = 1024, 4096
@@ -80,9 +80,16 @@ def _scores(vectors: np.ndarray, queries: np.ndarray, distance: str) -> np.ndarr
         return product
     a, b = (vectors**2).sum(axis=1), (queries**2).sum(axis=1)
     if distance == "cosine":
-        both = np.sqrt(a[:, None] * b[None, :])
-        return np.divide(product, both, out=np.zeros_like(product), where=both > 0)
-    return 1 / (1 + np.sqrt(np.maximum(a[:, None] + b[None, :] - 2 * product, 0)))
+        both = a[:, None] * b[None, :]
+        np.sqrt(both, out=both)
+        product[both <= 0] = 0
+        return np.divide(product, both, out=product, where=both > 0)
+    product *= 2
+    gap = a[:, None] + b[None, :]
+    gap -= product
+    np.sqrt(np.maximum(gap, 0, out=gap), out=gap)
+    gap += 1
+    return np.divide(1, gap, out=gap)
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -117,6 +124,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, distance: str = "
 
     ``queries`` has query_id and vector. All is one pass over the vectors.
     """
+    modest_batches(vectors.sparkSession)  # a pair of blocks is 2.5 MB
     group = F.lit(0) if group_column is None else F.col(group_column)
     good = vectors.filter(valid(F.col(vector_column), dims)).select(F.col(id_column).alias("id"), group.alias("grp"), F.col(vector_column).cast("array<double>").alias("vector"))
     asked = queries.filter(valid(F.col("vector"), dims)).select(F.col("query_id").alias("id"), F.lit(0).alias("grp"), F.col("vector").cast("array<double>").alias("vector"))
