@@ -8,6 +8,10 @@ write before it alone, and a window says it; all others go through a fold.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,23 +38,23 @@ class _Conflict(Exception):
 def _apply(state: dict, row: dict) -> list[dict]:
     """The document states that a transaction makes, or a conflict; ``state`` changes only if all of it is taken."""
     heads, owners, made = {}, {}, []
-    for m in row["mutations"] or ():
-        name = (m["document_type"], m["id"])
+    for operation, document_type, own_id, expected, must_exist, must_not_exist in row["mutations"]:
+        name = (document_type, own_id)
         revision, deleted = heads.get(name) or state["heads"].get(name) or (0, False)
         there = revision > 0
-        if m.get("must_not_exist") and there or m.get("must_exist") and not there:
+        if must_not_exist and there or must_exist and not there:
             raise _Conflict("precondition")
-        if m.get("expected_revision") is not None and (not there or m["expected_revision"] != revision):
+        if expected is not None and (not there or expected != revision):
             raise _Conflict("precondition")
-        gone = m["operation"] == "delete"
+        gone = operation == "delete"
         if gone and (not there or deleted):
             raise _Conflict("missing_document")
         heads[name] = (revision + 1, gone)
-        made.append({"document_type": m["document_type"], "id": m["id"], "operation": m["operation"], "revision": revision + 1, "deleted": gone})
-    for f in row["fences"] or ():
-        name, owner = (f["name"], f["value"]), (f["owner_type"], f["owner_id"])
+        made.append({"document_type": document_type, "id": own_id, "operation": operation, "revision": revision + 1, "deleted": gone})
+    for operation, fence, value, *owner in row["fences"]:
+        name, owner = (fence, value), tuple(owner)
         held = owners[name] if name in owners else state["owners"].get(name)
-        if f["operation"] == "claim":
+        if operation == "claim":
             if held is not None and held != owner:
                 raise _Conflict("fence_held")
             owners[name] = owner
@@ -67,12 +71,34 @@ def _apply(state: dict, row: dict) -> list[dict]:
     return made
 
 
-def _too_large(row: dict) -> bool:
-    mutations, fences, events = (row[c] or () for c in ("mutations", "fences", "outbox"))
-    if len(mutations) > MOST_MUTATIONS or len(fences) > MOST_FENCES or len(events) > MOST_EVENTS:
-        return True
-    bodies = [m["data"] for m in mutations] + [e["payload"] for e in events]
-    return any(len(b.encode()) > MOST_BYTES for b in bodies if b is not None)
+def _too_large() -> Column:
+    """Whether a transaction is beyond the limits."""
+    many = lambda c, most: F.coalesce(F.size(c) > most, F.lit(False))
+    long = lambda c, body: F.coalesce(F.exists(c, lambda x: F.coalesce(F.octet_length(x[body]) > MOST_BYTES, F.lit(False))), F.lit(False))
+    return many("mutations", MOST_MUTATIONS) | many("fences", MOST_FENCES) | many("outbox", MOST_EVENTS) | long("mutations", "data") | long("outbox", "payload")
+
+
+def _parts(column: pa.ListArray, names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """For each row the fields named of its structs, of which whole columns become Python values."""
+    flat = column.flatten()
+    each = list(zip(*(flat.field(n).to_pylist() for n in names), strict=True))
+    start = 0
+    for n in pc.fill_null(pc.list_value_length(column), 0).to_pylist():
+        yield each[start : start + n]
+        start += n
+
+
+def _read(large: str) -> Callable[[pa.RecordBatch], Iterator[dict]]:
+    """What judging a transaction takes of it: no bodies, indexes or events."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        mutations = _parts(batch.column("mutations"), ("operation", "document_type", "id", "expected_revision", "must_exist", "must_not_exist"))
+        fences = _parts(batch.column("fences"), ("operation", "name", "value", "owner_type", "owner_id"))
+        plain = (batch.column(c).to_pylist() for c in (large, "idempotency_key", "hash"))
+        for row in zip(*plain, mutations, fences, strict=True):
+            yield dict(zip(("large", "idempotency_key", "hash", "mutations", "fences"), row, strict=True))
+
+    return run
 
 
 def commit(transactions: DataFrame) -> DataFrame:
@@ -89,7 +115,7 @@ def commit(transactions: DataFrame) -> DataFrame:
     """
 
     def step(state: dict, row: dict) -> tuple[dict, dict]:
-        if _too_large(row):
+        if row["large"]:
             return state, {"status": "invalid", "reason": "limits"}
         known = state["receipts"].get(row["idempotency_key"])
         if known is not None:
@@ -105,27 +131,31 @@ def commit(transactions: DataFrame) -> DataFrame:
     answers = "status string, reason string, documents array<struct<document_type:string,id:string,operation:string,revision:bigint,deleted:boolean>>"
     grouped = together(transactions)
     part = next(c for c in grouped.columns if c not in transactions.columns)
-    return fold(grouped, ["tenant", part], ["seq"], lambda: {"heads": {}, "owners": {}, "receipts": {}}, step, answers).drop(part)
+    large = f"large_{part}"
+    judged = fold(grouped.withColumn(large, _too_large()), ["tenant", part], ["seq"], lambda: {"heads": {}, "owners": {}, "receipts": {}}, step, answers, _read(large))
+    return judged.drop(part, large)
 
 
 def together(transactions: DataFrame) -> DataFrame:
-    """``transactions`` with the least seq of those of their tenant that they hang together with by documents, fences and keys."""
+    """``transactions`` with the least seq of those of their tenant that they hang together with by documents, fences and keys.
+
+    What is linked are documents, fences and keys, by hashes: a transaction ties
+    its key to the others it touches, and ties that many transactions make are one.
+    Two that share a hash by chance only make a larger group.
+    """
     part = "part_"
     while part in transactions.columns:
         part += "_"
-    some = lambda column, names: F.transform(F.coalesce(column, F.array().cast(transactions.schema[column].dataType)), lambda x: F.struct(*names(x)))
-    kind = "array<struct<kind:string,a:string,b:string>>"
-    touched = F.concat(
-        some("mutations", lambda m: (F.lit("document"), m["document_type"], m["id"])).cast(kind),
-        some("fences", lambda f: (F.lit("fence"), f["name"], f["value"])).cast(kind),
-        F.array(F.struct(F.lit("key"), F.col("idempotency_key").cast("string"), F.lit(None).cast("string"))).cast(kind),
-    )
-    each = cut(transactions.select("tenant", "seq", F.explode(touched).alias("x")))
-    first = each.groupBy("tenant", "x").agg(F.min("seq").alias("b"))
-    # nulls are values here, as in the fold's names
-    links = each.alias("e").join(first.alias("f"), F.col("e.tenant").eqNullSafe(F.col("f.tenant")) & F.col("e.x.kind").eqNullSafe(F.col("f.x.kind")) & F.col("e.x.a").eqNullSafe(F.col("f.x.a")) & F.col("e.x.b").eqNullSafe(F.col("f.x.b")))
-    found = components(links.select(F.col("e.tenant").alias("tenant"), F.col("e.seq").alias("a"), "b").distinct(), cut)
-    return transactions.join(found.withColumnsRenamed({"node": "seq", "component": part}), ["tenant", "seq"]).select(*transactions.columns, part)
+    some = lambda column, *names: F.transform(F.coalesce(column, F.array().cast(transactions.schema[column].dataType)), lambda x: F.xxhash64(F.lit(column), *(x[n] for n in names)))
+    tenant, key = F.xxhash64("tenant"), F.xxhash64(F.lit("key"), F.col("idempotency_key").cast("string"))
+    others = F.array_distinct(F.concat(some("mutations", "document_type", "id"), some("fences", "name", "value")))
+    links = transactions.select(tenant.alias("tenant"), key.alias("a"), F.explode(others).alias("b")).distinct()
+    found = components(cut(links), cut)
+    first = transactions.groupBy(tenant.alias("tenant"), key.alias("node")).agg(F.min("seq").alias("seq"))
+    placed = cut(first.join(found, ["tenant", "node"], "left").withColumn("component", F.coalesce("component", "node")))
+    least = placed.groupBy("tenant", "component").agg(F.min("seq").alias(part))
+    named = placed.join(least, ["tenant", "component"]).select(F.col("tenant").alias(f"tenant_{part}"), F.col("node").alias(f"node_{part}"), part)
+    return transactions.withColumns({f"tenant_{part}": tenant, f"node_{part}": key}).join(named, [f"tenant_{part}", f"node_{part}"]).select(*transactions.columns, part)
 
 
 def transaction_id(tenant: Column, key: Column) -> Column:

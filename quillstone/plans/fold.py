@@ -9,7 +9,7 @@ key's state and a batch of rows, never a key's history.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -19,12 +19,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
-def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict]], answers: str) -> DataFrame:
+def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict]], answers: str, read: Callable[[pa.RecordBatch], Iterable[dict]] = pa.RecordBatch.to_pylist) -> DataFrame:
     """``rows`` with the columns of ``answers``, a schema in DDL, that ``step`` gives for each.
 
     ``step`` takes the key's state and a row and returns the new state and the
     answer; ``start`` makes the state that a key begins with. Rows with equal
-    ``order`` follow in any order, so it should be total within a key.
+    ``order`` follow in any order, so it should be total within a key. ``read``
+    makes a batch's rows for ``step``, where not all that they hold is needed.
     """
     added = StructType.fromDDL(answers)
     kept = rows.columns
@@ -34,8 +35,7 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[],
         last, state = None, None
         for batch in batches:
             found: list[dict] = []
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
+            for key, row in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), read(batch), strict=True):
                 if last is None or key != last:
                     last, state = key, start()
                 state, answer = step(state, row)

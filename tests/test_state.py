@@ -169,3 +169,26 @@ def test_commits_that_do_not_touch_each_other_are_apart(spark):
     assert committed.columns == [*data.columns, "status", "reason", "documents"]
     out = {r.event_id: r for r in canonical.committed_outbox(committed).collect()}
     assert len(out) == 58 and out["own"].topic == "t" and out["own"].headers == {"a": "b"} and out["own"].not_before == dt.datetime(2024, 1, 1)
+
+
+def test_ties_that_many_transactions_make_are_one(spark, monkeypatch):
+    """What is linked grows with distinct documents, fences and keys, not with transactions; a tenant that is null is one as well."""
+    one = lambda k: {"operation": "upsert", "document_type": "d", "id": str(k % 3), "data": "x", "indexes": {}, "expected_revision": None, "must_exist": False, "must_not_exist": False}
+    rows = [(None if k % 2 else "t", k, str(k % 4), "h", [one(k)], None, None) for k in range(240)]
+    schema = f"tenant string, seq bigint, idempotency_key string, hash string, mutations {canonical.MUTATIONS}, fences {canonical.FENCES}, outbox {canonical.EVENTS}"
+    made, plain = [], canonical.components
+    monkeypatch.setattr(canonical, "components", lambda links, *more: made.append(links.count()) or plain(links, *more))
+    committed = canonical.commit(spark.createDataFrame(rows, schema)).collect()
+    assert made == [12] and len(committed) == 240
+    assert {r.seq: r.status for r in committed} == {k: "committed" if k < 4 else "replayed" for k in range(240)}
+
+
+def test_judging_reads_no_bodies():
+    """Of a batch only what decides becomes Python values; lists that are null are empty."""
+    import pyarrow as pa
+
+    mutation = {"operation": "upsert", "document_type": "d", "id": "1", "data": "body", "indexes": None, "expected_revision": None, "must_exist": True, "must_not_exist": False}
+    fence = {"operation": "claim", "name": "n", "value": None, "owner_type": "o", "owner_id": "1"}
+    batch = pa.RecordBatch.from_pydict({"large": [False, True, False], "idempotency_key": ["a", "b", None], "hash": ["h", "h", "h"], "mutations": [[mutation], None, [mutation, mutation]], "fences": [None, [fence], []]})
+    own = ("upsert", "d", "1", None, True, False)
+    assert [(r["mutations"], r["fences"]) for r in canonical._read("large")(batch)] == [([own], []), ([], [("claim", "n", None, "o", "1")]), ([own, own], [])]
