@@ -7,7 +7,7 @@ and a window keeps the best of all. Neither side is broadcast or collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ from quillstone.sources.tables import cut, modest_batches
 
 #: Queries and vectors of a block.
 BLOCK, ROWS = 1024, 4096
+#: Pairs whose differences are held at a time.
+PAIRS = 1 << 15
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -75,6 +77,7 @@ def valid(vector: Column, dims: int) -> Column:
 
 
 def _scores(vectors: np.ndarray, queries: np.ndarray, distance: str) -> np.ndarray:
+    """Scores of pairs; of Euclidean distance the negative squares, which have rounding errors (see ``_least``)."""
     product = vectors @ queries.T
     if distance == "dotproduct":
         return product
@@ -85,11 +88,29 @@ def _scores(vectors: np.ndarray, queries: np.ndarray, distance: str) -> np.ndarr
         product[both <= 0] = 0
         return np.divide(product, both, out=product, where=both > 0)
     product *= 2
-    gap = a[:, None] + b[None, :]
-    gap -= product
-    np.sqrt(np.maximum(gap, 0, out=gap), out=gap)
-    gap += 1
-    return np.divide(1, gap, out=gap)
+    product -= a[:, None]
+    product -= b[None, :]
+    return np.minimum(product, 0, out=product)
+
+
+def _least(edge: np.ndarray, vectors: np.ndarray, queries: np.ndarray, distance: str, digits: int) -> np.ndarray:
+    """The least of ``_scores`` by query that can be among the best whose last one is ``edge``, scores being ordered when rounded."""
+    tie = 1.001 * 10.0**-digits
+    if distance != "euclidean":
+        return edge - tie
+    error = 4 * (vectors.shape[1] + 4) * np.finfo(float).eps * ((vectors**2).sum(axis=1).max() + (queries**2).sum(axis=1))
+    low = 1 / (1 + np.sqrt(error - edge)) - tie
+    far = np.divide(1, low, out=np.full_like(low, np.inf), where=low > 0) - 1
+    return -(far**2) - error
+
+
+def _near(vectors: np.ndarray, queries: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean scores of pairs of rows, from their differences."""
+    found = np.empty(len(a))
+    for at in range(0, len(a), PAIRS):
+        part = slice(at, at + PAIRS)
+        found[part] = 1 / (1 + np.sqrt(((vectors[a[part]] - queries[b[part]]) ** 2).sum(axis=1)))
+    return found
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -112,15 +133,15 @@ def _packed(rows: DataFrame, size: int, dims: int, prefix: str) -> DataFrame:
     return rows.select("id", "grp", "vector").mapInArrow(run, f"{prefix}_ids array<{kinds[0]}>, {prefix}_grps array<{kinds[1]}>, {prefix}_body binary")
 
 
-def _best(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(values: np.ndarray, k: int, least: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of each column's best ``k`` values; ties at the edge stay in, so that a window can order them."""
     most = min(k, len(values))
     edge = np.partition(values, len(values) - most, axis=0)[len(values) - most]
-    return np.nonzero(values >= edge - 1e-9)
+    return np.nonzero(values >= least(edge))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, distance: str = "cosine", dims: int = 64, min_score: float | None = None, id_column: str = "id", vector_column: str = "vector", group_column: str | None = None) -> DataFrame:
-    """query_id, id, score and rank (score down, then id) of each query's best vectors, and with ``group_column`` the group: the best of each group.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, distance: str = "cosine", dims: int = 64, min_score: float | None = None, id_column: str = "id", vector_column: str = "vector", group_column: str | None = None, digits: int = 9) -> DataFrame:
+    """query_id, id, score and rank (score down, rounded to ``digits``, then id) of each query's best vectors, and with ``group_column`` the group: the best of each group.
 
     ``queries`` has query_id and vector. All is one pass over the vectors.
     """
@@ -131,16 +152,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, distance: str = "
     # the queries' blocks are written once: each task of the vectors reads them
     blocks = cut(_packed(asked.coalesce(1), BLOCK, dims, "q"))
     pairs = _packed(good, ROWS, dims, "v").join(blocks, how="cross")
-    found = _scored(pairs, good, asked, k, distance, dims)
+    found = _scored(pairs, good, asked, k, distance, dims, digits)
     if min_score is not None:
         found = found.filter(F.col("score") >= min_score)
     by = ["query_id"] if group_column is None else ["query_id", "grp"]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), "id"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("score", digits).desc(), "id"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return ranked.drop("grp") if group_column is None else ranked.withColumnRenamed("grp", group_column)
 
 
-def _scored(pairs: DataFrame, good: DataFrame, asked: DataFrame, k: int, distance: str, dims: int) -> DataFrame:
+def _scored(pairs: DataFrame, good: DataFrame, asked: DataFrame, k: int, distance: str, dims: int, digits: int) -> DataFrame:
     """query_id, id, grp and score of the best of each pair of blocks, group by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +175,12 @@ def _scored(pairs: DataFrame, good: DataFrame, asked: DataFrame, k: int, distanc
                 kinds, place = np.unique(groups.to_numpy(zero_copy_only=False), return_inverse=True)
                 for kind in range(len(kinds)):
                     own = np.flatnonzero(place == kind)
-                    rows, columns = _best(values[own], k)
+                    rows, columns = _best(values[own], k, lambda edge, own=own: _least(edge, v[own], q, distance, digits))
                     at.append(own[rows])
                     query.append(columns)
                 a, b = np.concatenate(at), np.concatenate(query)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(b)), ids.take(pa.array(a)), groups.take(pa.array(a)), pa.array(values[a, b])], names=["query_id", "id", "grp", "score"])
+                scores = _near(v, q, a, b) if distance == "euclidean" else values[a, b]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(b)), ids.take(pa.array(a)), groups.take(pa.array(a)), pa.array(scores)], names=["query_id", "id", "grp", "score"])
 
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     columns = ["v_ids", "v_grps", "v_body", "q_ids", "q_body"]
