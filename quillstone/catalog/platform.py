@@ -129,14 +129,21 @@ def _digest(payload: dict) -> dict:
     return {"contentHash": "sha256:" + hashlib.sha256(records.canonical_json(payload).encode()).hexdigest()}
 
 
+@REGISTRY.handler("text.facts", max_attempts=2)
+def _facts(payload: dict) -> dict:
+    """The hash of a payload's canonical text, and the hash, length and first line of the text that it holds."""
+    text = payload["text"]
+    return {**_digest(payload), "textHash": "sha256:" + hashlib.sha256(text.encode()).hexdigest(), "textLength": len(text), "firstLine": next((line for line in text.split("\n") if line), text)}
+
+
 @R.query("""WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_id % 2 + 1 AS attempt FROM events)
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'rejected' WHEN event_type = 'view' THEN 'rejected' WHEN event_type = 'signup' THEN 'completed' WHEN k > 90 AND attempt = 2 THEN 'failed' WHEN k > 90 THEN 'queued' ELSE 'completed' END AS status,
-CASE WHEN event_type = 'signup' THEN '{"contentHash":"sha256:' || sha256('{"text":"event ' || event_id || '\\nx"}') || '"}' WHEN event_type IN ('click', 'purchase') AND k <= 90 THEN '{"contentHash":"sha256:' || sha256('{"k":' || k || '}') || '"}' END AS result,
+CASE WHEN event_type = 'signup' THEN '{"contentHash":"sha256:' || sha256('{"text":"event ' || event_id || '\\nx"}') || '","textHash":"sha256:' || sha256('event ' || event_id || chr(10) || 'x') || '","textLength":' || length('event ' || event_id || chr(10) || 'x') || ',"firstLine":"event ' || event_id || '"}' WHEN event_type IN ('click', 'purchase') AND k <= 90 THEN '{"contentHash":"sha256:' || sha256('{"k":' || k || '}') || '"}' END AS result,
 CASE WHEN event_type = 'error' THEN 'unknown_handler' WHEN event_type = 'view' THEN 'invalid_payload' WHEN event_type IN ('click', 'purchase') AND k > 90 THEN 'too large' END AS error FROM e""")
 def handler_jobs(spark, sf_dir):
     kind = F.col("event_type")
     text = F.concat(F.lit('{"text": "event '), F.col("event_id").cast("string"), F.lit('\\nx"}'))
-    runs = table(spark, sf_dir, "events").select("event_id", F.when(kind == "error", "none").otherwise("payload.digest").alias("handler_id"), F.when(kind == "view", "[1]").when(kind == "signup", text).otherwise(F.col("props")).alias("payload"), (F.col("event_id") % 2 + 1).cast("int").alias("attempt"))
+    runs = table(spark, sf_dir, "events").select("event_id", F.when(kind == "error", "none").when(kind == "signup", "text.facts").otherwise("payload.digest").alias("handler_id"), F.when(kind == "view", "[1]").when(kind == "signup", text).otherwise(F.col("props")).alias("payload"), (F.col("event_id") % 2 + 1).cast("int").alias("attempt"))
     return REGISTRY.execute(runs).select("event_id", "status", "result", "error")
 
 
